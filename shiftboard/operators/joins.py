@@ -66,29 +66,31 @@ def join_full_outer_chain(
     for f in frames:
         outputs += [c for c in f.columns if c not in keys and c not in outputs]
     null_key = reduce(lambda x, y: x | y, [F.col(k).isNull() for k in keys])
-    stacked = [
-        f.select(
-            *keys,
-            *[F.col(c).alias(f"__{i}__{c}") for c in f.columns if c not in keys],
-            F.lit(i).alias("__side"),
-            # a row with a NULL key groups only with its own frame
-            F.when(null_key, F.lit(i)).alias("__apart"),
+
+    def shaped(i: int, f: DataFrame) -> DataFrame:
+        rest = [c for c in f.columns if c not in keys]
+        # a row with a NULL key groups with its equals in its own frame only
+        apart = F.when(null_key, F.struct(F.lit(i), *[F.col(c).cast("string") for c in rest]).cast("string"))
+        return f.select(
+            *keys, *[F.col(c).alias(f"__{i}__{c}") for c in rest], F.lit(i).alias("__side"), apart.alias("__apart")
         )
-        for i, f in enumerate(frames)
-    ]
-    union = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), stacked)
+
+    union = reduce(
+        lambda x, y: x.unionByName(y, allowMissingColumns=True), [shaped(i, f) for i, f in enumerate(frames)]
+    )
     picked = [
         F.max(F.col(f"__{i}__{c}")).alias(f"__{i}__{c}")
         for i, f in enumerate(frames)
         for c in f.columns
         if c not in keys
     ]
-    repeats = [F.count_if(F.col("__side") == i) for i in range(len(frames))]
-    grouped = union.groupBy(*keys, "__apart").agg(*picked, F.greatest(F.lit(0), *repeats).alias("__repeats"))
-    checked = grouped.filter(
-        F.when(F.col("__repeats") <= 1, F.lit(True))
-        .otherwise(F.raise_error(F.lit("a frame holds a join key more than once")).cast("boolean"))
+    most = F.greatest(F.lit(0), *[F.count_if(F.col("__side") == i) for i in range(len(frames))])
+    grouped = union.groupBy(*keys, "__apart").agg(*picked, most.alias("__most"))
+    times = (
+        F.when(F.col("__apart").isNotNull() | (F.col("__most") <= 1), F.col("__most"))
+        .otherwise(F.raise_error(F.lit("a frame holds a join key more than once")).cast("bigint"))
     )
+    checked = grouped.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), times)))
     merged = [
         F.coalesce(*[F.col(f"__{i}__{c}") for i, f in enumerate(frames) if c in f.columns]).alias(c)
         for c in outputs

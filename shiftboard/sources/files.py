@@ -42,8 +42,13 @@ def table_scan(spark: SparkSession, name: str) -> DataFrame:
 
 
 def inline_config(spark: SparkSession, rows: Sequence[tuple[Any, ...]], schema: StructType | str) -> DataFrame:
-    """A small constant relation."""
-    return spark.createDataFrame(list(rows), schema)
+    """A small constant relation, held in the plan itself."""
+    if isinstance(schema, str):
+        schema = StructType.fromDDL(schema)
+    structs = [
+        F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, schema.fields)]) for row in rows
+    ]
+    return spark.range(1).select(F.inline(F.array(*structs)))
 
 
 def with_row_id(d: DataFrame, name: str = "row_id") -> DataFrame:
