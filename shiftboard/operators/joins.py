@@ -70,7 +70,7 @@ def join_full_outer_chain(
     def shaped(i: int, f: DataFrame) -> DataFrame:
         rest = [c for c in f.columns if c not in keys]
         # a row with a NULL key groups with its equals in its own frame only
-        apart = F.when(null_key, F.struct(F.lit(i), *[F.col(c).cast("string") for c in rest]).cast("string"))
+        apart = F.when(null_key, F.to_json(F.struct(F.lit(i).alias("__side"), *rest)))
         return f.select(
             *keys, *[F.col(c).alias(f"__{i}__{c}") for c in rest], F.lit(i).alias("__side"), apart.alias("__apart")
         )
