@@ -53,3 +53,8 @@ def alignment_status(diff: ColumnLike, limit: float = 5, null_status: str = "Ali
         .when(F.abs(diff) > limit, "Not Aligned")
         .otherwise("Aligned")
     )
+
+
+def round_half_even(c: ColumnLike, digits: int) -> Column:
+    """Half-even rounding, as array libraries do; float noise is rounded off first."""
+    return F.bround(F.round(_c(c), digits + 6), digits)
