@@ -92,6 +92,8 @@ def histogram_bins(
 
 def box_stats(d: DataFrame, keys: Sequence[str], c: str, k: float = 1.5) -> DataFrame:
     """Quartiles by group, and whiskers: the furthest values inside ``k`` IQRs."""
+    if not keys:
+        return box_stats(d.withColumn("__all", F.lit(1)), ["__all"], c, k).drop("__all")
     q = exact_quantiles(d, keys, c, QUARTILES)
     iqr = F.col("q3") - F.col("q1")
     fences = q.withColumns({"__lo": F.col("q1") - k * iqr, "__hi": F.col("q3") + k * iqr})

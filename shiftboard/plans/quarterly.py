@@ -63,13 +63,17 @@ def report_quarterly_review(
     def rounded(c, name: str):
         return round_half_even(c, config.digits).alias(name)
 
+    def total_of(c: str):
+        # a group without any value sums to 0, as in data-frame grouping
+        return F.coalesce(F.sum(c), F.lit(0))
+
     late = _labelled(tables["late"], "balance_date", config.quarters).groupBy(
         "facility_code", "balance_date", *PERIODS
-    ).agg(rounded(F.sum("defect_rate"), "defect_rate"), F.sum("raw_late_count").alias("raw_late_count"))
+    ).agg(rounded(total_of("defect_rate"), "defect_rate"), total_of("raw_late_count").alias("raw_late_count"))
     outbound = _labelled(tables["outbound"], "clean_date", config.quarters).groupBy(
         "facility_code", "process_path", "category", "clean_date", *PERIODS
     ).agg(
-        rounded(F.sum("performance_score"), "performance_score"),
+        rounded(total_of("performance_score"), "performance_score"),
         rounded(F.avg("weekly_percentage"), "weekly_percentage"),
     )
     total = reduce(lambda a, b: a + b, [F.col(c) for c in SCORES])
@@ -77,8 +81,8 @@ def report_quarterly_review(
         _labelled(tables["tasks"].withColumn("total_score", total), "date", config.quarters, is_text=False)
         .groupBy("warehouse_id", "date", "process_group", *PERIODS)
         .agg(
-            F.sum("total_units").alias("total_units"),
-            *[rounded(F.sum(c), c) for c in (*SCORES, "total_score")],
+            total_of("total_units").alias("total_units"),
+            *[rounded(total_of(c), c) for c in (*SCORES, "total_score")],
         )
     )
     bundle = {
