@@ -8,9 +8,6 @@ from ..functions import calendar as cal, ratios
 from ..operators import aggregate as agg, joins, stats
 from .registry import Tables, query
 
-FACTS = "lineitem"
-NET = F.col("l_extendedprice") * (1 - F.col("l_discount"))
-
 
 def rounded(d: DataFrame, digits: int, *cols: str) -> DataFrame:
     return d.withColumns({c: F.round(c, digits) for c in cols})

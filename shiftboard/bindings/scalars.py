@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import calendar as cal, labels, text
 from ..operators.reshape import nested_explode
@@ -27,7 +27,8 @@ def _(t: Tables) -> DataFrame:
     return t.customer.select("c_custkey", text.str_strip_chars(written, "B$").cast("bigint").alias("val_num"))
 
 
-ISO = F.date_format("o_orderdate", "yyyy-MM-dd'T00:00:00.000Z'")
+def iso_order_date() -> Column:
+    return F.date_format("o_orderdate", "yyyy-MM-dd'T00:00:00.000Z'")
 
 
 @query(
@@ -42,10 +43,10 @@ ISO = F.date_format("o_orderdate", "yyyy-MM-dd'T00:00:00.000Z'")
 def _(t: Tables) -> DataFrame:
     return tally(
         t.orders,
-        iso=ISO,
-        parsed=text.str_rstrip_iso(ISO),
-        trimmed_text=F.rtrim(ISO, F.lit("T0:.Z")),
-        parsed_compat=text.str_rstrip_iso(ISO, compat=True),
+        iso=iso_order_date(),
+        parsed=text.str_rstrip_iso(iso_order_date()),
+        trimmed_text=F.rtrim(iso_order_date(), F.lit("T0:.Z")),
+        parsed_compat=text.str_rstrip_iso(iso_order_date(), compat=True),
     )
 
 
@@ -248,7 +249,7 @@ def _(t: Tables) -> DataFrame:
         t.orders,
         mdy=cal.date_parse(F.date_format(d, "M/d/yyyy"), "M/d/yyyy"),
         ymd=cal.date_parse(F.date_format(d, "yyyy-MM-dd"), ["M/d/yyyy", "yyyy-MM-dd"]),
-        iso=cal.date_parse(ISO, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"),
+        iso=cal.date_parse(iso_order_date(), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"),
         spelled=cal.date_parse(F.date_format(d, "yyyy.MMMM.d"), "yyyy.MMMM.d"),
         epoch=cal.date_parse(seconds.cast("string"), "epoch"),
         coerced=cal.date_parse(some_bad, "yyyy-MM-dd", strict=False),

@@ -14,6 +14,7 @@ from ..operators.joins import join_many_to_many
 from ..operators.project import rename_columns
 from ..operators.reshape import melt_long
 from ..operators.stats import fit_aggregates, summary_stats
+from .bundle import Bundle
 
 KEY = ["id", "weekday"]
 # Measures stacked per weekday in the two charts.
@@ -39,7 +40,7 @@ def prepared(tables: Mapping[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
 
 def report_activity_sleep(
     tables: Mapping[str, DataFrame], config: ActivityConfig = ActivityConfig()
-) -> dict[str, DataFrame]:
+) -> Bundle:
     """``tables``: ``activity`` (Id, ActivityDate M/d/yyyy, …) and ``sleep`` (Id, SleepDay, …).
 
     The two logs meet on (person, weekday), which neither holds once.  Weekday sums
@@ -65,17 +66,17 @@ def report_activity_sleep(
             for n, c in fit_aggregates(F.col("totaltimeinbed"), F.col("totalminutesasleep"), F.col("__times")).items()
         ]
     )
-    return {
-        "participants": count_distinct(activity, ["id"], count_null=True)
+    return Bundle({
+        "participants": lambda: count_distinct(activity, ["id"], count_null=True)
         .select(F.lit("activity").alias("log"), F.col("id").alias("participants"))
         .unionByName(
             count_distinct(sleep, ["id"], count_null=True).select(
                 F.lit("sleep").alias("log"), F.col("id").alias("participants")
             )
         ),
-        "activity_summary": summary_stats(activity, config.activity_summary),
-        "sleep_summary": summary_stats(sleep, config.sleep_summary),
-        "active_minutes": melt_long(weekday_sums, ["weekday"], ACTIVE, "activity_type", "minutes"),
-        "rest_minutes": melt_long(weekday_sums, ["weekday"], REST, "rest_and_sleep", "minutes"),
-        "fit": fit,
-    }
+        "activity_summary": lambda: summary_stats(activity, config.activity_summary),
+        "sleep_summary": lambda: summary_stats(sleep, config.sleep_summary),
+        "active_minutes": lambda: melt_long(weekday_sums, ["weekday"], ACTIVE, "activity_type", "minutes"),
+        "rest_minutes": lambda: melt_long(weekday_sums, ["weekday"], REST, "rest_and_sleep", "minutes"),
+        "fit": lambda: fit,
+    })

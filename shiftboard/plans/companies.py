@@ -15,6 +15,7 @@ from ..operators.filters import filter_period
 from ..operators.sets import skip_top_n
 from ..operators.stats import box_stats
 from ..operators.windows import quantile_cut
+from .bundle import Bundle
 
 # Continent numbers and industry spellings with their repairs.
 CONTINENTS = {"North America": 1, "Asia": 2, "Europe": 3, "South America": 4, "Oceania": 5, "Africa": 6}
@@ -75,7 +76,7 @@ def validated(companies: DataFrame, config: CompanyConfig) -> DataFrame:
 
 def report_company_valuation(
     tables: Mapping[str, DataFrame], config: CompanyConfig = CompanyConfig()
-) -> dict[str, DataFrame]:
+) -> Bundle:
     """``tables``: ``companies`` (company, valuation ``$180B``, date_joined, industry,
     city, country, continent, year_founded)."""
     raw = tables["companies"]
@@ -98,22 +99,26 @@ def report_company_valuation(
         .groupBy(cal.period_labels("date_joined", "week").alias("week"))
         .agg(F.count("company").alias("companies"))
     )
-    halves = quantile_cut(clean, "valuation_num", 2, config.halves, "valuation_half")
-    return {
-        "impossible": quality.rule_check(
+
+    def halves() -> DataFrame:
+        cut = quantile_cut(clean, "valuation_num", 2, config.halves, "valuation_half")
+        return cut.groupBy("valuation_half", "continent_number").agg(F.count("*").alias("companies"))
+
+    return Bundle({
+        "impossible": lambda: quality.rule_check(
             clean.select("company", "year_joined", "year_founded", "years_to_join"),
             {"joined before founded": F.col("years_to_join") >= 0},
         ),
-        "industry_check": quality.domain_check(raw, "industry", config.industries, config.repairs),
-        "missing_cost": quality.missing_cost_report(raw),
-        "missing_by_country": quality.rows_with_missing(raw, "country"),
-        "by_industry": by_industry,
-        "by_country": skip_top_n(by_country.filter(F.col("country").isNotNull()), "valuation", config.biggest, "country"),
-        "per_quarter": per_quarter.withColumns(
+        "industry_check": lambda: quality.domain_check(raw, "industry", config.industries, config.repairs),
+        "missing_cost": lambda: quality.missing_cost_report(raw),
+        "missing_by_country": lambda: quality.rows_with_missing(raw, "country"),
+        "by_industry": lambda: by_industry,
+        "by_country": lambda: skip_top_n(by_country.filter(F.col("country").isNotNull()), "valuation", config.biggest, "country"),
+        "per_quarter": lambda: per_quarter.withColumns(
             {"quarter_number": str_slice("quarter", -2), "year_joined": str_slice("quarter", 0, 4)}
         ),
-        "per_week": per_week,
-        "years_by_month": box_stats(clean.filter(F.col("years_to_join").isNotNull()), ["month_joined"], "years_to_join"),
-        "years_by_founding": clean.groupBy("year_founded").agg(F.avg("years_to_join").alias("avg_num_yrs")),
-        "halves": halves.groupBy("valuation_half", "continent_number").agg(F.count("*").alias("companies")),
-    }
+        "per_week": lambda: per_week,
+        "years_by_month": lambda: box_stats(clean.filter(F.col("years_to_join").isNotNull()), ["month_joined"], "years_to_join"),
+        "years_by_founding": lambda: clean.groupBy("year_founded").agg(F.avg("years_to_join").alias("avg_num_yrs")),
+        "halves": halves,
+    })

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.ratios import ratio_or_null
 from ..operators.aggregate import argmax_key, value_counts
 from ..operators.sets import dedupe_rows
+from .bundle import Bundle
 
 
 @dataclass(frozen=True)
@@ -24,7 +25,7 @@ class DemographicsConfig:
 
 def report_demographics(
     tables: Mapping[str, DataFrame], config: DemographicsConfig = DemographicsConfig()
-) -> dict[str, DataFrame]:
+) -> Bundle:
     """``tables``: ``people`` (age, education, race, sex, occupation, native_country,
     hours_per_week, salary), with exact repeats dropped first.
 
@@ -56,10 +57,10 @@ def report_demographics(
         .withColumn("rich_pct", ratio_or_null(F.nullif(F.col("rich"), F.lit(0)), "people") * 100)
     )
     earners = people.filter(rich & (F.col("native_country") == config.country))
-    return {
-        "figures": figures,
-        "races": value_counts(people, "race"),
-        "countries": countries,
-        "best_country": argmax_key(countries, "native_country", "rich_pct"),
-        "top_occupation": value_counts(earners, "occupation", 1),
-    }
+    return Bundle({
+        "figures": lambda: figures,
+        "races": lambda: value_counts(people, "race"),
+        "countries": lambda: countries,
+        "best_country": lambda: argmax_key(countries, "native_country", "rich_pct"),
+        "top_occupation": lambda: value_counts(earners, "occupation", 1),
+    })

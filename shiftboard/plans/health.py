@@ -11,6 +11,7 @@ from ..functions.labels import binary_flag
 from ..functions.text import bmi, unit_convert
 from ..operators.reshape import melt_group_count
 from ..operators.stats import corr_matrix, quantile_trim
+from .bundle import Bundle
 
 # The columns counted per condition, in order.
 COUNTED = ("cholesterol", "gluc", "smoke", "alco", "active")
@@ -36,7 +37,7 @@ def screened(exams: DataFrame, config: HealthConfig) -> DataFrame:
 
 def report_health_screen(
     tables: Mapping[str, DataFrame], config: HealthConfig = HealthConfig()
-) -> dict[str, DataFrame]:
+) -> Bundle:
     """``tables``: ``exams`` (age in days, height, weight, ap_hi, ap_lo, cholesterol,
     gluc, smoke, alco, active, cardio).
 
@@ -44,10 +45,13 @@ def report_health_screen(
     with plausible pressure and trimmed height and weight.
     """
     rows = screened(tables["exams"], config)
-    trimmed = quantile_trim(rows, ["height", "weight"], config.lo, config.hi)
-    plausible = trimmed.filter(F.col("ap_lo") <= F.col("ap_hi"))
+
+    def correlations() -> DataFrame:
+        trimmed = quantile_trim(rows, ["height", "weight"], config.lo, config.hi)
+        return corr_matrix(trimmed.filter(F.col("ap_lo") <= F.col("ap_hi")), numeric)
+
     numeric = [f.name for f in rows.schema.fields if f.dataType.typeName() in ("integer", "long", "double")]
-    return {
-        "counts": melt_group_count(rows, ["cardio"], COUNTED),
-        "corr": corr_matrix(plausible, numeric),
-    }
+    return Bundle({
+        "counts": lambda: melt_group_count(rows, ["cardio"], COUNTED),
+        "corr": correlations,
+    })

@@ -11,6 +11,7 @@ from ..functions import calendar as cal
 from ..functions.text import str_concat
 from ..operators.aggregate import value_counts
 from ..operators.stats import box_stats, histogram_bins, kde_density
+from .bundle import Bundle
 
 
 @dataclass(frozen=True)
@@ -27,42 +28,50 @@ class SalesConfig:
     grid: int = 1000
 
 
-def report_sales_eda(tables: Mapping[str, DataFrame], config: SalesConfig = SalesConfig()) -> dict[str, DataFrame]:
+def report_sales_eda(tables: Mapping[str, DataFrame], config: SalesConfig = SalesConfig()) -> Bundle:
     """``tables``: ``sales`` (year, month name, day, customer_age, country, state,
     product_category, sub_category, product, order_quantity, profit, revenue)."""
     sales = tables["sales"]
     in_countries = F.col("country").isin(*config.countries)
     in_months = (F.col("year") == config.year) & F.col("month").isin(*config.months)
-    figures = sales.agg(
-        F.avg("customer_age").alias("mean_age"),
-        F.avg("order_quantity").alias("mean_quantity"),
-        F.sum(F.col("revenue") + config.added_revenue).alias("revenue"),
-        F.count_if(in_countries).alias("in_countries"),
-        F.count_if((F.col("country") == config.country) & (F.col("sub_category") == config.sub_category)).alias(
-            "country_sub_category"
-        ),
-        F.count_if(in_months).alias("in_months"),
-    )
-    counted = {c: value_counts(sales, c) for c in ("year", "month", "country")}
-    dates = sales.select(
-        cal.date_parse(str_concat([F.col(c).cast("string") for c in ("year", "month", "day")], "."), "yyyy.MMMM.d").alias(
-            "calculated_date"
+
+    def figures() -> DataFrame:
+        return sales.agg(
+            F.avg("customer_age").alias("mean_age"),
+            F.avg("order_quantity").alias("mean_quantity"),
+            F.sum(F.col("revenue") + config.added_revenue).alias("revenue"),
+            F.count_if(in_countries).alias("in_countries"),
+            F.count_if(
+                (F.col("country") == config.country) & (F.col("sub_category") == config.sub_category)
+            ).alias("country_sub_category"),
+            F.count_if(in_months).alias("in_months"),
+        )
+
+    def sub_categories() -> DataFrame:
+        wanted = F.col("product_category").isin(*config.categories) & F.col("sub_category").isNotNull()
+        return sales.filter(wanted).groupBy("product_category", "sub_category").agg(F.count("*").alias("n"))
+
+    def date_counts() -> DataFrame:
+        written = str_concat([F.col(c).cast("string") for c in ("year", "month", "day")], ".")
+        return value_counts(
+            sales.select(cal.date_parse(written, "yyyy.MMMM.d").alias("calculated_date")), "calculated_date"
         )
+
+    return Bundle(
+        {
+            "figures": figures,
+            "year_counts": lambda: value_counts(sales, "year"),
+            "month_counts": lambda: value_counts(sales, "month"),
+            "country_counts": lambda: value_counts(sales, "country"),
+            "products": lambda: value_counts(sales, "product", 10),
+            "states": lambda: value_counts(sales.filter(F.col("country") == config.states_of), "state"),
+            "sub_categories": sub_categories,
+            "date_counts": date_counts,
+            "quantity_histogram": lambda: histogram_bins(sales, "order_quantity", bins=config.bins),
+            "age_box": lambda: box_stats(sales, [], "customer_age"),
+            "quantity_box": lambda: box_stats(sales, [], "order_quantity"),
+            "profit_by_country": lambda: box_stats(sales, ["country"], "profit"),
+            "profit_by_month": lambda: box_stats(sales.filter(F.col("year") == config.year), ["month"], "profit"),
+            "age_density": lambda: kde_density(sales, "customer_age", config.grid),
+        }
     )
-    in_category = F.col("product_category").isin(*config.categories)
-    return {
-        "figures": figures,
-        **{f"{c}_counts": d for c, d in counted.items()},
-        "products": value_counts(sales, "product", 10),
-        "states": value_counts(sales.filter(F.col("country") == config.states_of), "state"),
-        "sub_categories": sales.filter(in_category & F.col("sub_category").isNotNull())
-        .groupBy("product_category", "sub_category")
-        .agg(F.count("*").alias("n")),
-        "date_counts": value_counts(dates, "calculated_date"),
-        "quantity_histogram": histogram_bins(sales, "order_quantity", bins=config.bins),
-        "age_box": box_stats(sales, [], "customer_age"),
-        "quantity_box": box_stats(sales, [], "order_quantity"),
-        "profit_by_country": box_stats(sales, ["country"], "profit"),
-        "profit_by_month": box_stats(sales.filter(F.col("year") == config.year), ["month"], "profit"),
-        "age_density": kde_density(sales, "customer_age", config.grid),
-    }

@@ -13,6 +13,7 @@ from ..operators.aggregate import percent_of_total, value_counts
 from ..operators.filters import filter_period
 from ..operators.sets import concat_frames, top_n
 from ..operators.stats import box_stats
+from .bundle import Bundle
 
 
 @dataclass(frozen=True)
@@ -22,7 +23,7 @@ class SeasonalityConfig:
     days: int = 10
 
 
-def report_event_seasonality(tables: Mapping[str, DataFrame], config: SeasonalityConfig) -> dict[str, DataFrame]:
+def report_event_seasonality(tables: Mapping[str, DataFrame], config: SeasonalityConfig) -> Bundle:
     """``tables``: ``current`` and ``earlier`` (date, strikes, place; extra columns dropped).
 
     ``month_share`` month's part of its year; ``weekday_mean`` and ``weekday_box``
@@ -40,26 +41,26 @@ def report_event_seasonality(tables: Mapping[str, DataFrame], config: Seasonalit
     weekdays = current.select(cal.date_names("date", "weekday").alias("weekday"), "strikes")
     year = filter_period(both, "date", year=config.year)
     quarter = both.groupBy(cal.period_labels("date", "quarter").alias("quarter")).agg(F.sum("strikes").alias("strikes"))
-    return {
-        "month_share": month_share,
-        "weekday_mean": weekdays.groupBy("weekday").agg(F.avg("strikes").alias("mean_strikes")),
-        "weekday_box": box_stats(weekdays, ["weekday"], "strikes"),
-        "weeks": year.groupBy(cal.period_labels("date", "week").alias("week")).agg(F.sum("strikes").alias("strikes")),
-        "months": year.groupBy(
+    return Bundle({
+        "month_share": lambda: month_share,
+        "weekday_mean": lambda: weekdays.groupBy("weekday").agg(F.avg("strikes").alias("mean_strikes")),
+        "weekday_box": lambda: box_stats(weekdays, ["weekday"], "strikes"),
+        "weeks": lambda: year.groupBy(cal.period_labels("date", "week").alias("week")).agg(F.sum("strikes").alias("strikes")),
+        "months": lambda: year.groupBy(
             F.month("date").alias("month"), cal.date_names("date", "month3").alias("month_txt")
         ).agg(F.sum("strikes").alias("strikes")),
-        "quarters": quarter.withColumns(
+        "quarters": lambda: quarter.withColumns(
             {
                 "strikes_formatted": fmt_number("strikes", "millions", 1),
                 "quarter_number": str_slice("quarter", -2),
                 "year": str_slice("quarter", 0, 4),
             }
         ),
-        "top_days": top_n(
+        "top_days": lambda: top_n(
             current.groupBy(F.to_date("date").alias("date")).agg(F.sum("strikes").alias("strikes")),
             "strikes",
             config.days,
             "date",
         ),
-        "top_places": value_counts(current, "place", config.places),
-    }
+        "top_places": lambda: value_counts(current, "place", config.places),
+    })

@@ -12,6 +12,7 @@ from ..functions.text import fmt_number, num_coerce, str_split_cols
 from ..operators.project import positional_header
 from ..operators.reshape import pivot_wide_plain, pivot_wide_sum
 from ..operators.stats import median_by_group
+from .bundle import Bundle
 
 # The headers each extract is given by position.
 HEADERS = {
@@ -53,7 +54,7 @@ def _dated(d: DataFrame, column: str, sep: str) -> DataFrame:
     )
 
 
-def report_weekly_site_bundle(tables: Mapping[str, DataFrame], config: WeeklySitesConfig) -> dict[str, DataFrame]:
+def report_weekly_site_bundle(tables: Mapping[str, DataFrame], config: WeeklySitesConfig) -> Bundle:
     """Per metric ``*_dashboard``, ``*_wide`` and ``*_total``; root-cause sums; one site by week.
 
     ``tables``: ``metric_a`` … ``metric_d``, ``root_cause``, with columns in
@@ -92,11 +93,13 @@ def report_weekly_site_bundle(tables: Mapping[str, DataFrame], config: WeeklySit
     out["root_cause_total"] = causes.groupBy("root_cause").agg(bps)
 
     one_site = F.col("site") == config.site
-    out["site_metric_a"] = median_by_group(rate.filter(one_site), ["week"], "metric_a_rate").withColumnRenamed(
-        "median", "metric_a_rate"
-    )
     for name, (value, _, _) in DATED.items():
         total = F.coalesce(F.sum(value), F.lit(0.0))
         total = F.round(total, 3) if name == "metric_b" else total
         out[f"site_{name}"] = out[f"{name}_dashboard"].filter(one_site).groupBy("week").agg(total.alias(value))
-    return out
+
+    def site_metric_a() -> DataFrame:
+        return median_by_group(rate.filter(one_site), ["week"], "metric_a_rate").withColumnRenamed("median", "metric_a_rate")
+
+    builders = {name: (lambda d=d: d) for name, d in out.items()}
+    return Bundle({**builders, "site_metric_a": site_metric_a})
