@@ -46,17 +46,15 @@ def quantile_bounds(d: DataFrame, cols: Sequence[str], lo: float, hi: float) ->
 def quantile_trim(d: DataFrame, cols: Sequence[str], lo: float = 0.025, hi: float = 0.975) -> DataFrame:
     """Rows inside the ``[lo, hi]`` quantiles of every column.
 
-    All bounds come from the untrimmed frame, as one-row scalar subqueries.
+    All bounds come from the untrimmed frame.  They are read first, one row per
+    column, and become literals the scan can filter by.
     """
-    bounds = quantile_bounds(d, cols, lo, hi)
-    picked = bounds.agg(
-        F.map_from_entries(F.collect_list(F.struct("column", F.struct("lo", "hi").alias("b")))).alias("b")
-    ).scalar()
-    keep = F.lit(True)
+    bounds = {r["column"]: (r["lo"], r["hi"]) for r in quantile_bounds(d, cols, lo, hi).collect()}
     for c in cols:
-        b = F.try_element_at(picked, F.lit(c))
-        keep = keep & (F.col(c) >= b["lo"]) & (F.col(c) <= b["hi"])
-    return d.filter(keep)
+        if c not in bounds:
+            return d.limit(0)
+        d = d.filter((F.col(c) >= bounds[c][0]) & (F.col(c) <= bounds[c][1]))
+    return d
 
 
 def histogram_bins(
@@ -92,19 +90,21 @@ def histogram_bins(
 
 def box_stats(d: DataFrame, keys: Sequence[str], c: str, k: float = 1.5) -> DataFrame:
     """Quartiles by group, and whiskers: the furthest values inside ``k`` IQRs."""
-    if not keys:
-        return box_stats(d.withColumn("__all", F.lit(1)), ["__all"], c, k).drop("__all")
     q = exact_quantiles(d, keys, c, QUARTILES)
     iqr = F.col("q3") - F.col("q1")
     fences = q.withColumns({"__lo": F.col("q1") - k * iqr, "__hi": F.col("q3") + k * iqr})
-    # reduced to distinct values first, so the join carries no hot group
+    # repeats are counted first; one fence row per group joins them
     values = d.filter(F.col(c).isNotNull()).groupBy(*keys, F.col(c).cast("double").alias("__v")).agg(
         F.count("*").alias("__n")
     )
     inside = (F.col("__v") >= F.col("__lo")) & (F.col("__v") <= F.col("__hi"))
+    if keys:
+        fenced = values.join(fences, list(keys))
+    else:
+        f = fences.first()
+        fenced = values.withColumns({n: F.lit(f[n]).cast("double") for n in fences.columns})
     return (
-        values.join(fences, list(keys))
-        .groupBy(*keys, "q1", "median", "q3")
+        fenced.groupBy(*keys, "q1", "median", "q3")
         .agg(
             F.min(F.when(inside, F.col("__v"))).alias("whisker_lo"),
             F.max(F.when(inside, F.col("__v"))).alias("whisker_hi"),

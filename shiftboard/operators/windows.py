@@ -54,9 +54,10 @@ def quantile_cut(d: DataFrame, c: str, q: int, labels: Sequence[str], name: str
     if len(labels) != q:
         raise ValueError("one label per bin")
     probs = {f"e{i}": i / q for i in range(1, q)}
-    edges = exact_quantiles(d, [], c, probs).select(F.struct(*probs)).scalar()
+    # q - 1 edges, read first and compared as literals
+    edges = exact_quantiles(d, [], c, probs).first()
     v = F.col(c)
-    out = F.when(v.isNull(), F.lit(None).cast("string"))
+    out = F.when(v.isNull() | F.lit(edges is None), F.lit(None).cast("string"))
     for i, label in enumerate(labels[:-1], start=1):
-        out = out.when(v <= edges[f"e{i}"], label)
+        out = out.when(v <= F.lit(edges and edges[f"e{i}"]), label)
     return d.withColumn(name, out.otherwise(labels[-1]))

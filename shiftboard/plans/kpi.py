@@ -75,7 +75,8 @@ def daily_bps(
     for n, (fn, _) in extra.items():
         total = F.sum(f"__s_{n}")
         outputs.append((ratio_or_null(total, F.sum(f"__n_{n}")) if fn == "avg" else total).alias(n))
-    return with_volume.groupBy("facility_id", "date").agg(*outputs)
+    # one shuffle serves this grouping and the windows by facility that follow
+    return with_volume.repartition("facility_id").groupBy("facility_id", "date").agg(*outputs)
 
 
 @dataclass(frozen=True)

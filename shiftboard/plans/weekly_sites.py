@@ -66,7 +66,7 @@ def report_weekly_site_bundle(tables: Mapping[str, DataFrame], config: WeeklySit
 
     rate = named["metric_a"].withColumn("week", F.col("week").cast("int"))
     whole = {str(w): fmt_number(F.col(str(w)), "share", 0) for w in weeks}
-    wide = pivot_wide_plain(rate.drop("region"), ["site"], "week", "metric_a_rate", weeks)
+    wide = pivot_wide_plain(rate, ["site", "region"], "week", "metric_a_rate", weeks).drop("region")
     out["metric_a_dashboard"] = rate.withColumn("metric_a_rate", fmt_number("metric_a_rate", "share", 0))
     out["metric_a_wide"] = wide.withColumns(whole)
     out["metric_a_total"] = rate.groupBy("site").agg(
