@@ -136,14 +136,14 @@ def _(t: Tables) -> DataFrame:
 
 @query(
     "wow_change",
-    f"""SELECT event_type, day, round((total - w) / nullif(w, 0) * 100, 4) AS pct, round(mean - v, 4) AS diff
+    f"""SELECT event_type, day, round((total - w) / nullif(w, 0) * 100, 6) AS pct, round(mean - v, 4) AS diff
         FROM (SELECT *, lag(total, 7) OVER p AS w, lag(mean, 7) OVER p AS v FROM {DAILY} WINDOW p AS (PARTITION BY event_type ORDER BY day))""",
 )
 def _(t: Tables) -> DataFrame:
     return daily_events(t).select(
         "event_type",
         "day",
-        F.round(win.wow_change("total", 7, ["event_type"], ["day"]), 4).alias("pct"),
+        F.round(win.wow_change("total", 7, ["event_type"], ["day"]), 6).alias("pct"),
         F.round(win.wow_change("mean", 7, ["event_type"], ["day"], "abs"), 4).alias("diff"),
     )
 

@@ -74,11 +74,16 @@ def histogram_bins(
         span = d.sparkSession.range(1).select(lo.alias("lo"), width.alias("width"))
     else:
         n = int(bins)
-        span = d.agg(F.min(v).alias("lo"), ((F.max(v) - F.min(v)) / n).alias("width"))
+        # a single value sits in the middle of a range of one
+        spread = F.max(v) - F.min(v)
+        span = d.agg(
+            F.when(spread == 0, F.min(v) - 0.5).otherwise(F.min(v)).alias("lo"),
+            (F.when(spread == 0, F.lit(1.0)).otherwise(spread) / n).alias("width"),
+        )
         s = span.select(F.struct("lo", "width")).scalar()
         lo, width = s["lo"], s["width"]
-    index = F.least(F.floor((v - lo) / F.nullif(width, F.lit(0.0))), F.lit(n - 1))
-    counts = d.groupBy(F.coalesce(index, F.lit(0)).cast("int").alias("bin")).agg(F.count("*").alias("n"))
+    index = F.least(F.floor((v - lo) / width), F.lit(n - 1))
+    counts = d.groupBy(index.cast("int").alias("bin")).agg(F.count("*").alias("n"))
     frame = span.select("lo", "width", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("bin"))
     return frame.join(counts, "bin", "left").select(
         "bin",
