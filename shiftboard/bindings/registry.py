@@ -6,9 +6,12 @@ import posixpath
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+#: table path -> schema, so that later reads need no footer job
+SCHEMAS: dict[str, StructType] = {}
 
 
 class Tables:
@@ -21,7 +24,10 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        return self.spark.read.parquet(posixpath.join(self.directory, f"{name}.parquet"))
+        path = posixpath.join(self.directory, f"{name}.parquet")
+        if path not in SCHEMAS:
+            SCHEMAS[path] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(SCHEMAS[path]).parquet(path)
 
 
 def query(key: str, sql: str | None = None):

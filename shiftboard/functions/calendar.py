@@ -159,13 +159,21 @@ def clock_band(ts: ColumnLike, bands: Sequence[tuple[str, str, str]]) -> Column:
     """
     m = minute_of_day(ts)
     out = None
-    for label, start, end in bands:
-        lo, hi = _minutes(start), _minutes(end)
-        inside = (m >= lo) & (m < hi) if lo < hi else (m >= lo) | (m < hi)
+    for label, lo, hi in minute_spans(bands):
+        inside = (m >= lo) & (m < hi)
         out = F.when(inside, label) if out is None else out.when(inside, label)
     return out
 
 
+def minute_spans(bands: Sequence[tuple[str, str, str]]) -> list[tuple[str, int, int]]:
+    """Bands as ``(label, first minute, end minute)``; one over midnight gives two."""
+    spans = []
+    for label, start, end in bands:
+        lo, hi = _minutes(start), _minutes(end)
+        spans += [(label, lo, hi)] if lo < hi else [(label, lo, 24 * 60), (label, 0, hi)]
+    return spans
+
+
 def shift_of_day(ts: ColumnLike) -> Column:
     return clock_band(ts, SHIFTS)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 #: A pivot is a table header; more levels than this belongs in long form.
 MAX_LEVELS = 1000
@@ -77,10 +77,10 @@ def melt_group_count(d: DataFrame, ids: Sequence[str], values: Sequence[str]) ->
 
 def nested_explode(d: DataFrame, c: str, depth: int = 1, name: str = "item") -> DataFrame:
     """One row per innermost element of ``depth`` levels of arrays."""
-    inner: Column = F.col(c)
-    for _ in range(depth - 1):
-        inner = F.flatten(inner)
-    return d.select(*[x for x in d.columns if x != c], F.explode(inner).alias(name))
+    rest = [x for x in d.columns if x != c]
+    for _ in range(depth):
+        d, c = d.select(*rest, F.explode(c).alias(name)), name
+    return d
 
 
 def one_hot(

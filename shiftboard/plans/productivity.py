@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import calendar as cal
 from ..functions.ratios import alignment_status, pct_diff_raw, round_half_even
 from ..functions.text import num_coerce
 from ..operators.project import project_columns
-from ..sources.files import skip_leading_rows
+from ..sources.files import inline_config, skip_leading_rows
 
 
 @dataclass(frozen=True)
@@ -22,6 +22,19 @@ class ProductivityConfig:
     digits: int = 2
 
 
+def working_minutes(spark: SparkSession) -> DataFrame:
+    """The minutes of a day that fall in a period and a shift: 1,440 rows at most.
+
+    Facts meet their bands by an equal minute, so no band is tested per fact.
+    """
+
+    def minutes(bands, name: str) -> DataFrame:
+        spans = inline_config(spark, cal.minute_spans(bands), "label string, lo int, hi int")
+        return spans.select(F.col("label").alias(name), F.explode(F.sequence("lo", F.col("hi") - 1)).alias("minute"))
+
+    return minutes(cal.PERIODS, "period").join(minutes(cal.SHIFTS, "shift"), "minute")
+
+
 def report_productivity(
     tables: Mapping[str, DataFrame], config: ProductivityConfig = ProductivityConfig()
 ) -> DataFrame:
@@ -34,13 +47,12 @@ def report_productivity(
     if config.skip_rows:
         raw = skip_leading_rows(raw, config.skip_rows)
     raw = project_columns(raw, drop=["override_column_1", "override_column_2"])
-    ts = F.to_timestamp("timestamp")
-    rows = raw.select(
-        cal.period_of_day(ts).alias("period"),
-        cal.shift_of_day(ts).alias("shift"),
+    values = raw.select(
+        cal.minute_of_day(F.to_timestamp("timestamp")).alias("minute"),
         num_coerce("planned_value").alias("planned"),
         num_coerce("actual_value").alias("actual"),
-    ).dropna()
+    ).dropna(subset=["planned", "actual"])
+    rows = values.join(F.broadcast(working_minutes(raw.sparkSession)), "minute")
     means = rows.groupBy("period", "shift").agg(
         round_half_even(F.avg("planned"), config.digits).alias("planned_average"),
         round_half_even(F.avg("actual"), config.digits).alias("actual_average"),
