@@ -159,24 +159,49 @@ def corr_matrix(d: DataFrame, cols: Sequence[str], lower: bool = True) -> DataFr
     return one.select(F.inline(F.array(*structs)))
 
 
-def fit_aggregates(x: Column, y: Column, weight: Column | None = None) -> Mapping[str, Column]:
-    """Least squares of ``y`` on ``x``: n, slope, intercept, r2, std_err of the slope.
+def fit_aggregates(x: Column, y: Column) -> Mapping[str, Column]:
+    """Least squares of ``y`` on ``x``: n, slope, intercept, r2, std_err of the slope."""
+    x, y = x.cast("double"), y.cast("double")
+    n = F.count_if(x.isNotNull() & y.isNotNull()).cast("double")
+    return _fit(n, F.regr_avgx(y, x), F.regr_avgy(y, x), F.regr_sxx(y, x), F.regr_syy(y, x), F.regr_sxy(y, x))
+
+
+def weighted_fit(d: DataFrame, keys: Sequence[str], x: str, y: str, times: DataFrame) -> DataFrame:
+    """The fit over ``d`` with each row repeated as often as ``times`` holds its key.
 
-    ``weight`` counts a row that many times (a row repeated by a join).
+    ``times`` is ``(keys…, times)``.  Rows are reduced to moments per key before
+    the two meet, so neither a hot key nor the repeats are ever spread out.
     """
-    both = x.isNotNull() & y.isNotNull()
-    x, y = x.cast("double"), y.cast("double")
-    if weight is None:
-        n = F.count_if(both).cast("double")
-        sxx, syy, sxy = F.regr_sxx(y, x), F.regr_syy(y, x), F.regr_sxy(y, x)
-        mean_x, mean_y = F.regr_avgx(y, x), F.regr_avgy(y, x)
-    else:
-        w = F.when(both, weight.cast("double"))
-        n = F.sum(w)
-        mean_x, mean_y = F.sum(w * x) / n, F.sum(w * y) / n
-        sxx = F.sum(w * x * x) - n * mean_x * mean_x
-        syy = F.sum(w * y * y) - n * mean_y * mean_y
-        sxy = F.sum(w * x * y) - n * mean_x * mean_y
+    a, b = F.col(x).cast("double"), F.col(y).cast("double")
+    both = d.filter(a.isNotNull() & b.isNotNull())
+    moments = both.groupBy(*keys).agg(
+        F.count("*").cast("double").alias("n"),
+        F.avg(a).alias("mx"),
+        F.avg(b).alias("my"),
+        F.regr_sxx(b, a).alias("sxx"),
+        F.regr_syy(b, a).alias("syy"),
+        F.regr_sxy(b, a).alias("sxy"),
+    )
+    groups = moments.join(times, list(keys)).withColumn("w", F.col("n") * F.col("times"))
+    # spread within the groups, repeated, to which the spread of their means is added
+    whole = groups.select(
+        "w",
+        "mx",
+        "my",
+        *[(F.col(c) * F.col("times")).alias(c) for c in ("sxx", "syy", "sxy")],
+    )
+    n = F.sum("w")
+    mean_x, mean_y = F.try_divide(F.sum(F.col("w") * F.col("mx")), n), F.try_divide(F.sum(F.col("w") * F.col("my")), n)
+    sums = {
+        "sxx": F.sum(F.col("sxx") + F.col("w") * F.col("mx") * F.col("mx")) - n * mean_x * mean_x,
+        "syy": F.sum(F.col("syy") + F.col("w") * F.col("my") * F.col("my")) - n * mean_y * mean_y,
+        "sxy": F.sum(F.col("sxy") + F.col("w") * F.col("mx") * F.col("my")) - n * mean_x * mean_y,
+    }
+    fit = _fit(n, mean_x, mean_y, sums["sxx"], sums["syy"], sums["sxy"])
+    return whole.agg(*[c.alias(name) for name, c in fit.items()])
+
+
+def _fit(n: Column, mean_x: Column, mean_y: Column, sxx: Column, syy: Column, sxy: Column) -> Mapping[str, Column]:
     slope = F.try_divide(sxy, sxx)
     r2 = F.try_divide(sxy * sxy, sxx * syy)
     residual = F.greatest(syy - slope * sxy, F.lit(0.0))

@@ -13,7 +13,7 @@ from ..operators.aggregate import count_distinct
 from ..operators.joins import join_many_to_many
 from ..operators.project import rename_columns
 from ..operators.reshape import melt_long
-from ..operators.stats import fit_aggregates, summary_stats
+from ..operators.stats import summary_stats, weighted_fit
 from .bundle import Bundle
 
 KEY = ["id", "weekday"]
@@ -58,14 +58,8 @@ def report_activity_sleep(
     weekday_sums = merged.groupBy("weekday").agg(
         F.sum("row_multiplier").alias("rows"), *[F.sum(c).alias(c) for c in (*ACTIVE, *REST)]
     )
-    repeats = activity.groupBy(*KEY).agg(F.count("*").alias("__times"))
-    weighted = sleep.join(repeats, KEY)
-    fit = weighted.agg(
-        *[
-            c.alias(n)
-            for n, c in fit_aggregates(F.col("totaltimeinbed"), F.col("totalminutesasleep"), F.col("__times")).items()
-        ]
-    )
+    repeats = activity.groupBy(*KEY).agg(F.count("*").alias("times"))
+    fit = weighted_fit(sleep, KEY, "totaltimeinbed", "totalminutesasleep", repeats)
     return Bundle({
         "participants": lambda: count_distinct(activity, ["id"], count_null=True)
         .select(F.lit("activity").alias("log"), F.col("id").alias("participants"))

@@ -242,9 +242,11 @@ def test_weighted_fit_counts_repeats(rows):
     data = [(1.0, 2.0, 1), (2.0, 3.5, 3), (3.0, 9.0, 2), (4.0, None, 5)]
     repeated = rows([(x, y) for x, y, w in data for _ in range(w)], "x double, y double")
     plain = stats.linear_fit(repeated, "x", "y").first().asDict()
-    d = rows(data, "x double, y double, w int")
-    weighted = d.agg(*[c.alias(n) for n, c in stats.fit_aggregates(F.col("x"), F.col("y"), F.col("w")).items()]).first()
-    assert weighted.asDict() == pytest.approx(plain)
+    d = rows([(i % 2, x, y) for i, (x, y, _) in enumerate(data)], "k int, x double, y double")
+    by_key = {0: 2, 1: 3}
+    again = rows([(x, y) for i, (x, y, _) in enumerate(data) for _ in range(by_key[i % 2])], "x double, y double")
+    weighted = stats.weighted_fit(d, ["k"], "x", "y", rows(list(by_key.items()), "k int, times bigint")).first()
+    assert weighted.asDict() == pytest.approx(stats.linear_fit(again, "x", "y").first().asDict())
     x, y = zip(*[(x, y) for x, y, w in data if y is not None for _ in range(w)])
     assert (plain["slope"], plain["intercept"]) == pytest.approx(tuple(np.polyfit(x, y, 1)))
 
