@@ -506,14 +506,14 @@ def sales_rows(t: Tables) -> dict[str, DataFrame]:
         C("p_brand").alias("sub_category"),
         C("p_name").alias("product"),
         C("l_quantity").alias("order_quantity"),
-        F.round(C("l_extendedprice") * (C("l_discount") - C("l_tax")), 2).alias("profit"),
+        (C("l_extendedprice") * (C("l_discount") - C("l_tax"))).alias("profit"),
         C("l_extendedprice").alias("revenue"),
     )
     return {"sales": sold}
 
 
 SOLD = """(SELECT o_orderdate AS d, l_linenumber AS age, 'NATION_' || c_nationkey AS country, o_orderpriority AS state, p_type, p_brand, p_name, l_quantity AS q,
-    round(l_extendedprice * (l_discount - l_tax), 2) AS profit, l_extendedprice AS revenue FROM lineitem JOIN orders ON o_orderkey = l_orderkey
+    l_extendedprice * (l_discount - l_tax) AS profit, l_extendedprice AS revenue FROM lineitem JOIN orders ON o_orderkey = l_orderkey
     JOIN customer ON c_custkey = o_custkey JOIN part ON p_partkey = l_partkey)"""
 SALES_CONFIG = sales.SalesConfig(
     year=1998, countries=("NATION_3", "NATION_7"), country="NATION_3", sub_category="Brand#5", states_of="NATION_7", categories=("PROMO", "SMALL"), grid=40
@@ -526,12 +526,12 @@ def _box(keys: str, value: str, where: str = "true") -> str:
     name = f"{keys.split(' AS ')[-1]}, " if keys else ""
     return f"""WITH c AS (SELECT {group}{value}::DOUBLE AS y FROM {SOLD} WHERE {where}),
         q AS (SELECT {name}quantile_cont(y, 0.25) AS q1, median(y) AS median, quantile_cont(y, 0.75) AS q3 FROM c GROUP BY ALL)
-        SELECT {name}round(q1, 4) AS q1, round(median, 4) AS median, round(q3, 4) AS q3, min(y) FILTER (y >= q1 - 1.5 * (q3 - q1)) AS whisker_lo,
-        max(y) FILTER (y <= q3 + 1.5 * (q3 - q1)) AS whisker_hi, count(*) FILTER (y < q1 - 1.5 * (q3 - q1) OR y > q3 + 1.5 * (q3 - q1)) AS outliers
+        SELECT {name}round(q1, 4) AS q1, round(median, 4) AS median, round(q3, 4) AS q3, round(min(y) FILTER (y >= q1 - 1.5 * (q3 - q1)), 4) AS whisker_lo,
+        round(max(y) FILTER (y <= q3 + 1.5 * (q3 - q1)), 4) AS whisker_hi, count(*) FILTER (y < q1 - 1.5 * (q3 - q1) OR y > q3 + 1.5 * (q3 - q1)) AS outliers
         FROM c JOIN q {using} GROUP BY ALL"""
 
 
-BOX_DIGITS = {"q1": 4, "median": 4, "q3": 4}
+BOX_DIGITS = {c: 4 for c in ("q1", "median", "q3", "whisker_lo", "whisker_hi")}
 
 parts(
     "report_sales_eda",
