@@ -526,12 +526,12 @@ def _box(keys: str, value: str, where: str = "true") -> str:
     name = f"{keys.split(' AS ')[-1]}, " if keys else ""
     return f"""WITH c AS (SELECT {group}{value}::DOUBLE AS y FROM {SOLD} WHERE {where}),
         q AS (SELECT {name}quantile_cont(y, 0.25) AS q1, median(y) AS median, quantile_cont(y, 0.75) AS q3 FROM c GROUP BY ALL)
-        SELECT {name}round(q1, 4) AS q1, round(median, 4) AS median, round(q3, 4) AS q3, round(min(y) FILTER (y >= q1 - 1.5 * (q3 - q1)), 4) AS whisker_lo,
-        round(max(y) FILTER (y <= q3 + 1.5 * (q3 - q1)), 4) AS whisker_hi, count(*) FILTER (y < q1 - 1.5 * (q3 - q1) OR y > q3 + 1.5 * (q3 - q1)) AS outliers
+        SELECT {name}round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3, round(min(y) FILTER (y >= q1 - 1.5 * (q3 - q1)), 6) AS whisker_lo,
+        round(max(y) FILTER (y <= q3 + 1.5 * (q3 - q1)), 6) AS whisker_hi, count(*) FILTER (y < q1 - 1.5 * (q3 - q1) OR y > q3 + 1.5 * (q3 - q1)) AS outliers
         FROM c JOIN q {using} GROUP BY ALL"""
 
 
-BOX_DIGITS = {c: 4 for c in ("q1", "median", "q3", "whisker_lo", "whisker_hi")}
+BOX_DIGITS = {c: 6 for c in ("q1", "median", "q3", "whisker_lo", "whisker_hi")}
 
 parts(
     "report_sales_eda",

@@ -55,8 +55,21 @@ def agg_multi_grain(
     ``coarse`` must be part of ``fine``; totals come from the reduced fine rows.
     """
     sums = d.groupBy(*fine).agg(*[F.sum(c).alias(n) for n, c in measures.items()])
-    w = Window.partitionBy(*coarse)
-    return sums.withColumns({f"total_{n}": F.sum(n).over(w) for n in measures})
+    return beside_totals(sums, coarse, {f"total_{n}": F.sum(n) for n in measures})
+
+
+def beside_totals(sums: DataFrame, keys: Sequence[str], totals: Mapping[str, Column]) -> DataFrame:
+    """Reduced rows beside totals of their groups; NULL keys are a group of their own.
+
+    Totals are joined back rather than taken over a window: a window puts a whole
+    group in one task, and few large groups would leave most of a cluster idle.
+    Both sides read the same shuffle of ``sums``.
+    """
+    keys = list(keys)
+    grouped = sums.groupBy(*keys).agg(*[c.alias(n) for n, c in totals.items()])
+    match = [F.col(f"s.{k}").eqNullSafe(F.col(f"t.{k}")) for k in keys]
+    joined = sums.alias("s").join(grouped.alias("t"), match, "left")
+    return joined.select("s.*", *[F.col(f"t.{n}") for n in totals])
 
 
 def agg_distinct_rows(d: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -102,6 +115,8 @@ def cost_share_bps(
     """
     over = F.when(flag, F.col(cost)).otherwise(F.lit(0.0))
     sums = d.groupBy(*fine).agg(F.sum(over).alias("affected"), F.sum(cost).alias("planned"))
+    # a coarse group (a facility's week) holds a row per category and region here,
+    # so a window keeps this to one reading of the facts
     group = Window.partitionBy(*coarse)
     keyed = F.lit(True)
     for k in coarse:
@@ -123,10 +138,10 @@ def percent_of_total(d: DataFrame, keys: Sequence[str], value: str, over: Sequen
     """Group sums and their percentage of the total over the ``over`` keys."""
     sums = d.groupBy(*keys).agg(F.sum(value).alias("part"))
     if over:
-        total = F.sum("part").over(Window.partitionBy(*over))
+        sums = beside_totals(sums, over, {"total": F.sum("part")})
     else:
-        total = d.agg(F.sum(value)).scalar()
-    return sums.withColumn("total", total).withColumn("pct", ratio_or_null("part", "total") * 100)
+        sums = sums.withColumn("total", sums.agg(F.sum("part")).scalar())
+    return sums.withColumn("pct", ratio_or_null("part", "total") * 100)
 
 
 def avg_of_ratios_weekly(

@@ -81,3 +81,12 @@ def test_left_join_then_not_null_is_inner(static):
     b = static.read.parquet(f"{SF}/labels.parquet")
     joined = joins.join_left_then_notnull(a, b, "doc_id", "quality")
     assert "LeftOuter" not in joined._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("key, scans", [("agg_multi_grain", 1), ("percent_of_total", 1), ("cost_share_bps", 1), ("report_cancellation", 5)])
+def test_facts_are_read_once(spark, key, scans):
+    """Totals beside their parts come from the same shuffle, grains from one pass."""
+    d = REGISTRY.QUERIES[key](spark, SF)
+    d.collect()
+    final = plan(d).split("Initial Plan")[0]
+    assert final.count("FileScan") == scans and final.count("FileScan parquet [l_") <= 1
