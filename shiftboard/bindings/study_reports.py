@@ -165,11 +165,19 @@ parts(
         "outbound": f"""SELECT CAST(l_suppkey AS VARCHAR) AS facility_code, l_returnflag AS process_path, l_linestatus AS category, CAST(l_shipdate AS DATE) AS clean_date,
             {_periods('l_shipdate')}, {_r3('sum(l_extendedprice / 3)')} AS performance_score, {_r3('avg(l_quantity / 7)')} AS weekly_percentage
             FROM lineitem WHERE {_in_quarters('l_shipdate')} GROUP BY ALL""",
-        "late_bars": f"SELECT facility_code, quarter, round(avg(raw_late_count), 6) AS mean_raw_late_count FROM {LATE} GROUP BY 1, 2",
-        "task_bars": f"SELECT warehouse_id, quarter, round(avg(total_score), 6) AS mean_total_score FROM {TASKS} GROUP BY 1, 2",
+        "outbound_bars": f"""SELECT facility_code, quarter, round(avg(performance_score), 9) AS mean_performance_score FROM (
+            SELECT CAST(l_suppkey AS VARCHAR) AS facility_code, l_returnflag, l_linestatus, l_shipdate, strftime(l_shipdate, '%Y') || '-Q' || quarter(l_shipdate) AS quarter,
+            {_r3('sum(l_extendedprice / 3)')} AS performance_score FROM lineitem WHERE {_in_quarters('l_shipdate')} GROUP BY ALL) GROUP BY 1, 2""",
+        "site_tasks": f"SELECT * FROM {TASKS} WHERE warehouse_id = '7'",
+        "late_bars": f"SELECT facility_code, quarter, round(avg(raw_late_count), 9) AS mean_raw_late_count FROM {LATE} GROUP BY 1, 2",
+        "task_bars": f"SELECT warehouse_id, quarter, round(avg(total_score), 9) AS mean_total_score FROM {TASKS} GROUP BY 1, 2",
         "site_late": f"SELECT * FROM {LATE} WHERE facility_code = '7'",
     },
-    {"late_bars": {"mean_raw_late_count": 6}, "task_bars": {"mean_total_score": 6}},
+    {
+        "outbound_bars": {"mean_performance_score": 9},
+        "late_bars": {"mean_raw_late_count": 9},
+        "task_bars": {"mean_total_score": 9},
+    },
 )
 
 # --- productivity ----------------------------------------------------------
@@ -247,6 +255,11 @@ parts(
         "metric_a_total": f"SELECT site, printf('%.0f%%', round(avg(rate) * 100, 0)) AS avg_metric_a FROM {RATE_A} GROUP BY 1",
         "metric_b_total": f"SELECT {SITE} AS site, sum(l_quantity) AS total_metric_b FROM lineitem WHERE l_linenumber != 7 GROUP BY 1",
         "metric_c_wide": _wide("l_linenumber::DOUBLE"),
+        "metric_c_total": f"SELECT {SITE} AS site, sum(l_linenumber)::DOUBLE AS total_metric_c FROM lineitem GROUP BY 1",
+        "metric_d_total": f"SELECT {SITE} AS site, round(sum(l_extendedprice), 2) AS total_metric_d FROM lineitem GROUP BY 1",
+        "site_metric_c": f"SELECT CAST(week(l_shipdate) AS VARCHAR) AS week, sum(l_linenumber)::DOUBLE AS metric_c_count FROM lineitem WHERE {SITE} = 'SITE_7' GROUP BY 1",
+        "site_metric_d": f"SELECT CAST(week(l_shipdate) AS VARCHAR) AS week, round(sum(l_extendedprice), 2) AS units FROM lineitem WHERE {SITE} = 'SITE_7' GROUP BY 1",
+        "metric_a_dashboard": f"SELECT site, 'EU' AS region, w::INTEGER AS week, printf('%.0f%%', round(rate * 100, 0)) AS metric_a_rate FROM {RATE_A}",
         "metric_d_wide": _wide("l_extendedprice"),
         "root_cause_by_process": """SELECT l_returnflag AS process_path, CAST(l_linenumber AS VARCHAR) AS root_cause, round(sum(l_tax), 4) AS bps
             FROM lineitem GROUP BY 1, 2""",
@@ -262,6 +275,8 @@ parts(
         "metric_b_wide": _weeks(2),
         "metric_c_wide": _weeks(2),
         "metric_d_wide": _weeks(2),
+        "metric_d_total": {"total_metric_d": 2},
+        "site_metric_d": {"units": 2},
         "root_cause_by_process": {"bps": 4},
         "root_cause_total": {"bps": 4},
         "site_metric_a": {"metric_a_rate": 6},
@@ -551,6 +566,8 @@ parts(
             SELECT g::INTEGER AS bin, round(lo + g * w, 6) AS bin_lo, round(lo + (g + 1) * w, 6) AS bin_hi, coalesce(n, 0) AS n
             FROM (SELECT unnest(range(30)) AS g) CROSS JOIN s LEFT JOIN c ON c.bin = g""",
         "age_box": _box("", "age"),
+        "quantity_box": _box("", "q"),
+        "year_counts": f"SELECT year(d)::INTEGER AS year, count(*) AS n FROM {SOLD} GROUP BY 1",
         "profit_by_country": _box("country", "profit"),
         "profit_by_month": _box("monthname(d) AS month", "profit", "year(d) = 1998"),
         "age_density": f"""WITH s AS (SELECT count(*) AS n, stddev_samp(age) * power(count(*), -0.2) AS h, min(age) - 0.5 * (max(age) - min(age)) AS lo,
@@ -562,6 +579,7 @@ parts(
         "figures": {"mean_age": 6, "mean_quantity": 6, "revenue": 2},
         "quantity_histogram": {"bin_lo": 6, "bin_hi": 6},
         "age_box": BOX_DIGITS,
+        "quantity_box": BOX_DIGITS,
         "profit_by_country": BOX_DIGITS,
         "profit_by_month": BOX_DIGITS,
         "age_density": {"x": 6, "density": 10},
@@ -613,6 +631,12 @@ parts(
         "fit": f"""SELECT count(*) AS n, round(regr_slope(asleep, in_bed), 6) AS slope, round(regr_intercept(asleep, in_bed), 4) AS intercept,
             round(regr_r2(asleep, in_bed), 6) AS r2, round(sqrt((regr_syy(asleep, in_bed) - power(regr_sxy(asleep, in_bed), 2) / regr_sxx(asleep, in_bed))
             / (count(*) - 2) / regr_sxx(asleep, in_bed)), 8) AS std_err FROM {MERGED}""",
+        "activity_summary": " UNION ALL ".join(
+            f"""SELECT '{n}' AS column, count(*) AS count, round(avg({v}), 6) AS mean, round(stddev_samp({v}), 6) AS std, min({v})::DOUBLE AS min,
+                round(quantile_cont({v}::DOUBLE, 0.25), 6) AS q1, round(quantile_cont({v}::DOUBLE, 0.5), 6) AS median,
+                round(quantile_cont({v}::DOUBLE, 0.75), 6) AS q3, max({v})::DOUBLE AS max FROM events WHERE event_type IN ('click', 'purchase')"""
+            for n, v in {"totalsteps": "event_id", "calories": "value * 10", "veryactiveminutes": "value"}.items()
+        ),
         "sleep_summary": " UNION ALL ".join(
             f"""SELECT '{n}' AS column, count(*) AS count, round(avg({v}), 6) AS mean, round(stddev_samp({v}), 6) AS std, min({v}) AS min,
                 round(quantile_cont({v}, 0.25), 6) AS q1, round(median({v}), 6) AS median, round(quantile_cont({v}, 0.75), 6) AS q3, max({v}) AS max
@@ -624,6 +648,7 @@ parts(
         "active_minutes": {"minutes": 2},
         "rest_minutes": {"minutes": 2},
         "fit": {"slope": 6, "intercept": 4, "r2": 6, "std_err": 8},
+        "activity_summary": {c: 6 for c in ("mean", "std", "q1", "median", "q3")},
         "sleep_summary": {c: 6 for c in ("mean", "std", "q1", "median", "q3")},
     },
 )

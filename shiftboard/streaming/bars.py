@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
@@ -11,9 +12,14 @@ from ..sources.bars import ohlc_ingest
 KEY = ("pair", "close_time")
 
 
-def _has_rows(spark: SparkSession, sink: str) -> bool:
-    path = spark._jvm.org.apache.hadoop.fs.Path(sink)
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+def _held(spark: SparkSession, schema: StructType, sink: str) -> DataFrame | None:
+    """What the sink holds, or None before its first write."""
+    try:
+        return spark.read.schema(schema).parquet(sink)
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
 
 
 def append_new_bars(batch: DataFrame, sink: str) -> None:
@@ -24,8 +30,8 @@ def append_new_bars(batch: DataFrame, sink: str) -> None:
     """
     spark = batch.sparkSession
     fresh = batch.dropDuplicates(list(KEY)).withColumn("day", F.to_date("close_time"))
-    if _has_rows(spark, sink):
-        held = spark.read.schema(fresh.schema).parquet(sink)
+    held = _held(spark, fresh.schema, sink)
+    if held is not None:
         fresh = fresh.join(held.select("day", *KEY), ["day", *KEY], "left_anti")
     # gathers small days into few files and splits a large one
     fresh.hint("rebalance", "day").write.mode("append").partitionBy("day").parquet(sink)
