@@ -14,11 +14,11 @@ TYPES = ["click", "error", "purchase", "signup", "view"]
 
 def daily_events(t: Tables) -> DataFrame:
     return t.events.groupBy("event_type", F.to_date("ts").alias("day")).agg(
-        F.round(F.sum("value"), 2).alias("total"), F.count("*").alias("n"), F.round(F.avg("value"), 4).alias("mean")
+        F.round(F.sum("value"), 2).alias("total"), F.count("*").alias("n"), F.round(F.avg("value"), 9).alias("mean")
     )
 
 
-DAILY = """(SELECT event_type, CAST(ts AS DATE) AS day, round(sum(value), 2) AS total, count(*) AS n, round(avg(value), 4) AS mean
+DAILY = """(SELECT event_type, CAST(ts AS DATE) AS day, round(sum(value), 2) AS total, count(*) AS n, round(avg(value), 9) AS mean
             FROM events GROUP BY 1, 2)"""
 
 # --- reshape ---------------------------------------------------------------
@@ -136,7 +136,7 @@ def _(t: Tables) -> DataFrame:
 
 @query(
     "wow_change",
-    f"""SELECT event_type, day, round((total - w) / nullif(w, 0) * 100, 6) AS pct, round(mean - v, 4) AS diff
+    f"""SELECT event_type, day, round((total - w) / nullif(w, 0) * 100, 6) AS pct, round(mean - v, 9) AS diff
         FROM (SELECT *, lag(total, 7) OVER p AS w, lag(mean, 7) OVER p AS v FROM {DAILY} WINDOW p AS (PARTITION BY event_type ORDER BY day))""",
 )
 def _(t: Tables) -> DataFrame:
@@ -144,7 +144,7 @@ def _(t: Tables) -> DataFrame:
         "event_type",
         "day",
         F.round(win.wow_change("total", 7, ["event_type"], ["day"]), 6).alias("pct"),
-        F.round(win.wow_change("mean", 7, ["event_type"], ["day"], "abs"), 4).alias("diff"),
+        F.round(win.wow_change("mean", 7, ["event_type"], ["day"], "abs"), 9).alias("diff"),
     )
 
 
