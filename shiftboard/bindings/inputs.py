@@ -10,7 +10,6 @@ import posixpath
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions import calendar as cal
 from ..session import scratch_path
 from ..sources import bars, files
 from ..streaming.bars import ohlc_incremental
