@@ -50,9 +50,26 @@ def shared_dir(spark: SparkSession) -> str:
     return current
 
 
+def _hadoop(spark: SparkSession, path: str):
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark._jsc.hadoopConfiguration()), there
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new, unused path below the shared folder."""
-    return posixpath.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
+    """A new, unused path below the shared folder; what is written there goes when the session's process ends."""
+    path = posixpath.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
+    files, there = _hadoop(spark, path)
+    files.mkdirs(there.getParent())
+    files.mkdirs(there)
+    files.deleteOnExit(there)
+    files.delete(there, True)
+    return path
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Remove a scratch path whose rows nothing reads any more."""
+    files, there = _hadoop(spark, path)
+    files.delete(there, True)
 
 
 def pin(d: DataFrame) -> DataFrame:
