@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, near_dup
+from . import decision_list, decontaminate, near_dup, quality_fm
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -69,3 +69,23 @@ def _(spark: SparkSession, directory: str) -> DataFrame:
 def _(spark: SparkSession, directory: str) -> DataFrame:
     found = near_dup.near_duplicates(table(spark, directory, "documents"), shingle=4)
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
+
+
+@query("op8_decision_list_rules")
+def _(spark: SparkSession, directory: str) -> DataFrame:
+    judged = decision_list.judge(table(spark, directory, "documents"), table(spark, directory, "labels"))
+    base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return judged.select(F.col("id").alias("doc_id"), *base, "base_failed", "kept")
+
+
+@query("op2_factorisation_machine_quality")
+def _(spark: SparkSession, directory: str) -> DataFrame:
+    documents = table(spark, directory, "documents")
+    machine = quality_fm.train(documents, table(spark, directory, "labels"))
+    scored = quality_fm.score(documents, machine)
+    return scored.select(
+        F.col("id").alias("doc_id"),
+        quality_fm.held_out().alias("held_out"),
+        "score",
+        (F.col("score") >= quality_fm.THRESHOLD).cast("int").alias("predicted"),
+    )
