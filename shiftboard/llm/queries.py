@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import posixpath
 from collections.abc import Callable
+from pathlib import Path
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decision_list, decontaminate, near_dup, quality_fm
+from . import bpe_fst, decision_list, decontaminate, near_dup, quality_fm
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -89,3 +91,10 @@ def _(spark: SparkSession, directory: str) -> DataFrame:
         "score",
         (F.col("score") >= quality_fm.THRESHOLD).cast("int").alias("predicted"),
     )
+
+
+@query("op3_bpe_transducer")
+def _(spark: SparkSession, directory: str) -> DataFrame:
+    ranks = Path(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")).read_bytes()
+    done = bpe_fst.round_trip(table(spark, directory, "documents"), ranks, public_tokenizers.PATTERN)
+    return done.withColumnRenamed("id", "doc_id")
