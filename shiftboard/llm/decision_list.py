@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from . import store
 from .labels import training_sample
 from .text_stats import COUNTS, counts, shares
+from .ship import map_arrow
 from .words import slices, text_bytes
 
 SHARES = list(shares({k: np.zeros(0) for k in COUNTS}))
@@ -143,7 +144,7 @@ def statistics(documents: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """Per document row: id, the counts and the shares of ``text_stats``."""
     texts = documents.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     schema = ", ".join(["id bigint", *(f"{c} bigint" for c in COUNTS), *(f"{s} double" for s in SHARES)])
-    return texts.mapInArrow(_rows, schema)
+    return map_arrow(texts, _rows, schema)
 
 
 def learn_rules(stats: DataFrame, labels: DataFrame, doc_id: str = "doc_id", label: str = "quality", most: int = MOST_SAMPLE) -> list[Rule]:

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from . import bloom, store
+from .ship import map_arrow
 from .words import Words, gram_bounds, grams, mix, signed, split_column
 
 WINDOWS = "array<struct<fp: bigint, size: int, window: string, starts: array<int>>>"
@@ -124,12 +125,12 @@ def contaminated_documents(
     """
     spark = documents.sparkSession
     out = f"id bigint, n_words bigint, spans {WINDOWS}"
-    sizes = _texts(benchmark, item_id, text).mapInArrow(window_rows("id", n, k, list(range(1, n)), None), out)
+    sizes = map_arrow(_texts(benchmark, item_id, text), window_rows("id", n, k, list(range(1, n)), None), out)
     items = store.keep(sizes.select("id", F.explode("spans").alias("s")).select("id", "s.fp", "s.size", "s.window"), "items")
     shorter = sorted(r[0] for r in items.select("size").distinct().collect() if r[0] < n)  # at most n - 1 values
     distinct = items.select("fp", "size", "window").distinct()
     wanted = bloom.build(distinct.select("fp"), F.col("fp"), distinct.count())
-    per_text = _texts(documents, doc_id, text).mapInArrow(window_rows("id", n, k, shorter, wanted), out)
+    per_text = map_arrow(_texts(documents, doc_id, text), window_rows("id", n, k, shorter, wanted), out)
     # a text without windows keeps one row, whose key no benchmark window has
     spans = per_text.select("id", "n_words", F.explode_outer("spans").alias("s"))
     spans = spans.select("id", "n_words", F.coalesce("s.fp", F.xxhash64("id")).alias("fp"), "s.size", "s.window", "s.starts")

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .labels import fold, training_sample
 from .text_stats import counts, shares
+from .ship import map_arrow
 from .words import slices, text_bytes
 
 WORDS = 2048
@@ -155,7 +156,7 @@ def train(
     """
     sample = F.broadcast(training_sample(labels, doc_id, label, most))
     rows = _inputs(documents, doc_id, text, size).join(sample, "id")
-    got = rows.mapInArrow(_feature_rows, "id bigint, label int, x array<float>").toArrow()
+    got = map_arrow(rows, _feature_rows, "id bigint, label int, x array<float>").toArrow()
     x = got.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, FEATURES)
     y = got.column("label").to_numpy().astype(np.float32)
     # a fixed order, whatever order the tasks ended in
@@ -166,7 +167,7 @@ def train(
 def score(documents: DataFrame, machine: Machine, *, doc_id: str = "doc_id", text: str = "text", size: str | None = "n_chars") -> DataFrame:
     """Per document row: id, score (0 to 1, higher is better)."""
     rows = _inputs(documents, doc_id, text, size)
-    return rows.mapInArrow(score_rows(machine, ["id"]), "id bigint, score double")
+    return map_arrow(rows, score_rows(machine, ["id"]), "id bigint, score double")
 
 
 def drop_low_quality(documents: DataFrame, machine: Machine, *, text: str = "text", size: str | None = "n_chars", threshold: float = THRESHOLD) -> DataFrame:
@@ -176,7 +177,7 @@ def drop_low_quality(documents: DataFrame, machine: Machine, *, text: str = "tex
     # the row travels as one struct, so no column name can clash
     rows = documents.select(F.struct("*").alias("row"), F.col(text).cast("string").alias("text"), stated.alias("stated"))
     kind = documents.schema.simpleString()
-    scored = rows.mapInArrow(score_rows(machine, ["row"]), f"row {kind}, score double")
+    scored = map_arrow(rows, score_rows(machine, ["row"]), f"row {kind}, score double")
     return scored.filter(F.col("score") >= threshold).select("row.*")
 
 
