@@ -9,7 +9,7 @@ from pathlib import Path
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe_fst, decision_list, decontaminate, near_dup, quality_fm
+from . import bpe_fst, decision_list, decontaminate, license_scan, line_dedup, near_dup, quality_fm, shard_tree, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -98,3 +98,64 @@ def _(spark: SparkSession, directory: str) -> DataFrame:
     ranks = Path(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")).read_bytes()
     done = bpe_fst.round_trip(table(spark, directory, "documents"), ranks, public_tokenizers.PATTERN)
     return done.withColumnRenamed("id", "doc_id")
+
+
+@query("op6_hash_tree_sharding")
+def _(spark: SparkSession, directory: str) -> DataFrame:
+    placed = shard_tree.assign(table(spark, directory, "documents"), 24)
+    return placed.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+#: fixed values: the rules of the check
+RULES = [
+    url_filter.Rule("net", "/", "block"),
+    url_filter.Rule("example.net", "/en/", "allow"),
+    url_filter.Rule("example.com", "/de/", "block"),
+    url_filter.Rule("org", "/fr/", "allow"),
+]
+
+
+@query(
+    "op10_url_redirect_equivalence",
+    r"""WITH RECURSIVE rules(h, p, v) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+    read AS (SELECT page_id, html, url, translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)([^?#]*)([^#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)([^?#]*)([^#]*)', 2, 's') AS path,
+        regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)([^?#]*)([^#]*)', 3, 's') AS query FROM pages),
+    tags AS (SELECT host, path, '://' || host || path || query AS key, unnest(regexp_extract_all(html, '<(?:link|meta)\b[^>]*>', 0, 'is')) AS t FROM read WHERE url LIKE '%://%'),
+    link AS (SELECT key, host, path, CASE WHEN regexp_matches(t, '\brel\s*=\s*["'']?canonical\b', 'i') THEN regexp_extract(t, '\bhref\s*=\s*["'']?([^"''\s>]+)', 1, 'i')
+        WHEN regexp_matches(t, '\bhttp-equiv\s*=\s*["'']?refresh\b', 'i') THEN regexp_extract(t, '\bcontent\s*=\s*["'']?[^>]*?\burl\s*=\s*''?([^"''\s>]+)', 1, 'i') END AS l FROM tags),
+    target AS (SELECT key, CASE WHEN regexp_matches(l, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN l WHEN l LIKE '//%' THEN ':' || l WHEN l LIKE '/%' THEN '://' || host || l
+        ELSE '://' || host || CASE WHEN path = '' THEN '/' ELSE regexp_extract(path, '^(.*/)', 1, 's') END || l END AS t FROM link WHERE l <> ''),
+    edge AS (SELECT key AS a, '://' || translate(regexp_extract(t, '^.*?://([^/?#]*)([^?#]*)([^#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
+        || regexp_extract(t, '^.*?://([^/?#]*)([^?#]*)([^#]*)', 2, 's') || regexp_extract(t, '^.*?://([^/?#]*)([^?#]*)([^#]*)', 3, 's') AS b FROM target),
+    both_ways AS (SELECT a, b FROM edge UNION SELECT b, a FROM edge),
+    reach(a, b) AS (SELECT a, a FROM both_ways UNION SELECT r.a, e.b FROM reach r JOIN both_ways e ON r.b = e.a),
+    judged AS (SELECT a, b, regexp_extract(b, '^.*?://([^/?#]*)([^?#]*)([^#]*)', 1, 's') AS host, regexp_extract(b, '^.*?://([^/?#]*)([^?#]*)([^#]*)', 2, 's') AS path FROM reach),
+    alias AS (SELECT DISTINCT a FROM (SELECT a, b, arg_max(v, length(h || p)) AS v FROM judged JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY a, b) WHERE v = 'block'),
+    own AS (SELECT page_id, url, host, path, arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS v FROM read LEFT JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY ALL)
+    SELECT own.page_id, own.host, own.path, rule, coalesce(v, CASE WHEN a IS NOT NULL THEN 'block' END, 'allow') AS verdict
+    FROM own JOIN read USING (page_id) LEFT JOIN alias ON a = '://' || read.host || read.path || read.query AND read.url LIKE '%://%'""",
+)
+def _(spark: SparkSession, directory: str) -> DataFrame:
+    judged = url_filter.judge(table(spark, directory, "pages"), RULES)
+    return judged.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict")
+
+
+@query("op9_license_positional_index")
+def _(spark: SparkSession, directory: str) -> DataFrame:
+    found = license_scan.scan(table(spark, directory, "documents"))
+    counts = ["n_words", "n_base", "first_word", "last_word"]
+    joined = [F.array_join(c, ",").alias(c) for c in ("base_labels", "labels")]
+    return found.select(F.col("id").alias("doc_id"), *counts, *joined, "score")
+
+
+@query("op7_line_deletion_neighbourhood")
+def _(spark: SparkSession, directory: str) -> DataFrame:
+    documents = table(spark, directory, "documents")
+    return line_digest(line_dedup.dedup_lines(documents))
+
+
+def line_digest(kept: DataFrame) -> DataFrame:
+    lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n")))
+    digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    return kept.select("doc_id", lines.cast("long").alias("n_lines"), digest.alias("text_sha256"))
