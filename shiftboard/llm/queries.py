@@ -9,7 +9,8 @@ from pathlib import Path
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe_fst, decision_list, decontaminate, license_scan, line_dedup, near_dup, quality_fm, shard_tree, url_filter
+from ..session import scratch_path
+from . import bpe_fst, decision_list, decontaminate, license_scan, line_dedup, near_dup, quality_fm, shard_tree, token_files, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -159,3 +160,11 @@ def line_digest(kept: DataFrame) -> DataFrame:
     lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n")))
     digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
     return kept.select("doc_id", lines.cast("long").alias("n_lines"), digest.alias("text_sha256"))
+
+
+@query("op4_range_coded_token_files")
+def _(spark: SparkSession, directory: str) -> DataFrame:
+    tokenizer = Path(public_tokenizers.path("byte_bpe_50k.json")).read_text()
+    path = scratch_path(spark, "tokens")
+    token_files.write(table(spark, directory, "documents"), path, tokenizer, pattern=public_tokenizers.PATTERN)
+    return token_files.read_documents(spark, path).withColumnRenamed("id", "doc_id")
