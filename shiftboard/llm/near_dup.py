@@ -7,8 +7,8 @@ the collision probability of every bin equal to the Jaccard similarity.  Bands o
 Documents with equal shingle sets are one class from the start, so copies meet as one row.
 Within a bucket only a star of candidate edges is made, from its most connected member to the others: a
 bucket of m members costs m - 1 pairs.  Every edge is confirmed on the full shingle sets.  Buckets
-whose members do not all end up in one component are gone through again around their next
-hubs, until a round confirms nothing new; so a copy that resembles only an outlying member of a group is still found.
+whose members do not all end up in one component go another round, around a member of their smallest
+component, until a round links nothing new.  Rounds have no fixed number; each costs at most one pair per bucket entry.
 
 Defined results: null, empty or wordless texts have an empty set, link with nothing and are kept; a
 text of fewer words than a shingle is one shingle; rows that share a document id are
@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import bloom, store
 from .components import smallest_reachable
+from .ship import map_arrow
 from .words import Words, grams, mix, signed, split_column
 
 BINS = 128
@@ -124,12 +125,12 @@ def id_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The (hub, rep) pairs whose full sets are at least ``percent`` per cent similar."""
+    """The (hub, rep, ...) edges whose full sets are at least ``percent`` per cent similar."""
     of_rep = edges.join(sets, "rep").withColumnRenamed("shingles", "mine")
     both = of_rep.join(sets.select(F.col("rep").alias("hub"), "shingles"), "hub")
     common = F.size(F.array_intersect("mine", "shingles"))
     union = F.size("mine") + F.size("shingles") - common
-    return both.filter(100 * common >= percent * union).select("hub", "rep")
+    return both.filter(100 * common >= percent * union).drop("mine", "shingles")
 
 
 def near_duplicates(
@@ -146,7 +147,7 @@ def near_duplicates(
     spark = documents.sparkSession
     texts = documents.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     sketches = store.keep(
-        texts.mapInArrow(sketch_rows(shingle, lower, rows), "id bigint, n bigint, one bigint, two bigint, keys array<bigint>"),
+        map_arrow(texts, sketch_rows(shingle, lower, rows), "id bigint, n bigint, one bigint, two bigint, keys array<bigint>"),
         "sketches",
     )
     linked = sketches.filter("id is not null and n > 0")
@@ -159,41 +160,34 @@ def near_duplicates(
     members = store.keep(entries.join(shared, "key"), "buckets")
     weight = members.groupBy("rep").agg(F.sum("size").alias("weight"))
     n_reps = weight.count()
-    wanted = bloom.build(weight.select("rep").mapInArrow(id_hashes, "key bigint"), F.col("key"), n_reps)
-    sets = texts.mapInArrow(set_rows(shingle, lower, wanted), "rep bigint, shingles array<bigint>")
+    wanted = bloom.build(map_arrow(weight.select("rep"), id_hashes, "key bigint"), F.col("key"), n_reps)
+    sets = map_arrow(texts, set_rows(shingle, lower, wanted), "rep bigint, shingles array<bigint>")
     sets = store.keep(sets, "sets")
-    open_ = members.join(weight, "rep").select("key", "rep", "n", "weight")
-    checked = links = components = None
-    while n_reps:
-        hub = open_.groupBy("key").agg(
-            F.max_by(F.struct("rep", "n"), F.struct("weight", (-F.col("rep")).alias("low"))).alias("hub")
-        )
-        star = open_.join(hub, "key").filter("rep <> hub.rep")
+    # a node's component so far; larger ones give way as hubs to members of the smallest
+    nodes = members.select("rep", "n").distinct().join(weight, "rep").withColumn("component", F.col("rep"))
+    nodes = store.keep(nodes, "nodes")
+    open_ = members.select("key", "rep")
+    while not open_.isEmpty():
+        sizes = nodes.groupBy("component").agg((-F.count("*")).alias("first"))
+        placed = open_.join(nodes.join(sizes, "component"), "rep")
+        order = F.struct("first", "weight", (-F.col("rep")).alias("low"))
+        hub = placed.groupBy("key").agg(F.max_by(F.struct("rep", "n", "component"), order).alias("hub"))
+        star = placed.join(hub, "key").filter("component <> hub.component")
         likely = star.filter(100 * F.least("n", "hub.n") >= percent * F.greatest("n", "hub.n"))
-        edges = likely.select(F.col("hub.rep").alias("hub"), "rep").distinct()
-        if checked is not None:
-            edges = edges.join(checked, ["hub", "rep"], "left_anti")
-        edges = store.keep(edges, "candidates")
-        new = store.keep(confirmed(edges, sets, percent), "links")
+        edges = likely.select("rep", F.col("hub.rep").alias("hub"), "component", F.col("hub.component").alias("other"))
+        new = store.keep(confirmed(edges.distinct(), sets, percent).select("component", "other"), "links")
         if new.isEmpty():
             break
-        checked = edges if checked is None else checked.unionByName(edges)
-        links = new if links is None else links.unionByName(new)
-        components = store.keep(smallest_reachable(links, "hub", "rep"), "components")
-        # buckets whose other members are still apart go another round, around the next hub
-        rest = star.select("key", "rep", "n", "weight").join(components, F.col("rep") == F.col("node"), "left")
-        rest = rest.withColumn("component", F.coalesce("component", "rep")).drop("node")
+        merged = smallest_reachable(new, "component", "other").select(F.col("node").alias("component"), F.col("component").alias("into"))
+        moved = nodes.join(merged, "component", "left").withColumn("component", F.coalesce("into", "component")).drop("into")
+        nodes = store.keep(moved, "nodes")
+        # buckets whose other members are still apart go another round
+        rest = placed.select("key", "rep").join(hub.select("key", F.col("hub.rep").alias("hub")), "key").filter("rep <> hub")
+        rest = rest.select("key", "rep").join(nodes.select("rep", "component"), "rep")
         apart = rest.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-        apart = apart.filter("low <> high").select("key")
-        open_ = store.keep(rest.join(apart, "key").select("key", "rep", "n", "weight"), "open")
-        if open_.isEmpty():
-            break
-    found = reps.select(*same, "rep")
-    if components is not None:
-        found = found.join(components, F.col("rep") == F.col("node"), "left")
-        found = found.withColumn("component", F.coalesce("component", "rep"))
-    else:
-        found = found.withColumn("component", F.col("rep"))
+        open_ = store.keep(rest.select("key", "rep").join(apart.filter("low <> high").select("key"), "key"), "open")
+    found = reps.select(*same, "rep").join(nodes.select("rep", "component"), "rep", "left")
+    found = found.withColumn("component", F.coalesce("component", "rep"))
     alone = sketches.filter("id is null or n = 0").select("id", "n", F.col("id").alias("component"))
     out = linked.join(found.select(*same, "component"), same).select("id", "n", "component").unionByName(alone)
     return out.select(
