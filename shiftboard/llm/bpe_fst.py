@@ -25,7 +25,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-MOST_STATES = 200_000
+from .ship import map_arrow
+
+MOST_STATES = 400_000
 MOST_PAIRS = 500_000
 MOST_PIECES = 150_000  # remembered matches of each of two generations
 LONGEST_PIECE = 64  # characters of a match worth remembering
@@ -86,12 +88,17 @@ class Transducer:
 
     def merges(self, piece: bytes) -> list[bytes]:
         """BPE of a few bytes by its definition: join the neighbours of lowest rank, leftmost first."""
+        none, rank = 1 << 30, self.ranks.get
         parts = [piece[i : i + 1] for i in range(len(piece))]
-        while len(parts) > 1:
-            rank, at = min((self.ranks.get(a + b, 1 << 30), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
-            if rank == 1 << 30:
-                break
+        ranks = [rank(a + b, none) for a, b in zip(parts, parts[1:])]
+        while ranks and (least := min(ranks)) < none:
+            at = ranks.index(least)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del ranks[at]
+            if at:
+                ranks[at - 1] = rank(parts[at - 1] + parts[at], none)
+            if at < len(ranks):
+                ranks[at] = rank(parts[at] + parts[at + 1], none)
         return parts
 
     def stands(self, left: int, right: int) -> bool:
@@ -276,7 +283,7 @@ def encode(documents: DataFrame, ranks: bytes, pattern: str, *, doc_id: str = "d
                 yield pa.RecordBatch.from_arrays([part.column("id"), sizes, pa.array(ids, pa.binary())], ["id", "n_tokens", "ids"])
 
     kind = documents.schema[doc_id].dataType.simpleString()
-    return _texts(documents, doc_id, text).mapInArrow(step, f"id {kind}, n_tokens bigint, ids binary")
+    return map_arrow(_texts(documents, doc_id, text), step, f"id {kind}, n_tokens bigint, ids binary")
 
 
 def decode(encoded: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
@@ -292,7 +299,7 @@ def decode(encoded: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(texts, pa.string())], ["id", "text"])
 
     kind = encoded.schema["id"].dataType.simpleString()
-    return encoded.select("id", "ids").mapInArrow(step, f"id {kind}, text string")
+    return map_arrow(encoded.select("id", "ids"), step, f"id {kind}, text string")
 
 
 def round_trip(documents: DataFrame, ranks: bytes, pattern: str, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -315,4 +322,4 @@ def round_trip(documents: DataFrame, ranks: bytes, pattern: str, *, doc_id: str
                 yield pa.RecordBatch.from_arrays(columns, ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = documents.schema[doc_id].dataType.simpleString()
-    return _texts(documents, doc_id, text).mapInArrow(step, f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return map_arrow(_texts(documents, doc_id, text), step, f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
