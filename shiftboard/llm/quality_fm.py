@@ -20,6 +20,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .labels import fold, training_sample
 from .text_stats import counts, shares
@@ -176,8 +177,8 @@ def drop_low_quality(documents: DataFrame, machine: Machine, *, text: str = "tex
     stated = F.col(size).cast("double") if size and size in names else F.lit(None).cast("double")
     # the row travels as one struct, so no column name can clash
     rows = documents.select(F.struct("*").alias("row"), F.col(text).cast("string").alias("text"), stated.alias("stated"))
-    kind = documents.schema.simpleString()
-    scored = map_arrow(rows, score_rows(machine, ["row"]), f"row {kind}, score double")
+    schema = StructType([rows.schema["row"], StructField("score", DoubleType())])
+    scored = map_arrow(rows, score_rows(machine, ["row"]), schema)
     return scored.filter(F.col("score") >= threshold).select("row.*")
 
 

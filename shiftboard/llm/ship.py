@@ -8,6 +8,7 @@ import zipfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 PACKAGE = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
@@ -32,7 +33,7 @@ def package(spark: SparkSession) -> None:
     sc._text_package_sent = True
 
 
-def map_arrow(d: DataFrame, step: Callable, schema: str) -> DataFrame:
+def map_arrow(d: DataFrame, step: Callable, schema: str | StructType) -> DataFrame:
     """``mapInArrow`` with this package at hand on every executor."""
     package(d.sparkSession)
     return d.mapInArrow(step, schema)
