@@ -22,9 +22,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, functions as F
 
+from .pieces import Splitter
 from .ship import map_arrow
 
 MOST_STATES = 400_000
@@ -180,7 +180,7 @@ class Tokenizer:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.machine = Transducer(ranks)
-        self.pattern = regex.compile(pattern)
+        self.pieces = Splitter(pattern)
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -198,7 +198,7 @@ class Tokenizer:
 
     def ids(self, text: str) -> bytes:
         """Token ids as little-endian 32-bit integers."""
-        pieces = self.pattern.findall(text)
+        pieces = self.pieces.split(text)
         parts = list(map(self.known.get, pieces))
         if None in parts:
             for i, x in enumerate(parts):
