@@ -5,41 +5,61 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from typing import Any
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-#: A pivot is a table header; more levels than this belongs in long form.
-MAX_LEVELS = 1000
 
+def _listed(d: DataFrame, c: str) -> list[Any]:
+    """Distinct values, sorted: they become columns, so Spark's own limit for pivots holds."""
+    most = int(d.sparkSession.conf.get("spark.sql.pivotMaxValues"))
+    found = d.filter(F.col(c).isNotNull()).select(c).distinct().limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"{c} has more than {most} values (spark.sql.pivotMaxValues); keep it long")
+    return sorted(r[0] for r in found)
 
-def _check_levels(levels: Sequence[Any]) -> list[Any]:
-    if len(levels) > MAX_LEVELS:
-        raise ValueError(f"{len(levels)} pivot columns; at most {MAX_LEVELS}")
-    return list(levels)
+
+def _within(names: str, levels: Sequence[Any], drop_other: bool) -> Column:
+    """The pivot column; a value outside ``levels`` raises while running, or is NULL."""
+    c = F.col(names)
+    other = F.lit(None) if drop_other else F.raise_error(F.concat(F.lit(f"{names} is not a declared level: "), c.cast("string")))
+    return F.when(c.isin(*levels) | c.isNull(), c).otherwise(other) if levels else F.when(c.isNull(), c).otherwise(other)
 
 
 def pivot_wide_sum(
-    d: DataFrame, ids: Sequence[str], names: str, values: str, levels: Sequence[Any], fill: float = 0
+    d: DataFrame,
+    ids: Sequence[str],
+    names: str,
+    values: str,
+    levels: Sequence[Any] | None = None,
+    fill: float = 0,
+    drop_other: bool = False,
 ) -> DataFrame:
     """Long to wide: repeats summed, absent cells filled, columns in ``levels`` order.
 
-    The declared levels fix the schema and spare the job that would list them.
+    Without ``levels`` every value found becomes a column, sorted.  Declared levels fix the schema and
+    spare the job that lists them; a value outside them raises, unless ``drop_other`` leaves it out.
     """
-    levels = _check_levels(levels)
     rows = d.filter(F.col(values).isNotNull() & F.col(names).isNotNull())
-    wide = rows.groupBy(*ids).pivot(names, levels).agg(F.sum(values))
+    if levels is None:
+        levels = _listed(rows, names)
+    else:
+        rows = rows.withColumn(names, _within(names, levels, drop_other)).filter(F.col(names).isNotNull())
+    wide = rows.groupBy(*ids).pivot(names, list(levels)).agg(F.sum(values))
     return wide.na.fill(fill, subset=[str(x) for x in levels])
 
 
 def pivot_wide_plain(
-    d: DataFrame, ids: Sequence[str], names: str, values: str, levels: Sequence[Any]
+    d: DataFrame, ids: Sequence[str], names: str, values: str, levels: Sequence[Any] | None = None, drop_other: bool = False
 ) -> DataFrame:
-    """Long to wide without fill; a cell given twice raises while running."""
-    levels = _check_levels(levels)
+    """Long to wide without fill; a cell given twice raises while running.  ``levels`` as in ``pivot_wide_sum``."""
+    if levels is None:
+        levels = _listed(d, names)
+    else:
+        d = d.withColumn(names, _within(names, levels, drop_other))
     once = F.when(F.count("*") <= 1, F.max(values)).otherwise(
         F.raise_error(F.lit("more than one row for a pivot cell")).cast(d.schema[values].dataType)
     )
     cells = d.groupBy(*ids, names).agg(once.alias(values))
-    return cells.groupBy(*ids).pivot(names, levels).agg(F.first(values))
+    return cells.groupBy(*ids).pivot(names, list(levels)).agg(F.first(values))
 
 
 def melt_long(d: DataFrame, ids: Sequence[str], values: Sequence[str], var: str, val: str) -> DataFrame:
@@ -76,22 +96,22 @@ def melt_group_count(d: DataFrame, ids: Sequence[str], values: Sequence[str]) ->
 
 
 def nested_explode(d: DataFrame, c: str, depth: int = 1, name: str = "item") -> DataFrame:
-    """One row per innermost element of ``depth`` levels of arrays."""
+    """One row per innermost element of ``depth`` levels of arrays; one generator for all levels."""
     rest = [x for x in d.columns if x != c]
-    for _ in range(depth):
-        d, c = d.select(*rest, F.explode(c).alias(name)), name
-    return d
+    inner = F.col(c)
+    for _ in range(depth - 1):
+        inner = F.flatten(F.filter(inner, lambda x: x.isNotNull()))
+    return d.select(*rest, F.explode(inner).alias(name))
 
 
-def one_hot(
-    d: DataFrame, c: str, levels: Sequence[Any] | None = None, prefix: str = "", most: int = MAX_LEVELS
-) -> DataFrame:
-    """A 0/1 column per category.  Without ``levels`` they are listed first, ``most`` at the utmost."""
-    if levels is None:
-        found = d.filter(F.col(c).isNotNull()).select(c).distinct().limit(most + 1).collect()
-        if len(found) > most:
-            raise ValueError(f"{c} has more than {most} categories")
-        levels = sorted(r[0] for r in found)
+def one_hot(d: DataFrame, c: str, levels: Sequence[Any] | None = None, prefix: str = "") -> DataFrame:
+    """A 0/1 column per category.  Without ``levels`` they are listed first; wide categories belong in ``one_hot_long``."""
+    levels = _listed(d, c) if levels is None else levels
     return d.withColumns(
         {f"{prefix}{x}": F.coalesce((F.col(c) == F.lit(x)).cast("int"), F.lit(0)) for x in levels}
     )
+
+
+def one_hot_long(d: DataFrame, c: str, ids: Sequence[str]) -> DataFrame:
+    """``(ids…, category, value 1)`` rows: the cells of ``one_hot`` that are not 0, for any number of categories."""
+    return d.filter(F.col(c).isNotNull()).select(*ids, F.col(c).alias("category"), F.lit(1).alias("value"))

@@ -40,7 +40,8 @@ DATED = {
 
 @dataclass(frozen=True)
 class WeeklySitesConfig:
-    weeks: Sequence[int]
+    #: week columns; without them every week found in an extract becomes one
+    weeks: Sequence[int] | None = None
     site: str = "SITE_A"
 
 
@@ -54,19 +55,21 @@ def _dated(d: DataFrame, column: str, sep: str) -> DataFrame:
     )
 
 
-def report_weekly_site_bundle(tables: Mapping[str, DataFrame], config: WeeklySitesConfig) -> Bundle:
+def report_weekly_site_bundle(
+    tables: Mapping[str, DataFrame], config: WeeklySitesConfig = WeeklySitesConfig()
+) -> Bundle:
     """Per metric ``*_dashboard``, ``*_wide`` and ``*_total``; root-cause sums; one site by week.
 
     ``tables``: ``metric_a`` … ``metric_d``, ``root_cause``, with columns in
-    extract order.  Week columns follow ``config.weeks`` in numeric order.
+    extract order.  Week columns are in numeric order; a week outside declared ``config.weeks`` raises.
     """
-    weeks = sorted(config.weeks)
+    weeks = None if config.weeks is None else sorted(config.weeks)
     named = {k: positional_header(tables[k], header) for k, header in HEADERS.items()}
     out: dict[str, DataFrame] = {}
 
     rate = named["metric_a"].withColumn("week", F.col("week").cast("int"))
-    whole = {str(w): fmt_number(F.col(str(w)), "share", 0) for w in weeks}
     wide = pivot_wide_plain(rate, ["site", "region"], "week", "metric_a_rate", weeks).drop("region")
+    whole = {w: fmt_number(F.col(w), "share", 0) for w in wide.columns if w != "site"}
     out["metric_a_dashboard"] = rate.withColumn("metric_a_rate", fmt_number("metric_a_rate", "share", 0))
     out["metric_a_wide"] = wide.withColumns(whole)
     out["metric_a_total"] = rate.groupBy("site").agg(
