@@ -123,16 +123,25 @@ def _(t: Tables) -> DataFrame:
     return read.withColumn("close_time", F.date_format("close_time", "yyyy-MM-dd HH:mm"))
 
 
-@query("ohlc_incremental", HOURLY.replace("date_trunc('hour', ts) AS close_time", "strftime(ts, '%Y-%m-%d %H:00') AS close_time"))
+RESTATED = HOURLY.replace("date_trunc('hour', ts) AS close_time", "strftime(ts, '%Y-%m-%d %H:00') AS close_time").replace(
+    "round(sum(value), 4)", "round(sum(value), 4) + CASE WHEN min(ts) >= TIMESTAMP '2024-01-13' THEN 1 ELSE 0 END"
+)
+
+
+@query("ohlc_incremental", RESTATED)
 def _(t: Tables) -> DataFrame:
     base = scratch_path(t.spark, "bars")
-    landing, sink, progress = (posixpath.join(base, x) for x in ("landing", "sink", "progress"))
-    all_bars = payloads(hourly(t))
-    # two landings that overlap by a week; the second also repeats in full
-    for keep in (F.col("day") <= "2024-01-20", F.col("day") >= "2024-01-13"):
-        all_bars.filter(keep).select("value").write.mode("append").json(landing)
-        ohlc_incremental(t.spark, landing, "value string", progress, sink).awaitTermination()
-    read = t.spark.read.parquet(sink).drop("day")
+    landing, sink, progress, rejects = (posixpath.join(base, x) for x in ("landing", "sink", "progress", "rejects"))
+    first = hourly(t)
+    # two landings that overlap by a week; the second restates its bars and brings an error and a bad number
+    second = first.withColumn("volume", F.col("volume") + 1).filter(F.col("close_time") >= "2024-01-13")
+    bad = t.spark.range(1).select(
+        F.explode(F.array(F.lit('{"error":["EService:Busy"]}'), F.lit('{"error":[],"result":{"X":[["oops"]],"last":"1"}}'))).alias("value")
+    )
+    for landed in (payloads(first.filter(F.col("close_time") < "2024-01-21")), payloads(second).select("value").unionByName(bad)):
+        landed.select("value").write.mode("append").json(landing)
+        ohlc_incremental(t.spark, landing, "value string", progress, sink, rejects).awaitTermination()
+    read = t.spark.read.parquet(sink).drop("day", "landed_at")
     return read.withColumn("close_time", F.date_format("close_time", "yyyy-MM-dd HH:mm"))
 
 

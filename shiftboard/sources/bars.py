@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -33,20 +33,42 @@ def _read(d: DataFrame, json_col: str) -> DataFrame:
     return parsed.withColumn("__pairs", pairs).withColumn("__reason", reason)
 
 
-def ohlc_ingest(d: DataFrame, json_col: str) -> DataFrame:
-    """Typed bars ``(pair, close_time, open, high, low, close, volume)`` of good payloads."""
+NUMBERS = ("open", "high", "low", "close", "volume")
+
+
+def _bars(d: DataFrame, json_col: str, keep: Sequence[str]) -> DataFrame:
+    """One row per landed bar of readable payloads: its texts, typed values and what is wrong with it."""
     good = _read(d, json_col).filter(F.col("__reason").isNull())
-    per_pair = good.select(F.explode("__pairs").alias("pair", "__bars"))
-    bars = per_pair.select("pair", F.explode(F.from_json("__bars", "array<array<string>>")).alias("b"))
-    field = {name: F.col("b")[i] for i, name in enumerate(BAR)}
-    return bars.select(
-        "pair",
-        F.timestamp_seconds(field["close_time"].cast("bigint")).alias("close_time"),
-        *[field[n].cast("double").alias(n) for n in ("open", "high", "low", "close", "volume")],
+    per_pair = good.select(*keep, F.explode("__pairs").alias("pair", "__bars"))
+    lists = per_pair.withColumn("__list", F.from_json("__bars", "array<array<string>>"))
+    # a list that cannot be read stays as one row
+    bars = lists.select(*keep, "pair", "__bars", F.col("__list").isNull().alias("__broken"), F.explode_outer("__list").alias("b"))
+    field = {name: F.get("b", F.lit(i)) for i, name in enumerate(BAR)}
+    typed = bars.withColumns(
+        {"close_time": F.timestamp_seconds(field["close_time"].try_cast("bigint"))}
+        | {n: field[n].try_cast("double") for n in NUMBERS}
+    )
+    unread = [F.when(F.col(n).isNull(), F.lit(n)) for n in ("close_time", *NUMBERS)]
+    wrong = F.array_compact(F.array(*unread))
+    reason = F.when(F.col("__broken"), "unreadable bars").when(
+        F.col("b").isNotNull() & (F.size(wrong) > 0), F.concat(F.lit("unreadable "), F.array_join(wrong, ", "))
     )
+    return typed.withColumn("__reason", reason).filter(F.col("b").isNotNull() | F.col("__broken"))
+
+
+def ohlc_ingest(d: DataFrame, json_col: str, keep: Sequence[str] = ()) -> DataFrame:
+    """Typed bars ``(keep…, pair, close_time, open, high, low, close, volume)`` of good payloads.
+
+    A bar with an unreadable field, and a list that cannot be read, go to ``ohlc_rejects`` and stop nothing.
+    """
+    good = _bars(d, json_col, keep).filter(F.col("__reason").isNull())
+    return good.select(*keep, "pair", "close_time", *NUMBERS)
 
 
 def ohlc_rejects(d: DataFrame, json_col: str) -> DataFrame:
-    """Payloads that carry an error or no pair, with the reason."""
-    bad = _read(d, json_col).filter(F.col("__reason").isNotNull())
-    return bad.select(*d.columns, F.col("__reason").alias("reason"))
+    """What gives no bar, with the reason: payloads with an error or no pair, unreadable lists and bars."""
+    payloads = _read(d, json_col).filter(F.col("__reason").isNotNull())
+    payloads = payloads.select(*d.columns, F.lit(None).cast("string").alias("pair"), F.lit(None).cast("string").alias("bar"), F.col("__reason").alias("reason"))
+    bars = _bars(d, json_col, d.columns).filter(F.col("__reason").isNotNull())
+    text = F.coalesce(F.to_json("b"), F.col("__bars"))
+    return payloads.unionByName(bars.select(*d.columns, "pair", text.alias("bar"), F.col("__reason").alias("reason")))

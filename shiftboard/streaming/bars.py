@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import posixpath
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from ..sources.bars import ohlc_ingest
+from ..session import pin
+from ..sources.bars import NUMBERS, ohlc_ingest, ohlc_rejects
 
 KEY = ("pair", "close_time")
+LANDED = "landed_at"
 
 
 def _held(spark: SparkSession, schema: StructType, sink: str) -> DataFrame | None:
@@ -22,19 +26,36 @@ def _held(spark: SparkSession, schema: StructType, sink: str) -> DataFrame | Non
         return None
 
 
-def append_new_bars(batch: DataFrame, sink: str) -> None:
-    """Append the batch's bars that the sink does not hold, by ``KEY``.
+def newest(bars: DataFrame) -> DataFrame:
+    """One row per ``KEY``: the one that landed last, by its values on a tie."""
+    rest = [c for c in bars.columns if c not in KEY]
+    row = F.struct(LANDED, *[c for c in rest if c != LANDED])
+    return bars.groupBy(*KEY).agg(F.max(row).alias("row")).select(*KEY, *[F.col(f"row.{c}").alias(c) for c in rest])
+
+
+def days_of_sink(spark: SparkSession, fresh: DataFrame, sink: str) -> DataFrame | None:
+    """The sink's rows of the batch's days, which are literals, so no other partition is read."""
+    held = _held(spark, fresh.schema, sink)
+    if held is None:
+        return None
+    days = [r[0] for r in fresh.select("day").distinct().collect()]  # as many as a batch spans
+    return held.filter(F.col("day").isin(days))
+
+
+def merge_bars(batch: DataFrame, sink: str) -> None:
+    """Put the batch's bars into the sink; the version that landed last stays.
 
-    The sink is partitioned by day and only the batch's days are read.  A batch
-    repeated after a failure finds its rows present and adds none.
+    The sink is partitioned by day.  The batch's days are read, merged and written anew; a batch repeated after a
+    failure gives the same rows.
     """
     spark = batch.sparkSession
-    fresh = batch.dropDuplicates(list(KEY)).withColumn("day", F.to_date("close_time"))
-    held = _held(spark, fresh.schema, sink)
-    if held is not None:
-        fresh = fresh.join(held.select("day", *KEY), ["day", *KEY], "left_anti")
-    # gathers small days into few files and splits a large one
-    fresh.hint("rebalance", "day").write.mode("append").partitionBy("day").parquet(sink)
+    fresh = batch.withColumn("day", F.to_date("close_time"))
+    held = days_of_sink(spark, fresh, sink)
+    merged = fresh if held is None else fresh.unionByName(held)
+    # stored first: the days that are written are also read
+    rows = pin(newest(merged)).hint("rebalance", "day")
+    writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("day").parquet(sink)
 
 
 def ohlc_incremental(
@@ -43,26 +64,22 @@ def ohlc_incremental(
     schema: StructType | str,
     checkpoint: str,
     sink: str,
-    watermark: str | None = None,
+    rejects: str | None = None,
     json_col: str = "value",
 ) -> StreamingQuery:
-    """Pick up newly landed payload files, drop repeated bars, append; then stop.
+    """Pick up newly landed payload files, merge their bars into ``sink``; then stop.
 
-    By default repeats are dropped against the sink, however late they come, and
-    no bar is lost.  ``watermark`` (e.g. ``"1 day"``) keeps the keys of that span
-    as streaming state instead and never reads the sink; bars later than that are
-    dropped.
+    A bar pulled again replaces the earlier version, however late it comes.  Payloads, lists and bars that give no
+    bar go to ``rejects`` (one folder per batch, so a repeated batch adds none), with the reason.
     """
     landed = spark.readStream.schema(schema).json(landing)
-    bars = ohlc_ingest(landed, json_col)
-    if watermark:
-        once = bars.withWatermark("close_time", watermark).dropDuplicatesWithinWatermark(list(KEY))
-        writer = (
-            once.withColumn("day", F.to_date("close_time"))
-            .writeStream.format("parquet")
-            .partitionBy("day")
-            .option("path", sink)
-        )
-    else:
-        writer = bars.writeStream.foreachBatch(lambda batch, _: append_new_bars(batch, sink))
+    landed = landed.select("*", F.col("_metadata.file_modification_time").alias(LANDED))
+
+    def load(batch: DataFrame, number: int) -> None:
+        batch = batch.select(F.col(json_col), LANDED)
+        merge_bars(ohlc_ingest(batch, json_col, [LANDED]).select(*KEY, *NUMBERS, LANDED), sink)
+        if rejects is not None:
+            ohlc_rejects(batch, json_col).write.mode("overwrite").parquet(posixpath.join(rejects, f"batch={number}"))
+
+    writer = landed.writeStream.foreachBatch(load)
     return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -100,8 +100,47 @@ def test_pair_names(rows):
     assert [r[0] for r in d.select(bars.pair_name("s")).collect()] == ["XBTUSD", "ETHUSD", "LTCUSD"]
 
 
-@pytest.mark.parametrize("watermark", [None, "1 day"])
-def test_incremental_equals_batch(spark, tmp_path, watermark):
+def test_ingest_skips_what_it_cannot_read(rows):
+    bad = json.dumps({"error": [], "result": {"P": [["3600", "oops", "2", "1", "1.75", "1.6", "10", 3], ["7200", "1", "2", "1", "1.75", "1.6", "10", 3]]}})
+    broken = json.dumps({"error": [], "result": {"Q": "no list", "P": [["x"]]}})
+    d = rows([(bad,), (broken,)], "value string")
+    assert as_set(bars.ohlc_ingest(d, "value"), F.unix_seconds("close_time"), "open") == [(7200, 1.0)]
+    assert sorted((r.pair, r.reason) for r in bars.ohlc_rejects(d, "value").collect()) == [
+        ("P", "unreadable close_time, open, high, low, close, volume"), ("P", "unreadable open"), ("Q", "unreadable bars"),
+    ]
+
+
+def test_newest_version_wins(spark, tmp_path):
+    landing, sink, progress, rejects = (str(tmp_path / n) for n in ("landing", "sink", "progress", "rejects"))
+    (tmp_path / "landing").mkdir()
+    for number, price in enumerate(("495.0", "495.5")):
+        rows = [["3600", price, "2", "1", "1.75", "1.6", "10", 3], ["90000", "7", "2", "1", "1.75", "1.6", price if number == 0 else "oops", 3]]
+        body = json.dumps({"error": [], "result": {"P": rows}})
+        failed = json.dumps({"error": ["EGeneral:Internal error"]})
+        (tmp_path / "landing" / f"{number}.json").write_text("\n".join(json.dumps({"value": x}) for x in (body, failed)) + "\n")
+        ohlc_incremental(spark, landing, "value string", progress, sink, rejects).awaitTermination()
+    got = as_set(spark.read.parquet(sink), F.unix_seconds("close_time"), "open", "volume")
+    assert got == [(3600, 495.5, 10.0), (90000, 7.0, 495.0)]
+    reasons = sorted(r.reason for r in spark.read.parquet(rejects).collect())
+    assert reasons == ["EGeneral:Internal error", "EGeneral:Internal error", "unreadable volume"]
+
+
+def test_only_the_days_of_a_batch_are_read(spark, tmp_path):
+    from shiftboard.streaming.bars import days_of_sink, merge_bars
+
+    landed = F.lit("2024-01-01 00:00:00").cast("timestamp").alias("landed_at")
+    batch = bars.ohlc_ingest(spark.createDataFrame([(payload("P", range(60)),)], "value string"), "value").select("*", landed)
+    sink = str(tmp_path / "sink")
+    for _ in range(2):  # a repeated batch gives the same rows
+        merge_bars(batch, sink)
+        assert spark.read.parquet(sink).count() == 60
+    one_day = batch.withColumn("day", F.to_date("close_time")).filter("day = '1970-01-02'")
+    plan = days_of_sink(spark, one_day, sink)._jdf.queryExecution().executedPlan().toString()
+    filters = plan[plan.index("PartitionFilters") :].split("]")[0]
+    assert "1970-01-02" in filters or "= 1)" in filters
+
+
+def test_incremental_equals_batch(spark, tmp_path):
     landing, sink, progress = (str(tmp_path / n) for n in ("landing", "sink", "progress"))
     (tmp_path / "landing").mkdir()
 
@@ -110,7 +149,7 @@ def test_incremental_equals_batch(spark, tmp_path, watermark):
         (tmp_path / "landing" / name).write_text(line + "\n")
 
     def run():
-        ohlc_incremental(spark, landing, "value string", progress, sink, watermark).awaitTermination()
+        ohlc_incremental(spark, landing, "value string", progress, sink).awaitTermination()
         hours = spark.read.parquet(sink).select((F.unix_seconds("close_time") / 3600 - 1000).cast("int")).collect()
         return sorted(r[0] for r in hours)
 
@@ -123,13 +162,3 @@ def test_incremental_equals_batch(spark, tmp_path, watermark):
     land("c.json", range(200, 203))
     land("d.json", range(0, 30))
     assert run() == [*range(40), *range(200, 203)]
-
-
-def test_repeated_batch_adds_nothing(spark, tmp_path):
-    from shiftboard.streaming.bars import append_new_bars
-
-    batch = bars.ohlc_ingest(spark.createDataFrame([(payload("P", range(30)),)], "value string"), "value")
-    sink = str(tmp_path / "sink")
-    for _ in range(2):
-        append_new_bars(batch, sink)
-    assert spark.read.parquet(sink).count() == 30
