@@ -4,6 +4,7 @@ Rows are range-partitioned and sorted into *slices*; every row then knows its
 slice and its position there.  Slices are stored once (``pin``), because a
 recomputed range partitioning may cut elsewhere.  What crosses slices - counts,
 carried values - is one row per slice, and joins back on the slice number.
+Quantiles need no order: they narrow down to the values around each rank.
 """
 
 from __future__ import annotations
@@ -78,65 +79,61 @@ def backfill_next(
     )
 
 
+#: rank error of the first pass: one row in so many
+ACCURACY = 20_000
+
+
 def exact_quantiles(d: DataFrame, keys: Sequence[str], c: str, probs: dict[str, float]) -> DataFrame:
     """Exact quantiles by group with linear interpolation; NULL and NaN are skipped.
 
-    ``probs`` maps output names to probabilities.  Values are first counted, so
-    a value repeated a billion times is one row; the counted values are sliced in
-    order, and only slices that hold a wanted rank are looked into.  No group is
-    held in one task's memory.
+    ``probs`` maps output names to probabilities.  A first pass brackets each wanted rank by approximate
+    percentiles, whose rank error is bounded.  The second counts what lies below and above a bracket, one row per task
+    and group, and shuffles only the values inside it, equal ones counted.  A rank outside its bracket would
+    raise; it cannot be answered wrongly.  Nothing is stored, and no group is held in one task's memory.
     """
-    keys = list(keys)
+    keys, names = list(keys), list(probs)
     v = F.col(c).cast("double")
-    counted = (
-        d.filter(v.isNotNull() & ~F.isnan(v))
-        .groupBy(*keys, v.alias("__v"))
-        .agg(F.count("*").alias("__n"))
+    rows = d.filter(v.isNotNull() & ~F.isnan(v)).select(*keys, v.alias("__v"))
+    margin = 2.0 / ACCURACY
+    edges = [min(max(p + side * margin, 0.0), 1.0) for p in probs.values() for side in (-1, 1)]
+    around = rows.groupBy(*keys).agg(
+        F.percentile_approx("__v", edges, ACCURACY).alias("__edges"), F.count("*").alias("__total")
     )
-    s = slices(counted, [*keys, "__v"])
-
-    per_slice = s.groupBy(*keys, SLICE).agg(F.sum("__n").alias("__n"))
-    by_key = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    before = by_key.orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    totals = per_slice.withColumns(
-        {
-            "__before": F.coalesce(F.sum("__n").over(before), F.lit(0)),
-            "__total": F.sum("__n").over(by_key),
-        }
-    )
-    ranks = F.array(
+    brackets = F.array(
         *[
-            F.struct(F.lit(name).alias("name"), (F.lit(float(p)) * (F.col("__total") - 1)).alias("rank"))
-            for name, p in probs.items()
+            F.struct(F.lit(i).alias("i"), F.get("__edges", F.lit(2 * i)).alias("lo"), F.get("__edges", F.lit(2 * i + 1)).alias("hi"))
+            for i in range(len(names))
         ]
     )
-    # a rank between two values needs both neighbours, maybe from two slices
-    last = F.col("__before") + F.col("__n") - 1
-    wanted = totals.withColumn(
-        "__wanted",
-        F.filter(ranks, lambda r: (F.floor(r["rank"]) <= last) & (F.ceil(r["rank"]) >= F.col("__before"))),
-    ).filter(F.size("__wanted") > 0).select(*keys, SLICE, "__before", "__wanted")
-
-    match = [F.col(f"s.{k}").eqNullSafe(F.col(f"w.{k}")) for k in [*keys, SLICE]]
-    in_slice = s.alias("s").join(wanted.alias("w"), match).select(
-        *[F.col(f"s.{k}") for k in [*keys, SLICE]], "__v", "__n", "__before", "__wanted"
+    around = around.select(*[F.col(k).alias(f"__k_{k}") for k in keys], "__total", brackets.alias("__brackets"))
+    if keys:
+        met = rows.join(around, [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys])
+    else:
+        met = rows.withColumns({n: around.select(n).scalar() for n in ("__total", "__brackets")})
+    met = met.select(*keys, "__total", "__v", F.explode("__brackets").alias("__b"))
+    side = F.when(F.col("__v") < F.col("__b.lo"), -1).when(F.col("__v") > F.col("__b.hi"), 1).otherwise(0)
+    counted = (
+        met.select(*keys, "__total", F.col("__b.i").alias("__i"), side.alias("__side"), "__v")
+        .groupBy(*keys, "__i", "__side", F.when(F.col("__side") == 0, F.col("__v")).alias("__inside"))
+        .agg(F.count("*").alias("__n"), F.min("__v").alias("__low"), F.max("__v").alias("__high"), F.first("__total").alias("__total"))
     )
-    upto = Window.partitionBy(*keys, SLICE).orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = in_slice.withColumn("__hi", F.col("__before") + F.sum("__n").over(upto) - 1).withColumn(
-        "__lo", F.col("__hi") - F.col("__n") + 1
+    # places from 0: below the bracket only the last value is known, above it only the first
+    upto = Window.partitionBy(*keys, "__i").orderBy("__side", "__inside").rowsBetween(Window.unboundedPreceding, 0)
+    placed = counted.withColumn("__to", F.sum("__n").over(upto) - 1).withColumn("__from", F.col("__to") - F.col("__n") + 1)
+    share = F.element_at(F.array(*[F.lit(float(p)) for p in probs.values()]), F.col("__i") + 1)
+    rank = share * (F.col("__total") - 1)
+
+    def value_at(place: Column) -> Column:
+        known = (
+            F.when(F.col("__side") == 0, F.col("__inside"))
+            .when((F.col("__side") < 0) & (place == F.col("__to")), F.col("__high"))
+            .when((F.col("__side") > 0) & (place == F.col("__from")), F.col("__low"))
+            .otherwise(F.raise_error(F.lit("a rank lies outside its bracket")).cast("double"))
+        )
+        return F.max(F.when((F.col("__from") <= place) & (place <= F.col("__to")), known))
+
+    found = placed.withColumn("__rank", rank).groupBy(*keys, "__i").agg(
+        value_at(F.floor("__rank")).alias("__a"), value_at(F.ceil("__rank")).alias("__b"), F.max("__rank").alias("__rank")
     )
-    hit = ranked.select(
-        *keys, "__v", "__lo", "__hi", F.explode("__wanted").alias("__w")
-    ).select(*keys, "__v", "__lo", "__hi", F.col("__w.name").alias("__name"), F.col("__w.rank").alias("__rank"))
-
-    def holds(rank: Column) -> Column:
-        return (F.col("__lo") <= rank) & (rank <= F.col("__hi"))
-
-    aggs = []
-    for name in probs:
-        mine = F.col("__name") == name
-        low = F.max(F.when(mine & holds(F.floor("__rank")), F.col("__v")))
-        high = F.max(F.when(mine & holds(F.ceil("__rank")), F.col("__v")))
-        share = F.max(F.when(mine, F.col("__rank") - F.floor("__rank")))
-        aggs.append((low + (high - low) * share).alias(name))
-    return hit.groupBy(*keys).agg(*aggs)
+    value = F.col("__a") + (F.col("__b") - F.col("__a")) * (F.col("__rank") - F.floor("__rank"))
+    return found.groupBy(*keys).agg(*[F.max(F.when(F.col("__i") == i, value)).alias(n) for i, n in enumerate(names)])
