@@ -259,22 +259,22 @@ def _(t: Tables) -> DataFrame:
 
 @query(
     "join_full_outer_chain",
-    """WITH p AS (SELECT user_id, CAST(ts AS DATE) AS day, round(sum(value), 2) AS purchase FROM events WHERE event_type = 'purchase' GROUP BY 1, 2),
-            e AS (SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS errors FROM events WHERE event_type = 'error' GROUP BY 1, 2),
+    """WITH p AS (SELECT user_id, CAST(ts AS DATE) AS day, round(sum(value), 2) AS purchase FROM events WHERE event_type IN ('purchase', 'click') GROUP BY 1, 2),
+            e AS (SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS errors FROM events WHERE event_type IN ('error', 'view') GROUP BY 1, 2),
             s AS (SELECT user_id, CAST(ts AS DATE) AS day, round(max(value), 2) AS signup FROM events WHERE event_type = 'signup' GROUP BY 1, 2)
        SELECT coalesce(p.user_id, e.user_id, s.user_id) AS user_id, coalesce(p.day, e.day, s.day) AS day, purchase, errors, signup
        FROM p FULL OUTER JOIN e ON p.user_id = e.user_id AND p.day = e.day
        FULL OUTER JOIN s ON coalesce(p.user_id, e.user_id) = s.user_id AND coalesce(p.day, e.day) = s.day""",
 )
 def _(t: Tables) -> DataFrame:
-    def daily(kind: str, measure) -> DataFrame:
-        rows = t.events.filter(F.col("event_type") == kind)
+    def daily(kinds: tuple[str, ...], measure) -> DataFrame:
+        rows = t.events.filter(F.col("event_type").isin(*kinds))
         return rows.groupBy("user_id", F.to_date("ts").alias("day")).agg(measure)
 
     frames = [
-        daily("purchase", F.round(F.sum("value"), 2).alias("purchase")),
-        daily("error", F.count("*").alias("errors")),
-        daily("signup", F.round(F.max("value"), 2).alias("signup")),
+        daily(("purchase", "click"), F.round(F.sum("value"), 2).alias("purchase")),
+        daily(("error", "view"), F.count("*").alias("errors")),
+        daily(("signup",), F.round(F.max("value"), 2).alias("signup")),
     ]
     return joins.join_full_outer_chain(frames, ["user_id", "day"])
 
@@ -303,8 +303,8 @@ def _(t: Tables) -> DataFrame:
 
 @query(
     "join_many_to_many",
-    """WITH c AS (SELECT user_id, dayname(ts) AS weekday, value FROM events WHERE event_type = 'click'),
-            v AS (SELECT user_id, dayname(ts) AS weekday, value FROM events WHERE event_type = 'view'),
+    """WITH c AS (SELECT user_id, dayname(ts) AS weekday, value FROM events WHERE event_type NOT IN ('view', 'error')),
+            v AS (SELECT user_id, dayname(ts) AS weekday, value FROM events WHERE event_type IN ('view', 'error')),
             m AS (SELECT user_id, weekday, c.value AS cv, v.value AS vv FROM c JOIN v USING (user_id, weekday)),
             nc AS (SELECT user_id, weekday, count(*) AS n_left FROM c GROUP BY 1, 2),
             nv AS (SELECT user_id, weekday, count(*) AS n_right FROM v GROUP BY 1, 2)
@@ -314,8 +314,8 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     rows = t.events.select("user_id", "event_type", "value", cal.date_names("ts", "weekday").alias("weekday"))
     merged = joins.join_many_to_many(
-        rows.filter(F.col("event_type") == "click"),
-        rows.filter(F.col("event_type") == "view"),
+        rows.filter(~F.col("event_type").isin("view", "error")),
+        rows.filter(F.col("event_type").isin("view", "error")),
         ["user_id", "weekday"],
         {"clicked": F.col("value")},
         {"viewed": F.col("value")},

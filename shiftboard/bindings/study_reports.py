@@ -172,6 +172,9 @@ parts(
         "late_bars": f"SELECT facility_code, quarter, round(avg(raw_late_count), 9) AS mean_raw_late_count FROM {LATE} GROUP BY 1, 2",
         "task_bars": f"SELECT warehouse_id, quarter, round(avg(total_score), 9) AS mean_total_score FROM {TASKS} GROUP BY 1, 2",
         "site_late": f"SELECT * FROM {LATE} WHERE facility_code = '7'",
+        "site_outbound": f"""SELECT CAST(l_suppkey AS VARCHAR) AS facility_code, l_returnflag AS process_path, l_linestatus AS category, CAST(l_shipdate AS DATE) AS clean_date,
+            {_periods('l_shipdate')}, {_r3('sum(l_extendedprice / 3)')} AS performance_score, {_r3('avg(l_quantity / 7)')} AS weekly_percentage
+            FROM lineitem WHERE {_in_quarters('l_shipdate')} AND l_suppkey = 7 GROUP BY ALL""",
     },
     {
         "outbound_bars": {"mean_performance_score": 9},
@@ -261,6 +264,15 @@ parts(
         "site_metric_d": f"SELECT CAST(week(l_shipdate) AS VARCHAR) AS week, round(sum(l_extendedprice), 2) AS units FROM lineitem WHERE {SITE} = 'SITE_7' GROUP BY 1",
         "metric_a_dashboard": f"SELECT site, 'EU' AS region, w::INTEGER AS week, printf('%.0f%%', round(rate * 100, 0)) AS metric_a_rate FROM {RATE_A}",
         "metric_d_wide": _wide("l_extendedprice"),
+        "metric_b_dashboard": f"""SELECT {SITE} AS site, l_returnflag AS group_1, 'EU' AS region, NULL::DOUBLE AS target, week(l_shipdate)::INTEGER AS week_number,
+            CAST(week(l_shipdate) AS VARCHAR) AS week, CASE WHEN l_linenumber != 7 THEN l_quantity END AS metric_b_value, NULL::DOUBLE AS metric_b_last_year,
+            NULL::DOUBLE AS yoy_change, '00:00:00' AS time, CAST(l_shipdate AS DATE) AS date, dayname(l_shipdate) AS weekday FROM lineitem""",
+        "metric_d_dashboard": f"""SELECT {SITE} AS site, l_returnflag AS group_1, 'EU' AS region, NULL::DOUBLE AS target_rate, week(l_shipdate)::INTEGER AS week_number,
+            CAST(week(l_shipdate) AS VARCHAR) AS week, l_extendedprice AS units, NULL::DOUBLE AS metric_d_rate, NULL::DOUBLE AS vs_target,
+            NULL::DOUBLE AS yoy, '00:00:00' AS time, CAST(l_shipdate AS DATE) AS date, dayname(l_shipdate) AS weekday FROM lineitem""",
+        "root_cause_dashboard": f"""SELECT {SITE} AS site, l_returnflag AS process_path, l_linestatus AS category, l_linestatus AS subcategory,
+            CAST(l_linenumber AS VARCHAR) AS root_cause, '' AS commentary, l_tax AS metric_a_bps, CAST(l_shipdate AS DATE) AS start_date, '00:00:00' AS start_time,
+            dayname(l_shipdate) AS start_weekday, CAST(l_shipdate AS DATE) AS end_date, '00:00:00' AS end_time, dayname(l_shipdate) AS end_weekday FROM lineitem""",
         "root_cause_by_process": """SELECT l_returnflag AS process_path, CAST(l_linenumber AS VARCHAR) AS root_cause, round(sum(l_tax), 4) AS bps
             FROM lineitem GROUP BY 1, 2""",
         "root_cause_total": "SELECT CAST(l_linenumber AS VARCHAR) AS root_cause, round(sum(l_tax), 4) AS bps FROM lineitem GROUP BY 1",
@@ -591,7 +603,7 @@ parts(
 
 def log_tables(t: Tables) -> dict[str, DataFrame]:
     kind, v = C("event_type"), C("value")
-    activity_rows = t.events.filter(kind.isin("click", "purchase")).select(
+    activity_rows = t.events.filter(kind != "view").select(
         C("user_id").alias("Id"),
         F.date_format("ts", "M/d/yyyy").alias("ActivityDate"),
         C("event_id").alias("TotalSteps"),
@@ -612,7 +624,7 @@ def log_tables(t: Tables) -> dict[str, DataFrame]:
 
 
 MERGED = """(SELECT dayname(a.ts) AS weekday, a.value AS av, s.value * 5 + s.event_id % 9 AS asleep, s.value * 6 AS in_bed
-    FROM events a JOIN events s ON a.user_id = s.user_id AND dayname(a.ts) = dayname(s.ts) WHERE a.event_type IN ('click', 'purchase') AND s.event_type = 'view')"""
+    FROM events a JOIN events s ON a.user_id = s.user_id AND dayname(a.ts) = dayname(s.ts) WHERE a.event_type != 'view' AND s.event_type = 'view')"""
 
 parts(
     "report_activity_sleep",
@@ -626,7 +638,7 @@ parts(
             f"SELECT weekday, '{n}' AS rest_and_sleep, round(sum({v}), 2) AS minutes FROM {MERGED} GROUP BY 1"
             for n, v in {"totalminutesasleep": "asleep", "sedentaryminutes": "av * 4"}.items()
         ),
-        "participants": """SELECT 'activity' AS log, count(DISTINCT user_id) AS participants FROM events WHERE event_type IN ('click', 'purchase')
+        "participants": """SELECT 'activity' AS log, count(DISTINCT user_id) AS participants FROM events WHERE event_type != 'view'
             UNION ALL SELECT 'sleep', count(DISTINCT user_id) FROM events WHERE event_type = 'view'""",
         "fit": f"""SELECT count(*) AS n, round(regr_slope(asleep, in_bed), 6) AS slope, round(regr_intercept(asleep, in_bed), 4) AS intercept,
             round(regr_r2(asleep, in_bed), 6) AS r2, round(sqrt((regr_syy(asleep, in_bed) - power(regr_sxy(asleep, in_bed), 2) / regr_sxx(asleep, in_bed))
@@ -634,7 +646,7 @@ parts(
         "activity_summary": " UNION ALL ".join(
             f"""SELECT '{n}' AS column, count(*) AS count, round(avg({v}), 6) AS mean, round(stddev_samp({v}), 6) AS std, min({v})::DOUBLE AS min,
                 round(quantile_cont({v}::DOUBLE, 0.25), 6) AS q1, round(quantile_cont({v}::DOUBLE, 0.5), 6) AS median,
-                round(quantile_cont({v}::DOUBLE, 0.75), 6) AS q3, max({v})::DOUBLE AS max FROM events WHERE event_type IN ('click', 'purchase')"""
+                round(quantile_cont({v}::DOUBLE, 0.75), 6) AS q3, max({v})::DOUBLE AS max FROM events WHERE event_type != 'view'"""
             for n, v in {"totalsteps": "event_id", "calories": "value * 10", "veryactiveminutes": "value"}.items()
         ),
         "sleep_summary": " UNION ALL ".join(

@@ -98,9 +98,10 @@ PERFORMANCE = f"""(SELECT CAST(user_id AS VARCHAR) AS facility_id, CAST(user_id
 
 
 def volumes(t: Tables) -> DataFrame:
-    # region 3 has no volume, so its ratios meet a missing denominator
-    return t.events.filter(C("user_id") % 4 != 3).select(
-        (C("user_id") % 4).cast("string").alias("region_code"),
+    # no fact has region 9 and region 3 has no volume, so its ratios meet a missing denominator
+    region = C("user_id") % 4
+    return t.events.select(
+        F.when(region == 3, F.lit("9")).otherwise(region.cast("string")).alias("region_code"),
         C("ts").alias("snapshot_date"),
         C("event_id").alias("total_volume"),
     )
@@ -110,8 +111,8 @@ def _impact_sum(cols) -> str:
     return " + ".join(f"coalesce({c}, 0)" for c in cols)
 
 
-KPI_VOLUME = f"""(SELECT CAST(user_id % 4 AS VARCHAR) AS region_code, {sunday('ts')} AS wk, sum(event_id)::BIGINT AS volume FROM events
-    WHERE user_id % 4 != 3 AND ts > TIMESTAMP '2023-12-31' GROUP BY 1, 2)"""
+KPI_VOLUME = f"""(SELECT CASE WHEN user_id % 4 = 3 THEN '9' ELSE CAST(user_id % 4 AS VARCHAR) END AS region_code, {sunday('ts')} AS wk,
+    sum(event_id)::BIGINT AS volume FROM events WHERE ts > TIMESTAMP '2023-12-31' GROUP BY 1, 2)"""
 KPI_DAILY = f"""(SELECT facility_id, CAST(snapshot_date AS DATE) AS date, max(volume) AS total_volume, sum(total_impact) AS total_impact,
     {", ".join(f"sum({_impact_sum(cols)}) AS {n}_sum" for n, cols in kpi.IMPACTS.items())},
     avg(efficiency_percentage) AS avg_efficiency, sum(error_count)::BIGINT AS total_errors, avg(quality_score) AS avg_quality_score,
@@ -215,8 +216,10 @@ def _(t: Tables) -> DataFrame:
         C("o_orderkey").alias("defect_units"),
     )
     tables = {
-        "volumes": volumes(t),
-        "impact": performance(t),
+        "volumes": volumes(t).withColumnRenamed("snapshot_date", "metric_date"),
+        "impact": performance(t).withColumnsRenamed(
+            {"snapshot_date": "metric_date", "constraint_impact": "capacity_constraint_impact"}
+        ),
         "facilities": facilities(t).drop("facility_id"),
         "staffing": staffing(t),
         "quality": quality,

@@ -53,10 +53,10 @@ def join_full_outer_chain(
     """Full outer join of several frames on shared keys.
 
     Columns that several frames share beyond the keys are coalesced in frame
-    order.  With ``check_unique`` each frame must hold a key once: the frames are
-    stacked and grouped, one shuffle for the whole chain, and a repeated key
-    raises while running.  Without it the frames are joined pairwise, so repeated
-    keys fan out.  Rows with a NULL key never match another frame's.
+    order.  With ``check_unique`` the frames are stacked and grouped, one shuffle for
+    the whole chain; one frame may then hold a key several times, which fans out as in a join, and
+    a key that two frames repeat raises while running.  Without it the frames are joined pairwise, so any
+    repeats fan out.  Rows with a NULL key never match another frame's.
     """
     keys = list(keys)
     if not check_unique:
@@ -66,33 +66,28 @@ def join_full_outer_chain(
     for f in frames:
         outputs += [c for c in f.columns if c not in keys and c not in outputs]
     null_key = reduce(lambda x, y: x | y, [F.col(k).isNull() for k in keys])
+    sides = range(len(frames))
 
     def shaped(i: int, f: DataFrame) -> DataFrame:
         rest = [c for c in f.columns if c not in keys]
+        row = F.struct(*rest, F.lit(1).alias("__there"))
         # a row with a NULL key groups with its equals in its own frame only
         apart = F.when(null_key, F.to_json(F.struct(F.lit(i).alias("__side"), *rest)))
-        return f.select(
-            *keys, *[F.col(c).alias(f"__{i}__{c}") for c in rest], F.lit(i).alias("__side"), apart.alias("__apart")
-        )
+        return f.select(*keys, row.alias(f"__{i}"), apart.alias("__apart"))
 
     union = reduce(
         lambda x, y: x.unionByName(y, allowMissingColumns=True), [shaped(i, f) for i, f in enumerate(frames)]
     )
-    picked = [
-        F.max(F.col(f"__{i}__{c}")).alias(f"__{i}__{c}")
-        for i, f in enumerate(frames)
-        for c in f.columns
-        if c not in keys
-    ]
-    most = F.greatest(F.lit(0), *[F.count_if(F.col("__side") == i) for i in range(len(frames))])
-    grouped = union.groupBy(*keys, "__apart").agg(*picked, most.alias("__most"))
-    times = (
-        F.when(F.col("__apart").isNotNull() | (F.col("__most") <= 1), F.col("__most"))
-        .otherwise(F.raise_error(F.lit("a frame holds a join key more than once")).cast("bigint"))
+    # a frame's rows of a key, most often one
+    grouped = union.groupBy(*keys, "__apart").agg(*[F.collect_list(f"__{i}").alias(f"__{i}") for i in sides])
+    repeats = reduce(lambda x, y: x + y, [(F.size(f"__{i}") > 1).cast("int") for i in sides])
+    checked = grouped.withColumn(
+        "__0", F.when(repeats <= 1, F.col("__0")).otherwise(F.raise_error(F.lit("several frames hold a join key more than once")))
     )
-    checked = grouped.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), times)))
+    for i in sides:
+        checked = checked.withColumn(f"__{i}", F.explode_outer(f"__{i}"))
     merged = [
-        F.coalesce(*[F.col(f"__{i}__{c}") for i, f in enumerate(frames) if c in f.columns]).alias(c)
+        F.coalesce(*[F.col(f"__{i}.{c}") for i, f in enumerate(frames) if c in f.columns]).alias(c)
         for c in outputs
     ]
     return checked.select(*keys, *merged)

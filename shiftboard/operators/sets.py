@@ -79,23 +79,33 @@ def concat_frames(frames: Sequence[DataFrame], drop: Sequence[str] = ()) -> Data
     )
 
 
+def _digests(d: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """Keys of a fixed size for a shuffle: text and binary columns stand as SHA-256, others as they are."""
+    long = [f.name for f in d.schema.fields if f.name in keys and f.dataType.simpleString() in ("string", "binary")]
+    digested = {f"__digest_{c}": F.sha2(F.col(c).cast("binary"), 256) for c in long}
+    return d.withColumns(digested) if digested else d, [f"__digest_{c}" if c in long else c for c in keys]
+
+
 def dedupe_rows(d: DataFrame, keys: Sequence[str] | None = None, order: str | None = None) -> DataFrame:
     """Without ``keys``: drop exact repeats.  With ``keys``: keep each key's first row.
 
     ``order`` must be unique.  First rows are found by a combined minimum and
-    joined back on ``order``, so a hot key never gathers in one task.
+    joined back on ``order``, so a hot key never gathers in one task; long texts are
+    grouped by their digest and do not travel as keys.
     """
     if not keys:
         return d.dropDuplicates()
     if order is None:
         raise ValueError("keeping the first row needs an order column")
-    firsts = d.groupBy(*keys).agg(F.min(order).alias(order)).select(order)
+    short, by = _digests(d, keys)
+    firsts = short.groupBy(*by).agg(F.min(order).alias(order)).select(order)
     return d.join(firsts, order, "left_semi")
 
 
 def flag_duplicates(d: DataFrame, keys: Sequence[str], order: str, name: str = "is_duplicate") -> DataFrame:
     """True for the second and later rows of equal ``keys`` in ``order`` (unique)."""
-    firsts = d.groupBy(*keys).agg(F.min(order).alias(order)).select(order, F.lit(False).alias(name))
+    short, by = _digests(d, keys)
+    firsts = short.groupBy(*by).agg(F.min(order).alias(order)).select(order, F.lit(False).alias(name))
     return d.join(firsts, order, "left").select(*d.columns, F.coalesce(name, F.lit(True)).alias(name))
 
 

@@ -77,6 +77,7 @@ def daily_cancellations(tables: Mapping[str, DataFrame], config: CancellationCon
         F.sum("quantity_requested").alias("total_quantity_requested"),
     )
     dims = tables["facilities"].filter(F.col("country_code").isNotNull()).select("facility_id", *FACILITY_COLS)
+    dims = dims.distinct()  # a repeated dimension row must not double a day
     cancelled = sum((F.col(f"{n}_count") for n in config.families), F.lit(0))
     return days.join(dims, "facility_id").withColumns(
         {f"{n}_dpmo": rate_dpmo(f"{n}_count", "total_quantity_requested") for n in config.families}

@@ -34,16 +34,21 @@ EFFICIENCY_BANDS = ((None, 80, "Low Efficiency"), (95, None, "High Efficiency"))
 QUALITY_BANDS = ((None, 90, "Quality Alert"), (98, None, "Excellent Quality"))
 
 
-def weekly_volume(volumes: DataFrame, floor: dt.date) -> DataFrame:
+def weekly_volume(volumes: DataFrame, floor: dt.date, date: str = "snapshot_date") -> DataFrame:
     """``(region_code, week_start, total_volume)`` for Sunday-start weeks."""
-    rows = filter_date_floor(volumes, "snapshot_date", floor, "after_instant")
-    return rows.groupBy("region_code", cal.week_start_sunday("snapshot_date").alias("week_start")).agg(
+    rows = filter_date_floor(volumes, date, floor, "after_instant")
+    return rows.groupBy("region_code", cal.week_start_sunday(date).alias("week_start")).agg(
         F.sum("total_volume").alias("total_volume")
     )
 
 
 def daily_bps(
-    facts: DataFrame, volume: DataFrame, impacts: Mapping[str, tuple[str, ...]], guard: str, extra: Mapping[str, tuple[str, str]]
+    facts: DataFrame,
+    volume: DataFrame,
+    impacts: Mapping[str, tuple[str, ...]],
+    guard: str,
+    extra: Mapping[str, tuple[str, str]],
+    date: str = "snapshot_date",
 ) -> DataFrame:
     """Per facility and day: summed impacts as basis points of the weekly volume.
 
@@ -65,7 +70,7 @@ def daily_bps(
         sums.append(F.sum(c).alias(f"__s_{n}"))
         if fn == "avg":
             sums.append(F.count(c).alias(f"__n_{n}"))
-    days = rows.groupBy("facility_id", "region_code", F.to_date("snapshot_date").alias("date")).agg(*sums)
+    days = rows.groupBy("facility_id", "region_code", F.to_date(date).alias("date")).agg(*sums)
 
     with_volume = days.withColumn("week_start", cal.week_start_sunday("date")).join(
         volume, ["region_code", "week_start"], "left"
@@ -134,6 +139,8 @@ def report_kpi_trend(tables: Tables, config: KpiTrendConfig = KpiTrendConfig())
 
 # --- multi-source board ----------------------------------------------------
 
+# Impact columns of the board's own facts, one of which is named otherwise.
+BOARD_IMPACTS = IMPACTS | {"constraint": ("capacity_constraint_impact",)}
 # The twelve staffing measures and the short names they report under.
 STAFFING = {
     f"{short}_{unit_short}_{reason}": f"{side}_{unit}_{reason}"
@@ -165,15 +172,17 @@ class MultiKpiConfig:
     staffing_floor: dt.date = dt.date(2024, 12, 31)
     report_floor: dt.date = dt.date(2024, 12, 26)
     quality_months: int = 14
-    impacts: Mapping[str, tuple[str, ...]] = field(default_factory=lambda: dict(IMPACTS))
-    #: staffing rows hold one region per facility and day; False joins pairwise
+    impacts: Mapping[str, tuple[str, ...]] = field(default_factory=lambda: dict(BOARD_IMPACTS))
+    volume_date: str = "metric_date"
+    impact_date: str = "metric_date"
+    #: one source may hold a facility-day several times (staffing by region); False lets several, joined pairwise
     unique_keys: bool = True
 
 
 def multi_kpi_base(tables: Tables, config: MultiKpiConfig) -> DataFrame:
     """One row per facility and day with every measure of the three sources."""
-    volume = weekly_volume(tables["volumes"], config.volume_floor)
-    performance = daily_bps(tables["impact"], volume, config.impacts, "zero", {})
+    volume = weekly_volume(tables["volumes"], config.volume_floor, config.volume_date)
+    performance = daily_bps(tables["impact"], volume, config.impacts, "zero", {}, config.impact_date)
     dims = tables["facilities"].withColumnRenamed("facility_code", "facility_id")
     performance = join_dim_enrich(performance, dims, "facility_id", ["region_name"]).drop("total_volume", "total_impact")
 

@@ -34,9 +34,18 @@ class QuarterlyConfig:
     digits: int = 3
 
 
+def span(quarters: Sequence[str]) -> tuple[str, str]:
+    """First day of the earliest quarter, and first day after the latest one."""
+    numbers = sorted(int(q[:4]) * 4 + int(q[-1]) - 1 for q in quarters)
+    return tuple(f"{n // 4:04d}-{n % 4 * 3 + 1:02d}-01" for n in (numbers[0], numbers[-1] + 1))
+
+
 def _labelled(d: DataFrame, date: str, quarters: Sequence[str], is_text: bool = True) -> DataFrame:
     """Date parsed, period labels added, wanted quarters kept by date range."""
     if is_text:
+        # ISO text sorts like its date, so the wanted span reaches the scan before anything is parsed
+        first, last = span(quarters)
+        d = d.filter((F.col(date) >= first) & (F.col(date) < last))
         d = d.withColumn(date, str_rstrip_iso(date))
     kept = filter_period(d, date, quarters=quarters)
     return kept.withColumns(

@@ -9,7 +9,8 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import StructType
 
-from ..session import pin
+#: about 100 bytes each
+MOST_BROADCAST_BLOCKS = 500_000
 
 
 def _csv(spark: SparkSession, path: str, schema: StructType | str, header: bool, **options: str) -> DataFrame:
@@ -54,8 +55,9 @@ def inline_config(spark: SparkSession, rows: Sequence[tuple[Any, ...]], schema:
 def with_row_id(d: DataFrame, name: str = "row_id") -> DataFrame:
     """Dense 0-based row number in file order: path, block in the file, row in the block.
 
-    ``d`` must read files directly.  Rows are numbered where they are read; only
-    one count per file block is gathered to place the blocks.
+    ``d`` must read files directly.  Rows are numbered where they are read, in a first pass that keeps one count per file
+    block and a second that adds the block's place; nothing is stored and no row moves.  The block is the unit: how
+    blocks are dealt to tasks does not matter within a pass, and both passes deal them alike.
     """
     read = d.select(
         "*",
@@ -63,13 +65,14 @@ def with_row_id(d: DataFrame, name: str = "row_id") -> DataFrame:
         F.col("_metadata.file_block_start").alias("__block"),
         F.monotonically_increasing_id().alias("__id"),
     )
-    read = pin(read)
     block = ["__file", "__block"]
     blocks = read.groupBy(*block).agg(F.count("*").alias("__n"), F.min("__id").alias("__first"))
     earlier = Window.orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)
     starts = blocks.select(
         *block, "__first", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__start")
     )
+    # one row per file block, broadcast only if they are few enough
+    starts = F.broadcast(starts) if blocks.count() <= MOST_BROADCAST_BLOCKS else starts
     return read.join(starts, block).select(
         *d.columns, (F.col("__start") + F.col("__id") - F.col("__first")).alias(name)
     )

@@ -78,12 +78,17 @@ def test_full_outer_keeps_equal_null_key_rows(rows):
     assert joins.join_full_outer_chain([a, b], ["k"]).count() == 3
 
 
-def test_full_outer_rejects_repeats(rows):
-    a = rows([(1, 1), (1, 2)], "k int, a int")
-    b = rows([(1, 5)], "k int, b int")
+def test_full_outer_repeats(rows):
+    a = rows([(1, 1), (1, 2), (1, 2), (3, 7)], "k int, a int")
+    b = rows([(1, 5), (2, 6)], "k int, b int")
+    want = sorted([(1, 1, 5), (1, 2, 5), (1, 2, 5), (2, None, 6), (3, 7, None)], key=repr)
+    for unique in (True, False):  # one frame may repeat a key
+        assert as_set(joins.join_full_outer_chain([a, b], ["k"], unique), "k", "a", "b") == want
+        assert as_set(joins.join_full_outer_chain([b, a], ["k"], unique), "k", "a", "b") == want
+    both = [a, rows([(1, 5), (1, 6)], "k int, b int")]
     with pytest.raises(Exception, match="more than once"):
-        joins.join_full_outer_chain([a, b], ["k"]).collect()
-    assert joins.join_full_outer_chain([a, b], ["k"], check_unique=False).count() == 2
+        joins.join_full_outer_chain(both, ["k"]).collect()
+    assert joins.join_full_outer_chain(both, ["k"], check_unique=False).count() == 7
 
 
 def test_full_outer_coalesces_shared_columns(rows):
@@ -274,6 +279,18 @@ def test_pivot_fills_and_sums(rows):
     assert as_set(wide) == [("s", 0.0, 3.0), ("t", 5.0, 0.0)]
 
 
+def test_pivot_loses_no_level(rows):
+    d = rows([("s", 1, 1.0), ("s", 2, 2.0), ("t", 9, 12.0), ("t", None, 5.0)], "site string, wk int, v double")
+    for wide in (reshape.pivot_wide_sum(d, ["site"], "wk", "v"), reshape.pivot_wide_plain(d, ["site"], "wk", "v")):
+        assert wide.columns == ["site", "1", "2", "9"]
+        cells = [x for r in wide.collect() for x in r[1:] if x is not None]
+        assert sum(cells) == 15.0
+    for pivot in (reshape.pivot_wide_sum, reshape.pivot_wide_plain):
+        with pytest.raises(Exception, match="not a declared level: 9"):
+            pivot(d, ["site"], "wk", "v", [1, 2]).collect()
+    assert as_set(reshape.pivot_wide_sum(d, ["site"], "wk", "v", [1, 2], drop_other=True)) == [("s", 1.0, 2.0)]
+
+
 def test_pivot_plain_rejects_repeats(rows):
     d = rows([("s", 1, 1.0), ("s", 1, 2.0)], "site string, wk int, v double")
     with pytest.raises(Exception, match="more than one row"):
@@ -284,8 +301,13 @@ def test_one_hot_and_codes(rows):
     d = rows([("b",), ("a",), (None,)], "x string")
     assert as_set(reshape.one_hot(d, "x", prefix="is_")) == sorted([("b", 0, 1), ("a", 1, 0), (None, 0, 0)], key=repr)
     assert as_set(win.label_encode(d, "x")) == sorted([("b", 1), ("a", 0), (None, -1)], key=repr)
-    with pytest.raises(ValueError, match="more than 1"):
-        reshape.one_hot(d, "x", most=1)
+    assert as_set(reshape.one_hot_long(d, "x", [])) == [("a", 1), ("b", 1)]
+    d.sparkSession.conf.set("spark.sql.pivotMaxValues", "1")
+    try:
+        with pytest.raises(ValueError, match="pivotMaxValues"):
+            reshape.one_hot(d, "x")
+    finally:
+        d.sparkSession.conf.unset("spark.sql.pivotMaxValues")
 
 
 def test_quantile_cut_ties_share_a_bin(rows):

@@ -8,10 +8,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_point
+from shiftboard.bindings import load
 
 SF = "/root/testdata/sf0.001"
-QUERIES = entry_point.queries()
-ORACLES = entry_point.oracle_sql()
+REGISTRY = load()
+QUERIES, ORACLES = REGISTRY.QUERIES, REGISTRY.ORACLES
 TYPES = {
     "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE",
     "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP", "float": "FLOAT",
@@ -38,6 +39,7 @@ def bag(rows, names):
 
 def test_every_query_has_a_check():
     assert set(QUERIES) == set(ORACLES)
+    assert QUERIES.items() <= entry_point.queries().items() and ORACLES.items() <= entry_point.oracle_sql().items()
 
 
 @pytest.mark.parametrize("key", sorted(QUERIES))
