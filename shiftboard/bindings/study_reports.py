@@ -25,6 +25,7 @@ from ..plans import (
     weekly_sites,
 )
 from .aggregates import rounded
+from . import expected
 from .registry import Tables, query
 from .scalars import CREW_SQL, PERIOD_SQL, SHIFT_SQL
 
@@ -77,7 +78,7 @@ def _mean(c: str) -> str:
     return f"round_even(round(avg({c}), 9), 3) AS {c}"
 
 
-RATE_MEANS = ", ".join(_mean(c) for c in rates.RATES)
+RATE_MEANS = ", ".join(_mean(c) for c in expected.RATES)
 RATE_SUMMARY = f"""(SELECT process_group, strftime(h, '%H:%M GMT') AS interval_start_local, strftime(h + INTERVAL 1 HOUR, '%H:%M GMT') AS interval_end_local,
     crew || ' ' || shift AS shift_view, {RATE_MEANS} FROM (
       SELECT CASE event_type {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in PROCESS.items())} END AS process_group, {CREW_SQL} AS crew, {SHIFT_SQL} AS shift,
@@ -93,14 +94,14 @@ parts(
                          FROM (SELECT process_group, shift_view, {RATE_MEANS} FROM {RATE_SUMMARY} GROUP BY 1, 2)""",
         "summary": f"SELECT * FROM {RATE_SUMMARY}",
         "by_time": " UNION ALL ".join(
-            f"SELECT process_group, interval_start_local, '{c}' AS rate_type, {c} AS rate FROM {RATE_TIMES}" for c in rates.RATES
+            f"SELECT process_group, interval_start_local, '{c}' AS rate_type, {c} AS rate FROM {RATE_TIMES}" for c in expected.RATES
         ),
     },
 )
 
 # --- quarterly review ------------------------------------------------------
 
-SCORE_SQL = {c: ("l_quantity" if i % 2 else f"CASE WHEN l_linenumber != {i + 1} THEN l_tax * {i + 1} END") for i, c in enumerate(quarterly.SCORES)}
+SCORE_SQL = {c: ("l_quantity" if i % 2 else f"CASE WHEN l_linenumber != {i + 1} THEN l_tax * {i + 1} END") for i, c in enumerate(expected.SCORES)}
 
 
 def review_tables(t: Tables) -> dict[str, DataFrame]:
@@ -109,7 +110,7 @@ def review_tables(t: Tables) -> dict[str, DataFrame]:
 
     scores = [
         (C("l_quantity") if i % 2 else F.when(C("l_linenumber") != i + 1, C("l_tax") * (i + 1))).alias(c)
-        for i, c in enumerate(quarterly.SCORES)
+        for i, c in enumerate(expected.SCORES)
     ]
     return {
         "late": t.orders.select(
@@ -362,7 +363,7 @@ def company_rows(t: Tables) -> dict[str, DataFrame]:
 
 
 COMPANY = f"""(SELECT c_name AS company, abs(round(c_acctbal / 100))::BIGINT AS v, CAST(DATE '2019-01-01' + (c_custkey % 1200)::INTEGER AS DATE) AS joined,
-    CASE c_mktsegment {" ".join(f"WHEN '{k}' THEN '{companies.REPAIRS.get(v, v)}'" for k, v in INDUSTRY.items())} END AS industry,
+    CASE c_mktsegment {" ".join(f"WHEN '{k}' THEN '{expected.REPAIRS.get(v, v)}'" for k, v in INDUSTRY.items())} END AS industry,
     c_custkey % 17 = 0 AS no_city, n_name AS country, CASE c_nationkey % 7 WHEN 0 THEN NULL ELSE c_nationkey % 7 END AS continent_number,
     CASE WHEN c_name = 'Customer#000000007' THEN 2000 ELSE (2023 - c_custkey % 30)::INTEGER END AS founded FROM customer JOIN nation ON n_nationkey = c_nationkey)"""
 COMPANY_CONFIG = companies.CompanyConfig(founded={"Customer#000000007": 2000})

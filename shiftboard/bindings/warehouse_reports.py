@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import calendar as cal
 from ..plans import cancellation, cost, forecast, hierarchy, kpi, operations
 from .aggregates import rounded
+from . import expected
 from .registry import Tables, query
 
 C = F.col
@@ -114,19 +115,19 @@ def _impact_sum(cols) -> str:
 KPI_VOLUME = f"""(SELECT CASE WHEN user_id % 4 = 3 THEN '9' ELSE CAST(user_id % 4 AS VARCHAR) END AS region_code, {sunday('ts')} AS wk,
     sum(event_id)::BIGINT AS volume FROM events WHERE ts > TIMESTAMP '2023-12-31' GROUP BY 1, 2)"""
 KPI_DAILY = f"""(SELECT facility_id, CAST(snapshot_date AS DATE) AS date, max(volume) AS total_volume, sum(total_impact) AS total_impact,
-    {", ".join(f"sum({_impact_sum(cols)}) AS {n}_sum" for n, cols in kpi.IMPACTS.items())},
+    {", ".join(f"sum({_impact_sum(cols)}) AS {n}_sum" for n, cols in expected.IMPACTS.items())},
     avg(efficiency_percentage) AS avg_efficiency, sum(error_count)::BIGINT AS total_errors, avg(quality_score) AS avg_quality_score,
     sum(processed_units)::BIGINT AS total_processed_units
     FROM {PERFORMANCE} p LEFT JOIN {KPI_VOLUME} v ON v.region_code = p.region_code AND v.wk = {sunday('snapshot_date')}
     WHERE total_impact > 0 AND metric_type = 'DAILY' GROUP BY 1, 2)"""
-BPS = [f"{n}_bps" for n in kpi.IMPACTS]
+BPS = [f"{n}_bps" for n in expected.IMPACTS]
 KPI_ROUNDED = [*BPS, "avg_efficiency", "avg_quality_score", "execution_bps_wow_change_pct", "efficiency_wow_change", "quality_wow_change",
                "ma_7d_execution_bps", "ma_7d_efficiency", "ma_7d_quality"]
 
 
 @query(
     "report_kpi_trend",
-    f"""WITH d AS (SELECT *, {", ".join(f"{n}_sum / nullif(total_volume, 0) * 10000 AS {n}_bps" for n in kpi.IMPACTS)} FROM {KPI_DAILY}),
+    f"""WITH d AS (SELECT *, {", ".join(f"{n}_sum / nullif(total_volume, 0) * 10000 AS {n}_bps" for n in expected.IMPACTS)} FROM {KPI_DAILY}),
         w AS (SELECT *, lag(execution_bps, 7) OVER p AS le, lag(avg_efficiency, 7) OVER p AS lf, lag(avg_quality_score, 7) OVER p AS lq,
               avg(execution_bps) OVER r AS ma_7d_execution_bps, avg(avg_efficiency) OVER r AS ma_7d_efficiency, avg(avg_quality_score) OVER r AS ma_7d_quality
               FROM d WINDOW p AS (PARTITION BY facility_id ORDER BY date),
@@ -183,7 +184,7 @@ def staffing(t: Tables) -> DataFrame:
 
 
 BOARD_IMPACT = f"""(SELECT facility_id, CAST(snapshot_date AS DATE) AS date, max(volume) AS volume,
-    {", ".join(f"sum({_impact_sum(cols)}) AS {n}_sum" for n, cols in kpi.IMPACTS.items())}
+    {", ".join(f"sum({_impact_sum(cols)}) AS {n}_sum" for n, cols in expected.IMPACTS.items())}
     FROM {PERFORMANCE} p LEFT JOIN {KPI_VOLUME} v ON v.region_code = p.region_code AND v.wk = {sunday('snapshot_date')}
     WHERE total_impact > 0 AND metric_type = 'DAILY' GROUP BY 1, 2)"""
 
@@ -191,10 +192,10 @@ BOARD_IMPACT = f"""(SELECT facility_id, CAST(snapshot_date AS DATE) AS date, max
 @query(
     "report_multi_kpi",
     f"""WITH pm AS (SELECT i.facility_id, date, region_name,
-              {", ".join(f"CASE WHEN volume > 0 THEN {n}_sum / nullif(volume, 0) * 10000 ELSE 0 END AS {n}_bps" for n in kpi.IMPACTS)}
+              {", ".join(f"CASE WHEN volume > 0 THEN {n}_sum / nullif(volume, 0) * 10000 ELSE 0 END AS {n}_bps" for n in expected.IMPACTS)}
               FROM {BOARD_IMPACT} i LEFT JOIN {FACILITIES} f ON f.facility_code = i.facility_id),
             oh AS (SELECT CAST(l_suppkey AS VARCHAR) AS facility_id, CAST(l_shipdate AS DATE) AS date, region_name,
-              {", ".join(f"sum({staffing_sql(STAFFING_COLS.index(c))}) AS {n}" for n, c in kpi.STAFFING.items())}
+              {", ".join(f"sum({staffing_sql(STAFFING_COLS.index(c))}) AS {n}" for n, c in expected.STAFFING.items())}
               FROM lineitem JOIN {FACILITIES} f ON f.facility_code = CAST(l_suppkey AS VARCHAR)
               WHERE l_shipdate > TIMESTAMP '2001-10-01' GROUP BY 1, 2, 3),
             qm AS (SELECT CAST(o_custkey % 50 AS VARCHAR) AS facility_id, CAST(o_orderdate AS DATE) + 1 AS date, sum(o_orderkey)::DOUBLE AS quality_miss_units
@@ -207,7 +208,7 @@ BOARD_IMPACT = f"""(SELECT facility_id, CAST(snapshot_date AS DATE) AS date, max
        {" UNION ALL ".join(
            f"SELECT facility_id, date, week(date + INTERVAL 1 DAY)::INTEGER AS week_number, year(date)::INTEGER AS year, region_name, "
            f"'{p}' AS pillar, '{s}' AS section, '{g}' AS metric_group, '{m}' AS metric_name, '{u}' AS unit, round({c}::DOUBLE, 4) AS metric_value "
-           f"FROM b WHERE date > DATE '2001-10-05'" for p, s, g, m, u, c in kpi.BOARD_CATALOG)}""",
+           f"FROM b WHERE date > DATE '2001-10-05'" for p, s, g, m, u, c in expected.BOARD)}""",
 )
 def _(t: Tables) -> DataFrame:
     quality = t.orders.select(
@@ -296,7 +297,7 @@ def _(t: Tables) -> DataFrame:
               WHERE hub_name IS NOT NULL AND operations_region IS NOT NULL)
        SELECT facility_code, l_shipdate AS process_date, country_name, facility_type, geographic_region, operations_region, hub_name,
               lpad(CAST(week(l_shipdate) AS VARCHAR), 2, '0') AS week_number, CAST(isoyear(l_shipdate) AS VARCHAR) AS year,
-              {", ".join(f"round(sum({staffing_sql(STAFFING_COLS.index(c))}), 2) AS {n}" for n, c in kpi.STAFFING.items())},
+              {", ".join(f"round(sum({staffing_sql(STAFFING_COLS.index(c))}), 2) AS {n}" for n, c in expected.STAFFING.items())},
               round(avg(l_quantity + 50), 4) AS avg_efficiency, sum(l_orderkey)::BIGINT AS total_volume, sum(l_linenumber)::BIGINT AS total_errors,
               round(avg(100 - l_quantity), 4) AS avg_quality_score
        FROM lineitem JOIN fl ON facility_code = CAST(l_suppkey AS VARCHAR) WHERE l_shipdate > TIMESTAMP '1999-12-31' GROUP BY ALL""",
@@ -309,7 +310,7 @@ def _(t: Tables) -> DataFrame:
         "facilities": dims.select("facility_code", "operations_region"),
     }
     report = operations.report_ops_metrics(tables, operations.OpsConfig(dt.date(1999, 12, 31)))
-    return rounded(rounded(report, 2, *kpi.STAFFING), 4, "avg_efficiency", "avg_quality_score")
+    return rounded(rounded(report, 2, *expected.STAFFING), 4, "avg_efficiency", "avg_quality_score")
 
 
 # --- cancellations ---------------------------------------------------------
@@ -456,7 +457,7 @@ HOUR_SQL = {"a": "l_quantity", "b": "l_extendedprice", "c": "l_tax", "d": "CASE
                FULL JOIN qe ON coalesce(pb.facility_id, ba.facility_id) = qe.facility_id AND coalesce(pb.date, ba.date) = qe.date),
         u AS ({" UNION ALL ".join(
             f"SELECT {s} AS so, {o} AS mo, '{sub}' AS subcategory, '{met}' AS metric, '{unit}' AS unit, date, region, facility_id, NULL AS process_type, {c} AS metric_value FROM m WHERE {c} IS NOT NULL"
-            for s, o, sub, met, unit, c in hierarchy.CATALOG)}
+            for s, o, sub, met, unit, c in expected.HIERARCHY)}
             UNION ALL SELECT 2, 1, 'Speed', 'SLA - ' || p, 'mins', date, region, m.facility_id, p, mins FROM m
             JOIN (VALUES {", ".join(f"('{a}', '{b}', {c})" for a, b, c in HIER_SLA)}) sla(facility_id, p, mins) ON sla.facility_id = m.facility_id)
        SELECT row_number() OVER (ORDER BY so, mo, date, facility_id NULLS FIRST, process_type NULLS FIRST, region NULLS FIRST, metric_value) AS row_num,

@@ -6,15 +6,23 @@ import pytest
 from pyspark.sql import functions as F
 
 from shiftboard.bindings import load
-from shiftboard.operators import joins, reshape
+from shiftboard.operators import joins, ordered, reshape
+from shiftboard.session import pin
 
 from conftest import plan
 
 SF = "/root/testdata/sf0.001"
 REGISTRY = load()
-# keys whose result is one row, or whose window runs over one row per slice or block
-SLICED = {"row_number_global", "backfill_next", "label_encode", "skip_leading_rows", "report_metric_hierarchy"}
+# one-task windows that are meant: each runs over one row per slice or file block, and is known by its order
+ONE_TASK = {
+    "row_number_global": 1,  # rows before each slice
+    "label_encode": 1,
+    "report_metric_hierarchy": 1,
+    "skip_leading_rows": 1,  # rows before each file block
+    "backfill_next": 2,  # values of later slices, and how many slices there are
+}
 WRITES = {"bundle_sink", "ohlc_incremental"}
+PINNED = ("row_number_global", "backfill_next", "label_encode", "report_metric_hierarchy")
 
 
 @pytest.fixture(scope="module")
@@ -30,12 +38,45 @@ def test_no_python_and_no_cross_product(static, key):
     text = plan(REGISTRY.QUERIES[key](static, SF))
     for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython", "MapInPandas"):
         assert bad not in text
-    if key in SLICED:
-        return
+    assert one_task_windows(text) <= ONE_TASK.get(key, 0)
+
+
+def one_task_windows(text: str) -> int:
+    """Windows whose rows all meet in one task."""
     lines = text.splitlines()
-    for i, line in enumerate(lines):
-        if re.search(r"\bWindow \[", line):
-            assert not any("SinglePartition" in x for x in lines[i : i + 3])
+    found = [i for i, line in enumerate(lines) if re.search(r"\bWindow \[", line)]
+    return sum(any("SinglePartition" in x for x in lines[i : i + 3]) for i in found)
+
+
+@pytest.mark.parametrize("key", PINNED)
+def test_plans_before_a_stored_frame(static, key, monkeypatch):
+    """What is stored on the way has no one-task window, cross product or Python either."""
+    seen = []
+
+    def watched(d):
+        seen.append(plan(d))
+        return pin(d)
+
+    monkeypatch.setattr(ordered, "pin", watched)
+    REGISTRY.QUERIES[key](static, SF)
+    assert seen
+    for text in seen:
+        assert one_task_windows(text) == 0
+        assert not any(bad in text for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "Python"))
+
+
+@pytest.mark.parametrize("key", ["dedupe_rows", "flag_duplicates"])
+def test_texts_do_not_travel_as_keys(static, key):
+    for line in plan(REGISTRY.QUERIES[key](static, SF)).splitlines():
+        if "Exchange hashpartitioning" in line:
+            assert "text" not in line.replace("__digest_text", "")
+
+
+def test_quantiles_shuffle_only_bracketed_values(static):
+    d = static.range(50_000).select((F.col("id") * 1.0).alias("v"))
+    q = ordered.exact_quantiles(d, [], "v", {"m": 0.5})
+    q.collect()
+    assert "RangePartitioning" not in plan(q) and "rangepartitioning" not in plan(q)
 
 
 def pushed(d) -> str:
@@ -60,6 +101,24 @@ def test_date_bounds_reach_the_scan(static, key, column):
     assert re.search(rf"Than(OrEqual)?\({column},", pushed(REGISTRY.QUERIES[key](static, SF)))
 
 
+def test_text_dates_reach_the_scan(static, tmp_path):
+    from shiftboard.plans.quarterly import QuarterlyConfig, report_quarterly_review
+
+    path = str(tmp_path / "late")
+    static.sql(
+        "select 'F' as facility_code, '1998-02-01T00:00:00.000Z' as balance_date, 1.0D as defect_rate, 1L as raw_late_count"
+    ).write.parquet(path)
+    late = static.read.parquet(path)
+    outbound = static.createDataFrame([], "facility_code string, process_path string, category string, clean_date string, performance_score double, weekly_percentage double")
+    tasks = static.read.parquet(f"{SF}/lineitem.parquet").select(
+        F.lit("w").alias("warehouse_id"), F.to_date("l_shipdate").alias("date"), F.lit("g").alias("process_group"), F.lit(1).alias("total_units"),
+        *[F.lit(1.0).alias(c) for c in ("execution_score", "compliance_score", "event_score", "capacity_score", "uncategorized_score", "accuracy_score", "workload_score", "planning_score")],
+    )
+    review = report_quarterly_review({"late": late, "outbound": outbound, "tasks": tasks}, QuarterlyConfig(quarters=("1998-Q1", "1998-Q3")))
+    text = pushed(review["late"])
+    assert "GreaterThanOrEqual(balance_date,1998-01-01)" in text and "LessThan(balance_date,1998-10-01)" in text
+
+
 def test_unpivot_reads_once(static):
     d = static.read.parquet(f"{SF}/lineitem.parquet")
     catalog = [{"metric": c, "column": c} for c in ("l_quantity", "l_tax", "l_discount")]
