@@ -300,3 +300,22 @@ def test_activity_sums_equal_the_merged_rows(rows):
     assert got["fit"].first().n == len(pairs) == 4
     slope = pd.Series(pairs.totalminutesasleep).cov(pairs.totaltimeinbed) / pairs.totaltimeinbed.var()
     assert got["fit"].first().slope == pytest.approx(slope)
+
+
+def test_report_order(rows):
+    from shiftboard.plans.order import report_order
+
+    d = rows([("b", "daily", dt.date(2024, 1, 2), None), ("a", "daily", dt.date(2024, 1, 3), None), ("a", "weekly", None, dt.date(2024, 1, 1)),
+              ("a", "daily", dt.date(2024, 1, 2), None)], "facility_id string, aggregation_level string, date date, week_start_date date")
+    got = [(r.facility_id, r.aggregation_level, r.date) for r in report_order(d, "report_cancellation").collect()]
+    assert got == [("a", "weekly", None), ("a", "daily", dt.date(2024, 1, 2)), ("a", "daily", dt.date(2024, 1, 3)), ("b", "daily", dt.date(2024, 1, 2))]
+
+
+def test_cancellation_ignores_repeated_dimension_rows(rows):
+    from shiftboard.plans import cancellation
+
+    items = rows([("f", dt.datetime(2025, 1, 6), "LATE_SHIPMENT", 2, 10)], "facility_id string, scheduled_delivery_date timestamp_ntz, cancel_reason string, quantity_cancelled long, quantity_requested long")
+    place = ("f", "US", "g", "t", "r")
+    dims = rows([place, place], "facility_id string, country_code string, operations_group string, site_type string, region_name string")
+    got = cancellation.report_cancellation({"items": items, "facilities": dims}).filter("aggregation_level = 'daily'").collect()
+    assert [(r.execution_count, r.total_quantity_requested) for r in got] == [(2, 10)]
