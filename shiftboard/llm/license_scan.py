@@ -1,9 +1,10 @@
 """License scans by a positional rare-token index.
 
 Templates (short licence notices) are indexed by word: word -> (template, position).  Each file is looked
-up by its licence words of highest IDF, counted over all files; a posting and an occurrence name a template and a
-shift, and shifts that two of those words agree on are aligned with the template word by word.  A template is found where
-its mandatory key phrase stands in place and words of at least ``SHARE`` of its IDF weight do.
+up by its licence words of highest IDF, counted over all files, and by the words of key phrases that it has in full; a posting
+and an occurrence name a template and a shift, and shifts that two of those words agree on are aligned with the template
+word by word.  A template is found where its mandatory key phrase stands in place and words of at least ``SHARE`` of its
+IDF weight do.  As the words of its key phrase are always looked up, no file with many licences loses one.
 
 All of it is expressions within a row: no shuffle but the word counts, of which the vocabulary's size reaches the
 driver.  Rows without the words of any key phrase skip the alignment.
@@ -104,8 +105,17 @@ def idf(words: DataFrame, templates: list[Template]) -> dict[str, float]:
     return {w: math.log((1 + files) / (1 + counts.get(w, 0))) + 1e-9 for w in vocab}
 
 
+def has(words: tuple[str, ...]) -> Column:
+    """Whether a file has all these words."""
+    out = F.lit(True)
+    for w in words:
+        out = out & F.array_contains("present", w)
+    return out
+
+
 def aligned(words: Column, present: Column, templates: list[Template], weight: dict[str, float]) -> Column:
     """array<struct<label, share>> of the templates found in place."""
+    keys = sorted({tuple(sorted(set(t.key.split()))) for t in templates})
     vocab = vocabulary(templates)
     weights = F.create_map(*[F.lit(x) for w in vocab for x in (w, weight[w])])
     postings = F.create_map(
@@ -134,6 +144,7 @@ def aligned(words: Column, present: Column, templates: list[Template], weight: d
     )
     ranked = F.array_sort(F.transform(present, lambda w: F.struct((-weights[w]).alias("first"), w.alias("word"))))
     rare = F.transform(F.slice(ranked, 1, RARE_WORDS), lambda s: s["word"])
+    rare = F.array_distinct(F.concat(rare, *[F.when(has(k), strings(list(k))).otherwise(F.array().cast("array<string>")) for k in keys]))
     spots = F.transform(words, lambda w, i: F.struct(w.alias("word"), i.alias("at")))
 
     def within(rare: Column) -> Column:
@@ -171,13 +182,6 @@ def scan(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", te
     weight = idf(read, templates)
     rows = read.withColumn("present", F.array_intersect(strings(vocabulary(templates)), "words"))
     keys = sorted({tuple(sorted(set(t.key.split()))) for t in templates} | {tuple(sorted(set(p.split()))) for p, _ in BASE})
-
-    def has(words: tuple[str, ...]) -> Column:
-        out = F.lit(True)
-        for w in words:
-            out = out & F.array_contains("present", w)
-        return out
-
     maybe = has(keys[0])
     for k in keys[1:]:
         maybe = maybe | has(k)

@@ -142,15 +142,62 @@ def _(spark: SparkSession, directory: str) -> DataFrame:
     return judged.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict")
 
 
-@query("op9_license_positional_index")
+def _license_sql() -> str:
+    """Every template at every shift, as plain SQL; the notices and phrases are the only thing shared with the operator."""
+    rows = ", ".join(
+        f"({t}, '{x.label}', {q}, '{w}', {x.key_at}, {len(x.key.split())})"
+        for t, x in enumerate(license_scan.TEMPLATES)
+        for q, w in enumerate(x.words)
+    )
+    return rf"""WITH doc AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+    tpl(t, label, q, word, key_at, key_len) AS (VALUES {rows}),
+    size AS (SELECT count(*) AS n FROM doc),
+    df AS (SELECT word, count(*) AS c FROM (SELECT unnest(list_distinct(w)) AS word FROM doc) WHERE word IN (SELECT word FROM tpl) GROUP BY 1),
+    weight AS (SELECT DISTINCT tpl.word, ln((1 + n) / (1 + coalesce(c, 0))) + 1e-9 AS x FROM tpl LEFT JOIN df USING (word), size),
+    total AS (SELECT t, sum(x) AS total FROM tpl JOIN weight USING (word) GROUP BY 1),
+    place AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS p FROM doc),
+    hit AS (SELECT doc_id, t, any_value(label) AS label, any_value(key_len) AS key_len, sum(x) AS s, count(*) FILTER (q >= key_at AND q < key_at + key_len) AS k
+        FROM place JOIN tpl USING (word) JOIN weight USING (word) GROUP BY doc_id, t, p - q),
+    found AS (SELECT doc_id, label, least(s / total, 1.0) AS share FROM hit JOIN total USING (t) WHERE k = key_len AND s / total >= 0.7),
+    base AS (SELECT doc_id, 'mit' AS label, unnest(list_filter(range(1, len(w)), lambda i: w[i] = 'mit' AND w[i + 1] = 'license')) - 1 AS p FROM doc
+        UNION ALL SELECT doc_id, 'apache', unnest(list_filter(range(1, len(w)), lambda i: w[i] = 'apache' AND w[i + 1] = 'license')) - 1 FROM doc
+        UNION ALL SELECT doc_id, 'gpl', unnest(list_filter(range(1, len(w) - 1), lambda i: w[i] = 'general' AND w[i + 1] = 'public' AND w[i + 2] = 'license')) - 1 FROM doc),
+    places AS (SELECT doc_id, count(*) AS n, min(p) AS a, max(p) AS z, string_agg(DISTINCT label, ',' ORDER BY label) AS list FROM base GROUP BY 1),
+    both_labels AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS list FROM (SELECT doc_id, label FROM base UNION SELECT doc_id, label FROM found) GROUP BY 1),
+    best AS (SELECT doc_id, max(share) AS share FROM found GROUP BY 1)
+    SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(places.n, 0)::BIGINT AS n_base, a::BIGINT AS first_word, z::BIGINT AS last_word, coalesce(places.list, '') AS base_labels,
+        coalesce(both_labels.list, '') AS labels, CASE WHEN places.n > 0 THEN 1.0::DOUBLE ELSE round(coalesce(share, 0), 9)::DOUBLE END AS score
+    FROM doc LEFT JOIN places USING (doc_id) LEFT JOIN both_labels USING (doc_id) LEFT JOIN best USING (doc_id)"""
+
+
+@query("op9_license_positional_index", _license_sql())
 def _(spark: SparkSession, directory: str) -> DataFrame:
     found = license_scan.scan(table(spark, directory, "documents"))
     counts = ["n_words", "n_base", "first_word", "last_word"]
     joined = [F.array_join(c, ",").alias(c) for c in ("base_labels", "labels")]
-    return found.select(F.col("id").alias("doc_id"), *counts, *joined, "score")
+    return found.select(F.col("id").alias("doc_id"), *counts, *joined, F.round("score", 9).alias("score"))
 
 
-@query("op7_line_deletion_neighbourhood")
+@query(
+    "op7_line_deletion_neighbourhood",
+    """WITH l AS (SELECT doc_id AS d, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i
+            FROM documents WHERE text IS NOT NULL),
+    b AS (SELECT d, i, raw, trim(raw, ' ' || chr(9) || chr(13)) AS body FROM l),
+    f AS (SELECT body, min({'d': d, 'i': i}) AS first, length(body) AS n FROM b WHERE body <> '' GROUP BY body),
+    m AS (SELECT body, first, n, unnest([n, n - 1]) AS m FROM f WHERE n >= 20),
+    half AS (SELECT body, first, n, m, 'left' AS side, left(body, m // 2) AS part FROM m
+        UNION ALL SELECT body, first, n, m, 'right', right(body, m - m // 2) FROM m),
+    pair AS (SELECT DISTINCT x.body AS a, y.body AS e, x.n AS na, y.n AS ne FROM half x
+        JOIN half y ON x.m = y.m AND x.side = y.side AND x.part = y.part AND y.first < x.first AND abs(x.n - y.n) <= 1),
+    near AS (SELECT DISTINCT a FROM pair WHERE CASE WHEN na = ne THEN len(list_filter(range(1, na + 1), lambda k: a[k] <> e[k])) = 1
+        WHEN na > ne THEN len(list_filter(range(1, na + 1), lambda k: left(a, k - 1) || substr(a, k + 1) = e)) > 0
+        ELSE len(list_filter(range(1, ne + 1), lambda k: left(e, k - 1) || substr(e, k + 1) = a)) > 0 END),
+    kept AS (SELECT d, i, raw FROM b LEFT JOIN f USING (body) LEFT JOIN near ON a = body WHERE body = '' OR (first = {'d': d, 'i': i} AND a IS NULL)),
+    t AS (SELECT d, string_agg(raw, chr(10) ORDER BY i) AS text, count(*) AS n FROM kept GROUP BY 1)
+    SELECT doc_id, CASE WHEN documents.text IS NULL THEN 0 ELSE coalesce(n, 1) END::BIGINT AS n_lines, sha256(coalesce(t.text, '')) AS text_sha256
+    FROM documents LEFT JOIN t ON d = doc_id""",
+)
 def _(spark: SparkSession, directory: str) -> DataFrame:
     documents = table(spark, directory, "documents")
     return line_digest(line_dedup.dedup_lines(documents))
