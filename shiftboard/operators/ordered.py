@@ -39,6 +39,25 @@ def row_number_global(d: DataFrame, order: Sequence[Column | str], name: str = "
     return joined.select(*d.columns, (F.col("__before") + F.col(POS) + 1).alias(name))
 
 
+def row_number_grouped(d: DataFrame, lead: Sequence[str], rest: Sequence[str], name: str = "row_num") -> DataFrame:
+    """1-based row number in the order of ``lead``, then ``rest``; the order must be total.
+
+    For orders whose leading columns name many groups of a bounded size, such as metric and day: the groups are the
+    slices, so nothing is sampled or stored, and a recomputed task numbers its rows alike.  Only one count per group
+    is put in order by one task.
+    """
+    lead = list(lead)
+    before = Window.orderBy(*lead).rowsBetween(Window.unboundedPreceding, -1)
+    counts = d.groupBy(*lead).agg(F.count("*").alias("__n"))
+    offsets = counts.select(
+        *[F.col(c).alias(f"__k_{c}") for c in lead], F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before")
+    )
+    within = Window.partitionBy(*lead).orderBy(*rest)
+    numbered = d.withColumn("__place", F.row_number().over(within))
+    joined = numbered.join(offsets, [F.col(c).eqNullSafe(F.col(f"__k_{c}")) for c in lead])
+    return joined.select(*d.columns, (F.col("__before") + F.col("__place")).alias(name))
+
+
 def backfill_next(
     d: DataFrame, cols: Sequence[str], order: Sequence[str], part: Sequence[str] | None = None
 ) -> DataFrame:

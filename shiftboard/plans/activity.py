@@ -15,6 +15,7 @@ from ..operators.project import rename_columns
 from ..operators.reshape import melt_long
 from ..operators.stats import summary_stats, weighted_fit
 from .bundle import Bundle
+from .names import accepts_names
 
 KEY = ["id", "weekday"]
 # Measures stacked per weekday in the two charts.
@@ -38,6 +39,7 @@ def prepared(tables: Mapping[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
     return activity, sleep.withColumn("weekday", cal.date_names("date", "weekday"))
 
 
+@accepts_names
 def report_activity_sleep(
     tables: Mapping[str, DataFrame], config: ActivityConfig = ActivityConfig()
 ) -> Bundle:

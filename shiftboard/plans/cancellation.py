@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import calendar as cal
 from ..functions.ratios import rate_dpmo, ratio_or_null
 from ..operators.filters import filter_date_floor
+from .names import accepts_names
 
 # Cancellation reasons by family.
 FAMILIES = {
@@ -85,6 +86,7 @@ def daily_cancellations(tables: Mapping[str, DataFrame], config: CancellationCon
     )
 
 
+@accepts_names
 def report_cancellation(
     tables: Mapping[str, DataFrame], config: CancellationConfig = CancellationConfig()
 ) -> DataFrame:

@@ -16,6 +16,7 @@ from ..operators.sets import skip_top_n
 from ..operators.stats import box_stats
 from ..operators.windows import quantile_cut
 from .bundle import Bundle
+from .names import accepts_names
 
 # Continent numbers and industry spellings with their repairs.
 CONTINENTS = {"North America": 1, "Asia": 2, "Europe": 3, "South America": 4, "Oceania": 5, "Africa": 6}
@@ -74,6 +75,7 @@ def validated(companies: DataFrame, config: CompanyConfig) -> DataFrame:
     ).withColumn("years_to_join", F.col("year_joined") - F.col("year_founded"))
 
 
+@accepts_names
 def report_company_valuation(
     tables: Mapping[str, DataFrame], config: CompanyConfig = CompanyConfig()
 ) -> Bundle:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.labels import code_to_label
 from ..operators.aggregate import cost_share_bps
 from ..operators.joins import join_dim_enrich
+from .names import accepts_names
 
 # Country names by region code.
 COUNTRIES = {
@@ -46,6 +47,7 @@ class CostConfig:
     categories: Mapping[str, str] = field(default_factory=lambda: dict(CATEGORIES))
 
 
+@accepts_names
 def report_cost_variance(tables: Mapping[str, DataFrame], config: CostConfig = CostConfig()) -> DataFrame:
     """Over-budget cost per category, in basis points of the weekly plan and in amount.
 

@@ -11,6 +11,7 @@ from ..functions.ratios import ratio_or_null
 from ..operators.aggregate import argmax_key, value_counts
 from ..operators.sets import dedupe_rows
 from .bundle import Bundle
+from .names import accepts_names
 
 
 @dataclass(frozen=True)
@@ -23,6 +24,7 @@ class DemographicsConfig:
     country: str = "India"
 
 
+@accepts_names
 def report_demographics(
     tables: Mapping[str, DataFrame], config: DemographicsConfig = DemographicsConfig()
 ) -> Bundle:

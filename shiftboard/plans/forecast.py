@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import calendar as cal
 from ..functions.ratios import alignment_status, pct_diff_raw
 from ..operators.filters import filter_date_floor
+from .names import accepts_names
 
 Tables = Mapping[str, DataFrame]
 VALUES = ("forecast_value_a", "forecast_value_b", "actual_value_a", "actual_value_b")
@@ -64,6 +65,7 @@ def forecast_accuracy(tables: Tables, config: ForecastConfig) -> DataFrame:
     return days.withColumns(outputs)
 
 
+@accepts_names
 def report_forecast_alignment(tables: Tables, config: ForecastConfig = ForecastConfig()) -> DataFrame:
     """Forecast rows beside the facility-day's downtime and approved incidents.
 

@@ -12,6 +12,7 @@ from ..functions.text import bmi, unit_convert
 from ..operators.reshape import melt_group_count
 from ..operators.stats import corr_matrix, quantile_trim
 from .bundle import Bundle
+from .names import accepts_names
 
 # The columns counted per condition, in order.
 COUNTED = ("cholesterol", "gluc", "smoke", "alco", "active")
@@ -35,6 +36,7 @@ def screened(exams: DataFrame, config: HealthConfig) -> DataFrame:
     ).withColumn("overweight", binary_flag(F.col("bmi") > config.overweight))
 
 
+@accepts_names
 def report_health_screen(
     tables: Mapping[str, DataFrame], config: HealthConfig = HealthConfig()
 ) -> Bundle:

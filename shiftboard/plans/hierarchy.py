@@ -13,7 +13,8 @@ from ..functions.labels import code_to_label
 from ..functions.ratios import ratio_bps
 from ..operators.filters import filter_date_floor
 from ..operators.joins import join_full_outer_chain
-from ..operators.ordered import row_number_global
+from ..operators.ordered import row_number_grouped
+from .names import accepts_names
 
 Tables = Mapping[str, DataFrame]
 
@@ -134,6 +135,7 @@ def buffer_hours(tables: Tables, config: HierarchyConfig) -> DataFrame:
     return days.join(hubs, "facility_id")
 
 
+@accepts_names
 def report_metric_hierarchy(tables: Tables, config: HierarchyConfig = HierarchyConfig()) -> DataFrame:
     """All measures as numbered rows: category, subcategory, metric, unit, date, facility.
 
@@ -183,7 +185,7 @@ def report_metric_hierarchy(tables: Tables, config: HierarchyConfig = HierarchyC
         "facility_id",
         F.inline(F.concat(measures, targets) if config.sla else measures),
     )
-    order_by = ["category_order", "subcategory_order", "metric_order", "date", "facility_id", "process_type"]
-    # region and value only settle ties, so the numbering is total
-    numbered = row_number_global(rows, [*order_by, "region", "metric_value"], "row_num")
+    # a metric's day holds a few rows per facility; region and value only settle ties, so the numbering is total
+    by_day = ["category_order", "subcategory_order", "metric_order", "date"]
+    numbered = row_number_grouped(rows, by_day, ["facility_id", "process_type", "region", "metric_value"])
     return numbered.drop("category_order", "subcategory_order", "metric_order")

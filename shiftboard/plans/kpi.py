@@ -15,6 +15,7 @@ from ..operators.filters import filter_date_floor, filter_relative_months
 from ..operators.joins import join_dim_enrich, join_full_outer_chain
 from ..operators.reshape import metric_unpivot
 from ..operators.windows import change
+from .names import accepts_names
 
 Tables = Mapping[str, DataFrame]
 
@@ -100,6 +101,7 @@ TREND = {
 FACILITY_COLS = ("country_name", "region_name", "hub_name", "facility_type", "operations_region", "geographic_region")
 
 
+@accepts_names
 def report_kpi_trend(tables: Tables, config: KpiTrendConfig = KpiTrendConfig()) -> DataFrame:
     """Daily basis points, 7-row change and moving average, flags, facility attributes.
 
@@ -200,6 +202,7 @@ def multi_kpi_base(tables: Tables, config: MultiKpiConfig) -> DataFrame:
     return join_full_outer_chain([performance, staffing, quality], ["facility_id", "date"], config.unique_keys)
 
 
+@accepts_names
 def report_multi_kpi(tables: Tables, config: MultiKpiConfig) -> DataFrame:
     """Every facility-day with every catalog metric, long; missing measures stay as NULL rows.
 

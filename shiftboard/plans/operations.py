@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import calendar as cal
 from ..operators.filters import filter_date_floor
 from .kpi import STAFFING
+from .names import accepts_names
 
 
 @dataclass(frozen=True)
@@ -31,6 +32,7 @@ def facility_list(tables: Mapping[str, DataFrame]) -> DataFrame:
     )
 
 
+@accepts_names
 def report_ops_metrics(tables: Mapping[str, DataFrame], config: OpsConfig = OpsConfig()) -> DataFrame:
     """Staffing hours and costs, efficiency, volume, errors and quality by day.
 

@@ -12,6 +12,7 @@ from ..functions.ratios import alignment_status, pct_diff_raw, round_half_even
 from ..functions.text import num_coerce
 from ..operators.project import project_columns
 from ..sources.files import inline_config, skip_leading_rows
+from .names import accepts_names
 
 
 @dataclass(frozen=True)
@@ -35,6 +36,7 @@ def working_minutes(spark: SparkSession) -> DataFrame:
     return minutes(cal.PERIODS, "period").join(minutes(cal.SHIFTS, "shift"), "minute")
 
 
+@accepts_names
 def report_productivity(
     tables: Mapping[str, DataFrame], config: ProductivityConfig = ProductivityConfig()
 ) -> DataFrame:

@@ -13,6 +13,7 @@ from ..functions.ratios import round_half_even
 from ..functions.text import str_rstrip_iso
 from ..operators.aggregate import category_mean_bars
 from ..operators.filters import filter_period
+from .names import accepts_names
 
 # The parts of the total task score.
 SCORES = (
@@ -61,6 +62,7 @@ def _labelled(d: DataFrame, date: str, quarters: Sequence[str], is_text: bool =
 PERIODS = ("week_number", "month", "quarter", "year")
 
 
+@accepts_names
 def report_quarterly_review(
     tables: Mapping[str, DataFrame], config: QuarterlyConfig = QuarterlyConfig()
 ) -> dict[str, DataFrame]:

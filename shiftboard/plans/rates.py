@@ -11,6 +11,7 @@ from ..functions import calendar as cal
 from ..functions.ratios import pct_diff_raw, round_half_even
 from ..functions.text import fmt_number, num_coerce, str_concat, str_replace
 from ..operators.reshape import melt_long
+from .names import accepts_names
 
 RATES = ("predicted_rate", "actual_rate", "planned_rate")
 
@@ -49,6 +50,7 @@ def _means(d: DataFrame, keys: Sequence[str], digits: int) -> DataFrame:
     )
 
 
+@accepts_names
 def report_rate_comparison(tables: Mapping[str, DataFrame], config: RateConfig = RateConfig()) -> dict[str, DataFrame]:
     """``summary`` by process, crew and interval; ``by_time`` long per process; ``deviation`` by crew.
 

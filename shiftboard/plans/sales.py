@@ -12,6 +12,7 @@ from ..functions.text import str_concat
 from ..operators.aggregate import value_counts
 from ..operators.stats import box_stats, histogram_bins, kde_density
 from .bundle import Bundle
+from .names import accepts_names
 
 
 @dataclass(frozen=True)
@@ -28,6 +29,7 @@ class SalesConfig:
     grid: int = 1000
 
 
+@accepts_names
 def report_sales_eda(tables: Mapping[str, DataFrame], config: SalesConfig = SalesConfig()) -> Bundle:
     """``tables``: ``sales`` (year, month name, day, customer_age, country, state,
     product_category, sub_category, product, order_quantity, profit, revenue)."""

@@ -14,6 +14,7 @@ from ..operators.filters import filter_period
 from ..operators.sets import concat_frames, top_n
 from ..operators.stats import box_stats
 from .bundle import Bundle
+from .names import accepts_names
 
 
 @dataclass(frozen=True)
@@ -23,6 +24,7 @@ class SeasonalityConfig:
     days: int = 10
 
 
+@accepts_names
 def report_event_seasonality(tables: Mapping[str, DataFrame], config: SeasonalityConfig) -> Bundle:
     """``tables``: ``current`` and ``earlier`` (date, strikes, place; extra columns dropped).
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators.quality import drop_missing_rows
 from ..operators.stats import linear_fit
+from .names import accepts_names
 
 
 @dataclass(frozen=True)
@@ -18,6 +19,7 @@ class TrendConfig:
     last_year: int = 2050
 
 
+@accepts_names
 def report_trend_projection(tables: Mapping[str, DataFrame], config: TrendConfig = TrendConfig()) -> DataFrame:
     """``tables``: ``levels`` (year, level).  Rows ``(fit, year, predicted)``."""
     levels = drop_missing_rows(tables["levels"], ["year", "level"])

@@ -13,6 +13,7 @@ from ..operators.project import positional_header
 from ..operators.reshape import pivot_wide_plain, pivot_wide_sum
 from ..operators.stats import median_by_group
 from .bundle import Bundle
+from .names import accepts_names
 
 # The headers each extract is given by position.
 HEADERS = {
@@ -55,6 +56,7 @@ def _dated(d: DataFrame, column: str, sep: str) -> DataFrame:
     )
 
 
+@accepts_names
 def report_weekly_site_bundle(
     tables: Mapping[str, DataFrame], config: WeeklySitesConfig = WeeklySitesConfig()
 ) -> Bundle:

@@ -150,6 +150,13 @@ def test_value_counts_skip_missing(rows):
 
 # --- ordered recipes -------------------------------------------------------
 
+def test_grouped_row_number_matches_naive(spark):
+    d = spark.range(500).select((F.col("id") % 7).alias("a"), F.when(F.col("id") % 11 != 0, F.col("id") % 11).alias("b"), "id")
+    got = {r.id: r.n for r in ordered.row_number_grouped(d, ["a", "b"], ["id"], "n").collect()}
+    rows = sorted(d.collect(), key=lambda r: (r.a, r.b is not None, r.b or 0, r.id))
+    assert got == {r.id: i for i, r in enumerate(rows, 1)}
+
+
 def test_row_number_matches_naive(spark):
     d = spark.range(0, 1000, 1, 7).select((F.col("id") % 13).alias("g"), "id", F.xxhash64("id").alias("h"))
     got = ordered.row_number_global(d, ["g", F.desc("h")], "rn")

@@ -17,12 +17,12 @@ REGISTRY = load()
 ONE_TASK = {
     "row_number_global": 1,  # rows before each slice
     "label_encode": 1,
-    "report_metric_hierarchy": 1,
+    "report_metric_hierarchy": 1,  # rows before each metric and day
     "skip_leading_rows": 1,  # rows before each file block
     "backfill_next": 2,  # values of later slices, and how many slices there are
 }
 WRITES = {"bundle_sink", "ohlc_incremental"}
-PINNED = ("row_number_global", "backfill_next", "label_encode", "report_metric_hierarchy")
+PINNED = ("row_number_global", "backfill_next", "label_encode")
 
 
 @pytest.fixture(scope="module")

@@ -319,3 +319,18 @@ def test_cancellation_ignores_repeated_dimension_rows(rows):
     dims = rows([place, place], "facility_id string, country_code string, operations_group string, site_type string, region_name string")
     got = cancellation.report_cancellation({"items": items, "facilities": dims}).filter("aggregation_level = 'daily'").collect()
     assert [(r.execution_count, r.total_quantity_requested) for r in got] == [(2, 10)]
+
+
+def test_reports_read_other_column_names(rows):
+    tables = kpi_tables(rows)
+    own = {"volumes": {"snapshot_date": "vol_day"}, "performance": {"facility_id": "site", "constraint_impact": "capacity_constraint_impact"}}
+    other = dict(tables)
+    for table, columns in own.items():
+        other[table] = other[table].withColumnsRenamed(columns)
+    config = kpi.KpiTrendConfig()
+    plain = kpi.report_kpi_trend(tables, config)
+    assert as_set(kpi.report_kpi_trend(other, config, names=own)) == as_set(plain)
+    with pytest.raises(ValueError, match="has no columns"):
+        kpi.report_kpi_trend(tables, config, names=own)
+    with pytest.raises(ValueError, match="no such tables"):
+        kpi.report_kpi_trend(tables, config, names={"x": {}})
