@@ -125,7 +125,8 @@ def repeated_lines(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
     # their texts, by the documents they are in; rows that share an id are told apart by the hash
     by_doc = wanted.groupBy(F.col("first.doc").alias("doc")).agg(F.collect_set("first.line").alias("lines"))
     texts = documents.select(F.col(doc_id).alias("doc"), F.split(F.col(text).cast("string"), "\n").alias("raw"))
-    found = texts.join(by_doc, texts["doc"].eqNullSafe(by_doc["doc"])).drop(by_doc["doc"])
+    # a list that grows with the documents is never broadcast, also where it is still small
+    found = texts.join(by_doc.hint("merge"), texts["doc"].eqNullSafe(by_doc["doc"])).drop(by_doc["doc"])
     found = found.select("doc", F.explode("lines").alias("line"), "raw")
     found = found.select("doc", "line", F.btrim(F.get("raw", F.col("line")), F.lit(BLANK)).alias("body"))
     found = _hashes(found.filter("body <> ''")).select("h1", "h2", place.alias("first"), "body")
@@ -144,7 +145,7 @@ def dedup_lines(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "te
     gone = store.keep(repeated_lines(documents, doc_id=doc_id, text=text), "gone")
     names = documents.columns
     gone = gone.select(F.col("doc").alias(GOES + "_in"), F.col("lines").alias(GOES))
-    rows = documents.join(gone, F.col(doc_id).eqNullSafe(F.col(GOES + "_in")), "left")
+    rows = documents.join(gone.hint("merge"), F.col(doc_id).eqNullSafe(F.col(GOES + "_in")), "left")
 
     def rewrite(lines: Column) -> Column:
         left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(GOES))
