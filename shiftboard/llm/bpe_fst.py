@@ -25,9 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .pieces import Splitter
-from .ship import map_arrow
+from .ship import map_arrow, resident
 
-MOST_STATES = 400_000
+MOST_STATES = 250_000
 MOST_PAIRS = 500_000
 MOST_PIECES = 150_000  # remembered matches of each of two generations
 LONGEST_PIECE = 64  # characters of a match worth remembering
@@ -251,16 +251,10 @@ def decode_stream(chunks: Iterator[bytes], token_bytes: list[bytes]) -> Iterator
     yield stream.close()
 
 
-_LOADED: dict[str, Tokenizer] = {}
-
-
 def tokenizer(content: bytes, pattern: str) -> Tokenizer:
     """One tokenizer per worker process and vocabulary."""
     key = hashlib.sha256(content + pattern.encode()).hexdigest()
-    if key not in _LOADED:
-        _LOADED.clear()
-        _LOADED[key] = Tokenizer(read_ranks(content), pattern)
-    return _LOADED[key]
+    return resident(key, lambda: Tokenizer(read_ranks(content), pattern))
 
 
 CHUNK = 1 << 16  # bytes of ids the decoder takes at once
@@ -283,7 +277,7 @@ def encode(documents: DataFrame, ranks: bytes, pattern: str, *, doc_id: str = "d
                 yield pa.RecordBatch.from_arrays([part.column("id"), sizes, pa.array(ids, pa.binary())], ["id", "n_tokens", "ids"])
 
     kind = documents.schema[doc_id].dataType.simpleString()
-    return map_arrow(_texts(documents, doc_id, text), step, f"id {kind}, n_tokens bigint, ids binary")
+    return map_arrow(_texts(documents, doc_id, text), step, f"id {kind}, n_tokens bigint, ids binary", keeps=True)
 
 
 def decode(encoded: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
@@ -299,7 +293,7 @@ def decode(encoded: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(texts, pa.string())], ["id", "text"])
 
     kind = encoded.schema["id"].dataType.simpleString()
-    return map_arrow(encoded.select("id", "ids"), step, f"id {kind}, text string")
+    return map_arrow(encoded.select("id", "ids"), step, f"id {kind}, text string", keeps=True)
 
 
 def round_trip(documents: DataFrame, ranks: bytes, pattern: str, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -322,4 +316,4 @@ def round_trip(documents: DataFrame, ranks: bytes, pattern: str, *, doc_id: str
                 yield pa.RecordBatch.from_arrays(columns, ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = documents.schema[doc_id].dataType.simpleString()
-    return map_arrow(_texts(documents, doc_id, text), step, f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return map_arrow(_texts(documents, doc_id, text), step, f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string", keeps=True)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
@@ -33,7 +35,35 @@ def package(spark: SparkSession) -> None:
     sc._text_package_sent = True
 
 
-def map_arrow(d: DataFrame, step: Callable, schema: str | StructType) -> DataFrame:
-    """``mapInArrow`` with this package at hand on every executor."""
+_RESIDENT: dict[str, Any] = {}
+
+
+def resident(key: str, build: Callable[[], Any]) -> Any:
+    """A large object that a worker process keeps from task to task: one at a time."""
+    if key not in _RESIDENT:
+        _RESIDENT.clear()
+        _RESIDENT[key] = build()
+    return _RESIDENT[key]
+
+
+def forget() -> None:
+    """Free what an earlier operator's tasks left in this worker process."""
+    if _RESIDENT:
+        _RESIDENT.clear()
+        gc.collect()
+
+
+def map_arrow(d: DataFrame, step: Callable, schema: str | StructType, keeps: bool = False) -> DataFrame:
+    """``mapInArrow`` with this package at hand on every executor.
+
+    ``keeps``: the step uses ``resident``.  Workers serve many operators in turn, so any other step frees it first.
+    """
     package(d.sparkSession)
-    return d.mapInArrow(step, schema)
+    if keeps:
+        return d.mapInArrow(step, schema)
+
+    def alone(batches: Iterator) -> Iterator:
+        forget()
+        yield from step(batches)
+
+    return d.mapInArrow(alone, schema)
