@@ -16,6 +16,12 @@ def _mark(d: DataFrame):
     return d.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first()
 
 
+def _is_stars(d: DataFrame) -> bool:
+    """Whether each node points to one smaller node that points nowhere: then there is nothing to do."""
+    forked = d.groupBy("u").agg(F.count("*").alias("n")).filter("n > 1")
+    return forked.isEmpty() and d.join(d.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty()
+
+
 def smallest_reachable(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node that has an edge; component is its smallest reachable node.
 
@@ -28,8 +34,8 @@ def smallest_reachable(edges: DataFrame, a: str = "a", b: str = "b") -> DataFram
     spark = edges.sparkSession
     now = edges.dropna(subset=[a, b]).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
     now = store.keep(now.filter("u > v").distinct(), "edges")
-    seen = _mark(now)
-    while True:
+    seen = None if _is_stars(now) else _mark(now)
+    while seen is not None:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = _least(both).select("u", F.least("u", "m").alias("m"))
         # large star: larger neighbours move to the smallest neighbour

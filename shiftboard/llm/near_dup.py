@@ -7,8 +7,9 @@ the collision probability of every bin equal to the Jaccard similarity.  Bands o
 Documents with equal shingle sets are one class from the start, so copies meet as one row.
 Within a bucket only a star of candidate edges is made, from its most connected member to the others: a
 bucket of m members costs m - 1 pairs.  Every edge is confirmed on the full shingle sets.  Buckets
-whose members do not all end up in one component go another round, around a member of their smallest
-component, until a round links nothing new.  Rounds have no fixed number; each costs at most one pair per bucket entry.
+whose members do not all end up in one component go another round, around the next member of their largest
+component, until a round links nothing new.  Rounds have no fixed number; each costs at most one pair for each member that
+is still outside.
 
 Defined results: null, empty or wordless texts have an empty set, link with nothing and are kept; a
 text of fewer words than a shingle is one shingle; rows that share a document id are
@@ -156,19 +157,22 @@ def near_duplicates(
     reps = store.keep(reps, "classes")
     # a document id with several texts has a row in several classes; both are the same node
     entries = reps.select("rep", "n", F.explode("keys").alias("key"))
-    shared = entries.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
-    members = store.keep(entries.join(shared, "key"), "buckets")
-    weight = members.groupBy("rep").agg(F.sum("size").alias("weight"))
+    # similar documents share many buckets; those with the same members are one, counted
+    held = [F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "rep")).alias("y")]
+    shapes = entries.groupBy("key").agg(F.count("*").alias("size"), *held).filter("size > 1")
+    shapes = shapes.groupBy("size", "x", "y").agg(F.min("key").alias("key"), (F.col("size") * F.count("*")).alias("weight"))
+    members = store.keep(entries.join(shapes.select("key", "weight"), "key"), "buckets")
+    weight = members.groupBy("rep").agg(F.sum("weight").alias("weight"))
     n_reps = weight.count()
     wanted = bloom.build(map_arrow(weight.select("rep"), id_hashes, "key bigint"), F.col("key"), n_reps)
     sets = map_arrow(texts, set_rows(shingle, lower, wanted), "rep bigint, shingles array<bigint>")
     sets = store.keep(sets, "sets")
-    # a node's component so far; larger ones give way as hubs to members of the smallest
+    # a node's component so far
     nodes = members.select("rep", "n").distinct().join(weight, "rep").withColumn("component", F.col("rep"))
     nodes = store.keep(nodes, "nodes")
     open_ = members.select("key", "rep")
     while not open_.isEmpty():
-        sizes = nodes.groupBy("component").agg((-F.count("*")).alias("first"))
+        sizes = nodes.groupBy("component").agg(F.count("*").alias("first"))
         placed = open_.join(nodes.join(sizes, "component"), "rep")
         order = F.struct("first", "weight", (-F.col("rep")).alias("low"))
         hub = placed.groupBy("key").agg(F.max_by(F.struct("rep", "n", "component"), order).alias("hub"))
@@ -180,12 +184,14 @@ def near_duplicates(
             break
         merged = smallest_reachable(new, "component", "other").select(F.col("node").alias("component"), F.col("component").alias("into"))
         moved = nodes.join(merged, "component", "left").withColumn("component", F.coalesce("into", "component")).drop("into")
-        nodes = store.keep(moved, "nodes")
+        before, nodes = nodes, store.keep(moved, "nodes")
         # buckets whose other members are still apart go another round
         rest = placed.select("key", "rep").join(hub.select("key", F.col("hub.rep").alias("hub")), "key").filter("rep <> hub")
         rest = rest.select("key", "rep").join(nodes.select("rep", "component"), "rep")
         apart = rest.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-        open_ = store.keep(rest.select("key", "rep").join(apart.filter("low <> high").select("key"), "key"), "open")
+        was_open, open_ = open_, store.keep(rest.select("key", "rep").join(apart.filter("low <> high").select("key"), "key"), "open")
+        for done in (before, was_open, new):
+            store.drop(spark, done)
     found = reps.select(*same, "rep").join(nodes.select("rep", "component"), "rep", "left")
     found = found.withColumn("component", F.coalesce("component", "rep"))
     alone = sketches.filter("id is null or n = 0").select("id", "n", F.col("id").alias("component"))
