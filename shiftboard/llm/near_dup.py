@@ -7,8 +7,8 @@ the collision probability of every bin equal to the Jaccard similarity.  Bands o
 Documents with equal shingle sets are one class from the start, so copies meet as one row.
 Within a bucket only a star of candidate edges is made, from its most connected member to the others: a
 bucket of m members costs m - 1 pairs.  Every edge is confirmed on the full shingle sets.  Buckets
-whose members do not all end up in one component go another round, around the next member of their largest
-component, until a round links nothing new.  Rounds have no fixed number; each costs at most one pair for each member that
+whose members do not all end up in one component go another round, around their next most connected
+member, until a round links nothing new.  Rounds have no fixed number; each costs at most one pair for each member that
 is still outside.
 
 Defined results: null, empty or wordless texts have an empty set, link with nothing and are kept; a
@@ -167,30 +167,31 @@ def near_duplicates(
     wanted = bloom.build(map_arrow(weight.select("rep"), id_hashes, "key bigint"), F.col("key"), n_reps)
     sets = map_arrow(texts, set_rows(shingle, lower, wanted), "rep bigint, shingles array<bigint>")
     sets = store.keep(sets, "sets")
-    # a node's component so far
-    nodes = members.select("rep", "n").distinct().join(weight, "rep").withColumn("component", F.col("rep"))
-    nodes = store.keep(nodes, "nodes")
-    open_ = members.select("key", "rep")
+    # a node's component so far; bucket entries carry it along, so that rounds need not look it up
+    nodes = store.keep(weight.select("rep", F.col("rep").alias("component")), "nodes")
+    entries = members.select("key", "rep", "n").join(weight, "rep").withColumn("component", F.col("rep"))
+    open_ = store.keep(entries, "open")
     while not open_.isEmpty():
-        sizes = nodes.groupBy("component").agg(F.count("*").alias("first"))
-        placed = open_.join(nodes.join(sizes, "component"), "rep")
-        order = F.struct("first", "weight", (-F.col("rep")).alias("low"))
-        hub = placed.groupBy("key").agg(F.max_by(F.struct("rep", "n", "component"), order).alias("hub"))
-        star = placed.join(hub, "key").filter("component <> hub.component")
+        order = F.struct("weight", (-F.col("rep")).alias("low"))
+        hub = open_.groupBy("key").agg(F.max_by(F.struct("rep", "n", "component"), order).alias("hub"))
+        star = open_.join(hub, "key").filter("component <> hub.component")
         likely = star.filter(100 * F.least("n", "hub.n") >= percent * F.greatest("n", "hub.n"))
         edges = likely.select("rep", F.col("hub.rep").alias("hub"), "component", F.col("hub.component").alias("other"))
         new = store.keep(confirmed(edges.distinct(), sets, percent).select("component", "other"), "links")
         if new.isEmpty():
             break
         merged = smallest_reachable(new, "component", "other").select(F.col("node").alias("component"), F.col("component").alias("into"))
-        moved = nodes.join(merged, "component", "left").withColumn("component", F.coalesce("into", "component")).drop("into")
-        before, nodes = nodes, store.keep(moved, "nodes")
+
+        def moved(d: DataFrame) -> DataFrame:
+            return d.join(merged, "component", "left").withColumn("component", F.coalesce("into", "component")).drop("into")
+
+        before, nodes = nodes, store.keep(moved(nodes), "nodes")
         # buckets whose other members are still apart go another round
-        rest = placed.select("key", "rep").join(hub.select("key", F.col("hub.rep").alias("hub")), "key").filter("rep <> hub")
-        rest = rest.select("key", "rep").join(nodes.select("rep", "component"), "rep")
+        rest = open_.join(hub.select("key", F.col("hub.rep").alias("hub")), "key").filter("rep <> hub").drop("hub")
+        rest = store.keep(moved(rest), "rest")
         apart = rest.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-        was_open, open_ = open_, store.keep(rest.select("key", "rep").join(apart.filter("low <> high").select("key"), "key"), "open")
-        for done in (before, was_open, new):
+        was_open, open_ = open_, store.keep(rest.join(apart.filter("low <> high").select("key"), "key"), "open")
+        for done in (before, was_open, rest, new):
             store.drop(spark, done)
     found = reps.select(*same, "rep").join(nodes.select("rep", "component"), "rep", "left")
     found = found.withColumn("component", F.coalesce("component", "rep"))
