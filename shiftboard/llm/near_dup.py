@@ -11,6 +11,10 @@ whose members do not all end up in one component go another round, around their
 member, until a round links nothing new.  Rounds have no fixed number; each costs at most one pair for each member that
 is still outside.
 
+Members of the buckets that are open then meet in an exact join: every pair of them that is similar enough shares
+one of the rarest shingles of both (see ``remaining``).  So a bucket ends only when its members are one component
+or all their pairs in different components are settled.
+
 Defined results: null, empty or wordless texts have an empty set, link with nothing and are kept; a
 text of fewer words than a shingle is one shingle; rows that share a document id are
 one document, answered row by row; a null id links with nothing and is kept; an empty table gives an empty
@@ -134,6 +138,42 @@ def confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(100 * common >= percent * union).drop("mine", "shingles")
 
 
+def remaining(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(component, other) of all similar pairs of open members in different components.
+
+    Shingles stand in one order for all sets: first those of one component only, then the others, rarest first.
+    A pair's first common shingle at a place ``pos`` leaves at most ``n - pos`` common ones, and a similar pair has at least
+    ``percent / (100 + percent)`` of both sizes in common.  So the first common shingle stands early in both sets, earliest
+    in the smaller one: with its own size as the other's bound, a set in a family that shares a template but
+    too little of it has no row on that side, and the family's common shingles are not paired.
+    """
+    spark = open_.sparkSession
+    mine = sets.join(open_.select("rep", "component").distinct(), "rep").withColumn("own", F.xxhash64("shingles"))
+    # a document id may have several texts: each set counts by itself
+    mine = mine.groupBy("rep", "component", "own").agg(F.first("shingles").alias("shingles"))
+    mine = mine.withColumn("n", F.size("shingles").cast("long"))
+    mine = store.keep(mine.select("rep", "component", "own", "n", F.explode("shingles").alias("shingle")), "shingles")
+    shared = mine.groupBy("shingle").agg(F.count("*").alias("held"), F.min("component").alias("low"), F.max("component").alias("high"))
+    ordered = mine.join(shared.filter("low <> high").select("shingle", "held"), "shingle")
+    ordered = ordered.groupBy("rep", "component", "own", "n").agg(F.array_sort(F.collect_list(F.struct("held", "shingle"))).alias("shared"))
+    early = ordered.select("rep", "component", "n", (F.col("n") - F.size("shared")).alias("before"), F.posexplode("shared").alias("at", "s"))
+    early = early.select("rep", "component", "n", F.col("s.shingle").alias("shingle"), (F.col("n") - F.col("before") - F.col("at")).alias("most"))
+    early = store.keep(early.filter(100 * F.col("most") >= percent * F.col("n")), "early")
+    small = early.filter((100 + percent) * F.col("most") >= 2 * percent * F.col("n"))
+    large = early.select("shingle", F.col("rep").alias("hub"), F.col("component").alias("other"), F.col("n").alias("hub_n"), F.col("most").alias("hub_most"))
+    enough = percent * (F.col("n") + F.col("hub_n"))
+    pairs = small.join(large, "shingle").filter(
+        (F.col("component") != F.col("other"))
+        & (F.struct("n", "rep") < F.struct("hub_n", "hub"))
+        & (100 * F.col("n") >= percent * F.col("hub_n"))
+        & ((100 + percent) * F.least("most", "hub_most") >= enough)
+    )
+    found = store.keep(confirmed(pairs.select("rep", "hub", "component", "other").distinct(), sets, percent).select("component", "other"), "links")
+    store.drop(spark, mine)
+    store.drop(spark, early)
+    return found
+
+
 def near_duplicates(
     documents: DataFrame,
     *,
@@ -178,14 +218,21 @@ def near_duplicates(
         likely = star.filter(100 * F.least("n", "hub.n") >= percent * F.greatest("n", "hub.n"))
         edges = likely.select("rep", F.col("hub.rep").alias("hub"), "component", F.col("hub.component").alias("other"))
         new = store.keep(confirmed(edges.distinct(), sets, percent).select("component", "other"), "links")
-        if new.isEmpty():
-            break
+        last = new.isEmpty()
+        if last:
+            # stars find no more: all pairs that are left, at once
+            store.drop(spark, new)
+            new = remaining(open_, sets, percent)
         merged = smallest_reachable(new, "component", "other").select(F.col("node").alias("component"), F.col("component").alias("into"))
 
         def moved(d: DataFrame) -> DataFrame:
             return d.join(merged, "component", "left").withColumn("component", F.coalesce("into", "component")).drop("into")
 
         before, nodes = nodes, store.keep(moved(nodes), "nodes")
+        if last:
+            for done in (before, open_, new):
+                store.drop(spark, done)
+            break
         # buckets whose other members are still apart go another round
         rest = open_.join(hub.select("key", F.col("hub.rep").alias("hub")), "key").filter("rep <> hub").drop("hub")
         rest = store.keep(moved(rest), "rest")

@@ -154,6 +154,19 @@ def test_near_duplicates_equal_brute_force(spark):
     assert all(r.kept == (r.id == r.component_id) for r in got)
 
 
+def test_near_duplicates_in_a_template_family(spark):
+    """Many texts of one template that are not similar enough; each bucket's hub is one of them."""
+    for seed in range(3):
+        rng, texts = random.Random(seed), []
+        common = [f"c{seed}_{j}" for j in range(100)]
+        for i in range(302):
+            own = [f"o{seed}_{i}_{j}" for j in range(14 if i < 300 else 12)]
+            texts.append((rng.randrange(1000) * 1000 + i, " ".join(common + own)))
+        pair = [i for i, _ in texts[300:]]
+        got = {r.id: r.component_id for r in near_dup.near_duplicates(documents(spark, texts), shingle=1).collect()}
+        assert got == {i: min(pair) if i in pair else i for i, _ in texts}
+
+
 def test_near_duplicates_edges(spark):
     got = near_dup.near_duplicates(documents(spark, EDGES)).collect()
     assert len(got) == len(EDGES) and all(r.kept for r in got)
