@@ -26,9 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from . import bloom, store
+from .ids import own_id
 from .ship import map_arrow
 from .words import Words, gram_bounds, grams, mix, signed, split_column
 
+GOES = "__text_contaminated"
 WINDOWS = "array<struct<fp: bigint, size: int, window: string, starts: array<int>>>"
 SPANS = pa.list_(
     pa.struct([("fp", pa.int64()), ("size", pa.int32()), ("window", pa.string()), ("starts", pa.list_(pa.int32()))])
@@ -153,7 +155,8 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, **options) -> Data
         F.sum(F.greatest(F.lit(0), F.col("end") - F.greatest("start", "done"))).cast("long").alias("n_hit")
     )
     items = per_item.groupBy("id").agg(F.array_sort(F.collect_list(F.col("item").cast("string"))).alias("items"))
-    found = n_hit.join(items, "id", "left").withColumnRenamed("id", "hit_id")
+    items = items.withColumnRenamed("id", "item_hit_id")
+    found = n_hit.withColumnRenamed("id", "hit_id").join(items, F.col("hit_id").eqNullSafe(F.col("item_hit_id")), "left")
     out = per_document.join(found, F.col("id").eqNullSafe(F.col("hit_id")), "left")
     return out.select(
         "id",
@@ -165,8 +168,15 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, **options) -> Data
     )
 
 
-def drop_contaminated(documents: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", **options) -> DataFrame:
-    """The documents without those that hold a benchmark window; other columns as they are."""
-    _, matched, _ = contaminated_documents(documents, benchmark, doc_id=doc_id, **options)
-    bad = matched.select(F.col("id").alias(doc_id)).distinct()
-    return documents.join(bad, doc_id, "left_anti")
+def drop_contaminated(
+    documents: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options
+) -> DataFrame:
+    """The documents without those that hold a benchmark window; other columns as they are.
+
+    A row with a null id is judged by its own text.
+    """
+    own = own_id(doc_id, text)
+    keyed = documents.select(own.alias("id"), F.col(text).alias("text"))
+    _, matched, _ = contaminated_documents(keyed, benchmark, doc_id="id", text="text", **options)
+    bad = matched.select(F.col("id").alias(GOES)).distinct()
+    return documents.join(bad, own == F.col(GOES), "left_anti")

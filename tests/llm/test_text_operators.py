@@ -109,6 +109,15 @@ def test_decontamination_equals_brute_force(spark, rows):
     assert kept.columns == documents(spark, []).columns and {101} & {r.doc_id for r in kept.collect()} == set()
 
 
+def test_decontamination_of_null_ids(spark, rows):
+    items = rows([(7, sentence(9, 40))], "item_id long, text string")
+    texts = [(None, "x " + sentence(9, 40)), (None, sentence(11, 30)), (None, None), (1, sentence(9, 40)), (2, sentence(12, 30))]
+    got = {r.id: (r.n_hit, r.n_items, r["items"], r.contaminated) for r in decontaminate.decontaminate(documents(spark, texts), items).collect()}
+    assert got == {None: (40, 1, ["7"], True), 1: (40, 1, ["7"], True), 2: (0, 0, [], False)}
+    kept = decontaminate.drop_contaminated(documents(spark, texts), items)
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted([texts[1], texts[2], texts[4]], key=repr)
+
+
 def test_winnowing_always_meets():
     """Every shared run of n words has a window that both texts chose by the same fingerprint."""
     rng = np.random.default_rng(2)
