@@ -32,12 +32,14 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import bloom, store
 from .components import smallest_reachable
+from .ids import own_id
 from .ship import map_arrow
 from .words import Words, grams, mix, signed, split_column
 
 BINS = 128
 ROWS = 4  # bins of a band: at a similarity of 0.8 a pair misses all 32 bands once in 20 million
 SEED = 5
+KEY, ROW = "__text_near_key", "__text_near_row"
 
 
 def probe_orders(bins: int = BINS) -> np.ndarray:
@@ -249,7 +251,39 @@ def near_duplicates(
     )
 
 
-def drop_near_duplicates(documents: DataFrame, *, doc_id: str = "doc_id", **options) -> DataFrame:
-    """One document of each group stays: the one with the smallest id; other columns as they are."""
-    copies = near_duplicates(documents, doc_id=doc_id, **options).filter("not kept").select(F.col("id").alias(doc_id))
-    return documents.join(copies.distinct(), doc_id, "left_anti")
+def drop_near_duplicates(
+    documents: DataFrame,
+    *,
+    shingle: int = 5,
+    rows: int = ROWS,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    lower: bool = True,
+    **options,
+) -> DataFrame:
+    """One document of each group stays: the one with the smallest id; other columns as they are.
+
+    A text with a null id is a document of its own, after those that have one.  Of rows that repeat the
+    id that stays, one of each set of shingles stays.  Texts without words all stay, unless their id goes.
+    """
+    spark = documents.sparkSession
+    own = own_id(doc_id, text)
+    keyed = documents.select(own.alias("id"), F.col(text).alias("text"))
+    found = near_duplicates(keyed, shingle=shingle, rows=rows, doc_id="id", text="text", lower=lower, **options)
+    found = store.keep(found, "found")
+    copies = found.filter("not kept").select(F.col("id").alias(KEY)).distinct()
+    stay = documents.join(copies, own == F.col(KEY), "left_anti")
+    again = found.filter("kept and n_shingles > 0").groupBy("id").agg(F.count("*").alias("held")).filter("held > 1")
+    again = store.keep(again.select(F.col("id").alias(KEY)), "again")
+    if again.isEmpty():
+        return stay
+    # only rows that repeat an id need a number of their own
+    repeats = stay.join(again, own == F.col(KEY), "left_semi").withColumn(ROW, F.monotonically_increasing_id())
+    repeats = store.keep(repeats, "repeats")
+    texts = repeats.select(F.col(ROW).alias("id"), F.col(text).cast("string").alias("text"))
+    sums = map_arrow(texts, sketch_rows(shingle, lower, rows), "id bigint, n bigint, one bigint, two bigint, keys array<bigint>")
+    sums = repeats.select(F.col(ROW).alias("id"), own.alias(KEY)).join(sums.drop("keys"), "id")
+    wordless = F.when(F.col("n") == 0, F.col("id"))
+    first = sums.groupBy(KEY, "n", "one", "two", wordless.alias("each")).agg(F.min("id").alias("first"))
+    first = repeats.join(first.select(F.col("first").alias(ROW)), ROW, "left_semi").select(*repeats.drop(ROW).columns)
+    return stay.join(again, own == F.col(KEY), "left_anti").union(first)

@@ -184,6 +184,18 @@ def test_near_duplicates_edges(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 3] and kept.columns == documents(spark, []).columns
 
 
+def test_near_copies_with_null_or_repeated_ids(spark):
+    a, b, c, d = (sentence(i, 60) for i in range(20, 24))
+    texts = [(None, a), (None, a), (None, a + " tail"), (5, b), (None, b), (None, "x " + b)]
+    texts += [(6, c), (6, c), (6, c.upper()), (6, d), (None, None), (None, ""), (7, ""), (8, sentence(24, 60))]
+    got = near_dup.drop_near_duplicates(documents(spark, texts))
+    assert got.columns == documents(spark, []).columns
+    kept = [(r.doc_id, r.text and r.text.lower()) for r in got.collect()]
+    assert sum(i is None and a in (t or "") for i, t in kept) == 1
+    rest = [(i, t) for i, t in kept if not (i is None and a in (t or ""))]
+    assert sorted(rest, key=repr) == sorted([(5, b), (6, c), (6, d), (None, None), (None, ""), (7, ""), (8, texts[-1][1])], key=repr)
+
+
 def test_densified_bins_collide_like_the_sets():
     rng = np.random.default_rng(3)
     orders, hits = near_dup.probe_orders(), []
