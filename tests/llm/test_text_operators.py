@@ -7,6 +7,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from shiftboard.llm import (
@@ -319,6 +320,17 @@ def test_token_files_edges(spark, tmp_path, monkeypatch):
     assert token_files.read_documents(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_added_tokens_are_those_of_the_library():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    texts = ["a<|endoftext|>b", "it's we'll 漢字", "<|endoftext|>", " x <|endoftext|>\n<|endoftext|> y", "<|endoftext", ""]
+    want = [library.encode(x, add_special_tokens=False).ids for x in texts]
+    assert len(want[0]) == 3
+    for pattern in (public_tokenizers.PATTERN, None):
+        own = token_files.Encoder(open(path).read(), pattern)
+        assert [np.frombuffer(x, "<u4").tolist() for x in own.ids(texts)] == want
+
+
 def test_shards_follow_weights(spark):
     from pyspark.sql import functions as F
 
