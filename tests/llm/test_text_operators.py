@@ -305,6 +305,14 @@ def test_range_coder_round_trip_and_damage():
         range_coder.decode(b"x" * 40)
 
 
+def test_range_coder_refuses_ids_it_cannot_hold():
+    for bad in (-1, 65_535, 65_536, 100_000):
+        with pytest.raises(ValueError, match="ids must be"):
+            range_coder.encode(np.array([1, bad, 2]))
+    ids = np.array([0, 65_534, 7])
+    assert np.array_equal(range_coder.decode(range_coder.encode(ids)), ids)
+
+
 def test_token_files_edges(spark, tmp_path, monkeypatch):
     content = open(public_tokenizers.path("byte_bpe_50k.json")).read()
     got = {}
