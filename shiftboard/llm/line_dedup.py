@@ -2,7 +2,7 @@
 
 Lines are compared without blanks at their ends.  A line goes if an equal line stands earlier (by document
 id, then line number), or if an earlier line is within one edit (insertion, deletion or replacement of a character) and
-the line has at least ``MIN_CHARS`` characters.  Lines without other characters than blanks stay.
+both lines have at least ``MIN_CHARS`` characters.  Lines without other characters than blanks stay.
 
 Two lines within one edit share a variant: the shorter one is the longer one with a character deleted, or both with the
 character at one place deleted are equal.  So every line emits its deletion variants as hashed keys, and equal keys
