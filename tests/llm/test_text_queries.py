@@ -2,6 +2,7 @@
 
 import glob
 import hashlib
+import itertools
 import os
 import zlib
 from collections import Counter, defaultdict
@@ -15,7 +16,8 @@ import regex
 import tiktoken
 from tokenizers import Tokenizer
 
-from shiftboard.llm import bpe_fst, license_scan, queries
+import corpus_pipeline
+from shiftboard.llm import bpe_fst, license_scan, quality_fm, queries
 
 SF = "/root/testdata/sf0.001"
 GRAPHIC = regex.compile(r"[^\x20\x09-\x0D]+")
@@ -189,3 +191,58 @@ def test_line_dedup(spark, texts):
         body = want[r.doc_id]
         assert r.text_sha256 == hashlib.sha256((body or "").encode()).hexdigest(), r.doc_id
         assert r.n_lines == (0 if body is None else len(body.split("\n")))
+
+
+def plain_near_copies(texts, size=5, percent=80):
+    """One text of each group: every pair is compared."""
+    sets, low = {}, {i: i for i in texts}
+    for i, t in texts.items():
+        w = GRAPHIC.findall((t or "").translate(LOWER))
+        sets[i] = {tuple(w[j : j + size]) for j in range(max(len(w) - size + 1, 1))} if w else set()
+    links = []
+    for a, b in itertools.combinations(sets, 2):
+        if sets[a] and sets[b] and 100 * min(len(sets[a]), len(sets[b])) >= percent * max(len(sets[a]), len(sets[b])):
+            common = len(sets[a] & sets[b])
+            if 100 * common >= percent * (len(sets[a]) + len(sets[b]) - common):
+                links.append((a, b))
+    for _ in low:
+        for a, b in links:
+            low[a] = low[b] = min(low[a], low[b])
+    return {i: t for i, t in texts.items() if low[i] == i}
+
+
+def plain_decontamination(texts, items, n=10):
+    """The texts without ten consecutive words of an item, or all words of a shorter one."""
+    bad = set()
+    for item in items:
+        w = ALNUM.findall((item or "").translate(LOWER))
+        bad |= {tuple(w[j : j + n]) for j in range(max(len(w) - n + 1, 1))} if w else set()
+    sizes, kept = {len(x) for x in bad}, {}
+    for i, t in texts.items():
+        w = ALNUM.findall((t or "").translate(LOWER))
+        if not any(tuple(w[j : j + k]) in bad for k in sizes for j in range(len(w) - k + 1)):
+            kept[i] = t
+    return kept
+
+
+def test_pipeline_equals_brute_force(spark, texts):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    machine = quality_fm.train(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    good = {r.id for r in quality_fm.score(docs, machine).collect() if r.score >= quality_fm.THRESHOLD}
+    scored = {i: t for i, t in texts.items() if i in good}
+    lined = plain_line_dedup(scored)
+    single = plain_near_copies(lined)
+    items = pq.read_table(f"{SF}/benchmark.parquet").column("text").to_pylist()
+    clean = plain_decontamination(single, items)
+    assert len(texts) > len(scored) > 0 and lined != scored
+    # the lines of near copies and leaks are mostly gone by then, so these two stages also run on the given documents
+    for stage, plain in ((corpus_pipeline.near_copies, plain_near_copies(texts)), (corpus_pipeline.benchmark, plain_decontamination(texts, items))):
+        assert 0 < len(plain) < len(texts)
+        assert {r.doc_id: r.text for r in stage(spark, docs, SF).collect()} == plain
+    ranks = bpe_fst.read_ranks(open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb").read())
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    want = []
+    for i, t in clean.items():
+        ids = np.array(library.encode_ordinary(t or ""), "<u4").tobytes()
+        want.append((i, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
+    assert sorted(map(tuple, corpus_pipeline.run(spark, SF).collect())) == sorted(want)
