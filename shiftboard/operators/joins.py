@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def join_inner(a: DataFrame, b: DataFrame, on: str | Sequence[str]) -> DataFrame:
@@ -73,19 +73,26 @@ def join_full_outer_chain(
         row = F.struct(*rest, F.lit(1).alias("__there"))
         # a row with a NULL key groups with its equals in its own frame only
         apart = F.when(null_key, F.to_json(F.struct(F.lit(i).alias("__side"), *rest)))
-        return f.select(*keys, row.alias(f"__{i}"), apart.alias("__apart"))
+        return f.select(*keys, F.lit(i).alias("__side"), row.alias(f"__{i}"), apart.alias("__apart"))
 
     union = reduce(
         lambda x, y: x.unionByName(y, allowMissingColumns=True), [shaped(i, f) for i, f in enumerate(frames)]
     )
-    # a frame's rows of a key, most often one
-    grouped = union.groupBy(*keys, "__apart").agg(*[F.collect_list(f"__{i}").alias(f"__{i}") for i in sides])
-    repeats = reduce(lambda x, y: x + y, [(F.size(f"__{i}") > 1).cast("int") for i in sides])
-    checked = grouped.withColumn(
-        "__0", F.when(repeats <= 1, F.col("__0")).otherwise(F.raise_error(F.lit("several frames hold a join key more than once")))
+    # a key's rows stay rows (a window spills, an array could not): those of the repeating frame, or of the first one
+    of_key = Window.partitionBy(*keys, "__apart")
+    several = [F.count(f"__{i}").over(of_key) > 1 for i in sides]
+    counted = union.select(
+        "*",
+        reduce(lambda x, y: x + y, [m.cast("int") for m in several]).alias("__repeats"),
+        F.coalesce(*[F.when(m, i) for i, m in enumerate(several)], F.min("__side").over(of_key)).alias("__leads"),
+        *[F.first(f"__{i}", ignorenulls=True).over(of_key).alias(f"__first_{i}") for i in sides],
+    )
+    checked = counted.filter(
+        F.when(F.col("__repeats") <= 1, F.col("__side") == F.col("__leads"))
+        .otherwise(F.raise_error(F.lit("several frames hold a join key more than once")))
     )
     for i in sides:
-        checked = checked.withColumn(f"__{i}", F.explode_outer(f"__{i}"))
+        checked = checked.withColumn(f"__{i}", F.coalesce(f"__{i}", f"__first_{i}"))
     merged = [
         F.coalesce(*[F.col(f"__{i}.{c}") for i, f in enumerate(frames) if c in f.columns]).alias(c)
         for c in outputs

@@ -135,6 +135,13 @@ def test_full_outer_chain_shuffles_once(static):
     assert stacked.count("SortMergeJoin") == 0
 
 
+def test_full_outer_chain_gathers_no_rows(static):
+    hot = static.range(1000).select(F.lit(1).alias("k"), F.col("id").alias("a"))
+    once = static.range(3).select(F.col("id").cast("int").alias("k"), F.col("id").alias("b"))
+    joined = joins.join_full_outer_chain([hot, once], ["k"])
+    assert "collect_list" not in plan(joined) and joined.count() == 1002
+
+
 def test_left_join_then_not_null_is_inner(static):
     a = static.read.parquet(f"{SF}/documents.parquet")
     b = static.read.parquet(f"{SF}/labels.parquet")
