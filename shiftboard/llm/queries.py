@@ -10,7 +10,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import scratch_path
-from . import bpe_fst, decision_list, decontaminate, license_scan, line_dedup, near_dup, quality_fm, shard_tree, token_files, url_filter
+from . import (
+    bpe_fst,
+    centroids,
+    decision_list,
+    decontaminate,
+    divergence,
+    license_scan,
+    line_dedup,
+    near_dup,
+    piece_bpe,
+    quality_fm,
+    shard_tree,
+    token_files,
+    url_filter,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -215,3 +229,66 @@ def _(spark: SparkSession, directory: str) -> DataFrame:
     path = scratch_path(spark, "tokens")
     token_files.write(table(spark, directory, "documents"), path, tokenizer, pattern=public_tokenizers.PATTERN)
     return token_files.read_documents(spark, path).withColumnRenamed("id", "doc_id")
+
+
+def _cluster_sql(k: int = 8, rounds: int = 10) -> str:
+    """Every distance in every round, from the vectors; dot products of whole numbers are exact in a double here."""
+    steps = [
+        """v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+            WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)""",
+        f"""c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v AS mid FROM (SELECT sha256('3:' || vec_id::VARCHAR) AS h, v FROM v
+            WHERE vec_id IS NOT NULL ORDER BY h, v LIMIT {k}))""",
+    ]
+    for n in range(rounds + 1):
+        steps.append(
+            f"""a{n} AS MATERIALIZED (SELECT r, any_value(vec_id) AS vec_id, any_value(v) AS v, min({{'d': d, 'c': c}}) AS best FROM (SELECT r, vec_id, v, c,
+            list_dot_product(v, v) - 2 * list_dot_product(v, mid) + list_dot_product(mid, mid) AS d FROM v, c{n}) GROUP BY r)"""
+        )
+        if n < rounds:
+            steps.append(
+                f"""c{n + 1} AS MATERIALIZED (SELECT c, coalesce(m, c{n}.mid) AS mid FROM c{n} LEFT JOIN (SELECT c, list(f ORDER BY i) AS m FROM (
+            SELECT c, i, floor(sum(x) / count(*)) AS f FROM (SELECT best.c AS c, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{n}) GROUP BY c, i) GROUP BY c) USING (c))"""
+            )
+    return f"""WITH {", ".join(steps)}
+    SELECT vec_id, best.c::INTEGER AS cluster, best.d::BIGINT AS distance, (sum(best.d) OVER (PARTITION BY best.c))::BIGINT AS cluster_inertia,
+        (sum(best.d) OVER ())::BIGINT AS inertia, sha256(array_to_string(list_transform(mid, lambda x: x::BIGINT), ',')) AS centroid_sha256
+    FROM a{rounds} JOIN c{rounds} ON c{rounds}.c = best.c"""
+
+
+@query("op11_incremental_centroids", _cluster_sql())
+def _(spark: SparkSession, directory: str) -> DataFrame:
+    found = centroids.cluster(table(spark, directory, "embeddings"))
+    digest = F.sha2(F.concat_ws(",", F.col("centroid").cast("array<string>")).cast("binary"), 256)
+    kept = ["cluster", "distance", "cluster_inertia", "inertia"]
+    return found.select(F.col("id").alias("vec_id"), *kept, digest.alias("centroid_sha256"))
+
+
+@query(
+    "op12_source_divergence_audit",
+    r"""WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''),
+            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+    g AS (SELECT DISTINCT lang, source FROM d),
+    t AS MATERIALIZED (SELECT lang, source, r, term, count(*) AS n FROM (SELECT lang, source, r, unnest(w) AS term FROM d) GROUP BY ALL),
+    k AS MATERIALIZED (SELECT lang, term, sum(n)::HUGEINT AS n FROM t GROUP BY lang, term HAVING count(*) >= 10),
+    s AS MATERIALIZED (SELECT lang, source, term, sum(t.n)::HUGEINT AS n FROM t JOIN k USING (lang, term) GROUP BY ALL),
+    lang_size AS (SELECT lang, count(*)::HUGEINT AS v, sum(n)::HUGEINT AS total FROM k GROUP BY lang),
+    source_size AS (SELECT lang, source, coalesce(sum(n), 0)::HUGEINT AS total FROM g LEFT JOIN s USING (lang, source) GROUP BY ALL),
+    p AS MATERIALIZED (SELECT lang, z.source, k.term, coalesce(s.n, 0) AS n, 1 + 1000000000::HUGEINT * (coalesce(s.n, 0) + 2) // (z.total + 2 * v) AS p,
+        1 + 1000000000::HUGEINT * (k.n + 2) // (l.total + 2 * v) AS q
+        FROM k JOIN source_size z USING (lang) JOIN lang_size l USING (lang) LEFT JOIN s USING (lang, source, term)),
+    sums AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM p a JOIN p b USING (lang, term)
+        WHERE a.source <> b.source GROUP BY ALL),
+    pair AS (SELECT a.lang, a.source, b.source AS item, coalesce(value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+        LEFT JOIN sums ON sums.lang = a.lang AND sums.source = a.source AND sums.item = b.source),
+    term AS (SELECT lang, source, term AS item, ((p - q) * (p - q) // (p + q))::BIGINT AS value FROM p WHERE n > 0 AND p > q),
+    every AS (SELECT lang, source, 'pair' AS part, item, value FROM pair UNION ALL SELECT lang, source, 'term', item, value FROM term)
+    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM every) WHERE part = 'pair' OR rank <= 10""",
+)
+def _(spark: SparkSession, directory: str) -> DataFrame:
+    return divergence.audit(table(spark, directory, "documents"))
+
+
+@query("op13_sentencepiece_merge_rounds")
+def _(spark: SparkSession, directory: str) -> DataFrame:
+    model = Path(public_tokenizers.path("piece_bpe_32k.model")).read_bytes()
+    return piece_bpe.round_trip(table(spark, directory, "documents"), model).withColumnRenamed("id", "doc_id")

@@ -13,6 +13,7 @@ import public_tokenizers
 import pyarrow.parquet as pq
 import pytest
 import regex
+import sentencepiece
 import tiktoken
 from tokenizers import Tokenizer
 
@@ -50,6 +51,17 @@ def test_query_equals_sql(spark, key):
     )
 
 
+def test_pieces_equal_the_library(spark, texts):
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    rows = run(spark, "op13_").collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        ids = library.encode(texts[r.doc_id] or "", add_eos=True)
+        assert r.n_tokens == len(ids)
+        assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(library.decode(ids).encode()).hexdigest()
+
+
 def test_bpe_equals_the_library(spark, texts):
     ranks = bpe_fst.read_ranks(open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb").read())
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
