@@ -159,33 +159,82 @@ def _(t: Tables) -> DataFrame:
     )
 
 
-@query(
-    "row_number_global",
-    """SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS row_num FROM orders""",
-)
-def _(t: Tables) -> DataFrame:
+NUMBERED = """SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS row_num FROM orders"""
+
+
+def numbered(t: Tables, rows_per_slice: int = ordered.ROWS_PER_SLICE) -> DataFrame:
     rows = t.orders.select("o_orderkey", F.to_date("o_orderdate").alias("day"))
-    return ordered.row_number_global(rows, ["day", "o_orderkey"])
+    return ordered.row_number_global(rows, ["day", "o_orderkey"], rows_per_slice=rows_per_slice)
 
 
-BACKFILL = "CASE WHEN event_type NOT IN ('error', 'view') THEN value END"
+@query("row_number_global", NUMBERED)
+def _(t: Tables) -> DataFrame:
+    return numbered(t)
 
 
-@query(
-    "backfill_next",
-    f"""SELECT event_id, user_id, first_value({BACKFILL} IGNORE NULLS) OVER (ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS value,
+@query("row_number_global__sliced", NUMBERED)
+def _(t: Tables) -> DataFrame:
+    return numbered(t, 1000)
+
+
+BACKFILL = "CASE WHEN event_type NOT IN ('error', 'view') THEN value END"
+FILLED = f"""SELECT event_id, user_id, first_value({BACKFILL} IGNORE NULLS) OVER (ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS value,
         'table' AS scope FROM events
         UNION ALL SELECT event_id, user_id, first_value({BACKFILL} IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING),
-        'user' FROM events""",
-)
-def _(t: Tables) -> DataFrame:
+        'user' FROM events"""
+
+
+def filled(t: Tables, rows_per_slice: int = ordered.ROWS_PER_SLICE) -> DataFrame:
     known = F.when(~F.col("event_type").isin("error", "view"), F.col("value"))
     rows = t.events.select("event_id", "user_id", known.alias("value"))
-    table = ordered.backfill_next(rows, ["value"], ["event_id"]).withColumn("scope", F.lit("table"))
-    user = ordered.backfill_next(rows, ["value"], ["event_id"], ["user_id"]).withColumn("scope", F.lit("user"))
+    table = ordered.backfill_next(rows, ["value"], ["event_id"], rows_per_slice=rows_per_slice).withColumn("scope", F.lit("table"))
+    user = ordered.backfill_next(rows, ["value"], ["event_id"], ["user_id"], rows_per_slice).withColumn("scope", F.lit("user"))
     return table.unionByName(user)
 
 
+@query("backfill_next", FILLED)
+def _(t: Tables) -> DataFrame:
+    return filled(t)
+
+
+@query("backfill_next__sliced", FILLED)
+def _(t: Tables) -> DataFrame:
+    return filled(t, 1000)
+
+
+@query(
+    "lag_n__long_series",
+    """SELECT event_id, user_id % 2 AS half, round(value, 2) AS value, lag(round(value, 2), 7) OVER p AS before,
+        round(round(value, 2) - lag(round(value, 2), 7) OVER p, 6) AS change,
+        round(avg(round(value, 2)) OVER (p ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), 6) AS ma_7
+       FROM events WINDOW p AS (PARTITION BY user_id % 2 ORDER BY event_id)""",
+)
+def _(t: Tables) -> DataFrame:
+    """Two series of half of all rows each."""
+    rows = t.events.select("event_id", (F.col("user_id") % 2).alias("half"), F.round("value", 2).alias("value"))
+
+    def columns(part):
+        return {
+            "before": win.lag_n("value", 7, part, ["event_id"]),
+            "change": F.round(win.wow_change("value", 7, part, ["event_id"], "abs"), 6),
+            "ma_7": F.round(win.moving_avg_7("value", part, ["event_id"]), 6),
+        }
+
+    return ordered.trend_columns(rows, ["half"], ["event_id"], 7, columns, rows_per_slice=1000)
+
+
+@query(
+    "median_by_group__narrowed",
+    "SELECT l_returnflag, "
+    + ", ".join(f"round(quantile_cont(l_extendedprice, {p}), 4) AS {n}" for n, p in {"low": 0.025, "median": 0.5, "high": 0.975}.items())
+    + " FROM lineitem GROUP BY 1",
+)
+def _(t: Tables) -> DataFrame:
+    """Brackets narrowed until a task orders no more than 20 values."""
+    found = ordered.exact_quantiles(t.lineitem, ["l_returnflag"], "l_extendedprice", {"low": 0.025, "median": 0.5, "high": 0.975}, most=20)
+    return rounded(found, 4, "low", "median", "high")
+
+
 @query(
     "label_encode",
     """SELECT c_custkey, CASE WHEN s IS NULL THEN -1 ELSE CAST(dense_rank() OVER (PARTITION BY s IS NULL ORDER BY s) - 1 AS INTEGER) END AS segment_code

@@ -165,8 +165,72 @@ def test_row_number_matches_naive(spark):
     assert len(want) == got.select("rn").distinct().count()
 
 
+def test_slices_are_the_same_on_every_run(spark):
+    """Slices follow from the plan's literals: a lost one is made again as it was, whatever the partitioning."""
+    order = ["g", F.desc("h")]
+    d = spark.range(5000).select((F.col("id") % 3).alias("g"), "id", F.when(F.col("id") % 5 > 0, F.xxhash64("id").cast("string")).alias("h"))
+    d = d.withColumn("h", F.coalesce("h", F.when(F.col("id") > 9, F.concat(F.lit("x"), "id"))))  # a few nulls
+    s = ordered.slices(d, order, rows_per_slice=300)
+    assert len(s.before) > 10 and s.before == sorted(s.before)
+
+    def dealt(rows):
+        return {r.id: (r[ordered.SLICE], r.start) for r in rows.select("id", ordered.SLICE, s.start().alias("start")).collect()}
+
+    once = dealt(s.rows)
+    assert dealt(s.rows.repartition(7)) == once and dealt(s.rows.filter("id % 2 = 0")) == {i: x for i, x in once.items() if i % 2 == 0}
+    sizes = [sum(1 for x, _ in once.values() if x == i) for i in range(len(s.before))]
+    assert max(sizes) < 3 * 300
+    # in order: every row of a slice comes before every row of the next
+    place = {r.id: i for i, r in enumerate(d.orderBy("g", F.desc("h")).collect())}
+    assert all(once[i][1] <= place[i] < once[i][1] + sizes[once[i][0]] for i in place if place[i] > 0)
+
+
+@pytest.mark.parametrize("per_slice", [10**6, 100, 7])
+def test_row_number_in_slices(spark, per_slice):
+    d = spark.range(0, 1000, 1, 7).select((F.col("id") % 13).alias("g"), "id", F.xxhash64("id").alias("h"))
+    got = ordered.row_number_global(d, ["g", F.desc("h")], "rn", per_slice).collect()
+    assert [r.rn for r in sorted(got, key=lambda r: (r.g, -r.h))] == list(range(1, 1001))
+    assert ordered.row_number_global(d.limit(0), ["id"], "rn", per_slice).count() == 0
+
+
+def test_order_takes_named_columns_only(spark):
+    assert ordered.Key.of(F.desc_nulls_first("a b")) == ordered.Key("a b", True, True)
+    assert ordered.Key.of("a") == ordered.Key("a", False, True) == ordered.Key.of(F.asc("a"))
+    assert ordered.Key.of(F.desc("a")) == ordered.Key("a", True, False)
+
+
+@pytest.mark.parametrize("per_slice", [10**6, 60, 3])
+def test_trends_in_slices_equal_the_plain_window(spark, per_slice):
+    """One long group, short ones, and slices shorter than the reach."""
+    from shiftboard.operators import windows as win
+
+    d = spark.range(600).select(F.when(F.col("id") % 9 > 1, "long").when(F.col("id") % 9 == 1, "short").otherwise(F.concat(F.lit("g"), F.col("id"))).alias("g"), F.col("id").alias("day"), (F.col("id") * 7 % 11 + 1.0).alias("v"))
+
+    def columns(part):
+        return {
+            "before": win.lag_n("v", 5, part, ["day"]),
+            "change": win.wow_change("v", 5, part, ["day"]),
+            "mean": win.moving_avg_7("v", part, ["day"]),
+        }
+
+    want = d.withColumns(columns(["g"]))
+    got = ordered.trend_columns(d, ["g"], ["day"], 7, columns, per_slice)
+    assert got.columns == want.columns
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_no_trend_task_holds_the_whole_group(spark):
+    """One group of all rows: the windows' tasks hold a slice and its halo."""
+    d = spark.range(20_000).select(F.lit("all").alias("g"), F.col("id").alias("day"), F.col("id").alias("v"))
+    s = ordered.slices(d, ["g", "day"], rows_per_slice=1000)
+    held = ordered.with_halo(s, 7).groupBy(ordered.SLICE, "g").count()
+    assert held.agg(F.max("count")).first()[0] < 2_000 and held.count() > 10
+    assert ordered.with_halo(s, 7).filter(ordered.HALO).count() == 7 * (len(s.before) - 1)
+
+
+@pytest.mark.parametrize("per_slice", [10**6, 40])
 @pytest.mark.parametrize("hot", [0.0, 0.9])
-def test_backfill_matches_pandas(spark, hot):
+def test_backfill_matches_pandas(spark, hot, per_slice):
     random.seed(5)
     data = [
         (i, "hot" if random.random() < hot else f"g{random.randrange(4)}", random.choice([None, None, None, None, float(i)]), random.choice([None, str(i)]))
@@ -182,8 +246,8 @@ def test_backfill_matches_pandas(spark, hot):
             mine, theirs = got[c].astype(object).where(got[c].notna(), None), want[c].astype(object).where(want[c].notna(), None)
             assert list(mine) == list(theirs)
 
-    check(ordered.backfill_next(d, ["v", "w"], ["i"]), p.bfill())
-    check(ordered.backfill_next(d, ["v", "w"], ["i"], ["g"]), p.assign(**{c: p.groupby("g")[c].bfill() for c in ("v", "w")}))
+    check(ordered.backfill_next(d, ["v", "w"], ["i"], rows_per_slice=per_slice), p.bfill())
+    check(ordered.backfill_next(d, ["v", "w"], ["i"], ["g"], per_slice), p.assign(**{c: p.groupby("g")[c].bfill() for c in ("v", "w")}))
 
 
 @pytest.mark.parametrize("n", [1, 2, 5, 100, 1001])
@@ -197,6 +261,41 @@ def test_quantiles_match_numpy(spark, n):
         assert got[name] == pytest.approx(np.quantile(values, p))
 
 
+@pytest.mark.parametrize("most", [0, 3, 50])
+def test_narrowed_quantiles_match_numpy(spark, most):
+    """Brackets narrowed round by round, over repeated values, hot groups, groups of one row and NaN."""
+    rng = random.Random(most)
+    data = [("a", float(rng.choice([1, 1, 1, 1, 2, 3, rng.random() * 100]))) for _ in range(900)]
+    data += [("b", rng.random()) for _ in range(300)] + [("c", 5.0)] * 50 + [("d", 1.0), (None, 2.0), (None, 4.0), ("d", float("nan")), ("e", None)]
+    d = spark.createDataFrame(data, "k string, v double")
+    probs = {"lo": 0.0, "p": 0.025, "q": 0.25, "m": 0.5, "z": 0.975, "hi": 1.0}
+    want = {}
+    for k, v in data:
+        if v is not None and v == v:
+            want.setdefault(k, []).append(v)
+    got = {r.k: r for r in ordered.exact_quantiles(d, ["k"], "v", probs, most).collect()}
+    assert set(got) == set(want)
+    for k, values in want.items():
+        for name, p in probs.items():
+            assert got[k][name] == pytest.approx(np.quantile(values, p)), (k, name)
+
+
+def test_no_quantile_task_orders_many_values(spark):
+    """Ten million distinct values, at most 500 of them between the ends of a bracket."""
+    n, probs = 10_000_000, {"q1": 0.25, "m": 0.5, "p": 0.999}
+    d = spark.range(n).select((F.col("id") * 7919 % n).cast("double").alias("v"))
+    rows = d.select(F.col("v").alias("__v"))
+    first = ordered.brackets(rows, [], probs)
+    narrow = ordered.narrowed(rows, [], first, probs, 500)
+
+    def widest(around):
+        return max(b.hi - b.lo for b in around.first()["__brackets"])
+
+    assert 500 < widest(first) <= ordered.inside_bound(n) and widest(narrow) <= 502
+    got = ordered.exact_quantiles(d, [], "v", probs, 500).first()
+    assert (got.q1, got.m, got.p) == pytest.approx(((n - 1) / 4, (n - 1) / 2, 0.999 * (n - 1)))
+
+
 def test_quantiles_by_group_with_hot_key(spark):
     random.seed(1)
     data = [("hot" if random.random() < 0.8 else random.choice("abc"), random.randrange(50) / 4) for _ in range(3000)] + [("none", None)]
