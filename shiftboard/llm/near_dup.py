@@ -6,15 +6,17 @@ the collision probability of every bin equal to the Jaccard similarity.  Bands o
 
 Documents with equal shingle sets are one class from the start, so copies meet as one row.
 Within a bucket only a star of candidate edges is made, from its most connected member to the others: a
-bucket of m members costs m - 1 pairs.  Every edge is confirmed on the full shingle sets.  Buckets
-whose members do not all end up in one component go another round, around their next most connected
-member, until a round links nothing new.  Rounds have no fixed number; each costs at most one pair for each member that
-is still outside.
+bucket of m members costs m - 1 pairs.  Every edge is confirmed on the full shingle sets.  A bucket
+whose members do not all end up in one component goes another round, around its next most connected
+member, if its round at least halved the number of its components; so rounds number at most the logarithm of the largest bucket.
 
-Members of the buckets that are open then meet in an exact join: every pair of them that is similar enough shares
+Members of all other buckets that are still apart meet in an exact join: every pair of them that is similar enough shares
 one of the rarest shingles of both (see ``remaining``).  So a bucket ends only when its members are one component
 or all their pairs in different components are settled.
 
+Shingle sets are stored for members of buckets only, and cut to the members of open buckets as these grow fewer.  Joins with them
+are shuffled at every size, never broadcast.  What is stored on the way is removed as soon as nothing reads it.
+
 Defined results: null, empty or wordless texts have an empty set, link with nothing and are kept; a
 text of fewer words than a shingle is one shingle; rows that share a document id are
 one document, answered row by row; a null id links with nothing and is kept; an empty table gives an empty
@@ -24,6 +26,7 @@ result; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -133,8 +136,11 @@ def id_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The (hub, rep, ...) edges whose full sets are at least ``percent`` per cent similar."""
-    of_rep = edges.join(sets, "rep").withColumnRenamed("shingles", "mine")
-    both = of_rep.join(sets.select(F.col("rep").alias("hub"), "shingles"), "hub")
+    # both ends read the sets through the same shuffle
+    mine = sets.select(F.col("rep").alias("end"), F.col("shingles").alias("mine"))
+    of_hub = sets.select(F.col("rep").alias("start"), "shingles")
+    of_rep = mine.join(edges.hint("merge"), F.col("end") == F.col("rep")).drop("end")
+    both = of_hub.join(of_rep.hint("merge"), F.col("start") == F.col("hub")).drop("start")
     common = F.size(F.array_intersect("mine", "shingles"))
     union = F.size("mine") + F.size("shingles") - common
     return both.filter(100 * common >= percent * union).drop("mine", "shingles")
@@ -150,7 +156,7 @@ def remaining(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     too little of it has no row on that side, and the family's common shingles are not paired.
     """
     spark = open_.sparkSession
-    mine = sets.join(open_.select("rep", "component").distinct(), "rep").withColumn("own", F.xxhash64("shingles"))
+    mine = sets.join(open_.select("rep", "component").distinct().hint("merge"), "rep").withColumn("own", F.xxhash64("shingles"))
     # a document id may have several texts: each set counts by itself
     mine = mine.groupBy("rep", "component", "own").agg(F.first("shingles").alias("shingles"))
     mine = mine.withColumn("n", F.size("shingles").cast("long"))
@@ -208,49 +214,67 @@ def near_duplicates(
     n_reps = weight.count()
     wanted = bloom.build(map_arrow(weight.select("rep"), id_hashes, "key bigint"), F.col("key"), n_reps)
     sets = map_arrow(texts, set_rows(shingle, lower, wanted), "rep bigint, shingles array<bigint>")
-    sets = store.keep(sets, "sets")
+    # the filter has a fixed size: what it lets through beyond that is left out here
+    sets = store.keep(sets.join(weight.select("rep").hint("merge"), "rep", "left_semi"), "sets")
     # a node's component so far; bucket entries carry it along, so that rounds need not look it up
     nodes = store.keep(weight.select("rep", F.col("rep").alias("component")), "nodes")
     entries = members.select("key", "rep", "n").join(weight, "rep").withColumn("component", F.col("rep"))
-    open_ = store.keep(entries, "open")
-    while not open_.isEmpty():
+    open_, held = store.keep(entries, "open"), n_reps
+    store.drop(spark, members)
+    parked: list[DataFrame] = []  # members of buckets whose rounds are over
+    while held:
         order = F.struct("weight", (-F.col("rep")).alias("low"))
-        hub = open_.groupBy("key").agg(F.max_by(F.struct("rep", "n", "component"), order).alias("hub"))
+        hub = open_.groupBy("key").agg(F.max_by(F.struct("rep", "n", "component"), order).alias("hub"), F.count_distinct("component").alias("were"))
         star = open_.join(hub, "key").filter("component <> hub.component")
         likely = star.filter(100 * F.least("n", "hub.n") >= percent * F.greatest("n", "hub.n"))
         edges = likely.select("rep", F.col("hub.rep").alias("hub"), "component", F.col("hub.component").alias("other"))
-        new = store.keep(confirmed(edges.distinct(), sets, percent).select("component", "other"), "links")
-        last = new.isEmpty()
-        if last:
-            # stars find no more: all pairs that are left, at once
-            store.drop(spark, new)
-            new = remaining(open_, sets, percent)
-        merged = smallest_reachable(new, "component", "other").select(F.col("node").alias("component"), F.col("component").alias("into"))
-
-        def moved(d: DataFrame) -> DataFrame:
-            return d.join(merged, "component", "left").withColumn("component", F.coalesce("into", "component")).drop("into")
-
-        before, nodes = nodes, store.keep(moved(nodes), "nodes")
-        if last:
-            for done in (before, open_, new):
-                store.drop(spark, done)
-            break
-        # buckets whose other members are still apart go another round
-        rest = open_.join(hub.select("key", F.col("hub.rep").alias("hub")), "key").filter("rep <> hub").drop("hub")
-        rest = store.keep(moved(rest), "rest")
-        apart = rest.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-        was_open, open_ = open_, store.keep(rest.join(apart.filter("low <> high").select("key"), "key"), "open")
-        for done in (before, was_open, rest, new):
+        new = store.keep(confirmed(edges.distinct(), sets, percent).select("component", "other").distinct(), "links")
+        merged = _merged(new)
+        before, nodes = nodes, store.keep(_moved(nodes, merged), "nodes")
+        # the hub has met every member of its bucket
+        rest = open_.join(hub.select("key", F.col("hub.rep").alias("hub"), "were"), "key").filter("rep <> hub").drop("hub")
+        rest = store.keep(_moved(rest, merged), "rest")
+        apart = rest.groupBy("key").agg(F.count_distinct("component").alias("are"), F.first("were").alias("were")).filter("are > 1")
+        apart = store.keep(apart.select("key", (2 * F.col("are") <= F.col("were")).alias("goes_on")), "apart")
+        parked.append(store.keep(rest.join(apart.filter(~F.col("goes_on")).select("key"), "key").select("rep").distinct(), "parked"))
+        was_open, open_ = open_, store.keep(rest.drop("were").join(apart.filter("goes_on").select("key"), "key"), "open")
+        for done in (before, was_open, rest, apart, new):
             store.drop(spark, done)
+        # the sets that are still to be compared, once they are less than half
+        needed = reduce(DataFrame.unionByName, [open_.select("rep"), *parked]).distinct()
+        left = needed.count()
+        if 2 * left < held:
+            was_sets, sets = sets, store.keep(sets.join(needed.hint("merge"), "rep", "left_semi"), "sets")
+            store.drop(spark, was_sets)
+            held = left
+        if open_.isEmpty():
+            break
+    store.drop(spark, open_)
+    if parked:
+        outside = reduce(DataFrame.unionByName, parked).distinct().join(nodes, "rep")
+        new = remaining(store.keep(outside, "outside"), sets, percent)
+        nodes = store.keep(_moved(nodes, _merged(new)), "nodes")
     found = reps.select(*same, "rep").join(nodes.select("rep", "component"), "rep", "left")
     found = found.withColumn("component", F.coalesce("component", "rep"))
     alone = sketches.filter("id is null or n = 0").select("id", "n", F.col("id").alias("component"))
     out = linked.join(found.select(*same, "component"), same).select("id", "n", "component").unionByName(alone)
+    out = store.keep(out, "components")
+    for done in (sketches, reps, sets, nodes, *parked):
+        store.drop(spark, done)
     return out.select(
         "id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept")
     )
 
 
+def _merged(links: DataFrame) -> DataFrame:
+    """(component, into): where the components that links tie together go."""
+    return smallest_reachable(links, "component", "other").select(F.col("node").alias("component"), F.col("component").alias("into"))
+
+
+def _moved(d: DataFrame, merged: DataFrame) -> DataFrame:
+    return d.join(merged, "component", "left").withColumn("component", F.coalesce("into", "component")).drop("into")
+
+
 def drop_near_duplicates(
     documents: DataFrame,
     *,
