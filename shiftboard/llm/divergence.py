@@ -37,7 +37,7 @@ BETWEEN = r"[\x00-\x60\x7B-\x7F]+"
 ONE = 1_000_000_000
 SLICE = 1 << 21  # bytes of text split at once
 PENDING = 1 << 18  # partial rows a task adds up before it hands them on
-CELLS = 1 << 21  # groups x terms that a shard holds at most
+CELLS = 1 << 18  # groups x terms that a shard holds at most
 BLOCK = 128  # sources that one comparison task takes as first of a pair
 COUNTS = "lang string, source string, term string, n bigint, docs bigint"
 FOUND = "lang string, source string, part string, item string, value bigint"

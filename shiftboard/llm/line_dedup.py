@@ -2,7 +2,7 @@
 
 Lines are compared without blanks at their ends.  A line goes if an equal line stands earlier (by document
 id, then line number), or if an earlier line is within one edit (insertion, deletion or replacement of a character) and
-both lines have at least ``MIN_CHARS`` characters.  Lines without other characters than blanks stay.
+both lines have at least ``least`` characters, a parameter.  Lines without other characters than blanks stay.
 
 Two lines within one edit share a variant: the shorter one is the longer one with a character deleted, or both with the
 character at one place deleted are equal.  So every line emits its deletion variants as hashed keys, and equal keys
@@ -17,8 +17,9 @@ partner, and none looks at a prefix or a sample.
 All of it is DataFrame work on hashes; texts move once to fetch the candidates' lines and once to be rewritten.
 
 Defined results: null texts stay null, empty ones empty; an equal line of the same document counts as earlier if it
-stands above; rows that share a document id count as one document in this order and lose the same line
-numbers; a null id comes first; an empty table gives an empty result; other columns, whatever their names, pass unchanged.
+stands above; a row is known by its id and a 60-bit hash of its text, so rows that share an id, or have none, stand one after
+the other in this order and lose lines of their own only; a null id comes first; rows equal in id and text are treated
+alike, so the lines of one of them stay in all; an empty table gives an empty result; other columns, whatever their names, pass unchanged.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from . import store
 
+#: lines of fewer characters go only for equal ones: one edit apart, short lines mostly say different things
 MIN_CHARS = 20
 BLOCK = 32  # characters; longer lines use the square root of their length
 HALF = 16  # halves are cut at multiples of half of this, so lengths that differ by one mostly share cuts
@@ -34,10 +36,17 @@ BLANK = " \t\r"
 GOES = "__text_lines_gone"
 
 
+def row_hash(text: Column) -> Column:
+    """60 bits of the text's MD5, as a number: with the document id it tells rows apart."""
+    return F.conv(F.substring(F.md5(text.cast("string").cast("binary")), 1, 15), 16, 10).cast("long")
+
+
 def _lines(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """doc, line (number), body of each line that is not blank."""
-    rows = documents.select(F.col(doc_id).alias("doc"), F.posexplode(F.split(F.col(text).cast("string"), "\n")).alias("line", "raw"))
-    return rows.select("doc", "line", F.btrim("raw", F.lit(BLANK)).alias("body")).filter("body <> ''")
+    """doc, own (hash of the text), line (number), body of each line that is not blank."""
+    rows = documents.select(
+        F.col(doc_id).alias("doc"), row_hash(F.col(text)).alias("own"), F.posexplode(F.split(F.col(text).cast("string"), "\n")).alias("line", "raw")
+    )
+    return rows.select("doc", "own", "line", F.btrim("raw", F.lit(BLANK)).alias("body")).filter("body <> ''")
 
 
 def _hashes(d: DataFrame) -> DataFrame:
@@ -45,8 +54,8 @@ def _hashes(d: DataFrame) -> DataFrame:
     return d.withColumn("h1", F.xxhash64("body")).withColumn("h2", F.xxhash64(F.lit(1), "body"))
 
 
-def half_keys(body: Column) -> Column:
-    """Hashes of the first and last half for each length a partner may have."""
+def half_keys(body: Column, least: int) -> Column:
+    """Hashes of the first and last half for each length a partner may have; null for lines too short for one."""
     n = F.char_length(body)
 
     def cuts(length: Column) -> Column:
@@ -56,7 +65,7 @@ def half_keys(body: Column) -> Column:
         return F.array(left, right)
 
     both = F.when(n % HALF == 0, F.concat(cuts(n), cuts(n - 1))).otherwise(cuts(n))
-    return F.when(n >= MIN_CHARS, both)
+    return F.when(n >= least, both)
 
 
 def block_rows(lines: DataFrame) -> DataFrame:
@@ -78,9 +87,9 @@ def block_rows(lines: DataFrame) -> DataFrame:
 
 
 def near_lines(lines: DataFrame) -> DataFrame:
-    """(h1, h2) of lines that have an earlier line within one edit.
+    """(h1, h2) of lines that have an earlier line within one edit, stored.
 
-    ``lines``: distinct lines as h1, h2, first (struct doc, line) and body.
+    ``lines``: distinct lines as h1, h2, first (struct doc, own, line) and body.
     """
     rows = block_rows(lines)
     shared = rows.groupBy("outside").agg(F.count("*").alias("n")).filter("n > 1").select("outside")
@@ -108,44 +117,56 @@ def near_lines(lines: DataFrame) -> DataFrame:
     bodies = lines.select("h1", "h2", "body")
     pairs = pairs.join(bodies, ["h1", "h2"])
     pairs = pairs.join(bodies.select(F.col("h1").alias("e1"), F.col("h2").alias("e2"), F.col("body").alias("other")), ["e1", "e2"])
-    return pairs.filter(F.levenshtein("body", "other", 1) == 1).select("h1", "h2").distinct()
+    near = store.keep(pairs.filter(F.levenshtein("body", "other", 1) == 1).select("h1", "h2").distinct(), "near")
+    store.drop(lines.sparkSession, variants)
+    return near
 
 
-def repeated_lines(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, lines): the numbers of the lines that go, for documents that have any."""
+def repeated_lines(documents: DataFrame, *, least: int = MIN_CHARS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc, own, lines): the numbers of the lines that go, for rows that have any; stored."""
+    spark = documents.sparkSession
     hashed = _hashes(_lines(documents, doc_id, text))
-    place = F.struct("doc", "line")
-    classes = hashed.select("h1", "h2", "doc", "line", half_keys(F.col("body")).alias("halves")).groupBy("h1", "h2")
+    place = F.struct("doc", "own", "line")
+    classes = hashed.select("h1", "h2", "doc", "own", "line", half_keys(F.col("body"), least).alias("halves")).groupBy("h1", "h2")
     classes = classes.agg(F.min(place).alias("first"), F.count("*").alias("n"), F.first("halves").alias("halves"))
     classes = store.keep(classes, "lines")
     # lines that share a half with another line
     halves = classes.select("h1", "h2", "first", F.explode("halves").alias("half"))
     shared = halves.groupBy("half").agg(F.count("*").alias("n")).filter("n > 1").select("half")
-    wanted = halves.join(shared, "half").select("h1", "h2", "first").distinct()
-    # their texts, by the documents they are in; rows that share an id are told apart by the hash
-    by_doc = wanted.groupBy(F.col("first.doc").alias("doc")).agg(F.collect_set("first.line").alias("lines"))
-    texts = documents.select(F.col(doc_id).alias("doc"), F.split(F.col(text).cast("string"), "\n").alias("raw"))
+    wanted = store.keep(halves.join(shared, "half").select("h1", "h2", "first").distinct(), "wanted")
+    # their texts, by the rows they are in
+    by_row = wanted.groupBy(F.col("first.doc").alias("in"), F.col("first.own").alias("hash")).agg(F.collect_set("first.line").alias("lines"))
+    texts = documents.select(F.col(doc_id).alias("doc"), row_hash(F.col(text)).alias("own"), F.split(F.col(text).cast("string"), "\n").alias("raw"))
     # a list that grows with the documents is never broadcast, also where it is still small
-    found = texts.join(by_doc.hint("merge"), texts["doc"].eqNullSafe(by_doc["doc"])).drop(by_doc["doc"])
-    found = found.select("doc", F.explode("lines").alias("line"), "raw")
-    found = found.select("doc", "line", F.btrim(F.get("raw", F.col("line")), F.lit(BLANK)).alias("body"))
+    found = texts.join(by_row.hint("merge"), F.col("doc").eqNullSafe(F.col("in")) & (F.col("own") == F.col("hash"))).drop("in", "hash")
+    found = found.select("doc", "own", F.explode("lines").alias("line"), "raw")
+    found = found.select("doc", "own", "line", F.btrim(F.get("raw", F.col("line")), F.lit(BLANK)).alias("body"))
     found = _hashes(found.filter("body <> ''")).select("h1", "h2", place.alias("first"), "body")
     kept = wanted.select("h1", "h2", F.col("first").alias("at"))
     candidates = found.join(kept, ["h1", "h2"]).filter(F.col("first").eqNullSafe(F.col("at"))).drop("at").dropDuplicates(["h1", "h2"])
-    near = near_lines(store.keep(candidates, "candidates")).withColumn("near", F.lit(True))
-    judged = classes.join(near, ["h1", "h2"], "left").withColumn("near", F.coalesce("near", F.lit(False)))
+    candidates = store.keep(candidates, "candidates")
+    store.drop(spark, wanted)
+    near = near_lines(candidates)
+    store.drop(spark, candidates)
+    judged = classes.join(near.withColumn("near", F.lit(True)), ["h1", "h2"], "left").withColumn("near", F.coalesce("near", F.lit(False)))
     judged = judged.filter("n > 1 OR near").select("h1", "h2", "first", "near")
-    gone = hashed.select("doc", "line", "h1", "h2").join(judged, ["h1", "h2"])
+    gone = hashed.select("doc", "own", "line", "h1", "h2").join(judged, ["h1", "h2"])
     gone = gone.filter(F.col("near") | ~place.eqNullSafe(F.col("first")))
-    return gone.groupBy("doc").agg(F.collect_set("line").alias("lines"))
+    gone = store.keep(gone.groupBy("doc", "own").agg(F.collect_set("line").alias("lines")), "gone")
+    store.drop(spark, classes)
+    store.drop(spark, near)
+    return gone
 
 
-def dedup_lines(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", size: str | None = None) -> DataFrame:
+def dedup_lines(
+    documents: DataFrame, *, least: int = MIN_CHARS, doc_id: str = "doc_id", text: str = "text", size: str | None = None
+) -> DataFrame:
     """The documents without repeated lines; columns as they were, ``size`` (if named) as the new number of characters."""
-    gone = store.keep(repeated_lines(documents, doc_id=doc_id, text=text), "gone")
+    gone = repeated_lines(documents, least=least, doc_id=doc_id, text=text)
     names = documents.columns
-    gone = gone.select(F.col("doc").alias(GOES + "_in"), F.col("lines").alias(GOES))
-    rows = documents.join(gone.hint("merge"), F.col(doc_id).eqNullSafe(F.col(GOES + "_in")), "left")
+    gone = gone.select(F.col("doc").alias(GOES + "_in"), F.col("own").alias(GOES + "_hash"), F.col("lines").alias(GOES))
+    same = F.col(doc_id).eqNullSafe(F.col(GOES + "_in")) & (row_hash(F.col(text)) == F.col(GOES + "_hash"))
+    rows = documents.join(gone.hint("merge"), same, "left")
 
     def rewrite(lines: Column) -> Column:
         left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(GOES))

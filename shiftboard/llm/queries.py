@@ -195,8 +195,9 @@ def _(spark: SparkSession, directory: str) -> DataFrame:
 
 @query(
     "op7_line_deletion_neighbourhood",
-    """WITH l AS (SELECT doc_id AS d, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i
-            FROM documents WHERE text IS NOT NULL),
+    """WITH doc AS (SELECT doc_id, {'d': doc_id, 'h': ('0x' || left(md5(text), 15))::BIGINT} AS d, text FROM documents),
+    l AS (SELECT d, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i
+            FROM (SELECT DISTINCT d, text FROM doc WHERE text IS NOT NULL)),
     b AS (SELECT d, i, raw, trim(raw, ' ' || chr(9) || chr(13)) AS body FROM l),
     f AS (SELECT body, min({'d': d, 'i': i}) AS first, length(body) AS n FROM b WHERE body <> '' GROUP BY body),
     m AS (SELECT body, first, n, unnest([n, n - 1]) AS m FROM f WHERE n >= 20),
@@ -209,8 +210,8 @@ def _(spark: SparkSession, directory: str) -> DataFrame:
         ELSE len(list_filter(range(1, ne + 1), lambda k: left(e, k - 1) || substr(e, k + 1) = a)) > 0 END),
     kept AS (SELECT d, i, raw FROM b LEFT JOIN f USING (body) LEFT JOIN near ON a = body WHERE body = '' OR (first = {'d': d, 'i': i} AND a IS NULL)),
     t AS (SELECT d, string_agg(raw, chr(10) ORDER BY i) AS text, count(*) AS n FROM kept GROUP BY 1)
-    SELECT doc_id, CASE WHEN documents.text IS NULL THEN 0 ELSE coalesce(n, 1) END::BIGINT AS n_lines, sha256(coalesce(t.text, '')) AS text_sha256
-    FROM documents LEFT JOIN t ON d = doc_id""",
+    SELECT doc_id, CASE WHEN doc.text IS NULL THEN 0 ELSE coalesce(n, 1) END::BIGINT AS n_lines, sha256(coalesce(t.text, '')) AS text_sha256
+    FROM doc LEFT JOIN t ON t.d = doc.d AND doc.text IS NOT NULL""",
 )
 def _(spark: SparkSession, directory: str) -> DataFrame:
     documents = table(spark, directory, "documents")

@@ -386,6 +386,31 @@ def test_line_dedup_edges(spark):
     assert line_dedup.dedup_lines(documents(spark, [])).count() == 0
 
 
+def test_line_dedup_of_rows_that_share_an_id(spark):
+    """A row loses lines of its own only: no line that stands once is lost, and of equal lines one stays."""
+    texts = [(7, "one\ntwo\nthree"), (7, "four\none\nfive"), (None, "same line\nalpha only here"), (None, "beta only here\nsame line")]
+    texts += [(7, None), (None, ""), (None, "same line\nalpha only here of 20 and more"), (9, "alpha only here of 20 and  more\none\nsix")]
+    out = line_dedup.dedup_lines(documents(spark, texts).repartition(3)).collect()
+    assert sorted(str(r.doc_id) for r in out) == sorted(str(i) for i, _ in texts)
+    left = [x for r in out for x in (r.text or "").split("\n") if x]
+    near = "alpha only here of 20 and  more"
+    assert sorted(left) == sorted({x for _, t in texts for x in (t or "").split("\n") if x and x != near})
+    # the first of rows that share an id is the one whose text has the smaller hash
+    again = line_dedup.dedup_lines(documents(spark, texts[::-1])).collect()
+    assert sorted(map(str, out)) == sorted(map(str, again))
+    # rows equal in id and text are treated alike
+    twice = line_dedup.dedup_lines(documents(spark, [(1, "a\na\nb"), (1, "a\na\nb"), (2, "b")])).collect()
+    assert sorted((r.doc_id, r.text) for r in twice) == [(1, "a\nb"), (1, "a\nb"), (2, "")]
+
+
+@pytest.mark.parametrize("least", [1, 5, 17])
+def test_line_dedup_of_shorter_lines(spark, least):
+    rng = random.Random(least)
+    texts = {i: "\n".join("".join(rng.choice("abc") for _ in range(rng.randrange(1, 22))) for _ in range(4)) for i in range(40)}
+    got = line_dedup.dedup_lines(documents(spark, list(texts.items())), least=least)
+    assert {r.doc_id: r.text for r in got.collect()} == plain_line_dedup(texts, least)
+
+
 def test_license_scan_edges(spark):
     body = "see http://x. permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the"
     texts = [*EDGES, (20, body), (21, "MIT  License mit-license MIT LICENSE"), (22, "the mit of license"), (23, "license " * 3000), (24, "Licensed under CC BY-NC 4.0.")]
