@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -458,3 +459,44 @@ def test_pipeline_stages(spark):
     after = corpus_pipeline.run(spark, folder)
     assert 0 < after.count() <= before
     assert after.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+def write_tables(spark, folder, rows):
+    """The pipeline's tables: given rows as documents, labels and benchmark of the smallest scale."""
+    shape = "doc_id bigint, text string, lang string, source string, n_chars bigint, row int, id int, key int, line int, n int, component_id int, `odd name` int"
+    data = [(i, t, "en", "src1", None if t is None else len(t), *range(7)) for i, t in rows]
+    spark.createDataFrame(data, shape).repartition(3).write.parquet(f"{folder}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+def test_pipeline_on_edge_rows(spark, tmp_path):
+    """Null, shared and repeated ids, null and very long texts, and names that operators use go through every stage."""
+    given = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
+    rows = [(r.doc_id, r.text) for r in given[:120]]
+    rows += [(None, r.text) for r in given[120:140]]  # no id
+    rows += [(rows[0][0], r.text) for r in given[140:160]]  # one id, many texts
+    rows += [rows[3], rows[3], (None, rows[125][1]), (None, None), (None, ""), (10**9, None), (10**9 + 1, sentence(3, 60_000))]
+    folder = write_tables(spark, tmp_path, rows)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    columns, counts = docs.columns, []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before, docs = docs, stage(spark, docs, folder)
+        assert docs.columns == columns, name
+        # a stage invents no rows, and only the one for lines changes texts
+        had, has = (Counter((r.doc_id, None if name == "lines" else r.text) for r in d.collect()) for d in (before, docs))
+        assert not has - had, name
+        counts.append(docs.count())
+    out = corpus_pipeline.run(spark, folder).collect()
+    assert len(out) == counts[-1] > 60
+    assert Counter(r.decoded_sha256 for r in out) == Counter(hashlib.sha256((r.text or "").encode()).hexdigest() for r in docs.collect())
+    # rows without an id, and those that share one, are still there
+    assert sum(r.doc_id is None for r in out) > 5 and sum(r.doc_id == rows[0][0] for r in out) > 5
+
+
+def test_pipeline_on_empty_tables(spark, tmp_path):
+    folder = write_tables(spark, tmp_path, [])
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder).count() == 0, name
+    assert corpus_pipeline.run(spark, folder).count() == 0
