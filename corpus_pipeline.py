@@ -8,6 +8,12 @@ returns token counts and digests.  A stage works on all documents the one before
 3. near copies: of each group of near-duplicates (five-word shingles, similarity 0.8) one document stays.
 4. benchmark: documents that hold ten consecutive words of a benchmark item go.
 5. tokens: every text is encoded with byte-level BPE and decoded again.
+
+Defined results, in every stage: a null text counts as empty and stays null; rows are judged one by one, also where they
+share an id or have none, and none is lost or repeated for it.  Null ids come first in the order of lines and last in that of
+near copies; rows that share an id are told apart by their text; of rows equal in id and text the near-copy stage
+keeps one.  Texts without words are no copies of each other and hold no benchmark window.  Empty tables give empty results.  Further
+columns, whatever their names, pass through all stages but the last.
 """
 
 from __future__ import annotations
