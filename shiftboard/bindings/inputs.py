@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..session import scratch_path
 from ..sources import bars, files
-from ..streaming.bars import ohlc_incremental
+from ..streaming.bars import ohlc_closed, ohlc_incremental, read_bars
 from .registry import Tables, query
 
 CUSTOMER = "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"
@@ -141,10 +141,31 @@ def _(t: Tables) -> DataFrame:
     for landed in (payloads(first.filter(F.col("close_time") < "2024-01-21")), payloads(second).select("value").unionByName(bad)):
         landed.select("value").write.mode("append").json(landing)
         ohlc_incremental(t.spark, landing, "value string", progress, sink, rejects).awaitTermination()
-    read = t.spark.read.parquet(sink).drop("day", "landed_at")
+    read = read_bars(t.spark, sink).drop("landed_at")
     return read.withColumn("close_time", F.date_format("close_time", "yyyy-MM-dd HH:mm"))
 
 
+@query(
+    "ohlc_incremental__closed",
+    """WITH h AS (SELECT upper(event_type) || 'USD' AS pair, date_trunc('hour', ts) AS close_time, first(value ORDER BY ts, event_id) AS open, max(value) AS high,
+            min(value) AS low, last(value ORDER BY ts, event_id) AS close, round(sum(value), 4) AS volume FROM events GROUP BY 1, 2),
+        last_one AS (SELECT max(close_time) AS t FROM h)
+       SELECT pair, strftime(time_bucket(INTERVAL 6 HOUR, close_time), '%Y-%m-%d %H:00') AS window_start, first(open ORDER BY close_time) AS open,
+            max(high) AS high, min(low) AS low, last(close ORDER BY close_time) AS close, round(sum(volume), 4) AS volume, count(*) AS bars FROM h, last_one
+       GROUP BY pair, time_bucket(INTERVAL 6 HOUR, close_time), t HAVING time_bucket(INTERVAL 6 HOUR, close_time) + INTERVAL 6 HOUR <= t - INTERVAL 2 HOUR""",
+)
+def _(t: Tables) -> DataFrame:
+    """Six-hour windows closed by two landings; the second repeats the last day of the first."""
+    base = scratch_path(t.spark, "closed")
+    landing, sink, progress = (posixpath.join(base, x) for x in ("landing", "sink", "progress"))
+    rows = hourly(t)
+    for landed in (rows.filter(F.col("close_time") < "2024-01-21"), rows.filter(F.col("close_time") >= "2024-01-20")):
+        payloads(landed).select("value").write.mode("append").json(landing)
+        ohlc_closed(t.spark, landing, "value string", progress, sink, "6 hours").awaitTermination()
+    read = t.spark.read.parquet(sink).drop("window_end").withColumn("volume", F.round("volume", 4))
+    return read.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm"))
+
+
 @query(
     "bundle_sink",
     """SELECT 'by_status' AS part, o_orderstatus AS key, count(*) AS n FROM orders GROUP BY 2
@@ -162,7 +183,6 @@ def _(t: Tables) -> DataFrame:
     }
     base = scratch_path(t.spark, "bundle")
     files.bundle_sink(frames, base)
-    parts = [
-        t.spark.read.parquet(posixpath.join(base, name)).select(F.lit(name).alias("part"), "key", "n") for name in frames
-    ]
+    held = files.read_bundle(t.spark, base)
+    parts = [held[name].select(F.lit(name).alias("part"), "key", "n") for name in frames]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])

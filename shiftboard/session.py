@@ -16,7 +16,9 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
-    # stored slices go when no frame refers to them any more
+    # files are cut into blocks by their size alone, not by the cores a session has at the moment
+    "spark.sql.files.minPartitionNum": "200",
+    # stored frames go when no frame refers to them any more
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
@@ -50,7 +52,8 @@ def shared_dir(spark: SparkSession) -> str:
     return current
 
 
-def _hadoop(spark: SparkSession, path: str):
+def hadoop(spark: SparkSession, path: str):
+    """The file system that holds ``path``, and the path for it."""
     there = spark._jvm.org.apache.hadoop.fs.Path(path)
     return there.getFileSystem(spark._jsc.hadoopConfiguration()), there
 
@@ -58,7 +61,7 @@ def _hadoop(spark: SparkSession, path: str):
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new, unused path below the shared folder; what is written there goes when the session's process ends."""
     path = posixpath.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
-    files, there = _hadoop(spark, path)
+    files, there = hadoop(spark, path)
     files.mkdirs(there.getParent())
     files.mkdirs(there)
     files.deleteOnExit(there)
@@ -68,7 +71,7 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 def drop_path(spark: SparkSession, path: str) -> None:
     """Remove a scratch path whose rows nothing reads any more."""
-    files, there = _hadoop(spark, path)
+    files, there = hadoop(spark, path)
     files.delete(there, True)
 
 

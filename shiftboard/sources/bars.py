@@ -22,38 +22,42 @@ def pair_name(symbol: ColumnLike, quote: str = "USD", alias: Mapping[str, str] =
     return F.concat(code_to_label(F.upper(_c(symbol)), upper), F.lit(quote))
 
 
-def _read(d: DataFrame, json_col: str) -> DataFrame:
+NUMBERS = ("open", "high", "low", "close", "volume")
+
+
+def ohlc_rows(d: DataFrame, json_col: str, keep: Sequence[str] = ()) -> DataFrame:
+    """All that payloads hold, each read once: ``(keep…, pair, close_time, numbers…, bar, reason)``.
+
+    A row is a bar, or what gives none: a payload with an error or no pair, a list that cannot be read, a bar with an unreadable
+    field.  Those have a ``reason``, and ``bar`` as landed.
+    """
     parsed = d.withColumn("__p", F.from_json(F.col(json_col), PAYLOAD))
     pairs = F.map_filter(F.col("__p.result"), lambda k, _: k != NOT_A_PAIR)
-    reason = (
+    wrong_payload = (
         F.when(F.col("__p").isNull() | F.col("__p.result").isNull() & F.col("__p.error").isNull(), "unreadable")
         .when(F.size("__p.error") > 0, F.array_join("__p.error", "; "))
         .when(F.col("__pairs").isNull() | (F.size("__pairs") == 0), "no pair")
     )
-    return parsed.withColumn("__pairs", pairs).withColumn("__reason", reason)
-
-
-NUMBERS = ("open", "high", "low", "close", "volume")
-
-
-def _bars(d: DataFrame, json_col: str, keep: Sequence[str]) -> DataFrame:
-    """One row per landed bar of readable payloads: its texts, typed values and what is wrong with it."""
-    good = _read(d, json_col).filter(F.col("__reason").isNull())
-    per_pair = good.select(*keep, F.explode("__pairs").alias("pair", "__bars"))
+    read = parsed.withColumn("__pairs", pairs).withColumn("__payload", wrong_payload)
+    # a payload that is wrong stays as one row, and so does a list that cannot be read
+    held = F.when(F.col("__payload").isNull(), F.col("__pairs"))
+    per_pair = read.select(*keep, "__payload", F.explode_outer(held).alias("pair", "__bars"))
     lists = per_pair.withColumn("__list", F.from_json("__bars", "array<array<string>>"))
-    # a list that cannot be read stays as one row
-    bars = lists.select(*keep, "pair", "__bars", F.col("__list").isNull().alias("__broken"), F.explode_outer("__list").alias("b"))
+    bars = lists.select(*keep, "__payload", "pair", "__bars", F.col("__list").isNull().alias("__broken"), F.explode_outer("__list").alias("b"))
     field = {name: F.get("b", F.lit(i)) for i, name in enumerate(BAR)}
     typed = bars.withColumns(
         {"close_time": F.timestamp_seconds(field["close_time"].try_cast("bigint"))}
         | {n: field[n].try_cast("double") for n in NUMBERS}
     )
-    unread = [F.when(F.col(n).isNull(), F.lit(n)) for n in ("close_time", *NUMBERS)]
-    wrong = F.array_compact(F.array(*unread))
-    reason = F.when(F.col("__broken"), "unreadable bars").when(
-        F.col("b").isNotNull() & (F.size(wrong) > 0), F.concat(F.lit("unreadable "), F.array_join(wrong, ", "))
+    unread = F.array_compact(F.array(*[F.when(F.col(n).isNull(), F.lit(n)) for n in ("close_time", *NUMBERS)]))
+    reason = F.coalesce(
+        "__payload",
+        F.when(F.col("__broken"), "unreadable bars"),
+        F.when(F.size(unread) > 0, F.concat(F.lit("unreadable "), F.array_join(unread, ", "))),
     )
-    return typed.withColumn("__reason", reason).filter(F.col("b").isNotNull() | F.col("__broken"))
+    there = F.col("b").isNotNull() | F.col("__broken")  # an empty list is no bar and no fault
+    landed = F.coalesce(F.to_json("b"), F.col("__bars")).alias("bar")
+    return typed.filter(there).withColumn("reason", reason).select(*keep, "pair", "close_time", *NUMBERS, landed, "reason")
 
 
 def ohlc_ingest(d: DataFrame, json_col: str, keep: Sequence[str] = ()) -> DataFrame:
@@ -61,14 +65,10 @@ def ohlc_ingest(d: DataFrame, json_col: str, keep: Sequence[str] = ()) -> DataFr
 
     A bar with an unreadable field, and a list that cannot be read, go to ``ohlc_rejects`` and stop nothing.
     """
-    good = _bars(d, json_col, keep).filter(F.col("__reason").isNull())
-    return good.select(*keep, "pair", "close_time", *NUMBERS)
+    return ohlc_rows(d, json_col, keep).filter(F.col("reason").isNull()).drop("bar", "reason")
 
 
 def ohlc_rejects(d: DataFrame, json_col: str) -> DataFrame:
     """What gives no bar, with the reason: payloads with an error or no pair, unreadable lists and bars."""
-    payloads = _read(d, json_col).filter(F.col("__reason").isNotNull())
-    payloads = payloads.select(*d.columns, F.lit(None).cast("string").alias("pair"), F.lit(None).cast("string").alias("bar"), F.col("__reason").alias("reason"))
-    bars = _bars(d, json_col, d.columns).filter(F.col("__reason").isNotNull())
-    text = F.coalesce(F.to_json("b"), F.col("__bars"))
-    return payloads.unionByName(bars.select(*d.columns, "pair", text.alias("bar"), F.col("__reason").alias("reason")))
+    found = ohlc_rows(d, json_col, d.columns).filter(F.col("reason").isNotNull())
+    return found.select(*d.columns, "pair", "bar", "reason")

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import json
 import posixpath
 from collections.abc import Mapping, Sequence
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import StructType
 
+from ..session import pin
+from . import manifest
+
 #: about 100 bytes each
 MOST_BROADCAST_BLOCKS = 500_000
 
@@ -56,26 +61,41 @@ def with_row_id(d: DataFrame, name: str = "row_id") -> DataFrame:
     """Dense 0-based row number in file order: path, block in the file, row in the block.
 
     ``d`` must read files directly.  Rows are numbered where they are read, in a first pass that keeps one count per file
-    block and a second that adds the block's place; nothing is stored and no row moves.  The block is the unit: how
-    blocks are dealt to tasks does not matter within a pass, and both passes deal them alike.
+    block (stored) and a second that adds the block's place; no row moves.  Which task reads a block does not matter.
+    Should the second pass cut a file into other blocks than the first, as it may if the session's cores change
+    in between (``spark.sql.files.minPartitionNum`` prevents it), a block without a known start raises, and so does one of
+    another length: no row is lost or numbered wrongly.
     """
     read = d.select(
         "*",
         F.col("_metadata.file_path").alias("__file"),
         F.col("_metadata.file_block_start").alias("__block"),
+        F.col("_metadata.file_block_length").alias("__length"),
         F.monotonically_increasing_id().alias("__id"),
     )
-    block = ["__file", "__block"]
-    blocks = read.groupBy(*block).agg(F.count("*").alias("__n"), F.min("__id").alias("__first"))
-    earlier = Window.orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)
-    starts = blocks.select(
-        *block, "__first", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__start")
+    counted = read.groupBy("__file", "__block").agg(
+        F.count("*").alias("__n"), F.min("__id").alias("__first"), F.max("__length").alias("__held")
     )
-    # one row per file block, broadcast only if they are few enough
-    starts = F.broadcast(starts) if blocks.count() <= MOST_BROADCAST_BLOCKS else starts
-    return read.join(starts, block).select(
-        *d.columns, (F.col("__start") + F.col("__id") - F.col("__first")).alias(name)
+    counted = pin(counted)
+    starts = block_starts(counted)
+    starts = F.broadcast(starts) if counted.count() <= MOST_BROADCAST_BLOCKS else starts
+    return numbered(read, starts, name).select(*d.columns, name)
+
+
+def block_starts(counted: DataFrame) -> DataFrame:
+    """The rows before each file block, from their counts: one row per block."""
+    earlier = Window.orderBy("__file", "__block").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("__n").over(earlier), F.lit(0))
+    return counted.select("__file", "__block", "__first", "__held", before.alias("__start"))
+
+
+def numbered(read: DataFrame, starts: DataFrame, name: str) -> DataFrame:
+    """Rows with their number; each must be of a block that has a start."""
+    joined = read.join(starts, ["__file", "__block"], "left")
+    start = F.when(F.col("__held") == F.col("__length"), F.col("__start")).otherwise(
+        F.raise_error(F.concat(F.lit("files are cut otherwise than when they were counted: "), "__file", F.lit(" at "), F.col("__block").cast("string")))
     )
+    return joined.withColumn(name, start + F.col("__id") - F.col("__first"))
 
 
 def skip_leading_rows(d: DataFrame, n: int, name: str = "row_id") -> DataFrame:
@@ -90,11 +110,52 @@ def bundle_sink(
     mode: str = "overwrite",
     partition_by: Mapping[str, Sequence[str]] | None = None,
 ) -> None:
-    """Write named results as one bundle: a sub-directory per name."""
+    """Write named results as one bundle: all of them, or none.
+
+    Each result gets a folder of its own; the manifest that names them is replaced last (``manifest``).  If one fails, the bundle
+    before it stays as it was.  ``mode``: ``overwrite``, or ``append`` to the rows of results that the bundle holds.
+    """
+    if mode not in ("overwrite", "append"):
+        raise ValueError(f"mode is overwrite or append, not {mode}")
+    if not frames:
+        raise ValueError("a bundle holds at least one result")
+    spark = next(iter(frames.values())).sparkSession
+    held = (manifest.read(spark, directory) or {}) if mode == "append" else {}
+    if held and held["format"] != format:
+        raise ValueError(f"the bundle is written as {held['format']}")
+    parts, schemas = dict(held.get("parts", {})), dict(held.get("schemas", {}))
+    version = manifest.new_version(directory)
     for name, frame in frames.items():
-        writer = frame.write.format(format).mode(mode)
+        writer = frame.write.format(format)
         if format == "csv":
             writer = writer.option("header", True)
         if partition_by and name in partition_by:
             writer = writer.partitionBy(*partition_by[name])
-        writer.save(posixpath.join(directory, name))
+        schemas.setdefault(name, frame.schema.json())
+        if _schema(schemas[name]).simpleString() != frame.schema.simpleString():
+            raise ValueError(f"{name} has other columns than in the bundle")
+        path = posixpath.join(version, name)
+        writer.save(path)
+        parts[name] = [*parts.get(name, []), posixpath.relpath(path, directory)]
+    manifest.commit(spark, directory, {"format": format, "parts": parts, "schemas": schemas})
+
+
+def _schema(text: str) -> StructType:
+    return StructType.fromJson(json.loads(text))
+
+
+def read_bundle(spark: SparkSession, directory: str) -> dict[str, DataFrame]:
+    """The results of the newest whole bundle, by name, with the columns they were written with."""
+    held = manifest.read(spark, directory)
+    if held is None:
+        raise FileNotFoundError(f"no bundle in {directory}")
+    out = {}
+    for name, paths in held["parts"].items():
+        schema = _schema(held["schemas"][name])
+        reader = spark.read.format(held["format"]).schema(schema)
+        if held["format"] == "csv":
+            reader = reader.option("header", True)
+        # each folder is a base of its own for partition columns
+        frames = [reader.load(posixpath.join(directory, p)).select(schema.names) for p in paths]
+        out[name] = reduce(DataFrame.unionByName, frames)
+    return out

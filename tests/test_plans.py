@@ -21,7 +21,7 @@ ONE_TASK = {
     "backfill_next": 1,  # a table of one slice
     "backfill_next__sliced": 2,  # values of later slices, and how many slices there are
 }
-WRITES = {"bundle_sink", "ohlc_incremental"}
+WRITES = {"bundle_sink", "ohlc_incremental", "ohlc_incremental__closed"}
 ORDERED = ("row_number_global", "row_number_global__sliced", "backfill_next", "backfill_next__sliced", "label_encode")
 
 
