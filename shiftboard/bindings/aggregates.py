@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import calendar as cal, ratios
 from ..operators import aggregate as agg, joins, stats
+from ..session import scratch_path
 from .registry import Tables, query
 
 
@@ -133,6 +136,29 @@ def _(t: Tables) -> DataFrame:
     return agg.count_distinct(rows, ["user_id", "kind"], count_null=True)
 
 
+@query(
+    "count_distinct__sketches",
+    """WITH d AS (SELECT event_type, date_trunc('week', ts)::DATE AS week, user_id, event_id FROM events)
+       SELECT 'week' AS grain, event_type, week, count(DISTINCT user_id) AS users, count(DISTINCT event_id) AS events, TRUE AS near FROM d GROUP BY ALL
+       UNION ALL SELECT 'total', event_type, NULL, count(DISTINCT user_id), count(DISTINCT event_id), TRUE FROM d GROUP BY ALL""",
+)
+def _(t: Tables) -> DataFrame:
+    """Weeks and totals from stored daily sketches, each beside the exact count: no further apart than four standard errors."""
+    rows = t.events.withColumn("day", F.to_date("ts")).withColumn("week", F.date_trunc("week", "ts").cast("date"))
+    cols = ["user_id", "event_id"]
+    path = scratch_path(t.spark, "sketches")
+    agg.distinct_sketches(rows, ["event_type", "day"], cols).write.parquet(path)
+    stored = t.spark.read.parquet(path).withColumn("week", F.date_trunc("week", "day").cast("date"))
+    out = []
+    for grain, keys in {"week": ["event_type", "week"], "total": ["event_type"]}.items():
+        exact = rows.groupBy(*keys).agg(F.count_distinct("user_id").alias("users"), F.count_distinct("event_id").alias("events"))
+        both = agg.united_distinct(stored, keys, cols).join(exact, keys)
+        far = F.greatest(F.abs(F.col("user_id") / F.col("users") - 1), F.abs(F.col("event_id") / F.col("events") - 1))
+        week = F.col("week") if "week" in keys else F.lit(None).cast("date").alias("week")
+        out.append(both.select(F.lit(grain).alias("grain"), "event_type", week, "users", "events", (far <= 4 * 1.04 / 2**6).alias("near")))
+    return out[0].unionByName(out[1])
+
+
 # --- ratios ----------------------------------------------------------------
 
 @query(
@@ -329,6 +355,19 @@ def _(t: Tables) -> DataFrame:
     return rounded(values.unionByName(sizes), 6, "bin_lo", "bin_hi")
 
 
+EDGES = [1, 2, 5, 10, 20, 21, 40, 49.5]
+
+
+@query(
+    "histogram_bins__uneven",
+    f"""WITH e AS (SELECT unnest(range({len(EDGES) - 1}))::INTEGER AS bin, unnest({EDGES[:-1]}::DOUBLE[]) AS bin_lo, unnest({EDGES[1:]}::DOUBLE[]) AS bin_hi)
+       SELECT bin, bin_lo, bin_hi, count(l_quantity) AS n FROM e
+       LEFT JOIN lineitem ON l_quantity >= bin_lo AND (l_quantity < bin_hi OR bin = {len(EDGES) - 2} AND l_quantity = bin_hi) GROUP BY ALL""",
+)
+def _(t: Tables) -> DataFrame:
+    return stats.histogram_bins(t.lineitem, "l_quantity", edges=EDGES)
+
+
 @query(
     "box_stats",
     """WITH q AS (SELECT o_orderpriority, quantile_cont(o_totalprice, 0.25) AS q1, median(o_totalprice) AS median, quantile_cont(o_totalprice, 0.75) AS q3
@@ -404,6 +443,41 @@ def _(t: Tables) -> DataFrame:
     return rounded(stats.corr_matrix(t.lineitem, NUMERIC), 6, "corr")
 
 
+# 45 columns made of five, some with gaps
+WIDE = {f"c{i}": (i % 5, i // 5) for i in range(45)}
+
+
+@query(
+    "corr_matrix__wide",
+    "WITH w AS (SELECT "
+    + ", ".join(f"CASE WHEN (l_orderkey + l_linenumber) % 11 >= {m} THEN {NUMERIC[c]} + {m} * l_tax END AS {n}" for n, (c, m) in WIDE.items())
+    + " FROM lineitem) "
+    + " UNION ALL ".join(f"SELECT '{b}' AS row_col, '{a}' AS col_col, round(corr({a}, {b}), 6) AS corr FROM w" for a, b in combinations(WIDE, 2)),
+)
+def _(t: Tables) -> DataFrame:
+    there = (F.col("l_orderkey") + F.col("l_linenumber")) % 11
+    wide = t.lineitem.select(*[F.when(there >= m, F.col(NUMERIC[c]) + m * F.col("l_tax")).alias(n) for n, (c, m) in WIDE.items()])
+    return rounded(stats.corr_matrix(wide, list(WIDE)), 6, "corr")
+
+
+# the 0.975 quantile of Student's t for n - 2 degrees of freedom, by its expansion about the normal's (1.959963984540054)
+T_975 = """(SELECT z + (z ** 3 + z) / (4 * v) + (5 * z ** 5 + 16 * z ** 3 + 3 * z) / (96 * v ** 2) + (3 * z ** 7 + 19 * z ** 5 + 17 * z ** 3 - 15 * z) / (384 * v ** 3)
+    + (79 * z ** 9 + 776 * z ** 7 + 1482 * z ** 5 - 1920 * z ** 3 - 945 * z) / (92160 * v ** 4) FROM (SELECT 1.959963984540054::DOUBLE AS z, (n - 2)::DOUBLE AS v))"""
+
+
+@query(
+    "linear_fit__band",
+    f"""WITH f AS (SELECT count(*)::DOUBLE AS n, regr_slope(p_retailprice, p_size) AS a, regr_intercept(p_retailprice, p_size) AS b, avg(p_size) AS m,
+            regr_sxx(p_retailprice, p_size) AS sxx, (regr_syy(p_retailprice, p_size) - power(regr_sxy(p_retailprice, p_size), 2) / regr_sxx(p_retailprice, p_size))
+            / (count(*) - 2) AS s2 FROM part),
+        p AS (SELECT unnest(range(1, 51))::INTEGER AS x, a, b, n, sqrt(s2 * (1 / n + power(x - m, 2) / sxx)) AS e, {T_975} AS t FROM f)
+       SELECT x, round(a * x + b, 6) AS predicted, round(e, 8) AS std_err_mean, round(a * x + b - t * e, 6) AS low, round(a * x + b + t * e, 6) AS high FROM p""",
+)
+def _(t: Tables) -> DataFrame:
+    line = stats.linear_fit(t.part, "p_size", "p_retailprice", predict=(1, 50), level=0.95)
+    return rounded(rounded(line, 6, "predicted", "low", "high"), 8, "std_err_mean")
+
+
 @query(
     "linear_fit",
     """SELECT regr_count(l_extendedprice, l_quantity)::BIGINT AS n, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope,

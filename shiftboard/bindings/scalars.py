@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import calendar as cal, labels, text
+from ..operators.joins import join_code_label
 from ..operators.reshape import nested_explode
 from .registry import Tables, query
 
@@ -415,6 +416,18 @@ def _(t: Tables) -> DataFrame:
     return tally(t.lineitem, flag=labels.code_to_label("l_returnflag", {"A": "Accepted", "R": "Returned"}))
 
 
+@query(
+    "code_to_label__table",
+    """SELECT coalesce(c_name, o_custkey::VARCHAR) AS customer, count(*) AS n FROM orders
+       LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 3 > 0) ON o_custkey = c_custkey GROUP BY 1""",
+)
+def _(t: Tables) -> DataFrame:
+    """Names of customers as a code table that lacks every third one."""
+    codes = t.customer.filter(F.col("c_custkey") % 3 > 0).select(F.col("c_custkey").cast("string").alias("code"), F.col("c_name").alias("label"))
+    rows = t.orders.select(F.col("o_custkey").cast("string").alias("customer"))
+    return tally(join_code_label(rows, "customer", codes), customer=F.col("customer"))
+
+
 @query(
     "username_length_rule",
     """SELECT CASE WHEN length(p_name) < 8 THEN 'too short' WHEN length(p_name) > 15 THEN 'too long' ELSE 'valid' END AS verdict,

@@ -297,24 +297,49 @@ def _(t: Tables) -> DataFrame:
 WEIGHTS = [8, 8, 8, 8, 8, 3, 3, 4, 20, 30]
 
 
-def _draw_sql() -> str:
-    bounds, below = [], 0
-    for score, weight in enumerate(WEIGHTS[:-1], start=1):
-        below += weight
-        bounds.append(f"WHEN u < {below}.0 / {sum(WEIGHTS)} THEN {score}")
-    return " ".join(bounds)
+# the alias table of WEIGHTS, written out: slot, share that stays, its score, the score that has the rest
+SLOTS = """VALUES (0, 0.8, 1, 9), (1, 0.8, 2, 9), (2, 0.8, 3, 9), (3, 0.8, 4, 9), (4, 0.8, 5, 10), (5, 0.3, 6, 10), (6, 0.3, 7, 10), (7, 0.4, 8, 10),
+    (8, 1.0, 9, 9), (9, 0.8, 10, 9)"""
 
 
 @query(
     "weighted_draw",
-    f"""SELECT score, count(*) AS n, sum(o_orderkey)::BIGINT AS keys FROM (SELECT o_orderkey, CASE {_draw_sql()} ELSE {len(WEIGHTS)} END AS score
-        FROM (SELECT o_orderkey, CAST('0x' || substr(md5('42:' || o_orderkey), 1, 8) AS BIGINT) / 4294967296.0 AS u FROM orders)) GROUP BY 1""",
+    f"""WITH u AS (SELECT o_orderkey, CAST('0x' || substr(md5('42:' || o_orderkey), 1, 8) AS BIGINT) / 4294967296.0 AS a,
+            CAST('0x' || substr(md5('42:' || o_orderkey), 9, 8) AS BIGINT) / 4294967296.0 AS b FROM orders),
+        t(slot, stays, own, other) AS ({SLOTS})
+       SELECT (CASE WHEN b < stays THEN own ELSE other END)::BIGINT AS score, count(*) AS n, sum(o_orderkey)::BIGINT AS keys
+       FROM u JOIN t ON floor(a * 10) = slot GROUP BY 1""",
 )
 def _(t: Tables) -> DataFrame:
     drawn = sets.weighted_draw(t.orders, "o_orderkey", list(range(1, 11)), WEIGHTS, 42, "score")
     return drawn.groupBy("score").agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("keys"))
 
 
+@query(
+    "top_n__tenth",
+    """SELECT 'top' AS part, o_orderkey, o_totalprice FROM (SELECT * FROM orders ORDER BY o_totalprice DESC NULLS LAST, o_orderkey LIMIT (SELECT count(*) // 10 FROM orders))
+       UNION ALL SELECT 'bottom', o_orderkey, o_totalprice FROM (SELECT * FROM orders ORDER BY o_totalprice, o_orderkey LIMIT (SELECT count(*) // 10 FROM orders))
+       UNION ALL SELECT 'rest', o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (ORDER BY o_totalprice DESC NULLS LAST, o_orderkey) AS r FROM orders)
+       WHERE r > (SELECT count(*) // 10 FROM orders)""",
+)
+def _(t: Tables) -> DataFrame:
+    """A tenth of all rows from each end, and all but the leaders, without a merge in one task."""
+    rows = t.orders.select("o_orderkey", "o_totalprice")
+    many = {"n": rows.count() // 10, "tie": "o_orderkey", "merged": 100, "rows_per_slice": 1000}
+    parts = {"top": sets.top_n, "bottom": sets.bottom_n, "rest": sets.skip_top_n}
+    found = [take(rows, "o_totalprice", **many).select(F.lit(part).alias("part"), "*") for part, take in parts.items()]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+@query(
+    "sample_n__tenth",
+    "SELECT o_orderkey, o_totalprice FROM orders ORDER BY md5('7:' || o_orderkey), o_orderkey LIMIT (SELECT count(*) // 10 FROM orders)",
+)
+def _(t: Tables) -> DataFrame:
+    rows = t.orders.select("o_orderkey", "o_totalprice")
+    return sets.sample_n(rows, rows.count() // 10, 7, "o_orderkey", merged=100, rows_per_slice=1000)
+
+
 @query(
     "union_all_grains",
     f"""SELECT 'daily' AS aggregation_level, event_type, day, CAST(NULL AS DATE) AS week_start, n, total FROM {DAILY}
@@ -443,14 +468,34 @@ def _(t: Tables) -> DataFrame:
     )
 
 
+def balance_rules():
+    return {"not overdrawn": F.col("c_acctbal") >= 0, "within limit": F.col("c_acctbal") <= 9000}
+
+
 @query(
     "rule_check",
     """SELECT 'not overdrawn' AS rule, c_custkey, c_acctbal FROM customer WHERE NOT c_acctbal >= 0
        UNION ALL SELECT 'within limit', c_custkey, c_acctbal FROM customer WHERE NOT c_acctbal <= 9000""",
 )
 def _(t: Tables) -> DataFrame:
-    rules = {"not overdrawn": F.col("c_acctbal") >= 0, "within limit": F.col("c_acctbal") <= 9000}
-    return quality.rule_check(t.customer.select("c_custkey", "c_acctbal"), rules)
+    return quality.rule_check(t.customer.select("c_custkey", "c_acctbal"), balance_rules())
+
+
+@query(
+    "rule_check__repaired",
+    """WITH fixed AS (SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 0 WHEN c_acctbal > 9000 AND c_custkey % 2 = 0 THEN 9000 ELSE c_acctbal END AS c_acctbal,
+            CASE WHEN c_acctbal < 0 THEN 'was overdrawn' ELSE c_mktsegment END AS note FROM customer)
+       SELECT c_custkey, c_acctbal::DOUBLE AS c_acctbal, note, CASE WHEN c_acctbal > 9000 THEN 'within limit' END AS rule FROM fixed""",
+)
+def _(t: Tables) -> DataFrame:
+    """Overdrawn accounts are set to 0, every second one above the limit to the limit; the others still break the rule."""
+    rows = t.customer.select("c_custkey", "c_acctbal", F.col("c_mktsegment").alias("note"))
+    limit = F.when(F.col("c_custkey") % 2 == 0, 9000).otherwise(F.col("c_acctbal"))
+    # both columns are mended from the balance as it was
+    repairs = {"not overdrawn": {"c_acctbal": F.lit(0), "note": F.lit("was overdrawn")}, "within limit": {"c_acctbal": limit}}
+    fixed = quality.rule_repair(rows, balance_rules(), repairs)
+    broken = quality.rule_check(fixed, balance_rules()).select("c_custkey", "rule")
+    return fixed.join(broken, "c_custkey", "left")
 
 
 @query(

@@ -24,7 +24,7 @@ from ..plans import (
     trend,
     weekly_sites,
 )
-from .aggregates import rounded
+from .aggregates import T_975, rounded
 from . import expected
 from .registry import Tables, query
 from .scalars import CREW_SQL, PERIOD_SQL, SHIFT_SQL
@@ -644,6 +644,10 @@ parts(
         "fit": f"""SELECT count(*) AS n, round(regr_slope(asleep, in_bed), 6) AS slope, round(regr_intercept(asleep, in_bed), 4) AS intercept,
             round(regr_r2(asleep, in_bed), 6) AS r2, round(sqrt((regr_syy(asleep, in_bed) - power(regr_sxy(asleep, in_bed), 2) / regr_sxx(asleep, in_bed))
             / (count(*) - 2) / regr_sxx(asleep, in_bed)), 8) AS std_err FROM {MERGED}""",
+        "fit_band": f"""WITH f AS (SELECT count(*)::DOUBLE AS n, regr_slope(asleep, in_bed) AS a, regr_intercept(asleep, in_bed) AS b, avg(in_bed) AS m, min(in_bed) AS lo,
+            max(in_bed) AS hi, regr_sxx(asleep, in_bed) AS sxx, (regr_syy(asleep, in_bed) - power(regr_sxy(asleep, in_bed), 2) / regr_sxx(asleep, in_bed)) / (count(*) - 2) AS s2
+            FROM {MERGED}), p AS (SELECT unnest(range(80)) AS i, lo + i * (hi - lo) / 79 AS x, a, b, sqrt(s2 * (1 / n + power(x - m, 2) / sxx)) AS e, {T_975} AS t FROM f)
+            SELECT round(x, 6) AS x, round(a * x + b, 5) AS predicted, round(e, 7) AS std_err_mean, round(a * x + b - t * e, 5) AS low, round(a * x + b + t * e, 5) AS high FROM p""",
         "activity_summary": " UNION ALL ".join(
             f"""SELECT '{n}' AS column, count(*) AS count, round(avg({v}), 6) AS mean, round(stddev_samp({v}), 6) AS std, min({v})::DOUBLE AS min,
                 round(quantile_cont({v}::DOUBLE, 0.25), 6) AS q1, round(quantile_cont({v}::DOUBLE, 0.5), 6) AS median,
@@ -661,6 +665,7 @@ parts(
         "active_minutes": {"minutes": 2},
         "rest_minutes": {"minutes": 2},
         "fit": {"slope": 6, "intercept": 4, "r2": 6, "std_err": 8},
+        "fit_band": {"x": 6, "predicted": 5, "std_err_mean": 7, "low": 5, "high": 5},
         "activity_summary": {c: 6 for c in ("mean", "std", "q1", "median", "q3")},
         "sleep_summary": {c: 6 for c in ("mean", "std", "q1", "median", "q3")},
     },

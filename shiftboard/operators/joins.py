@@ -29,6 +29,22 @@ def join_dim_enrich(fact: DataFrame, dim: DataFrame, on: str | Sequence[str], co
     return fact.join(dim.select(*keys, *cols), keys, "left")
 
 
+def join_code_label(d: DataFrame, c: str, codes: DataFrame, code: str = "code", label: str = "label") -> DataFrame:
+    """``code_to_label`` from a table: ``c`` as its label, or as it is where the code is not listed.
+
+    For maps too large for a literal.  A code that the table lists twice raises, as rows would be repeated.
+    """
+    listed = codes.filter(F.col(code).isNotNull()).groupBy(F.col(code).alias("__code")).agg(
+        F.max(label).alias("__label"), F.count("*").alias("__n")
+    )
+    once = F.when(F.col("__n") == 1, F.col("__label")).otherwise(
+        F.raise_error(F.concat(F.lit("a code is listed more than once: "), F.col("__code").cast("string"))).cast("string")
+    )
+    listed = listed.select("__code", once.alias("__label"))
+    joined = d.join(listed, F.col(f"`{c}`") == F.col("__code"), "left")
+    return joined.select(*[F.coalesce("__label", F.col(f"`{n}`")).alias(n) if n == c else F.col(f"`{n}`") for n in d.columns])
+
+
 def join_computed_key(
     a: DataFrame, b: DataFrame, keys: Mapping[str, tuple[Column, Column]], how: str = "left"
 ) -> DataFrame:

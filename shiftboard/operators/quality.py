@@ -122,6 +122,21 @@ def rule_check(d: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
     return d.select("*", F.explode(F.array_compact(broken)).alias("rule"))
 
 
+def rule_repair(d: DataFrame, rules: Mapping[str, Column], repairs: Mapping[str, Mapping[str, Column]]) -> DataFrame:
+    """Rows with the columns that broken rules repair; rules run in turn, each over what the ones before it left.
+
+    ``repairs`` maps a rule to new values by column.  What a repair cannot mend still shows in ``rule_check``.
+    """
+    unknown = set(repairs) - set(rules)
+    if unknown:
+        raise ValueError(f"repairs without a rule: {sorted(unknown)}")
+    types = {f.name: f.dataType for f in d.schema.fields}
+    for name, rule in rules.items():
+        new = {c: F.when(~rule, v.cast(types[c])).otherwise(F.col(c)) for c, v in repairs.get(name, {}).items()}
+        d = d.withColumns(new) if new else d
+    return d
+
+
 def score_bands(d: DataFrame, c: str) -> DataFrame:
     """Scores per band; out-of-range scores count nowhere."""
     band = score_band(c)

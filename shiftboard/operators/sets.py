@@ -6,7 +6,9 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from .ordered import POS, ROWS_PER_SLICE, SLICE, slices
 
 
 def sort_multi(d: DataFrame, order: Sequence[tuple[str | Column, str, str]]) -> DataFrame:
@@ -18,42 +20,99 @@ def sort_multi(d: DataFrame, order: Sequence[tuple[str | Column, str, str]]) ->
     return d.orderBy(*keys)
 
 
-def top_n(d: DataFrame, c: str, n: int, tie: str) -> DataFrame:
-    return d.orderBy(F.col(c).desc_nulls_last(), tie).limit(n)
+#: leaders that one task may merge; more are found by a threshold
+MOST_MERGED = 100_000
+
+
+def first_rows(
+    d: DataFrame, order: Sequence[str | Column], n: int, merged: int = MOST_MERGED, rows_per_slice: int = ROWS_PER_SLICE
+) -> tuple[DataFrame, DataFrame | None]:
+    """The ``n`` first rows in a total order, and the others (None if ``n`` is small: only large ones are told apart here).
+
+    A few are merged by one task.  For many, the slice that holds the n-th row is the threshold: rows of slices before it are in,
+    those after it out, and only that slice's rows are put in order.
+    """
+    if n <= merged:
+        return d.orderBy(*order).limit(n), None
+    s = slices(d, order, rows_per_slice)
+    at = max(i for i, before in enumerate(s.before) if before < n)
+    place = F.row_number().over(Window.partitionBy(SLICE).orderBy(*[k.sorted() for k in s.order]))
+    split = s.rows.filter(F.col(SLICE) == at).withColumn(POS, place)
+    inside = F.col(POS) <= n - s.before[at]
+
+    def both(whole: Column, part: Column) -> DataFrame:
+        return s.rows.filter(whole).select(*d.columns).unionByName(split.filter(part).select(*d.columns))
+
+    return both(F.col(SLICE) < at, inside).orderBy(*order), both(F.col(SLICE) > at, ~inside)
+
+
+def top_n(d: DataFrame, c: str, n: int, tie: str, merged: int = MOST_MERGED, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+    """The ``n`` rows with the largest values, in order; ties by ``tie``."""
+    return first_rows(d, [F.col(c).desc_nulls_last(), tie], n, merged, rows_per_slice)[0]
 
 
-def bottom_n(d: DataFrame, c: str, n: int, tie: str) -> DataFrame:
-    return d.orderBy(F.col(c).asc_nulls_last(), tie).limit(n)
+def bottom_n(d: DataFrame, c: str, n: int, tie: str, merged: int = MOST_MERGED, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+    return first_rows(d, [F.col(c).asc_nulls_last(), tie], n, merged, rows_per_slice)[0]
 
 
-def skip_top_n(d: DataFrame, c: str, n: int, tie: str) -> DataFrame:
+def skip_top_n(d: DataFrame, c: str, n: int, tie: str, merged: int = MOST_MERGED, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
     """All rows but the ``n`` first by value: those ``n`` are found, then left out."""
-    leaders = top_n(d, c, n, tie).select(tie)
-    return d.join(leaders, tie, "left_anti")
+    leaders, others = first_rows(d, [F.col(c).desc_nulls_last(), tie], n, merged, rows_per_slice)
+    return d.join(leaders.select(tie), tie, "left_anti") if others is None else others
 
 
-def _uniform(key: str, seed: int) -> Column:
-    """A number in [0, 1) fixed by key and seed, whatever the partitioning."""
-    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
-    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / float(2**32)
+def _digest(key: str, seed: int) -> Column:
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
 
 
-def sample_n(d: DataFrame, n: int, seed: int, key: str) -> DataFrame:
-    """``n`` rows drawn without replacement; the same rows on every run."""
-    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
-    return d.orderBy(digest, key).limit(n)
+def _uniform(digest: Column, part: int) -> Column:
+    """A number in [0, 1) from eight hex digits of a digest."""
+    return F.conv(F.substring(digest, 1 + 8 * part, 8), 16, 10).cast("double") / float(2**32)
+
+
+def sample_n(d: DataFrame, n: int, seed: int, key: str, merged: int = MOST_MERGED, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+    """``n`` rows drawn without replacement; the same rows on every run, in the order of their digests."""
+    drawn = d.withColumn("__digest", _digest(key, seed))
+    return first_rows(drawn, ["__digest", key], n, merged, rows_per_slice)[0].drop("__digest")
+
+
+def alias_table(weights: Sequence[float]) -> tuple[list[float], list[int]]:
+    """For each slot the share that stays with it, and the slot that has the rest.
+
+    A slot drawn evenly, then kept or left by its share, follows the weights.
+    """
+    total, n = float(sum(weights)), len(weights)
+    if n == 0 or total <= 0 or min(weights) < 0:
+        raise ValueError("weights must not be negative, and one of them positive")
+    stays, other = [w * n / total for w in weights], list(range(n))
+    poor, rich = [i for i in range(n) if stays[i] < 1], [i for i in range(n) if stays[i] >= 1]
+    while poor and rich:
+        a, b = poor.pop(), rich.pop()
+        other[a] = b
+        stays[b] -= 1 - stays[a]
+        (poor if stays[b] < 1 else rich).append(b)
+    for i in (*poor, *rich):  # nothing but rounding is left
+        stays[i] = 1.0
+    return stays, other
 
 
 def weighted_draw(d: DataFrame, key: str, values: Sequence[Any], weights: Sequence[float], seed: int,
                   name: str = "drawn") -> DataFrame:
-    """One weighted draw, with replacement, for each row of ``d``."""
-    total, below, out = float(sum(weights)), 0.0, None
-    u = F.col("__u")
-    for value, weight in list(zip(values, weights))[:-1]:
-        below += weight / total
-        out = F.when(u < below, F.lit(value)) if out is None else out.when(u < below, F.lit(value))
-    out = F.lit(values[-1]) if out is None else out.otherwise(F.lit(values[-1]))
-    return d.withColumn("__u", _uniform(key, seed)).withColumn(name, out).drop("__u")
+    """One weighted draw, with replacement, for each row of ``d``.
+
+    Two numbers hashed from the key choose a slot of an alias table and whether to keep it, so a draw costs one look-up however many
+    values there are, and does not depend on partitioning.  Spark broadcasts the table if it is small.
+    """
+    if len(values) != len(weights):
+        raise ValueError("one weight for each value")
+    stays, other = alias_table(weights)
+    slots = [(i, stays[i], values[i], values[other[i]]) for i in range(len(values))]
+    table = d.sparkSession.createDataFrame(slots, ["__slot", "__stays", "__own", "__else"])
+    digest = F.col("__digest")
+    slot = F.floor(_uniform(digest, 0) * len(values))
+    drawn = d.withColumn("__digest", _digest(key, seed)).withColumn("__slot", F.coalesce(slot, F.lit(0).cast("bigint")))
+    kept = F.when(_uniform(digest, 1) < F.col("__stays"), F.col("__own")).otherwise(F.col("__else"))
+    return drawn.join(table, "__slot").select(*d.columns, kept.alias(name))
 
 
 def union_all_grains(grains: Mapping[str, DataFrame], cols: Sequence[str], tag: str = "aggregation_level") -> DataFrame:

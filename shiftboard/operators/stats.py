@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .ordered import exact_quantiles
+from ..functions.distributions import student_t_quantile
+from .ordered import exact_quantiles, places_passed
 
 #: exp(-z * z / 2) is 0 in a double from here on
 REACH = 39.0
@@ -64,26 +65,22 @@ def histogram_bins(
 ) -> DataFrame:
     """Counts per bin, empty bins included; only the last bin holds its upper edge.
 
-    ``bins`` equal widths span the data; ``edges`` must be evenly spaced, and
-    values outside them are not counted.
+    ``bins`` equal widths span the data.  ``edges`` may be spaced in any way and are found by binary search; values outside
+    them are not counted.
     """
     v = F.col(c).cast("double")
-    d = d.filter(v.isNotNull())
     if edges is not None:
-        n = len(edges) - 1
-        lo, width = F.lit(float(edges[0])), F.lit((edges[-1] - edges[0]) / n)
-        d = d.filter((v >= float(edges[0])) & (v <= float(edges[-1])))
-        span = d.sparkSession.range(1).select(lo.alias("lo"), width.alias("width"))
-    else:
-        n = int(bins)
-        # a single value sits in the middle of a range of one
-        spread = F.max(v) - F.min(v)
-        span = d.agg(
-            F.when(spread == 0, F.min(v) - 0.5).otherwise(F.min(v)).alias("lo"),
-            (F.when(spread == 0, F.lit(1.0)).otherwise(spread) / n).alias("width"),
-        )
-        s = span.select(F.struct("lo", "width")).scalar()
-        lo, width = s["lo"], s["width"]
+        return _binned_by_edges(d, v, [float(e) for e in edges])
+    d = d.filter(v.isNotNull())
+    n = int(bins)
+    # a single value sits in the middle of a range of one
+    spread = F.max(v) - F.min(v)
+    span = d.agg(
+        F.when(spread == 0, F.min(v) - 0.5).otherwise(F.min(v)).alias("lo"),
+        (F.when(spread == 0, F.lit(1.0)).otherwise(spread) / n).alias("width"),
+    )
+    s = span.select(F.struct("lo", "width")).scalar()
+    lo, width = s["lo"], s["width"]
     index = F.least(F.floor((v - lo) / width), F.lit(n - 1))
     counts = d.groupBy(index.cast("int").alias("bin")).agg(F.count("*").alias("n"))
     frame = span.select("lo", "width", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("bin"))
@@ -95,6 +92,19 @@ def histogram_bins(
     )
 
 
+def _binned_by_edges(d: DataFrame, v: Column, edges: list[float]) -> DataFrame:
+    if len(edges) < 2 or any(a >= b for a, b in zip(edges, edges[1:])):
+        raise ValueError("edges must rise, and there must be two at least")
+    n, bounds = len(edges) - 1, F.lit(edges)
+    inside = d.filter((v >= edges[0]) & (v <= edges[-1]))
+    passed = places_passed(n + 1, lambda at: v >= F.get(bounds, at))
+    counts = inside.groupBy((F.least(passed, F.lit(n)) - 1).alias("bin")).agg(F.count("*").alias("n"))
+    every = d.sparkSession.range(n).select(F.col("id").cast("int").alias("bin"))
+    return every.join(counts, "bin", "left").select(
+        "bin", F.get(bounds, F.col("bin")).alias("bin_lo"), F.get(bounds, F.col("bin") + 1).alias("bin_hi"), F.coalesce("n", F.lit(0)).alias("n")
+    )
+
+
 def box_stats(d: DataFrame, keys: Sequence[str], c: str, k: float = 1.5) -> DataFrame:
     """Quartiles by group, and whiskers: the furthest values inside ``k`` IQRs."""
     q = exact_quantiles(d, keys, c, QUARTILES)
@@ -150,10 +160,19 @@ def kde_density(d: DataFrame, c: str, grid: int = 1000, bw: str = "scott") -> Da
     return sums.select("i", x.alias("x"), (F.col("k") / norm).alias("density"))
 
 
+#: up to this many columns every pair is an aggregate of one plan; beyond, pairs are summed in blocks of rows
+MOST_PAIRED = 40
+
+
 def corr_matrix(d: DataFrame, cols: Sequence[str], lower: bool = True) -> DataFrame:
-    """Pairwise Pearson correlation as ``(row_col, col_col, corr)``, in one aggregate."""
+    """Pairwise Pearson correlation as ``(row_col, col_col, corr)``, over the rows that have both; in one pass.
+
+    Wide tables (``MOST_PAIRED``) go through ``wide_correlation``.
+    """
+    if len(cols) > MOST_PAIRED:
+        return wide_correlation(d, cols, lower)
     pairs = list(combinations(cols, 2))
-    one = d.agg(*[F.corr(a, b).alias(f"__{i}") for i, (a, b) in enumerate(pairs)])
+    one = d.agg(*[_pearson(a, b).alias(f"__{i}") for i, (a, b) in enumerate(pairs)])
     rows = []
     for i, (a, b) in enumerate(pairs):
         rows.append((b, a, F.col(f"__{i}")))
@@ -165,6 +184,80 @@ def corr_matrix(d: DataFrame, cols: Sequence[str], lower: bool = True) -> DataFr
     return one.select(F.inline(F.array(*structs)))
 
 
+def _pearson(a: str, b: str) -> Column:
+    """``corr``, but null for a column without spread, where that raises or divides what is left of rounding."""
+
+    def spread(squares: Column, mean: Column) -> Column:
+        return F.when(squares > 1e-28 * F.regr_count(a, b) * mean * mean, squares)
+
+    squares = spread(F.regr_sxx(a, b), F.regr_avgx(a, b)) * spread(F.regr_syy(a, b), F.regr_avgy(a, b))
+    return F.try_divide(F.regr_sxy(a, b), F.sqrt(squares))
+
+
+def co_moments(n: int, centers: Sequence[float]) -> Callable[[Iterator], Iterator]:
+    """Sums over a task's rows for every pair of columns, as matrices: one row of each per column.
+
+    Columns are centred first, so that sums of squares lose no digits.  A pair counts the rows that have both: products with
+    the 0/1 mask of the other column leave the rest out.
+    """
+
+    def step(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        middle = np.array(centers)
+        both, sums, squares, products = (np.zeros((n, n)) for _ in range(4))
+        for whole in batches:
+            for at in range(0, len(whole), 4096):
+                batch = whole.slice(at, 4096)
+                there = np.column_stack([c.is_valid().to_numpy(zero_copy_only=False) for c in batch.columns]).astype(float)
+                x = np.column_stack([c.fill_null(0.0).to_numpy(zero_copy_only=False) for c in batch.columns])
+                x = (x - middle) * there
+                both += there.T @ there
+                sums += x.T @ there
+                squares += (x * x).T @ there
+                products += x.T @ x
+        if both.any():
+            matrices = {"n": both, "x": sums, "y": sums.T, "xx": squares, "yy": squares.T, "xy": products}
+            columns = [pa.array(range(n), pa.int32()), *(pa.array(m.tolist(), pa.list_(pa.float64())) for m in matrices.values())]
+            yield pa.RecordBatch.from_arrays(columns, ["i", *matrices])
+
+    return step
+
+
+def wide_correlation(d: DataFrame, cols: Sequence[str], lower: bool = True) -> DataFrame:
+    """``corr_matrix`` of hundreds of columns: a task adds up its rows as matrix products, Spark adds up the tasks.
+
+    A task holds a few matrices of columns by columns, however many rows it has.  Pairs without spread or with less than two common rows
+    have a null correlation.  This is the only step outside ``llm`` that runs in Python.
+    """
+    names, n = list(cols), len(cols)
+    typed = d.select(*[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(names)])
+    means = typed.agg(*[F.avg(f"c{i}").alias(f"c{i}") for i in range(n)]).first()
+    centers = [0.0 if m is None or m != m else m for m in means]
+    shape = "i int, " + ", ".join(f"{c} array<double>" for c in ("n", "x", "y", "xx", "yy", "xy"))
+    rows = typed.mapInArrow(co_moments(n, centers), shape)
+    cells = rows.select("i", F.posexplode(F.arrays_zip("n", "x", "y", "xx", "yy", "xy")).alias("j", "m")).filter("i > j")
+    total = cells.groupBy("i", "j").agg(*[F.sum(f"m.{c}").alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")])
+
+    def spread(squares: str, a: str, b: str) -> Column:
+        """Sum of products about the means; what is left of rounding counts as none."""
+        out = F.col(squares) - F.col(a) * F.col(b) / F.col("n")
+        return F.when(F.abs(out) > 1e-14 * F.abs(squares), out).otherwise(F.lit(0.0))
+
+    both = total.filter("n > 0")
+    corr = F.when(F.col("n") > 1, F.try_divide(spread("xy", "x", "y"), F.sqrt(spread("xx", "x", "x") * spread("yy", "y", "y"))))
+    labels = F.lit(names)
+    found = both.select(F.get(labels, F.col("i")).alias("row_col"), F.get(labels, F.col("j")).alias("col_col"), corr.alias("corr"))
+    # pairs without a common row
+    every = d.sparkSession.range(n * n).select((F.col("id") / n).cast("int").alias("i"), (F.col("id") % n).cast("int").alias("j")).filter("i > j")
+    every = every.select(F.get(labels, F.col("i")).alias("row_col"), F.get(labels, F.col("j")).alias("col_col"))
+    out = every.join(found, ["row_col", "col_col"], "left")
+    if lower:
+        return out
+    return out.unionByName(out.select(F.col("col_col").alias("row_col"), F.col("row_col").alias("col_col"), "corr"))
+
+
 def fit_aggregates(x: Column, y: Column) -> Mapping[str, Column]:
     """Least squares of ``y`` on ``x``: n, slope, intercept, r2, std_err of the slope."""
     x, y = x.cast("double"), y.cast("double")
@@ -172,16 +265,21 @@ def fit_aggregates(x: Column, y: Column) -> Mapping[str, Column]:
     return _fit(n, F.regr_avgx(y, x), F.regr_avgy(y, x), F.regr_sxx(y, x), F.regr_syy(y, x), F.regr_sxy(y, x))
 
 
-def weighted_fit(d: DataFrame, keys: Sequence[str], x: str, y: str, times: DataFrame) -> DataFrame:
+def weighted_fit(
+    d: DataFrame, keys: Sequence[str], x: str, y: str, times: DataFrame, band: tuple[int, float] | None = None
+) -> DataFrame:
     """The fit over ``d`` with each row repeated as often as ``times`` holds its key.
 
     ``times`` is ``(keys…, times)``.  Rows are reduced to moments per key before
-    the two meet, so neither a hot key nor the repeats are ever spread out.
+    the two meet, so neither a hot key nor the repeats are ever spread out.  With ``band=(points, level)`` the result is
+    the fitted line with its band (``fit_band``) at that many evenly spaced places.
     """
     a, b = F.col(x).cast("double"), F.col(y).cast("double")
     both = d.filter(a.isNotNull() & b.isNotNull())
     moments = both.groupBy(*keys).agg(
         F.count("*").cast("double").alias("n"),
+        F.min(a).alias("least"),
+        F.max(a).alias("most"),
         F.avg(a).alias("mx"),
         F.avg(b).alias("my"),
         F.regr_sxx(b, a).alias("sxx"),
@@ -194,6 +292,8 @@ def weighted_fit(d: DataFrame, keys: Sequence[str], x: str, y: str, times: DataF
         "w",
         "mx",
         "my",
+        "least",
+        "most",
         *[(F.col(c) * F.col("times")).alias(c) for c in ("sxx", "syy", "sxy")],
     )
     n = F.sum("w")
@@ -203,8 +303,14 @@ def weighted_fit(d: DataFrame, keys: Sequence[str], x: str, y: str, times: DataF
         "syy": F.sum(F.col("syy") + F.col("w") * F.col("my") * F.col("my")) - n * mean_y * mean_y,
         "sxy": F.sum(F.col("sxy") + F.col("w") * F.col("mx") * F.col("my")) - n * mean_x * mean_y,
     }
-    fit = _fit(n, mean_x, mean_y, sums["sxx"], sums["syy"], sums["sxy"])
-    return whole.agg(*[c.alias(name) for name, c in fit.items()])
+    moments = (n, mean_x, mean_y, sums["sxx"], sums["syy"], sums["sxy"])
+    if band is None:
+        return whole.agg(*[c.alias(name) for name, c in _fit(*moments).items()])
+    points, level = band
+    one = whole.agg(*[c.alias(name) for name, c in _fit_spread(*moments).items()], F.min("least").alias("least"), F.max("most").alias("most"))
+    step = (F.col("most") - F.col("least")) / (points - 1)
+    places = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.col("least") + i * step)
+    return fit_band(one, places, level)
 
 
 def _fit(n: Column, mean_x: Column, mean_y: Column, sxx: Column, syy: Column, sxy: Column) -> Mapping[str, Column]:
@@ -220,16 +326,46 @@ def _fit(n: Column, mean_x: Column, mean_y: Column, sxx: Column, syy: Column, sx
     }
 
 
+def _fit_spread(n: Column, mean_x: Column, mean_y: Column, sxx: Column, syy: Column, sxy: Column) -> Mapping[str, Column]:
+    """What a band needs beside the fit: the middle and spread of x, and the variance about the line."""
+    residual = F.greatest(syy - F.try_divide(sxy, sxx) * sxy, F.lit(0.0))
+    variance = F.when(n > 2, F.try_divide(residual, n - 2))
+    return {**_fit(n, mean_x, mean_y, sxx, syy, sxy), "mean_x": mean_x, "sxx": sxx, "variance": variance}
+
+
+def fit_band(fit: DataFrame, places: Column, level: float) -> DataFrame:
+    """``(x, predicted, std_err_mean, low, high)``: a fitted line at some x, with the confidence band of its mean.
+
+    ``fit``: one row of ``_fit_spread``; ``places``: an array of x.  With two rows or fewer there is a line and no band.
+    """
+    t = student_t_quantile((1 + level) / 2, F.col("n") - 2)
+    at = fit.withColumn("t", t).select("*", F.explode(places).alias("x"))
+    error = F.sqrt(F.col("variance") * (1.0 / F.col("n") + F.try_divide(F.pow(F.col("x") - F.col("mean_x"), F.lit(2)), F.col("sxx"))))
+    out = at.select("x", (F.col("slope") * F.col("x") + F.col("intercept")).alias("predicted"), error.alias("std_err_mean"), "t")
+    edges = {"low": F.col("predicted") - F.col("t") * F.col("std_err_mean"), "high": F.col("predicted") + F.col("t") * F.col("std_err_mean")}
+    return out.withColumns(edges).drop("t")
+
+
 def linear_fit(
     d: DataFrame,
     x: str,
     y: str,
     where: Column | None = None,
     predict: tuple[int, int] | None = None,
+    level: float | None = None,
 ) -> DataFrame:
-    """One row of fit figures, or with ``predict=(first, last)`` a row per whole ``x``."""
+    """One row of fit figures, or with ``predict=(first, last)`` a row per whole ``x``.
+
+    ``level`` (0.95, say) adds the confidence band of the mean to the predicted rows.
+    """
     if where is not None:
         d = d.filter(where)
+    a, b = F.col(x).cast("double"), F.col(y).cast("double")
+    if predict is not None and level is not None:
+        n = F.count_if(a.isNotNull() & b.isNotNull()).cast("double")
+        moments = (n, F.regr_avgx(b, a), F.regr_avgy(b, a), F.regr_sxx(b, a), F.regr_syy(b, a), F.regr_sxy(b, a))
+        one = d.agg(*[c.alias(name) for name, c in _fit_spread(*moments).items()])
+        return fit_band(one, F.sequence(F.lit(predict[0]), F.lit(predict[1])), level)
     fit = d.agg(*[c.alias(n) for n, c in fit_aggregates(F.col(x), F.col(y)).items()])
     if predict is None:
         return fit

@@ -27,6 +27,8 @@ REST = ("totalminutesasleep", "sedentaryminutes")
 class ActivityConfig:
     activity_summary: Sequence[str] = ("totalsteps", "calories", "veryactiveminutes")
     sleep_summary: Sequence[str] = ("totalminutesasleep", "totaltimeinbed")
+    #: places at which the fitted line and its band are given, and the band's confidence
+    band: tuple[int, float] = (80, 0.95)
 
 
 def prepared(tables: Mapping[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
@@ -61,7 +63,7 @@ def report_activity_sleep(
         F.sum("row_multiplier").alias("rows"), *[F.sum(c).alias(c) for c in (*ACTIVE, *REST)]
     )
     repeats = activity.groupBy(*KEY).agg(F.count("*").alias("times"))
-    fit = weighted_fit(sleep, KEY, "totaltimeinbed", "totalminutesasleep", repeats)
+    fitted = (sleep, KEY, "totaltimeinbed", "totalminutesasleep", repeats)
     return Bundle({
         "participants": lambda: count_distinct(activity, ["id"], count_null=True)
         .select(F.lit("activity").alias("log"), F.col("id").alias("participants"))
@@ -74,5 +76,6 @@ def report_activity_sleep(
         "sleep_summary": lambda: summary_stats(sleep, config.sleep_summary),
         "active_minutes": lambda: melt_long(weekday_sums, ["weekday"], ACTIVE, "activity_type", "minutes"),
         "rest_minutes": lambda: melt_long(weekday_sums, ["weekday"], REST, "rest_and_sleep", "minutes"),
-        "fit": lambda: fit,
+        "fit": lambda: weighted_fit(*fitted),
+        "fit_band": lambda: weighted_fit(*fitted, band=config.band),
     })

@@ -369,6 +369,158 @@ def test_corr_lower_triangle(rows):
     assert got["c", "a"] == pytest.approx(-1)
 
 
+def test_t_quantiles(rows):
+    from shiftboard.functions.distributions import student_t_quantile, student_t_tail
+
+    # two-sided 95 % points of the tables, and others found by the closed form for even degrees of freedom
+    known = {1: 12.706204736174694, 2: 4.302652729749464, 5: 2.5705818356363137, 30: 2.0422724563012373, 100: 1.983971518523552, 1000: 1.9623390808264078}
+    d = rows([(float(n), t) for n, t in known.items()] + [(0.0, None), (-1.0, None), (None, None)], "df double, want double")
+    for r in d.select("df", "want", student_t_quantile(0.975, F.col("df")).alias("got")).collect():
+        assert r.got is None if r.want is None else r.got == pytest.approx(r.want, rel=1e-12), r.df
+
+    def even_tail(t, n):
+        angle, term, total = np.arctan(t / np.sqrt(n)), 1.0, 1.0
+        for k in range(1, n // 2):
+            term *= (2 * k - 1) / (2 * k) * np.cos(angle) ** 2
+            total += term
+        return 0.5 - 0.5 * np.sin(angle) * total
+
+    d = rows([(float(n), t) for n in (4, 10, 64, 400, 998) for t in (0.1, 1.0, 2.5, 9.0)], "df double, t double")
+    for r in d.select("df", "t", student_t_tail(F.col("t"), F.col("df")).alias("got")).collect():
+        assert r.got == pytest.approx(even_tail(r.t, int(r.df)), rel=1e-9, abs=1e-15), r
+
+
+def test_fit_band_matches_a_written_out_check(rows):
+    x, y = [1.0, 2.0, 3.0, 4.0, 5.0, 6.0], [2.1, 3.9, 6.2, 7.8, 10.1, 11.7]
+    d = rows([*zip(x, y), (None, 1.0), (9.0, None)], "x double, y double")
+    got = {r.x: r for r in stats.linear_fit(d, "x", "y", predict=(0, 7), level=0.95).collect()}
+    slope, intercept = np.polyfit(x, y, 1)
+    residual = np.sum((np.array(y) - slope * np.array(x) - intercept) ** 2) / 4
+    for at, r in got.items():
+        error = np.sqrt(residual * (1 / 6 + (at - 3.5) ** 2 / 17.5))
+        line, t = slope * at + intercept, 2.7764451051977987  # 0.975 quantile, 4 degrees of freedom
+        assert (r.predicted, r.std_err_mean, r.low, r.high) == pytest.approx((line, error, line - t * error, line + t * error), abs=1e-9)
+    two = stats.linear_fit(rows([(1.0, 1.0), (2.0, 3.0)], "x double, y double"), "x", "y", predict=(1, 1), level=0.95).first()
+    assert two.predicted == pytest.approx(1.0) and two.low is None and two.high is None
+
+
+def test_weighted_band_counts_repeats(rows):
+    data, times = [(0, 1.0, 2.0), (1, 2.0, 3.5), (0, 3.0, 9.0), (1, 5.0, 6.0)], {0: 2, 1: 3}
+    d = rows(data, "k int, x double, y double")
+    again = rows([(x, y) for k, x, y in data for _ in range(times[k])], "x double, y double")
+    got = stats.weighted_fit(d, ["k"], "x", "y", rows(list(times.items()), "k int, times bigint"), band=(5, 0.9))
+    want = {r.x: r for r in stats.linear_fit(again, "x", "y", predict=(1, 5), level=0.9).collect()}
+    assert sorted(r.x for r in got.collect()) == [1.0, 2.0, 3.0, 4.0, 5.0]
+    for r in got.collect():
+        assert tuple(r) == pytest.approx(tuple(want[r.x]))
+
+
+def test_correlation_of_500_columns_with_gaps(spark):
+    n, rng = 500, np.random.default_rng(4)
+    base = rng.normal(size=(80, 20))
+    values = base @ rng.normal(size=(20, n)) + 1e6 + rng.normal(size=(80, n))
+    values[rng.random(values.shape) < 0.2] = np.nan
+    values[:, 7], values[1:, 8], values[:, 9] = 3.25, np.nan, np.nan  # no spread, one value, none
+    table = pd.DataFrame(values, columns=[f"c{i}" for i in range(n)])
+    data = [[None if np.isnan(v) else float(v) for v in row] for row in values]
+    d = spark.createDataFrame(data, ", ".join(f"c{i} double" for i in range(n))).repartition(3)
+    want = table.corr(min_periods=2)
+    got = stats.corr_matrix(d, list(table.columns)).collect()
+    assert len(got) == n * (n - 1) // 2
+    for r in got:
+        expected = want.loc[r.row_col, r.col_col]
+        assert r.corr is None if np.isnan(expected) else r.corr == pytest.approx(expected, abs=1e-6), r
+    some = ["c0", "c1", "c2", "c7"]
+    few = {(r.row_col, r.col_col): r.corr for r in stats.corr_matrix(d, some, lower=False).collect()}
+    both = {(r.row_col, r.col_col): r.corr for r in stats.wide_correlation(d, some, lower=False).collect()}
+    assert few.keys() == both.keys() and all(both[k] == (pytest.approx(few[k], abs=1e-9) if few[k] is not None and few[k] == few[k] else None) for k in few)
+
+
+def test_uneven_edges_match_numpy(rows):
+    values = [0.0, 0.5, 1.0, 1.5, 7.0, 9.99, 10.0, 10.01, -1.0, 100.0, None, float("nan")]
+    edges = [0, 1, 1.25, 7, 10]
+    got = stats.histogram_bins(rows([(v,) for v in values], "v double"), "v", edges=edges).orderBy("bin").collect()
+    assert [r.n for r in got] == list(np.histogram([v for v in values if v is not None and v == v], edges)[0])
+    assert [(r.bin_lo, r.bin_hi) for r in got] == list(zip(edges, edges[1:]))
+    with pytest.raises(ValueError):
+        stats.histogram_bins(rows([(1.0,)], "v double"), "v", edges=[1, 1, 2])
+
+
+def test_alias_tables_hold_the_weights():
+    rng = random.Random(2)
+    for n in (1, 2, 7, 1000):
+        weights = [rng.choice([0, 1, rng.random() * 50]) for _ in range(n - 1)] + [3.0]
+        stays, other = sets.alias_table(weights)
+        share = np.array(stays)
+        for i, o in enumerate(other):
+            share[o] += 1 - stays[i]
+        assert share / n == pytest.approx(np.array(weights) / sum(weights))
+    for bad in ([], [0, 0], [1, -1]):
+        with pytest.raises(ValueError):
+            sets.alias_table(bad)
+
+
+def test_draws_from_many_values(spark):
+    n = 100_000
+    weights = [1.0 + i % 10 for i in range(n)]
+    d = spark.range(300_000)
+    drawn = sets.weighted_draw(d, "id", [f"v{i}" for i in range(n)], weights, 11)
+    by_weight = drawn.groupBy((F.substring("drawn", -1, 1).cast("int") + 1).alias("w")).count().collect()
+    for r in by_weight:  # six standard errors
+        share = r.w / 55
+        assert abs(r["count"] - 300_000 * share) < 6 * np.sqrt(300_000 * share * (1 - share))
+    again = sets.weighted_draw(d.repartition(13), "id", [f"v{i}" for i in range(n)], weights, 11)
+    assert again.select(F.sum(F.xxhash64("id", "drawn").cast("decimal(38,0)"))).first() == drawn.select(F.sum(F.xxhash64("id", "drawn").cast("decimal(38,0)"))).first()
+
+
+def test_many_leaders_without_a_single_merge(spark):
+    d = spark.range(20_000).select("id", F.when(F.col("id") % 50 > 0, F.xxhash64("id") % 40).alias("v"))
+    kept = {"merged": 10, "rows_per_slice": 500}
+    rows_ = d.collect()
+    down = [r.id for r in sorted(rows_, key=lambda r: (r.v is None, -(r.v or 0), r.id))]
+    up = [r.id for r in sorted(rows_, key=lambda r: (r.v is None, r.v or 0, r.id))]
+    for n in (2_000, 19_900, 20_000, 50_000):
+        assert [r.id for r in sets.top_n(d, "v", n, "id", **kept).collect()] == down[:n]
+        assert [r.id for r in sets.bottom_n(d, "v", n, "id", **kept).collect()] == up[:n]
+        assert sorted(r.id for r in sets.skip_top_n(d, "v", n, "id", **kept).collect()) == sorted(down[n:])
+    few, many = (sets.sample_n(d, 3_000, 5, "id", merged=m, rows_per_slice=500) for m in (10**6, 10))
+    assert few.collect() == many.collect()
+    text = many._jdf.queryExecution().executedPlan().toString()
+    assert not any(bad in text for bad in ("TakeOrderedAndProject", "GlobalLimit", "CollectLimit"))
+    assert sets.top_n(d, "v", 20, "id")._jdf.queryExecution().executedPlan().toString().count("TakeOrderedAndProject") == 1
+
+
+def test_distinct_sketches_unite(spark):
+    d = spark.range(60_000).select((F.col("id") % 7).alias("day"), (F.col("id") * 31 % 20_011).alias("who"), F.when(F.col("id") % 2 == 0, F.concat(F.lit("x"), F.col("id") % 90)).alias("what"))
+    daily = agg.distinct_sketches(d, ["day"], ["who", "what"])
+    bound = 4 * 1.04 / 2**6
+    for keys in (["day"], []):
+        got = {r["day"] if keys else None: r for r in agg.united_distinct(daily, keys, ["who", "what"]).collect()}
+        exact = d.groupBy(*keys).agg(F.count_distinct("who").alias("who"), F.count_distinct("what").alias("what")).collect()
+        for r in exact:
+            mine = got[r["day"] if keys else None]
+            assert abs(mine.who / r.who - 1) < bound and abs(mine.what / r.what - 1) < bound
+
+
+def test_code_tables(rows):
+    d = rows([("a", 1), ("b", 2), (None, 3), ("z", 4)], "c string, n int")
+    codes = rows([("a", "Alpha"), ("b", "Beta"), (None, "none"), ("q", "Queue")], "code string, label string")
+    assert as_set(joins.join_code_label(d, "c", codes)) == as_set(rows([("Alpha", 1), ("Beta", 2), (None, 3), ("z", 4)], "c string, n int"))
+    with pytest.raises(Exception, match="more than once"):
+        joins.join_code_label(d, "c", codes.unionByName(codes)).collect()
+
+
+def test_rules_are_repaired_in_turn(rows):
+    d = rows([(1, 5, 2), (2, 1, 9), (3, None, 4)], "id int, hi int, lo int")
+    rules = {"order": F.col("hi") >= F.col("lo"), "small": F.col("hi") <= 8, "known": F.col("hi").isNotNull()}
+    swap = {"hi": F.col("lo"), "lo": F.col("hi")}
+    fixed = quality.rule_repair(d, rules, {"order": swap, "small": {"hi": F.lit(8)}})
+    assert as_set(fixed) == as_set(rows([(1, 5, 2), (2, 8, 1), (3, None, 4)], "id int, hi int, lo int"))
+    assert [(r.id, r.rule) for r in quality.rule_check(fixed, rules).collect()] == [(3, "known")]
+    with pytest.raises(ValueError):
+        quality.rule_repair(d, rules, {"other": {}})
+
+
 # --- reshape and encode ----------------------------------------------------
 
 def test_melt_then_pivot_round_trip(rows):
