@@ -296,6 +296,18 @@ parts(
     },
 )
 
+
+@query(
+    "report_weekly_site_bundle__found_weeks",
+    f"""SELECT * FROM (PIVOT (SELECT {SITE} AS site, week(l_shipdate)::VARCHAR AS week, l_quantity FROM lineitem WHERE l_linenumber != 7) ON week
+        USING round(coalesce(sum(l_quantity), 0), 2) GROUP BY site)""",
+)
+def _(t: Tables) -> DataFrame:
+    """Weeks as they are found in the extract."""
+    wide = weekly_sites.report_weekly_site_bundle(site_tables(t))["metric_b_wide"]
+    return rounded(wide, 2, *[c for c in wide.columns if c != "site"])
+
+
 # --- event seasonality -----------------------------------------------------
 
 
@@ -484,7 +496,7 @@ parts(
     lambda t: health.report_health_screen(exam_rows(t)),
     {
         "counts": " UNION ALL ".join(
-            f"SELECT cardio, '{c}' AS variable, {c} AS value, count(*) AS total FROM {EXAMS} GROUP BY 1, 3" for c in health.COUNTED
+            f"SELECT cardio, '{c}' AS variable, {c} AS value, count(*) AS total FROM {EXAMS} GROUP BY 1, 3" for c in ("cholesterol", "gluc", "smoke", "alco", "active")
         ),
         "corr": "WITH x AS " + TRIMMED + " "
         + " UNION ALL ".join(

@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def join_inner(a: DataFrame, b: DataFrame, on: str | Sequence[str]) -> DataFrame:
@@ -64,14 +64,15 @@ def join_semi_rows(a: DataFrame, b: DataFrame, on: str | Sequence[str]) -> DataF
 
 
 def join_full_outer_chain(
-    frames: Sequence[DataFrame], keys: Sequence[str], check_unique: bool = True
+    frames: Sequence[DataFrame], keys: Sequence[str], check_unique: bool = True, repeats: int | None = None
 ) -> DataFrame:
     """Full outer join of several frames on shared keys.
 
     Columns that several frames share beyond the keys are coalesced in frame
     order.  With ``check_unique`` the frames are stacked and grouped, one shuffle for
-    the whole chain; one frame may then hold a key several times, which fans out as in a join, and
-    a key that two frames repeat raises while running.  Without it the frames are joined pairwise, so any
+    the whole chain; a key that a frame holds twice raises while running.  The frame numbered ``repeats`` may hold a
+    key any number of times: the others are grouped to one row per key, and it is joined to those rows, so a hot key
+    is a skewed join, which Spark splits.  Without ``check_unique`` the frames are joined pairwise, and any
     repeats fan out.  Rows with a NULL key never match another frame's.
     """
     keys = list(keys)
@@ -82,38 +83,32 @@ def join_full_outer_chain(
     for f in frames:
         outputs += [c for c in f.columns if c not in keys and c not in outputs]
     null_key = reduce(lambda x, y: x | y, [F.col(k).isNull() for k in keys])
-    sides = range(len(frames))
+    once = [i for i in range(len(frames)) if i != repeats]
 
-    def shaped(i: int, f: DataFrame) -> DataFrame:
-        rest = [c for c in f.columns if c not in keys]
-        row = F.struct(*rest, F.lit(1).alias("__there"))
-        # a row with a NULL key groups with its equals in its own frame only
-        apart = F.when(null_key, F.to_json(F.struct(F.lit(i).alias("__side"), *rest)))
-        return f.select(*keys, F.lit(i).alias("__side"), row.alias(f"__{i}"), apart.alias("__apart"))
+    def row_of(f: DataFrame) -> Column:
+        return F.struct(*[c for c in f.columns if c not in keys], F.lit(1).alias("__there"))
 
-    union = reduce(
-        lambda x, y: x.unionByName(y, allowMissingColumns=True), [shaped(i, f) for i, f in enumerate(frames)]
-    )
-    # a key's rows stay rows (a window spills, an array could not): those of the repeating frame, or of the first one
-    of_key = Window.partitionBy(*keys, "__apart")
-    several = [F.count(f"__{i}").over(of_key) > 1 for i in sides]
-    counted = union.select(
-        "*",
-        reduce(lambda x, y: x + y, [m.cast("int") for m in several]).alias("__repeats"),
-        F.coalesce(*[F.when(m, i) for i, m in enumerate(several)], F.min("__side").over(of_key)).alias("__leads"),
-        *[F.first(f"__{i}", ignorenulls=True).over(of_key).alias(f"__first_{i}") for i in sides],
-    )
-    checked = counted.filter(
-        F.when(F.col("__repeats") <= 1, F.col("__side") == F.col("__leads"))
-        .otherwise(F.raise_error(F.lit("several frames hold a join key more than once")))
-    )
-    for i in sides:
-        checked = checked.withColumn(f"__{i}", F.coalesce(f"__{i}", f"__first_{i}"))
+    def shaped(i: int) -> DataFrame:
+        f = frames[i]
+        # rows with a NULL key never meet: not other frames', and not each other
+        apart = F.when(null_key, F.concat(F.lit(f"{i}:"), F.monotonically_increasing_id().cast("string")))
+        return f.select(*keys, row_of(f).alias(f"__{i}"), apart.alias("__apart"))
+
+    union = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), map(shaped, once))
+
+    def only(i: int) -> Column:
+        one = F.when(F.count(f"__{i}") <= 1, F.first(f"__{i}", ignorenulls=True))
+        return one.otherwise(F.raise_error(F.lit("a frame holds a join key more than once")).cast(union.schema[f"__{i}"].dataType))
+
+    joined = union.groupBy(*keys, "__apart").agg(*[only(i).alias(f"__{i}") for i in once]).drop("__apart")
+    if repeats is not None:
+        many = frames[repeats]
+        joined = many.select(*keys, row_of(many).alias(f"__{repeats}")).join(joined, keys, "full")
     merged = [
         F.coalesce(*[F.col(f"__{i}.{c}") for i, f in enumerate(frames) if c in f.columns]).alias(c)
         for c in outputs
     ]
-    return checked.select(*keys, *merged)
+    return joined.select(*keys, *merged)
 
 
 def _full_outer_pair(x: DataFrame, y: DataFrame, keys: list[str]) -> DataFrame:

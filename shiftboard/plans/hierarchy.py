@@ -14,6 +14,7 @@ from ..functions.ratios import ratio_bps
 from ..operators.filters import filter_date_floor
 from ..operators.joins import join_full_outer_chain
 from ..operators.ordered import row_number_grouped
+from ..session import pin
 from .names import accepts_names
 
 Tables = Mapping[str, DataFrame]
@@ -141,11 +142,13 @@ def report_metric_hierarchy(tables: Tables, config: HierarchyConfig = HierarchyC
 
     ``tables``: ``volume``, ``facilities``, ``values``, ``performance``,
     ``quality_events``, ``event_status``, ``buffer_events``.  Measures and service
-    targets leave the combined rows in a single pass.
+    targets leave the combined rows in a single pass, which is stored and then numbered.
     """
+    # several country codes may share a facility's days; the other two hold a facility's day once
     combined = join_full_outer_chain(
         [performance_bps(tables, config), buffer_hours(tables, config), approved_event_units(tables, config)],
         ["facility_id", "date", "week", "year"],
+        repeats=0,
     )
 
     def entry(sub_order, order, sub, metric, unit, process, value):
@@ -185,6 +188,8 @@ def report_metric_hierarchy(tables: Tables, config: HierarchyConfig = HierarchyC
         "facility_id",
         F.inline(F.concat(measures, targets) if config.sla else measures),
     )
+    # stored, reduced as they are: the numbering counts them and reads them
+    rows = pin(rows)
     # a metric's day holds a few rows per facility; region and value only settle ties, so the numbering is total
     by_day = ["category_order", "subcategory_order", "metric_order", "date"]
     numbered = row_number_grouped(rows, by_day, ["facility_id", "process_type", "region", "metric_value"])

@@ -177,7 +177,9 @@ class MultiKpiConfig:
     impacts: Mapping[str, tuple[str, ...]] = field(default_factory=lambda: dict(BOARD_IMPACTS))
     volume_date: str = "metric_date"
     impact_date: str = "metric_date"
-    #: one source may hold a facility-day several times (staffing by region); False lets several, joined pairwise
+    #: the source that may hold a facility-day several times: 0 performance, 1 staffing (by region), 2 quality
+    repeats: int = 1
+    #: False lets several sources, joined pairwise
     unique_keys: bool = True
 
 
@@ -199,7 +201,7 @@ def multi_kpi_base(tables: Tables, config: MultiKpiConfig) -> DataFrame:
         .groupBy("facility_id", cal.date_shift("process_date", days=1).alias("date"))
         .agg(F.sum("defect_units").alias("quality_miss_units"))
     )
-    return join_full_outer_chain([performance, staffing, quality], ["facility_id", "date"], config.unique_keys)
+    return join_full_outer_chain([performance, staffing, quality], ["facility_id", "date"], config.unique_keys, config.repeats)
 
 
 @accepts_names

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
@@ -67,25 +67,37 @@ def report_weekly_site_bundle(
     """
     weeks = None if config.weeks is None else sorted(config.weeks)
     named = {k: positional_header(tables[k], header) for k, header in HEADERS.items()}
-    out: dict[str, DataFrame] = {}
-
     rate = named["metric_a"].withColumn("week", F.col("week").cast("int"))
-    wide = pivot_wide_plain(rate, ["site", "region"], "week", "metric_a_rate", weeks).drop("region")
-    whole = {w: fmt_number(F.col(w), "share", 0) for w in wide.columns if w != "site"}
-    out["metric_a_dashboard"] = rate.withColumn("metric_a_rate", fmt_number("metric_a_rate", "share", 0))
-    out["metric_a_wide"] = wide.withColumns(whole)
-    out["metric_a_total"] = rate.groupBy("site").agg(
-        fmt_number(F.avg("metric_a_rate"), "share", 0).alias("avg_metric_a")
-    )
 
-    for name, (value, date, sep) in DATED.items():
+    def rate_wide() -> DataFrame:
+        wide = pivot_wide_plain(rate, ["site", "region"], "week", "metric_a_rate", weeks).drop("region")
+        return wide.withColumns({w: fmt_number(F.col(w), "share", 0) for w in wide.columns if w != "site"})
+
+    def rate_total() -> DataFrame:
+        return rate.groupBy("site").agg(fmt_number(F.avg("metric_a_rate"), "share", 0).alias("avg_metric_a"))
+
+    # results are built when asked for: a wide one without declared weeks lists them with a job
+    out: dict[str, Callable[[], DataFrame]] = {
+        "metric_a_dashboard": lambda: rate.withColumn("metric_a_rate", fmt_number("metric_a_rate", "share", 0)),
+        "metric_a_wide": rate_wide,
+        "metric_a_total": rate_total,
+    }
+    one_site = F.col("site") == config.site
+
+    def dated_results(name: str, value: str, date: str, sep: str) -> dict[str, Callable[[], DataFrame]]:
         dated = _dated(named[name], date, sep).withColumn(value, num_coerce(value))
         dated = dated.withColumn("week_number", F.col("week_number").cast("int"))
-        out[f"{name}_dashboard"] = dated
-        out[f"{name}_wide"] = pivot_wide_sum(dated, ["site"], "week_number", value, weeks)
-        out[f"{name}_total"] = dated.groupBy("site").agg(
-            F.coalesce(F.sum(value), F.lit(0.0)).alias(f"total_{name}")
-        )
+        total = F.coalesce(F.sum(value), F.lit(0.0))
+        of_site = F.round(total, 3) if name == "metric_b" else total
+        return {
+            f"{name}_dashboard": lambda: dated,
+            f"{name}_wide": lambda: pivot_wide_sum(dated, ["site"], "week_number", value, weeks),
+            f"{name}_total": lambda: dated.groupBy("site").agg(total.alias(f"total_{name}")),
+            f"site_{name}": lambda: dated.filter(one_site).groupBy("week").agg(of_site.alias(value)),
+        }
+
+    for name, (value, date, sep) in DATED.items():
+        out |= dated_results(name, value, date, sep)
 
     causes = named["root_cause"]
     for edge in ("start", "end"):
@@ -93,18 +105,11 @@ def report_weekly_site_bundle(
         causes = causes.withColumn(f"{edge}_date", cal.date_parse(f"{edge}_date", "yyyy-MM-dd", strict=False))
         causes = causes.withColumn(f"{edge}_weekday", cal.date_names(f"{edge}_date", "weekday"))
     bps = F.coalesce(F.sum("metric_a_bps"), F.lit(0.0)).alias("bps")
-    out["root_cause_dashboard"] = causes
-    out["root_cause_by_process"] = causes.groupBy("process_path", "root_cause").agg(bps)
-    out["root_cause_total"] = causes.groupBy("root_cause").agg(bps)
-
-    one_site = F.col("site") == config.site
-    for name, (value, _, _) in DATED.items():
-        total = F.coalesce(F.sum(value), F.lit(0.0))
-        total = F.round(total, 3) if name == "metric_b" else total
-        out[f"site_{name}"] = out[f"{name}_dashboard"].filter(one_site).groupBy("week").agg(total.alias(value))
+    out["root_cause_dashboard"] = lambda: causes
+    out["root_cause_by_process"] = lambda: causes.groupBy("process_path", "root_cause").agg(bps)
+    out["root_cause_total"] = lambda: causes.groupBy("root_cause").agg(bps)
 
     def site_metric_a() -> DataFrame:
         return median_by_group(rate.filter(one_site), ["week"], "metric_a_rate").withColumnRenamed("median", "metric_a_rate")
 
-    builders = {name: (lambda d=d: d) for name, d in out.items()}
-    return Bundle({**builders, "site_metric_a": site_metric_a})
+    return Bundle({**out, "site_metric_a": site_metric_a})

@@ -83,14 +83,24 @@ def test_full_outer_repeats(rows):
     b = rows([(1, 5), (2, 6)], "k int, b int")
     want = sorted([(1, 1, 5), (1, 2, 5), (1, 2, 5), (2, None, 6), (3, 7, None)], key=repr)
     for unique in (True, False):  # one frame may repeat a key
-        assert as_set(joins.join_full_outer_chain([a, b], ["k"], unique), "k", "a", "b") == want
-        assert as_set(joins.join_full_outer_chain([b, a], ["k"], unique), "k", "a", "b") == want
+        assert as_set(joins.join_full_outer_chain([a, b], ["k"], unique, repeats=0), "k", "a", "b") == want
+        assert as_set(joins.join_full_outer_chain([b, a], ["k"], unique, repeats=1), "k", "a", "b") == want
     both = [a, rows([(1, 5), (1, 6)], "k int, b int")]
-    with pytest.raises(Exception, match="more than once"):
-        joins.join_full_outer_chain(both, ["k"]).collect()
+    for frames_, repeats in (([a, both[1]], None), (both, 0), (both, 1), ([a, b], None), ([a, b], 1)):
+        with pytest.raises(Exception, match="more than once"):
+            joins.join_full_outer_chain(frames_, ["k"], repeats=repeats).collect()
     assert joins.join_full_outer_chain(both, ["k"], check_unique=False).count() == 7
 
 
+def test_full_outer_with_a_third_of_all_rows_under_one_key(spark):
+    many = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id")).alias("k"), F.col("id").alias("a"))
+    once = spark.range(500).select((F.col("id") * 2).alias("k"), (-F.col("id")).alias("b"))
+    last = spark.range(40).select((F.col("id") + 2990).alias("k"), F.col("id").alias("c"))
+    got = joins.join_full_outer_chain([many, once, last], ["k"], repeats=0)
+    want = joins.join_full_outer_chain([many, once, last], ["k"], check_unique=False)
+    assert as_set(got, "k", "a", "b", "c") == as_set(want, "k", "a", "b", "c")
+
+
 def test_full_outer_coalesces_shared_columns(rows):
     a = rows([(1, "x")], "k int, region string")
     b = rows([(1, "y"), (2, "z")], "k int, region string")

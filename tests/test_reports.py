@@ -334,3 +334,18 @@ def test_reports_read_other_column_names(rows):
         kpi.report_kpi_trend(tables, config, names=own)
     with pytest.raises(ValueError, match="no such tables"):
         kpi.report_kpi_trend(tables, config, names={"x": {}})
+
+
+def test_a_part_of_the_site_bundle_costs_that_part(spark, monkeypatch):
+    """Without declared weeks each wide result lists its weeks with a job; asking for another one starts none."""
+    from shiftboard.bindings.registry import Tables
+    from shiftboard.bindings.study_reports import site_tables
+    from shiftboard.operators import reshape
+    from shiftboard.plans.weekly_sites import report_weekly_site_bundle
+
+    listed = []
+    real = reshape._listed
+    monkeypatch.setattr(reshape, "_listed", lambda *x: listed.append(x) or real(*x))
+    bundle = report_weekly_site_bundle(site_tables(Tables(spark, "/root/testdata/sf0.001")))
+    assert bundle["root_cause_total"].count() > 0 and not listed
+    assert len(bundle["metric_c_wide"].columns) > 10 and len(listed) == 1
