@@ -1,7 +1,8 @@
 """Quality rules: an ordered decision list learnt from labelled statistics.
 
 Sequential covering: grow a conjunction of thresholds by information gain on two thirds of the sample,
-prune it from its end on the last third, keep it if it is precise there, remove what it covers, repeat.
+prune it from its end on the last third, keep it if it is precise there, remove what it covers, repeat.  A rule grows while a
+condition gains, every middle between two neighbouring values being a possible bound; the list grows while its last rule holds.
 The list becomes one CASE expression over the statistics' columns, so applying it is plain Spark.
 
 Defined results: null and empty texts count 0 everywhere and fail the base rule; without labels of both
@@ -25,8 +26,6 @@ from .words import slices, text_bytes
 
 SHARES = list(shares({k: np.zeros(0) for k in COUNTS}))
 MOST_SAMPLE = 20_000  # labelled rows that reach the driver, 10 numbers each
-MOST_CONDITIONS = 4
-MOST_RULES = 16
 PRECISION = 0.9  # of a rule on the pruning rows
 SUPPORT = 3  # rejected pruning rows a rule must cover
 
@@ -57,28 +56,39 @@ def covered(rule: Rule, stats: dict[str, np.ndarray], n: int) -> np.ndarray:
     return out
 
 
-def _bounds(x: np.ndarray) -> np.ndarray:
-    """Middles between neighbouring values at up to 64 ranks."""
-    values = np.unique(x)
-    middles = (values[1:] + values[:-1]) / 2
-    return middles if len(middles) <= 64 else middles[np.linspace(0, len(middles) - 1, 64).astype(int)]
+def _best_bound(x: np.ndarray, bad: np.ndarray) -> tuple[float, float, bool]:
+    """(gain, bound, above) of the condition on ``x`` that gains most, over all middles between neighbouring values.
+
+    Of equal gains the smallest bound counts, above it before below.
+    """
+    order = np.argsort(x, kind="stable")
+    values, wrong = x[order], bad[order]
+    cuts = np.flatnonzero(values[1:] > values[:-1]) + 1
+    if not len(cuts):
+        return 0.0, 0.0, True
+    p, n = int(wrong.sum()), int((~wrong).sum())
+    low_bad = np.concatenate([[0], np.cumsum(wrong)])[cuts]
+    low_good = cuts - low_bad
+    # above and below each bound
+    q = np.column_stack([p - low_bad, low_bad]).astype(float)
+    m = np.column_stack([n - low_good, low_good]).astype(float)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gains = np.where(q > 0, q * (np.log2(q / (q + m)) - np.log2(p / (p + n))), -1.0)
+    at, below = divmod(int(gains.argmax()), 2)
+    cut = cuts[at]
+    return float(gains[at, below]), float((values[cut] + values[cut - 1]) / 2), below == 0
 
 
 def grow(stats: dict[str, np.ndarray], bad: np.ndarray) -> Rule:
     rule: list[Condition] = []
     inside = np.ones(len(bad), bool)
-    while (inside & ~bad).any() and len(rule) < MOST_CONDITIONS:
-        p, n = (inside & bad).sum(), (inside & ~bad).sum()
+    while (inside & bad).any() and (inside & ~bad).any():
         best, gain = None, 1e-9
         for stat, x in stats.items():
-            values, wrong = x[inside], bad[inside]
-            for bound in _bounds(values):
-                high = values > bound
-                for above, chosen in ((True, high), (False, ~high)):
-                    q, m = (chosen & wrong).sum(), (chosen & ~wrong).sum()
-                    if q and (g := q * (np.log2(q / (q + m)) - np.log2(p / (p + n)))) > gain:
-                        best, gain = Condition(stat, above, float(bound)), g
-        if best is None:
+            g, bound, above = _best_bound(x[inside], bad[inside])
+            if g > gain:
+                best, gain = Condition(stat, above, bound), g
+        if best is None or best.covers(stats)[inside].all():
             break
         rule.append(best)
         inside &= best.covers(stats)
@@ -100,7 +110,7 @@ def learn(stats: dict[str, np.ndarray], bad: np.ndarray, part: np.ndarray) -> li
     """Ordered rules that reject; ``part`` deals rows to growing (0, 1) and pruning (2)."""
     rules: list[Rule] = []
     left = np.ones(len(bad), bool)
-    while len(rules) < MOST_RULES:
+    while True:
         growing, pruning = left & (part != 2), left & (part == 2)
         if not (growing & bad).any() or not (growing & ~bad).any():
             break
@@ -114,6 +124,7 @@ def learn(stats: dict[str, np.ndarray], bad: np.ndarray, part: np.ndarray) -> li
         if right < SUPPORT or right < PRECISION * hit.sum():
             break
         rules.append(rule)
+        # a rule that holds covers pruning rows, so fewer rows are left each time
         left &= ~covered(rule, stats, len(bad))
     return rules
 

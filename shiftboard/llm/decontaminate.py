@@ -8,8 +8,9 @@ are compared as text.
 
 Spark does the join: documents pass once through a numpy step that keeps, for each document, only
 windows whose fingerprint may belong to the benchmark (a filter of fixed size, see ``bloom``); those
-windows meet the benchmark's distinct windows in an ordinary equi-join.  A window that very many
-documents or items share costs one row per document or item, never their product.
+windows meet the benchmark's distinct windows in an ordinary equi-join.  A window's items are one sorted list before they meet
+documents, and a document's lists are united, so a window that very many documents or items share costs one row per document or
+item, never a row for each of their pairs.
 
 Defined results: a null or wordless text has no words and no hits; an item of fewer than ``n`` words is one
 window of its own length; repeated items each count; rows that share a document id are one document whose
@@ -119,10 +120,10 @@ def contaminated_documents(
     doc_id: str = "doc_id",
     item_id: str = "item_id",
     text: str = "text",
-) -> tuple[DataFrame, DataFrame]:
-    """(per document: id, n_words; matched spans: id, start, end, window, size).
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(per document: id, n_words; matched spans: id, start, end, window, size; per document with hits: id, items).
 
-    Words count from 0; ``end`` is one past the span's last word.  Both frames come from one stored
+    Words count from 0; ``end`` is one past the span's last word.  All frames come from one stored
     table, so the documents are read once.
     """
     spark = documents.sparkSession
@@ -141,9 +142,11 @@ def contaminated_documents(
     per_document = hits.groupBy("id").agg(F.max("n_words").alias("n_words"))
     matched = hits.filter("hit").select("id", "size", "window", F.explode("starts").alias("start"))
     matched = matched.withColumn("end", F.col("start") + F.col("size"))
-    per_item = hits.filter("hit").select("id", "size", "window").distinct()
-    per_item = per_item.join(items.select("size", "window", F.col("id").alias("item")), ["size", "window"])
-    return per_document, matched, per_item.select("id", "item").distinct()
+    lists = items.groupBy("size", "window").agg(F.array_sort(F.collect_set("id")).alias("items"))
+    per_item = hits.filter("hit").select("id", "size", "window").distinct().join(lists, ["size", "window"])
+    # windows of the same items give one list
+    united = F.array_distinct(F.flatten(F.collect_set("items")))
+    return per_document, matched, per_item.groupBy("id").agg(united.alias("items"))
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
@@ -154,8 +157,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, **options) -> Data
     n_hit = covered.groupBy("id").agg(
         F.sum(F.greatest(F.lit(0), F.col("end") - F.greatest("start", "done"))).cast("long").alias("n_hit")
     )
-    items = per_item.groupBy("id").agg(F.array_sort(F.collect_list(F.col("item").cast("string"))).alias("items"))
-    items = items.withColumnRenamed("id", "item_hit_id")
+    items = per_item.select(F.col("id").alias("item_hit_id"), F.array_sort(F.col("items").cast("array<string>")).alias("items"))
     found = n_hit.withColumnRenamed("id", "hit_id").join(items, F.col("hit_id").eqNullSafe(F.col("item_hit_id")), "left")
     out = per_document.join(found, F.col("id").eqNullSafe(F.col("hit_id")), "left")
     return out.select(

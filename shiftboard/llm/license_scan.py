@@ -1,10 +1,11 @@
 """License scans by a positional rare-token index.
 
-Templates (short licence notices) are indexed by word: word -> (template, position).  Each file is looked
+Templates (licence notices, one-line ones and whole ones) are indexed by word: word -> (template, position).  Each file is looked
 up by its licence words of highest IDF, counted over all files, and by the words of key phrases that it has in full; a posting
 and an occurrence name a template and a shift, and shifts that two of those words agree on are aligned with the template
 word by word.  A template is found where its mandatory key phrase stands in place and words of at least ``SHARE`` of its
-IDF weight do.  As the words of its key phrase are always looked up, no file with many licences loses one.
+IDF weight do.  As the words of its key phrase are always looked up, and all words of a template whose key is a single word, no
+file with many licences loses one.
 
 All of it is expressions within a row: no shuffle but the word counts, of which the vocabulary's size reaches the
 driver.  Rows without the words of any key phrase skip the alignment.
@@ -40,6 +41,40 @@ class Template:
         return next(i for i in range(len(words)) if words[i : i + len(key)] == key)
 
 
+# fixed values: notices as their licences give them, without what the author fills in
+MIT_TEXT = """permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the
+software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute
+sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions
+the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software
+the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability
+fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other
+liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings
+in the software"""
+BSD_TEXT = """redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met
+1 redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer
+2 redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the
+documentation and or other materials provided with the distribution"""
+ISC_TEXT = """permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above
+copyright notice and this permission notice appear in all copies the software is provided as is and the author disclaims all warranties with regard
+to this software including all implied warranties of merchantability and fitness in no event shall the author be liable for any special direct
+indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or
+other tortious action arising out of or in connection with the use or performance of this software"""
+APACHE_TEXT = """licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a
+copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under
+the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific
+language governing permissions and limitations under the license"""
+GPL_TEXT = """this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the
+free software foundation either version 3 of the license or at your option any later version this program is distributed in the hope that it will be
+useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public
+license for more details you should have received a copy of the gnu general public license along with this program"""
+MPL_TEXT = """this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you
+can obtain one at http mozilla org mpl 2 0"""
+UNLICENSE_TEXT = """this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or
+distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"""
+ZLIB_TEXT = """this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages
+arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to
+alter it and redistribute it freely subject to the following restrictions"""
+
 TEMPLATES = [
     Template("mit", "released under the mit license", "mit license"),
     Template("mit", "licensed under the mit license", "mit license"),
@@ -64,15 +99,24 @@ TEMPLATES = [
     Template("cc-by-sa", "licensed under cc by sa 4 0", "cc by sa"),
     Template("cc-by", "licensed under a creative commons attribution 4 0 international license", "creative commons attribution"),
     Template("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
+    Template("mit", MIT_TEXT, "permission is hereby granted free of charge"),
+    Template("bsd", BSD_TEXT, "redistribution and use in source and binary forms"),
+    Template("isc", ISC_TEXT, "permission to use copy modify"),
+    Template("apache", APACHE_TEXT, "apache license"),
+    Template("gpl", GPL_TEXT, "gnu general public license"),
+    Template("mpl", MPL_TEXT, "mozilla public license"),
+    Template("unlicense", UNLICENSE_TEXT, "free and unencumbered software"),
+    Template("zlib", ZLIB_TEXT, "provided as is without any express or implied warranty"),
 ]
 RARE_WORDS = 8  # of a file's licence words are looked up
 SHARE = 0.7
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def words_of(text: Column) -> Column:
-    """Lower-cased words; case is folded beyond A-Z, which no ASCII word without a k can notice."""
-    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), BREAKS), "")
+    """Words, with A-Z in lower case."""
+    return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), BREAKS), "")
 
 
 def vocabulary(templates: list[Template]) -> list[str]:
@@ -144,7 +188,13 @@ def aligned(words: Column, present: Column, templates: list[Template], weight: d
     )
     ranked = F.array_sort(F.transform(present, lambda w: F.struct((-weights[w]).alias("first"), w.alias("word"))))
     rare = F.transform(F.slice(ranked, 1, RARE_WORDS), lambda s: s["word"])
-    rare = F.array_distinct(F.concat(rare, *[F.when(has(k), strings(list(k))).otherwise(F.array().cast("array<string>")) for k in keys]))
+    none = F.array().cast("array<string>")
+    always = [F.when(has(k), strings(list(k))).otherwise(none) for k in keys]
+    # a key of one word gives a shift that nothing else confirms, unless the template's other words are looked up too
+    alone = [(tuple(set(t.key.split())), sorted(set(t.words))) for t in templates if len(set(t.key.split())) == 1]
+    always += [F.when(has(k), F.array_intersect(strings(w), present)).otherwise(none) for k, w in alone]
+    rare = F.array_distinct(F.concat(rare, *always))
+    single = F.array(*[F.lit(i) for i, t in enumerate(templates) if len(t.words) == 1]).cast("array<int>")
     spots = F.transform(words, lambda w, i: F.struct(w.alias("word"), i.alias("at")))
 
     def within(rare: Column) -> Column:
@@ -157,8 +207,8 @@ def aligned(words: Column, present: Column, templates: list[Template], weight: d
         return F.transform(F.array(shifts), agreed)[0]
 
     def agreed(shifts: Column) -> Column:
-        # sorted, so a shift that two words name has an equal neighbour
-        twice = F.array_distinct(F.filter(shifts, lambda s, i: s.eqNullSafe(F.get(shifts, i + 1))))
+        # sorted, so a shift that two words name has an equal neighbour; a template of one word has no second
+        twice = F.array_distinct(F.filter(shifts, lambda s, i: s.eqNullSafe(F.get(shifts, i + 1)) | F.array_contains(single, s["t"])))
         return F.filter(F.transform(twice, scored), lambda s: s.isNotNull())
 
     def scored(s: Column) -> Column:

@@ -132,24 +132,30 @@ RULES = [
 
 @query(
     "op10_url_redirect_equivalence",
+    # links as browsers resolve them, then dot segments folded away
     r"""WITH RECURSIVE rules(h, p, v) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
     read AS (SELECT page_id, html, url, translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)([^?#]*)([^#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
         regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)([^?#]*)([^#]*)', 2, 's') AS path,
         regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)([^?#]*)([^#]*)', 3, 's') AS query FROM pages),
-    tags AS (SELECT host, path, '://' || host || path || query AS key, unnest(regexp_extract_all(html, '<(?:link|meta)\b[^>]*>', 0, 'is')) AS t FROM read WHERE url LIKE '%://%'),
-    link AS (SELECT key, host, path, CASE WHEN regexp_matches(t, '\brel\s*=\s*["'']?canonical\b', 'i') THEN regexp_extract(t, '\bhref\s*=\s*["'']?([^"''\s>]+)', 1, 'i')
-        WHEN regexp_matches(t, '\bhttp-equiv\s*=\s*["'']?refresh\b', 'i') THEN regexp_extract(t, '\bcontent\s*=\s*["'']?[^>]*?\burl\s*=\s*''?([^"''\s>]+)', 1, 'i') END AS l FROM tags),
-    target AS (SELECT key, CASE WHEN regexp_matches(l, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN l WHEN l LIKE '//%' THEN ':' || l WHEN l LIKE '/%' THEN '://' || host || l
+    keyed AS (SELECT *, '://' || host || CASE WHEN path = '' THEN '/' ELSE list_reduce(list_prepend('', string_split(path, '/')[2:]), lambda a, x: CASE x WHEN '.' THEN a
+        WHEN '..' THEN regexp_replace(a, '/[^/]*$', '') ELSE a || '/' || x END) || CASE WHEN regexp_matches(path, '/\.\.?$') THEN '/' ELSE '' END END || query AS key FROM read),
+    tags AS (SELECT host, path, key, unnest(regexp_extract_all(html, '<(?:link|meta)\b[^>]*>', 0, 'is')) AS t FROM keyed WHERE url LIKE '%://%'),
+    link AS (SELECT key, host, path, replace(CASE WHEN regexp_matches(t, '\brel\s*=\s*["'']?canonical\b', 'i') THEN regexp_extract(t, '\bhref\s*=\s*["'']?([^"''\s>]+)', 1, 'i')
+        WHEN regexp_matches(t, '\bhttp-equiv\s*=\s*["'']?refresh\b', 'i') THEN regexp_extract(t, '\bcontent\s*=\s*["'']?[^>]*?\burl\s*=\s*''?([^"''\s>]+)', 1, 'i') END, '&amp;', '&') AS l FROM tags),
+    target AS (SELECT key, CASE WHEN regexp_matches(l, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN l WHEN regexp_matches(l, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL WHEN l LIKE '//%' THEN ':' || l WHEN l LIKE '/%' THEN '://' || host || l
+        WHEN l LIKE '?%' THEN '://' || host || CASE WHEN path = '' THEN '/' ELSE path END || l WHEN l LIKE '#%' THEN key
         ELSE '://' || host || CASE WHEN path = '' THEN '/' ELSE regexp_extract(path, '^(.*/)', 1, 's') END || l END AS t FROM link WHERE l <> ''),
-    edge AS (SELECT key AS a, '://' || translate(regexp_extract(t, '^.*?://([^/?#]*)([^?#]*)([^#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
-        || regexp_extract(t, '^.*?://([^/?#]*)([^?#]*)([^#]*)', 2, 's') || regexp_extract(t, '^.*?://([^/?#]*)([^?#]*)([^#]*)', 3, 's') AS b FROM target),
+    parts AS (SELECT key, translate(regexp_extract(t, '^.*?://([^/?#]*)([^?#]*)([^#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        regexp_extract(t, '^.*?://([^/?#]*)([^?#]*)([^#]*)', 2, 's') AS path, regexp_extract(t, '^.*?://([^/?#]*)([^?#]*)([^#]*)', 3, 's') AS query FROM target WHERE t IS NOT NULL),
+    edge AS (SELECT key AS a, '://' || host || CASE WHEN path = '' THEN '/' ELSE list_reduce(list_prepend('', string_split(path, '/')[2:]), lambda a, x: CASE x WHEN '.' THEN a
+        WHEN '..' THEN regexp_replace(a, '/[^/]*$', '') ELSE a || '/' || x END) || CASE WHEN regexp_matches(path, '/\.\.?$') THEN '/' ELSE '' END END || query AS b FROM parts),
     both_ways AS (SELECT a, b FROM edge UNION SELECT b, a FROM edge),
     reach(a, b) AS (SELECT a, a FROM both_ways UNION SELECT r.a, e.b FROM reach r JOIN both_ways e ON r.b = e.a),
     judged AS (SELECT a, b, regexp_extract(b, '^.*?://([^/?#]*)([^?#]*)([^#]*)', 1, 's') AS host, regexp_extract(b, '^.*?://([^/?#]*)([^?#]*)([^#]*)', 2, 's') AS path FROM reach),
     alias AS (SELECT DISTINCT a FROM (SELECT a, b, arg_max(v, length(h || p)) AS v FROM judged JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY a, b) WHERE v = 'block'),
     own AS (SELECT page_id, url, host, path, arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS v FROM read LEFT JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY ALL)
     SELECT own.page_id, own.host, own.path, rule, coalesce(v, CASE WHEN a IS NOT NULL THEN 'block' END, 'allow') AS verdict
-    FROM own JOIN read USING (page_id) LEFT JOIN alias ON a = '://' || read.host || read.path || read.query AND read.url LIKE '%://%'""",
+    FROM own JOIN keyed USING (page_id) LEFT JOIN alias ON a = keyed.key AND keyed.url LIKE '%://%'""",
 )
 def _(spark: SparkSession, directory: str) -> DataFrame:
     judged = url_filter.judge(table(spark, directory, "pages"), RULES)

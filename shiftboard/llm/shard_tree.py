@@ -2,8 +2,8 @@
 
 At each level every child draws ``ln(u) / weight`` with u hashed from the key and the child's name; the
 largest draw wins, so a child gets keys in proportion to its weight.  A child's draw does not depend on its
-siblings: when a weight grows, keys move into that child only, and when it shrinks, out of it only.  A new shard
-that brings its own region therefore takes keys from everywhere and sends none between old shards.
+siblings: when a weight grows, keys move into that child only, and when it shrinks, out of it only.  One more shard
+brings a region of its own (``grown``), so it takes keys from everywhere and none moves between old shards, whatever their number.
 
 Everything is a column expression.  Slots number the rows of a shard without a gap: rows are ordered by a hash
 class and id, classes hold about ``CLASS_ROWS`` rows, and only one count per class crosses between them.
@@ -48,6 +48,14 @@ def tree(shards: int, weights: dict[int, float] | None = None) -> Node:
     return inner("root", regions)
 
 
+def grown(root: Node, shard: int, weight: float = 1.0) -> Node:
+    """The tree with one more shard, in a region of its own: no other node's weight changes."""
+    regions = list(root.children)
+    racks = sum(len(r.children) for r in regions)
+    rack = inner(f"rack{racks}", [Node(f"shard{shard}", weight, shard=shard)])
+    return inner("root", [*regions, inner(f"region{len(regions)}", [rack])])
+
+
 def draw(key: Column, node: Node) -> Column:
     """ln(u) / weight with u in (0, 1] from 53 bits of the hash of the key and the node's name."""
     bits = F.shiftrightunsigned(F.xxhash64(key, F.lit(node.name)), 11)
@@ -76,15 +84,16 @@ def assign(
 ) -> DataFrame:
     """Per document row: id, size, text_crc32, shard, slot, grown_shard (with one more shard)."""
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    key = F.col(doc_id)
+    key, root = F.col(doc_id), tree(shards, weights)
     classes = max(1, documents.count() // (shards * CLASS_ROWS))
     placed = documents.select(
         key.alias("id"),
         (F.octet_length(body).cast("long") + 8).alias("size"),
         F.crc32(body.cast("binary")).alias("text_crc32"),
-        descend(key, tree(shards, weights)).alias("shard"),
-        descend(key, tree(shards + 1, weights)).alias("grown_shard"),
-        F.pmod(F.xxhash64(key, F.lit("slot")), F.lit(classes)).alias("class"),
+        descend(key, root).alias("shard"),
+        descend(key, grown(root, shards, (weights or {}).get(shards, 1.0))).alias("grown_shard"),
+        # with the text, so that rows that repeat an id, or have none, are no class of their own
+        F.pmod(F.xxhash64(key, body), F.lit(classes)).alias("class"),
     )
     counts = placed.groupBy("shard", "class").agg(F.count("*").alias("n"))
     earlier = Window.partitionBy("shard").orderBy("class").rowsBetween(Window.unboundedPreceding, -1)

@@ -7,7 +7,8 @@ is blocked by a rule, so are its pages without a rule.  A rule on the page itsel
 explicit allow holds against blocked aliases.  Everything is DataFrame work; components are distributed
 joins (see ``components``), and HTML leaves the rows before any shuffle.
 
-Two URLs are the same if they differ in scheme, case of the host, or fragment only.
+Two URLs are the same if they differ in scheme, case of the host, dot segments or fragment only.  Links are resolved as browsers do:
+against the page's folder, with ``.`` and ``..`` taken out, a query alone against the page's path, ``&amp;`` as ``&``.
 
 Defined results: a null URL or one without ``://`` has an empty host and path, fits no rule and is allowed; null or empty
 HTML has no links; repeated rows are judged each; an empty table gives an empty result;
@@ -50,20 +51,36 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, PARTS, 2), F.lit(""))
 
 
+def without_dots(path: Column) -> Column:
+    """A path with its ``.`` and ``..`` segments applied; an empty one is ``/``."""
+    folded = F.aggregate(
+        F.slice(F.split(path, "/"), 2, F.char_length(path)),
+        F.lit(""),
+        lambda a, x: F.when(x == ".", a).when(x == "..", F.regexp_replace(a, "/[^/]*$", "")).otherwise(F.concat(a, F.lit("/"), x)),
+    )
+    ends_in_dots = path.rlike(r"/\.\.?$")
+    return F.when(path == "", "/").when(ends_in_dots, F.concat(folded, F.lit("/"))).when(path.contains("/."), folded).otherwise(path)
+
+
 def key_of(url: Column) -> Column:
-    """The URL without scheme and fragment; null without ``://``.  It parses like a URL."""
-    key = F.concat(F.lit("://"), F.translate(F.regexp_extract(url, PARTS, 1), UPPER, LOWER), F.regexp_extract(url, PARTS, 2), F.regexp_extract(url, PARTS, 3))
-    return F.when(url.contains("://"), key)
+    """The URL without scheme, dot segments and fragment; null without ``://``.  It parses like a URL."""
+    host, path, query = (F.regexp_extract(url, PARTS, i) for i in (1, 2, 3))
+    return F.when(url.contains("://"), F.concat(F.lit("://"), F.translate(host, UPPER, LOWER), without_dots(path), query))
 
 
 def resolved(link: Column, url: Column) -> Column:
-    """A link as an absolute URL, seen from the page's own."""
+    """A link as an absolute URL, seen from the page's own; null for links that are no URL, such as ``mailto:``."""
     host, path = F.regexp_extract(url, PARTS, 1), F.regexp_extract(url, PARTS, 2)
+    here = F.concat(F.lit("://"), host, F.when(path == "", "/").otherwise(path))
     folder = F.concat(F.lit("://"), host, F.when(path == "", "/").otherwise(F.regexp_extract(path, r"(?s)^(.*/)", 1)))
+    link = F.replace(link, F.lit("&amp;"), F.lit("&"))
     return (
         F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), link)
+        .when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None).cast("string"))
         .when(link.startswith("//"), F.concat(F.lit(":"), link))
         .when(link.startswith("/"), F.concat(F.lit("://"), host, link))
+        .when(link.startswith("?"), F.concat(here, link))
+        .when(link.startswith("#"), url)
         .otherwise(F.concat(folder, link))
     )
 
@@ -106,7 +123,8 @@ def judge(
     nodes = smallest_reachable(edges)
     decided = fitting(rules, host_of(F.col("node")), path_of(F.col("node")))["verdict"]
     bad = nodes.filter(decided == "block").select("component").distinct()
-    aliases = nodes.join(bad, "component").select(F.col("node").alias("key"), F.lit("block").alias("alias"))
+    # a semi join: a component with a third of all URLs is a skewed side that Spark can split
+    aliases = nodes.join(bad, "component", "left_semi").select(F.col("node").alias("key"), F.lit("block").alias("alias"))
     found = rows.join(aliases, "key", "left")
     verdict = F.coalesce("fit.verdict", "alias", F.lit("allow"))
     return found.select("id", "host", "path", F.col("fit.rule").alias("rule"), verdict.alias("verdict"))
