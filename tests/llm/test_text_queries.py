@@ -75,7 +75,6 @@ def test_bpe_equals_the_library(spark, texts):
 
 def test_token_files_equal_the_library(spark, texts):
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    library.encode_special_tokens = True
     got, start = {r.doc_id: r for r in run(spark, "op4_").collect()}, 0
     assert set(got) == set(texts)
     for doc_id in sorted(texts):
