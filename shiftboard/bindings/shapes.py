@@ -225,13 +225,13 @@ def _(t: Tables) -> DataFrame:
 @query(
     "median_by_group__narrowed",
     "SELECT l_returnflag, "
-    + ", ".join(f"round(quantile_cont(l_extendedprice, {p}), 4) AS {n}" for n, p in {"low": 0.025, "median": 0.5, "high": 0.975}.items())
+    + ", ".join(f"round(quantile_cont(l_extendedprice, {p}), 6) AS {n}" for n, p in {"low": 0.025, "median": 0.5, "high": 0.975}.items())
     + " FROM lineitem GROUP BY 1",
 )
 def _(t: Tables) -> DataFrame:
     """Brackets narrowed until a task orders no more than 20 values."""
     found = ordered.exact_quantiles(t.lineitem, ["l_returnflag"], "l_extendedprice", {"low": 0.025, "median": 0.5, "high": 0.975}, most=20)
-    return rounded(found, 4, "low", "median", "high")
+    return rounded(found, 6, "low", "median", "high")
 
 
 @query(
