@@ -43,9 +43,9 @@ def row_hash(text: Column) -> Column:
 
 def _lines(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
     """doc, own (hash of the text), line (number), body of each line that is not blank."""
-    rows = documents.select(
-        F.col(doc_id).alias("doc"), row_hash(F.col(text)).alias("own"), F.posexplode(F.split(F.col(text).cast("string"), "\n")).alias("line", "raw")
-    )
+    rows = documents.select(F.col(doc_id).alias("doc"), row_hash(F.col(text)).alias("own"), F.col(text).cast("string").alias("text"))
+    # in a step of its own: beside the explode the hash would be made anew for every line
+    rows = rows.select("doc", "own", F.posexplode(F.split("text", "\n")).alias("line", "raw"))
     return rows.select("doc", "own", "line", F.btrim("raw", F.lit(BLANK)).alias("body")).filter("body <> ''")
 
 
@@ -165,8 +165,8 @@ def dedup_lines(
     gone = repeated_lines(documents, least=least, doc_id=doc_id, text=text)
     names = documents.columns
     gone = gone.select(F.col("doc").alias(GOES + "_in"), F.col("own").alias(GOES + "_hash"), F.col("lines").alias(GOES))
-    same = F.col(doc_id).eqNullSafe(F.col(GOES + "_in")) & (row_hash(F.col(text)) == F.col(GOES + "_hash"))
-    rows = documents.join(gone.hint("merge"), same, "left")
+    same = F.col(doc_id).eqNullSafe(F.col(GOES + "_in")) & (F.col(GOES + "_own") == F.col(GOES + "_hash"))
+    rows = documents.withColumn(GOES + "_own", row_hash(F.col(text))).join(gone.hint("merge"), same, "left")
 
     def rewrite(lines: Column) -> Column:
         left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(GOES))
