@@ -36,16 +36,29 @@ from .words import slices, text_bytes
 BETWEEN = r"[\x00-\x60\x7B-\x7F]+"
 ONE = 1_000_000_000
 SLICE = 1 << 21  # bytes of text split at once
-PENDING = 1 << 18  # partial rows a task adds up before it hands them on
+PENDING = 1 << 19  # partial rows a task adds up before it hands them on
 CELLS = 1 << 18  # groups x terms that a shard holds at most
 BLOCK = 128  # sources that one comparison task takes as first of a pair
 COUNTS = "lang string, source string, term string, n bigint, docs bigint"
 FOUND = "lang string, source string, part string, item string, value bigint"
 
 
+KEYS = ("lang", "source", "term")
+
+
 def _summed(table: pa.Table) -> pa.Table:
-    out = table.group_by(["lang", "source", "term"], use_threads=False).aggregate([("n", "sum"), ("docs", "sum")])
-    return out.rename_columns(["lang", "source", "term", "n", "docs"])
+    """One row per key: the three texts become one number, by which the hash table groups."""
+    coded = [pc.dictionary_encode(table.column(c)).combine_chunks() for c in KEYS]
+    values, number = [c.dictionary for c in coded], np.zeros(len(table), np.int64)
+    for c, v in zip(coded, values):
+        number = number * len(v) + c.indices.to_numpy()
+    held = pa.table({"key": pa.array(number), "n": table.column("n"), "docs": table.column("docs")})
+    out = held.group_by("key", use_threads=False).aggregate([("n", "sum"), ("docs", "sum")])
+    rest, columns = out.column("key").to_numpy(), []
+    for v in reversed(values):
+        columns.insert(0, v.take(pa.array(rest % len(v))))
+        rest = rest // len(v)
+    return pa.table([*columns, out.column("n_sum"), out.column("docs_sum")], [*KEYS, "n", "docs"])
 
 
 def slice_counts(text: pa.Array, group: pa.Table) -> pa.Table:
@@ -54,14 +67,22 @@ def slice_counts(text: pa.Array, group: pa.Table) -> pa.Table:
     row, term = pc.list_parent_indices(parts), pc.list_flatten(parts)
     filled = pc.not_equal(term, "")
     coded = term.filter(filled).dictionary_encode()
-    pairs = pa.table({"row": row.filter(filled), "code": coded.indices, "one": pa.array(np.ones(len(coded), np.int64))})
-    pairs = pairs.group_by(["row", "code"], use_threads=False).aggregate([("one", "sum")])
-    terms = group.take(pairs.column("row"))
-    terms = terms.append_column("term", coded.dictionary.take(pairs.column("code").combine_chunks()))
-    terms = terms.append_column("n", pairs.column("one_sum")).append_column("docs", pa.array(np.ones(len(pairs), np.int64)))
-    held = group.append_column("term", pa.array([""] * len(group), pa.large_string()))
-    held = held.append_column("n", pa.array(np.zeros(len(group), np.int64))).append_column("docs", pa.array(np.ones(len(group), np.int64)))
-    return _summed(pa.concat_tables([terms, held.cast(terms.schema)]))
+    pairs = pa.table({"row": row.filter(filled), "code": coded.indices, "n": pa.array(np.ones(len(coded), np.int64))})
+    pairs = pairs.group_by(["row", "code"], use_threads=False).aggregate([("n", "sum")])
+    # a row's group as a number, so that documents of one group add up before texts come back
+    lang, source = (pc.dictionary_encode(group.column(c)).combine_chunks() for c in KEYS[:2])
+    of_row = lang.indices.to_numpy().astype(np.int64) * max(len(source.dictionary), 1) + source.indices.to_numpy()
+    held = {"group": pa.array(of_row[pairs.column("row").to_numpy()]), "code": pairs.column("code"), "n": pairs.column("n_sum")}
+    held = pa.table(held | {"docs": pa.array(np.ones(len(pairs), np.int64))})
+    sums = held.group_by(["group", "code"], use_threads=False).aggregate([("n", "sum"), ("docs", "sum")])
+    of_group = sums.column("group").to_numpy()
+    names = [lang.dictionary.take(pa.array(of_group // max(len(source.dictionary), 1))), source.dictionary.take(pa.array(of_group % max(len(source.dictionary), 1)))]
+    terms = coded.dictionary.take(sums.column("code").combine_chunks())
+    counted = pa.table([*names, terms, sums.column("n_sum"), sums.column("docs_sum")], [*KEYS, "n", "docs"])
+    texts = len(group)
+    there = [pa.array([""] * texts, pa.large_string()), pa.array(np.zeros(texts, np.int64)), pa.array(np.ones(texts, np.int64))]
+    there = _summed(pa.table([group.column("lang"), group.column("source"), *there], counted.column_names))
+    return pa.concat_tables([counted, there.cast(counted.schema)])
 
 
 def partial_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
