@@ -317,6 +317,33 @@ def test_quantiles_by_group_with_hot_key(spark):
     assert all(got[k] == pytest.approx(want[k]) for k in want)
 
 
+@pytest.fixture
+def no_small_sides(spark):
+    """Join sides count as large unless they are hinted, as aggregates of large tables do."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield spark
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def joins_by_sorting(d) -> int:
+    return d._jdf.queryExecution().executedPlan().toString().count("SortMergeJoin")
+
+
+@pytest.mark.parametrize("most", [ordered.MOST_INSIDE, 3])
+def test_brackets_of_few_groups_go_to_the_rows(no_small_sides, most):
+    """The rows of two groups are not sorted by two tasks; more groups than allowed are joined by key, with the same result."""
+    d = no_small_sides.range(1000).select((F.col("id") % 2).alias("k"), (F.col("id") * 7 % 1000).cast("double").alias("v"))
+    few, many = (ordered.exact_quantiles(d, ["k"], "v", {"q": 0.1, "m": 0.5}, most, groups) for groups in (2, 1))
+    assert joins_by_sorting(few) == 0 < joins_by_sorting(many)
+    assert as_set(few) == as_set(many) == [(0, pytest.approx(99.8), 499.0), (1, pytest.approx(100.8), 500.0)]
+
+
+def test_bounds_and_fences_go_to_the_rows(no_small_sides):
+    d = no_small_sides.range(1000).select((F.col("id") % 2).alias("k"), (F.col("id") % 1000).cast("double").alias("v"))
+    assert joins_by_sorting(stats.quantile_bounds(d, ["k", "v"], 0.1, 0.9)) == 0
+    assert joins_by_sorting(stats.box_stats(d, ["k"], "v")) == 0
+
+
 def test_quantiles_of_nothing(rows):
     d = rows([(None,)], "v double")
     assert ordered.exact_quantiles(d, [], "v", {"m": 0.5}).first()["m"] is None
