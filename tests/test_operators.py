@@ -483,6 +483,21 @@ def test_uneven_edges_match_numpy(rows):
         stats.histogram_bins(rows([(1.0,)], "v double"), "v", edges=[1, 1, 2])
 
 
+@pytest.mark.parametrize("n", [11, 1500, 2999, 3000, 4000])
+def test_leaders_of_many_slices_need_few_bounds(spark, monkeypatch, n):
+    """Slices of one row or so, found in rounds, over nulls and repeated values."""
+    cut, plain = [], ordered.slices
+    monkeypatch.setattr(ordered, "slices", lambda *a, **k: cut.append(plain(*a, **k)) or cut[-1])
+    monkeypatch.setattr(ordered, "MOST_CUTS", 8)
+    values = [None if i % 50 == 0 else float(i * 7919 % 1000) for i in range(3000)]
+    d = spark.createDataFrame(list(enumerate(values)), "id long, v double")
+    want = [i for i, _ in sorted(enumerate(values), key=lambda x: (x[1] is None, -(x[1] or 0), x[0]))]
+    kept = {"merged": 10, "rows_per_slice": 2}
+    assert [r.id for r in sets.top_n(d, "v", n, "id", **kept).collect()] == want[:n]
+    assert len(cut) >= 2 and max(len(s.before) for s in cut) < 30
+    assert sorted(r.id for r in sets.skip_top_n(d, "v", n, "id", **kept).collect()) == sorted(want[n:])
+
+
 def test_alias_tables_hold_the_weights():
     rng = random.Random(2)
     for n in (1, 2, 7, 1000):
