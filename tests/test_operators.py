@@ -344,6 +344,11 @@ def test_bounds_and_fences_go_to_the_rows(no_small_sides):
     assert joins_by_sorting(stats.box_stats(d, ["k"], "v")) == 0
 
 
+def test_summary_sorts_no_rows(no_small_sides):
+    d = no_small_sides.range(1000).select((F.col("id") % 2).alias("k"), (F.col("id") % 1000).cast("double").alias("v"))
+    assert joins_by_sorting(stats.summary_stats(d, ["k", "v"])) == 1  # its two frames of one row a column
+
+
 def test_quantiles_of_nothing(rows):
     d = rows([(None,)], "v double")
     assert ordered.exact_quantiles(d, [], "v", {"m": 0.5}).first()["m"] is None
