@@ -5,9 +5,11 @@ import random
 import struct
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 import tiktoken
@@ -24,6 +26,7 @@ from shiftboard.llm import (
     license_scan,
     line_dedup,
     near_dup,
+    pieces,
     quality_fm,
     range_coder,
     shard_tree,
@@ -413,6 +416,95 @@ def test_range_coder_refuses_ids_it_cannot_hold():
     assert np.array_equal(range_coder.decode(range_coder.encode(ids)), ids)
 
 
+def test_counted_symbols_round_trip_and_damage(monkeypatch):
+    rng = np.random.default_rng(4)
+    monkeypatch.setattr(range_coder, "COUNTED_BLOCK", 64)
+    for n in (0, 1, 2, 63, 64, 65, 3000):
+        for most in (1, 2, 60, 70_000):
+            symbols = rng.integers(0, most, n)
+            assert np.array_equal(range_coder.decode_counted(range_coder.encode_counted(symbols)), symbols)
+    symbols = rng.zipf(1.5, 3000).clip(max=5000)
+    monkeypatch.setattr(range_coder, "MOST_COUNTED", 100)  # counts are halved, none to 0
+    data = range_coder.encode_counted(symbols)
+    monkeypatch.undo()  # the size of a block is read from the header
+    assert np.array_equal(range_coder.decode_counted(data), symbols)
+    for at in (-40, 30):  # a block, the counts
+        broken = bytearray(data)
+        broken[at] ^= 1
+        with pytest.raises(ValueError):
+            range_coder.decode_counted(bytes(broken))
+    with pytest.raises(ValueError):
+        range_coder.decode_counted(b"x" * 40)
+
+
+def test_runs_cut_as_the_pattern_does():
+    assert pieces.RUNS == public_tokenizers.PATTERN
+    runs, plain, rng = pieces.Runs(), pieces.Splitter(pieces.RUNS), random.Random(6)
+    parts = ["'", "'s", "'re", "'ll", *"lestmdvx!<1\0\n\t É漢½٣", "  ", "\u3000", "\xa0", "\x1c", "\x85", "\u200b", "\u0301", "\U0001f600"]
+    for _ in range(2000):
+        texts = ["".join(rng.choices(parts, k=rng.randrange(9))) for _ in range(rng.randrange(6))]
+        distinct, places, at = runs.distinct(texts)
+        assert [[distinct[i] for i in places[a:b]] for a, b in zip(at, at[1:])] == [plain.full.findall(x) for x in texts]
+        assert len(set(distinct)) == len(distinct)
+
+
+def test_runs_leave_equal_hashes_to_the_pattern(monkeypatch):
+    monkeypatch.setattr(pieces, "hash_spans", lambda codes, starts, ends: (ends - starts).astype(np.uint64))
+    assert pieces.Runs().distinct(["ab cd ab"]) is None and pieces.Runs().distinct(["ab", " cd"]) is not None
+    own = token_files.Encoder(open(public_tokenizers.path("byte_bpe_50k.json")).read(), public_tokenizers.PATTERN)
+    assert own.ids(["ab cd ef ab"]) == own._library_ids(["ab cd ef ab"])
+
+
+def test_a_task_writes_several_chunks(spark, tmp_path, monkeypatch):
+    content, step = open(public_tokenizers.path("byte_bpe_50k.json")).read(), []
+    monkeypatch.setattr(token_files, "map_arrow", lambda d, f, schema, keeps: step.append(f) or d)
+    monkeypatch.setattr(token_files, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 3)))
+    monkeypatch.setattr(token_files, "CHUNK_IDS", 60)
+    monkeypatch.setattr(token_files, "TEXTS", 4)
+    texts = [f"word{i} of {i * i}" for i in range(40)]
+    batches = [pa.RecordBatch.from_pydict({"id": [None, *range(1, 20)], "text": texts[:20]}), pa.RecordBatch.from_pydict({"id": range(20, 40), "text": texts[20:]})]
+    want = [x + b"\x02\0\0\0" for x in token_files.Encoder(content, None).ids(texts)]
+    for label, pattern in (("words", public_tokenizers.PATTERN), ("ids", None)):
+        token_files.write(documents(spark, EDGES), str(tmp_path / label), content, pattern=pattern)
+        rows = [r for b in step[-1](batches) for r in b.to_pylist()]
+        assert len(rows) > 3 and [(r["part"], r["chunk"]) for r in rows] == [(3, i) for i in range(len(rows))]
+        found = [token_files.unpack(r["data"]) for r in rows]
+        assert [r["n_ids"] for r in rows] == [len(x[2]) for x in found]
+        assert [x for f in found for x in f[0].tolist()] == [token_files.NO_ID, *range(1, 40)]
+        assert [x for f in found for x in f[1].tolist()] == [len(x) // 4 for x in want]
+        assert b"".join(f[2].astype("<u4").tobytes() for f in found) == b"".join(want)
+
+
+def test_a_worker_forgets_words_between_chunks(monkeypatch):
+    monkeypatch.setattr(token_files, "MOST_WORDS", 20)
+    content, texts = open(public_tokenizers.path("byte_bpe_50k.json")).read(), [f"word{i} of {i * i}" for i in range(40)]
+    own, got = token_files.Encoder(content, public_tokenizers.PATTERN), []
+    for i in range(0, 40, 4):
+        words = token_files.Words(own, 2)
+        assert len(own.vocabulary) < 10
+        sizes = words.add(texts[i : i + 4])
+        got.append(token_files.unpack(token_files.pack_words(list(range(4)), sizes, words))[2].astype("<u4").tobytes())
+    assert b"".join(got) == b"".join(x + b"\x02\0\0\0" for x in own._library_ids(texts))
+
+
+def test_chunks_code_words_not_ids():
+    """Words of texts come back as ids, in less space than ids one by one take; the library's model sees each distinct word once."""
+    content = open(public_tokenizers.path("byte_bpe_50k.json")).read()
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet").column("text").to_pylist()
+    texts = [*[t or "" for t in texts], "a<|endoftext|>b", "", "\x00 \x00", "x" * 500, "\U0001f600 漢字  \u3000\n"]
+    own = token_files.Encoder(content, public_tokenizers.PATTERN)
+    asked, ask = [], own._model_ids
+    own._model_ids = lambda pieces: asked.extend(pieces) or ask(pieces)
+    words = token_files.Words(own, 2)
+    sizes = [n for i in range(0, len(texts), 100) for n in words.add(texts[i : i + 100])]
+    data = token_files.pack_words(list(range(len(texts))), sizes, words)
+    doc_ids, lengths, ids = token_files.unpack(data)
+    want = [x + b"\x02\0\0\0" for x in own._library_ids(texts)]
+    assert doc_ids.tolist() == list(range(len(texts))) and lengths.tolist() == sizes == [len(x) // 4 for x in want]
+    assert ids.astype("<u4").tobytes() == b"".join(want)
+    assert len(asked) == len(set(asked)) and len(data) < len(range_coder.encode(ids))
+
+
 def test_token_files_edges(spark, tmp_path, monkeypatch):
     content = open(public_tokenizers.path("byte_bpe_50k.json")).read()
     got = {}
