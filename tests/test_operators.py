@@ -338,6 +338,20 @@ def test_brackets_of_few_groups_go_to_the_rows(no_small_sides, most):
     assert as_set(few) == as_set(many) == [(0, pytest.approx(99.8), 499.0), (1, pytest.approx(100.8), 500.0)]
 
 
+@pytest.mark.parametrize("most", [ordered.MOST_INSIDE, 3])
+def test_a_hot_group_among_many_is_not_sorted(no_small_sides, most):
+    """With more groups than are broadcast, only rows of the small ones are joined by key."""
+    row = F.col("id")
+    key = F.when(row % 10 == 0, (row / 10 % 20).cast("int")).when(row % 10 != 1, F.lit(-1))
+    d = no_small_sides.range(2000).select(key.alias("k"), (row * 7 % 2000).cast("double").alias("v"))
+    found = ordered.exact_quantiles(d, ["k"], "v", {"q": 0.1, "m": 0.5}, most, 3)
+    p = d.toPandas().groupby("k", dropna=False).v
+    want = [(None if k != k else int(k), pytest.approx(g.quantile(0.1)), g.median()) for k, g in p]
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(want, key=str)
+    sorted_rows = ordered._met(d.withColumn("__v", F.col("v")), ["k"], ordered.brackets(d.withColumn("__v", F.col("v")), ["k"], {"m": 0.5}), 200)
+    assert joins_by_sorting(sorted_rows) == 1 and "LeftAnti" in sorted_rows._jdf.queryExecution().executedPlan().toString()
+
+
 def test_bounds_and_fences_go_to_the_rows(no_small_sides):
     d = no_small_sides.range(1000).select((F.col("id") % 2).alias("k"), (F.col("id") % 1000).cast("double").alias("v"))
     assert joins_by_sorting(stats.quantile_bounds(d, ["k", "v"], 0.1, 0.9)) == 0
