@@ -425,6 +425,31 @@ def test_corr_lower_triangle(rows):
     assert got["c", "a"] == pytest.approx(-1)
 
 
+def test_correlations_keep_their_digits(spark):
+    """Far from 0, and where the rows of a pair differ from those of its columns."""
+    n, rng = 400, np.random.default_rng(1)
+    values = rng.normal(size=(n, 14))
+    values[:, 1] = values[:, 1] * 1e-4 + 1e8
+    values[:, 2] = np.where(np.arange(n) < 200, 1e7 + values[:, 2] * 1e-3, -1e9)
+    values[:, 3] = 1e9 / 3
+    for gaps in (False, True):
+        if gaps:
+            values[200:, 4], values[rng.random(n) < 0.3, 5], values[1:, 6], values[:, 7] = np.nan, np.nan, np.nan, np.nan
+        data = [[None if np.isnan(v) else float(v) for v in row] for row in values]
+        d = spark.createDataFrame(data, ", ".join(f"c{i} double" for i in range(14))).repartition(3)
+        found = {(r.row_col, r.col_col): r.corr for r in stats.corr_matrix(d, d.columns).collect()}
+        assert set(found) == {(f"c{j}", f"c{i}") for j in range(14) for i in range(j)}
+        for (b, a), r in found.items():
+            x, y = (values[:, int(c[1:])].astype(np.longdouble) for c in (a, b))
+            both = ~(np.isnan(x) | np.isnan(y))
+            x, y = x[both], y[both]
+            if both.sum() < 2 or x.min() == x.max() or y.min() == y.max():
+                assert r is None, (a, b)
+            else:
+                x, y = x - x.mean(), y - y.mean()
+                assert r == pytest.approx(float((x * y).sum() / np.sqrt((x * x).sum() * (y * y).sum())), abs=1e-9), (a, b)
+
+
 def test_t_quantiles(rows):
     from shiftboard.functions.distributions import student_t_quantile, student_t_tail
 

@@ -74,6 +74,13 @@ def test_quantiles_shuffle_only_bracketed_values(static):
     assert "RangePartitioning" not in plan(q) and "rangepartitioning" not in plan(q)
 
 
+@pytest.mark.parametrize("key", ["corr_matrix", "report_health_screen__corr"])
+def test_correlations_are_compiled(static, key):
+    """No aggregate has more fields than Spark compiles."""
+    lines = [x for x in plan(REGISTRY.QUERIES[key](static, SF)).splitlines() if "Aggregate(" in x]
+    assert lines and all(re.search(r"\*\(\d+\) HashAggregate\(", x) for x in lines)
+
+
 def pushed(d) -> str:
     mode = d.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
     text = d._jdf.queryExecution().explainString(mode)
