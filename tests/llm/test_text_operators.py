@@ -505,6 +505,75 @@ def test_chunks_code_words_not_ids():
     assert len(asked) == len(set(asked)) and len(data) < len(range_coder.encode(ids))
 
 
+def test_mixed_symbols_round_trip_and_damage(monkeypatch):
+    rng = np.random.default_rng(5)
+    monkeypatch.setattr(range_coder, "MIXED_BLOCK", 64)
+    for n in (0, 1, 2, 63, 64, 65, 3000):
+        for most in (1, 2, 60, 70_000, range_coder.MOST_SYMBOLS):
+            symbols = rng.integers(0, most, n)
+            symbols[n // 2 :] = symbols[: n - n // 2]  # some are guessed
+            assert np.array_equal(range_coder.decode_mixed(range_coder.encode_mixed(symbols)), symbols)
+    symbols = rng.zipf(1.5, 3000).clip(max=5000)
+    data = range_coder.encode_mixed(symbols)
+    monkeypatch.undo()  # the size of a block is read from the header
+    assert np.array_equal(range_coder.decode_mixed(data), symbols)
+    raised, places = 0, rng.integers(struct.calcsize(range_coder.MIXED_HEAD), len(data), 60).tolist()
+    for at in places:
+        broken = bytearray(data)
+        broken[at] ^= 1 << at % 8
+        try:
+            assert np.array_equal(range_coder.decode_mixed(bytes(broken)), symbols)  # a bit behind a block's last symbol
+        except ValueError:
+            raised += 1
+    assert raised > 50
+    with pytest.raises(ValueError):
+        range_coder.decode_mixed(b"x" * 40)
+    for bad in (-1, range_coder.MOST_SYMBOLS):
+        with pytest.raises(ValueError, match="symbols must be"):
+            range_coder.encode_mixed(np.array([1, bad, 2]))
+
+
+def test_mixed_intervals_stay_wide_enough():
+    """Whatever comes, an interval can be cut into the parts of the next symbol."""
+    rng = np.random.default_rng(6)
+    coder = range_coder.LongCoder(2000)
+    coder.shift = lambda go, low: None
+    for bits in rng.integers(7, 33, 300).tolist():
+        size = 1 + (rng.integers(0, 1 << 62, 2000) >> rng.integers(62 - bits, 62, 2000)).clip(max=(1 << bits) - 1)
+        size = size.clip(max=(1 << 32) - 1)
+        first = rng.integers(0, (1 << bits) - size + 1).clip(max=(1 << 32) - 1)
+        before = coder.low.astype(object) + coder.width.astype(object)
+        coder.narrow(bits, (first << 32 | size).astype(np.uint64))
+        assert (coder.low.astype(object) + coder.width.astype(object) <= before).all() and (coder.width > 0).all()
+        coder.renew()
+        assert int(coder.width.min()) >= 1 << 32
+        assert max(coder.low.astype(object) + coder.width.astype(object)) <= 1 << 64
+
+
+def test_chunks_learn_what_follows():
+    """Words that are equally frequent take little space where the last one or the last two tell the next, and counts follow what comes."""
+    content, rng = open(public_tokenizers.path("byte_bpe_50k.json")).read(), random.Random(7)
+    letters = "abcdefghijkl"
+    names = [f" {a}{b}{c}" for a in letters for b in letters for c in letters][:1500]
+    cycle = names * 40
+    pairs, x, y = [], 0, 1
+    for _ in range(60_000):
+        x, y = y, (x * 7 + y * 11 + 3) % 31  # the last word alone does not tell
+        pairs.append(names[y])
+    shuffled = [w for _ in range(40) for w in rng.sample(names, len(names))]
+
+    def bits(words_of_text):
+        own = token_files.Encoder(content, public_tokenizers.PATTERN)
+        words = token_files.Words(own, 2)
+        sizes = words.add(["".join(words_of_text)])
+        data = token_files.pack_words([1], sizes, words)
+        ids = token_files.unpack(data)[2]
+        assert ids.astype("<u4").tobytes() == own._library_ids(["".join(words_of_text)])[0] + b"\x02\0\0\0"
+        return 8 * len(data) / len(words.all())
+
+    assert bits(cycle) < 4 and bits(pairs) < 1.5 and 10 < bits(shuffled) < 14
+
+
 def test_token_files_edges(spark, tmp_path, monkeypatch):
     content = open(public_tokenizers.path("byte_bpe_50k.json")).read()
     got = {}
